@@ -5,11 +5,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ripplescope.llm.packing import op7_packing
 from ripplescope.llm.token_counts import op3_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_token_counts": op3_token_counts}
+    return {"op3_token_counts": op3_token_counts, "op7_packing": op7_packing}
 
 
 def oracle_sql() -> dict[str, str]:
