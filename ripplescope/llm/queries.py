@@ -5,12 +5,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ripplescope.llm.html_extraction import op8_html_extraction
+from ripplescope.llm.media import op5_media_columns
 from ripplescope.llm.packing import op7_packing
 from ripplescope.llm.token_counts import op3_token_counts
 
 
+_QUERIES = (op3_token_counts, op5_media_columns, op7_packing, op8_html_extraction)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_token_counts": op3_token_counts, "op7_packing": op7_packing}
+    return {q.__name__: q for q in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
