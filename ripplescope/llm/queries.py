@@ -5,6 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ripplescope.llm.bpe import op4_byte_bpe
 from ripplescope.llm.html_extraction import op8_html_extraction
 from ripplescope.llm.media import op5_media_columns
 from ripplescope.llm.packing import op7_packing
@@ -12,7 +13,7 @@ from ripplescope.llm.token_counts import op3_token_counts
 from ripplescope.llm.toxicity import op2_toxicity
 
 
-_QUERIES = (op2_toxicity, op3_token_counts, op5_media_columns, op7_packing, op8_html_extraction)
+_QUERIES = (op2_toxicity, op3_token_counts, op4_byte_bpe, op5_media_columns, op7_packing, op8_html_extraction)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
