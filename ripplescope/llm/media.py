@@ -83,23 +83,27 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def frames(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(digest, frame), each digest once."""
+    """(digest, frame, alone, part): each digest once, and whether it makes up a payload or is one of several chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=LEVEL)
         for batch in batches:
-            made: dict[bytes, bytes] = {}
+            made: dict[bytes, list] = {}
             for text in batch.column(0).fill_null("").cast(pa.binary()):
-                for chunk in _chunks(text.as_py()):
+                chunks = _chunks(text.as_py())
+                for chunk in chunks:
                     digest = hashlib.sha256(chunk).digest()
                     if digest not in made:
-                        made[digest] = pack.compress(chunk)
-            yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.binary()), pa.array(list(made.values()), pa.binary())], names=["digest", "frame"])
+                        made[digest] = [pack.compress(chunk), False, False]
+                    made[digest][1 if len(chunks) == 1 else 2] = True
+            columns = [pa.array([v[k] for v in made.values()], t) for k, t in enumerate((pa.binary(), pa.bool_(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.binary()), *columns], names=["digest", "frame", "alone", "part"])
 
     source = docs.select(docs[text_col].cast("string").alias("__text"))
-    return source.mapInArrow(run, "digest binary, frame binary").groupBy("digest").agg(F.first("frame").alias("frame"))
+    made = source.mapInArrow(run, "digest binary, frame binary, alone boolean, part boolean")
+    return made.groupBy("digest").agg(F.first("frame").alias("frame"), F.bool_or("alone").alias("alone"), F.bool_or("part").alias("part"))
 
 
 def _verified(digest: bytes, frame: bytes, unpack) -> bytes:
@@ -132,10 +136,10 @@ def read_back(lists: DataFrame, kept: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], pa.string() if isinstance(f.dataType, T.StringType) else pa.int64()) for i, f in enumerate(_FEATURES))], names=["key", *_FEATURES.names])
 
     kinds = T.StructType([T.StructField("key", T.BinaryType()), *_FEATURES])
-    alone = kept.select("digest", F.array(F.struct(F.lit(0).alias("pos"), "digest", "frame")).alias("parts")).mapInArrow(run, kinds)
+    alone = kept.filter("alone").select("digest", F.array(F.struct(F.lit(0).alias("pos"), "digest", "frame")).alias("parts")).mapInArrow(run, kinds)
     distinct = lists.filter(F.size("digests") > 1).groupBy("list_id").agg(F.first("digests").alias("digests"))
     needed = distinct.select("list_id", F.posexplode("digests").alias("pos", "digest"))
-    gathered = needed.join(kept, "digest").groupBy("list_id").agg(F.collect_list(F.struct("pos", "digest", "frame")).alias("parts"))
+    gathered = needed.join(kept.filter("part").select("digest", "frame"), "digest").groupBy("list_id").agg(F.collect_list(F.struct("pos", "digest", "frame")).alias("parts"))
     return alone.unionByName(gathered.mapInArrow(run, kinds))
 
 
