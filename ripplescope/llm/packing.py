@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -32,11 +33,22 @@ from ripplescope.llm import _common as C
 _ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space for Python, not for the tokenizer
 
 
+def _byte_chars() -> dict[int, str]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return {b: chr(b if b in plain else next(others)) for b in range(256)}
+
+
+_BYTE_CHARS = _byte_chars()
+
+
 class _Ids:
     """Ids of white-space separated words as little-endian 32-bit bytes, remembered while the worker lives.
 
-    A word of letters with closing punctuation is two pieces for the pre-tokenizer; its letters (lower-cased
-    if ASCII, as the normalizer does) are looked up apart, so that "The" and "the," are encoded once.
+    A word of letters with closing punctuation is two pieces for the pre-tokenizer, which are looked up apart,
+    so that "The" and "the," are encoded once. Letters below U+0180 (but U+0130) are in normal form and have one
+    lower case, so the tokenizer's model gets their byte characters at once.
     """
 
     def __init__(self, path: str):
@@ -49,22 +61,27 @@ class _Ids:
         self.words: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
 
-    def _learn(self, parts: set[str]) -> dict[str, bytes]:
+    def _learn(self, cores: set[str], others: set[str]) -> dict[str, bytes]:
+        """`cores` are lower-case Latin letters and need only the model; `others` take the whole way."""
         if len(self.cores) > C.MEMO_ENTRIES:
             self.cores.clear()
         extra: dict[str, bytes] = {}
-        new = sorted(parts.difference(self.cores), key=len)
+        tokenize = self.tokenizer.model.tokenize
+        for core in cores.difference(self.cores):
+            tokens = tokenize(core if core.isascii() else core.encode().decode("latin-1").translate(_BYTE_CHARS))
+            (self.cores if len(core) <= C.MEMO_CHARS else extra)[core] = array("I", [t.id for t in tokens]).tobytes()
+        new = sorted(others.difference(self.cores), key=len)
         for batch in C.grouped_by_bytes(((p, len(p) + 16) for p in new), 1 << 20):
             for part, enc in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)):
-                (self.cores if len(part) <= C.MEMO_CHARS else extra)[part] = np.array(enc.ids, "<u4").tobytes()
+                (self.cores if len(part) <= C.MEMO_CHARS else extra)[part] = array("I", enc.ids).tobytes()
         return extra
 
     @staticmethod
     def _halves(word: str) -> tuple[str, str]:
         core = word.rstrip(".,;:!?")
-        if not core.isalpha():
-            return word, ""
-        return core.lower() if core.isascii() else core, word[len(core) :]
+        if core.isalpha() and (core.isascii() or max(core) < "\u0180" and "\u0130" not in core):
+            return core.lower(), word[len(core) :]
+        return "", word
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [[t] if _ODD_SPACE.search(t) else t.split() for t in texts]
@@ -72,11 +89,12 @@ class _Ids:
             self.words.clear()
         new = set(chain.from_iterable(split)).difference(self.words)
         halves = {w: self._halves(w) for w in new}
-        extra = self._learn({h for pair in halves.values() for h in pair if h})
+        extra = self._learn({c for c, _ in halves.values() if c}, {e for _, e in halves.values() if e})
         known = self.cores if not extra else {**self.cores, **extra}
         long: dict[str, bytes] = {}
         for word, (core, end) in halves.items():
-            (self.words if len(word) <= C.MEMO_CHARS else long)[word] = known[core] + known[end] if end else known[core]
+            ids = known[core] + known[end] if core and end else known[core or end]
+            (self.words if len(word) <= C.MEMO_CHARS else long)[word] = ids
         words = self.words if not long else {**self.words, **long}
         return [b"".join(map(words.__getitem__, parts)) for parts in split]
 
