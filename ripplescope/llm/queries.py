@@ -10,13 +10,14 @@ from ripplescope.llm.html_extraction import op8_html_extraction
 from ripplescope.llm.jaccard_join import op1_jaccard_join
 from ripplescope.llm.lm_scoring import op9_lm_scoring
 from ripplescope.llm.media import op5_media_columns
+from ripplescope.llm.near_dup import op10_near_dup
 from ripplescope.llm.packing import op7_packing
 from ripplescope.llm.pii import op6_pii
 from ripplescope.llm.token_counts import op3_token_counts
 from ripplescope.llm.toxicity import op2_toxicity
 
 
-_QUERIES = (op1_jaccard_join, op2_toxicity, op3_token_counts, op4_byte_bpe, op5_media_columns, op6_pii, op7_packing, op8_html_extraction, op9_lm_scoring)
+_QUERIES = (op1_jaccard_join, op2_toxicity, op3_token_counts, op4_byte_bpe, op5_media_columns, op6_pii, op7_packing, op8_html_extraction, op9_lm_scoring, op10_near_dup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
