@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+import string
 from collections.abc import Iterator
 from itertools import chain
 
@@ -30,22 +31,22 @@ from pyspark.sql import types as T
 
 from ripplescope.llm import _common as C
 
-LONG = 256
+LONG = 255
 _RUN = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _CONTRACT = """
-WITH RECURSIVE t(step, w, pos, id, nxt, m) AS (
-  SELECT 0, s.w, s.pos, s.id, s.nxt, merges.m
-  FROM (SELECT *, lead(id) OVER (PARTITION BY w ORDER BY pos) AS nxt FROM start_rows) s LEFT JOIN merges ON l = s.id AND r = s.nxt
+WITH RECURSIVE t(step, w, pos, id, next_pos, next_id, m) AS (
+  SELECT 0::USMALLINT, s.w, s.pos, s.id, s.next_pos, s.next_id, merges.m FROM start_rows s LEFT JOIN merges ON l = s.id AND r = s.next_id
   UNION ALL
-  SELECT u.step, u.w, u.pos, u.id, u.nxt, merges.m
-  FROM (SELECT step + 1 AS step, t.w, pos, CASE WHEN pos = into_pos THEN m ELSE id END AS id,
-               lead(CASE WHEN pos = into_pos THEN m ELSE id END) OVER (PARTITION BY t.w ORDER BY pos) AS nxt
-        FROM t JOIN (SELECT w, arg_min(pos, place) AS into_pos, arg_min(after, place) AS gone_pos
-                     FROM (SELECT w, pos, m, m::BIGINT * 65536 + pos - min(pos) OVER (PARTITION BY w) AS place, lead(pos) OVER (PARTITION BY w ORDER BY pos) AS after FROM t)
-                     WHERE m IS NOT NULL GROUP BY w) f ON f.w = t.w
-        WHERE pos IS DISTINCT FROM gone_pos) u LEFT JOIN merges ON l = u.id AND r = u.nxt)
-SELECT w, list(id ORDER BY pos) AS ids FROM (SELECT *, max(step) OVER (PARTITION BY w) AS last FROM t) WHERE step = last GROUP BY w ORDER BY w
+  SELECT u.step, u.w, u.pos, u.id, u.next_pos, u.next_id, CASE WHEN touched THEN merges.m ELSE u.m END
+  FROM (SELECT (step + 1)::USMALLINT AS step, t.w, pos, CASE WHEN pos = here THEN made ELSE id END AS id,
+               CASE WHEN pos = here THEN far_pos ELSE next_pos END AS next_pos,
+               CASE WHEN pos = here THEN far_id WHEN next_pos = here THEN made ELSE next_id END AS next_id, m, pos = here OR next_pos = here AS touched
+        FROM t JOIN (SELECT best.w, (best.place % 256)::INT AS here, (best.place // 256)::INT AS made, gone, g.next_pos AS far_pos, g.next_id AS far_id
+                     FROM (SELECT w, min(m * 256 + pos) AS place, arg_min(next_pos, m * 256 + pos) AS gone FROM t WHERE m IS NOT NULL GROUP BY w) best
+                     JOIN t g ON g.w = best.w AND g.pos = best.gone) c ON c.w = t.w
+        WHERE pos <> gone) u LEFT JOIN merges ON l = u.id AND r = u.next_id)
+SELECT w, list(id ORDER BY pos) AS ids FROM t JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) z USING (w, step) GROUP BY w ORDER BY w
 """
 _DECODE = "SELECT doc, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes FROM token_rows JOIN vocabulary USING (id) GROUP BY doc ORDER BY doc"
 
@@ -79,8 +80,12 @@ class _Coder:
 
     def _contract(self, words: list[bytes]) -> list[bytes]:
         size = np.array([len(w) for w in words])
-        flat = np.frombuffer(b"".join(words), np.uint8)
-        rows = pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), size), "pos": np.arange(len(flat), dtype=np.int32), "id": self.byte_ids[flat]})
+        ids = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        ends = np.cumsum(size)
+        pos = (np.arange(len(ids)) - np.repeat(ends - size, size)).astype(np.int32)
+        after = np.append(ids[1:], np.int32(-1))
+        after[ends - 1] = -1
+        rows = pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), size), "pos": pos, "id": ids, "next_pos": pos + 1, "next_id": after})
         self.con.register("start_rows", rows)
         ids = self.con.sql(_CONTRACT).to_arrow_table()["ids"].combine_chunks()
         self.con.unregister("start_rows")
@@ -107,7 +112,7 @@ class _Coder:
         return np.array([ranks[word[i : end[i]]] for i in range(n) if alive[i]], "<u4").tobytes()
 
     def _learn_matches(self, new: set[str]) -> dict[str, bytes]:
-        if len(self.matches) > C.MEMO_ENTRIES:
+        if len(self.matches) > 2 * C.MEMO_ENTRIES:
             self.matches.clear()
         extra: dict[str, bytes] = {}
         short: list[tuple[str, bytes]] = []
@@ -125,14 +130,20 @@ class _Coder:
                 (self.matches if len(raw) <= 2 * C.MEMO_CHARS else extra)[match] = ids
         return extra
 
+    def _matches(self, lead: str, part: str) -> list[str]:
+        letters = part.rstrip(string.punctuation)
+        if letters.isalpha():  # letters, then punctuation: no need to ask the pattern
+            return [lead + letters, part[len(letters) :]] if len(letters) < len(part) else [lead + part]
+        return self.split(lead + part)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit bytes."""
         split = [_SAFE.split(t) if _RUN.search(t) else t.split(" ") for t in texts]
         known = []
         for memo, parts, lead in ((self.first, {p[0] for p in split}, ""), (self.rest, set(chain.from_iterable(split)), " ")):
-            if len(memo) > C.MEMO_ENTRIES // 2:
+            if len(memo) > C.MEMO_ENTRIES:
                 memo.clear()
-            found = {p: self.split(lead + p) for p in parts.difference(memo)}
+            found = {p: self._matches(lead, p) for p in parts.difference(memo)}
             extra = self._learn_matches(set(chain.from_iterable(found.values())))
             long: dict[str, bytes] = {}
             for part, matches in found.items():
@@ -163,48 +174,62 @@ def _coder(path: str, pattern: str) -> _Coder:
     return _CODERS[path, pattern]
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], coder: _Coder) -> Iterator[pa.RecordBatch]:
+    """The first column of (id, text) batches with the ids of the text, in batches of bounded size."""
+    for batch in batches:
+        texts = batch.column(1).fill_null("").to_pylist()
+        at = 0
+        for group in C.grouped_by_bytes(((t, len(t)) for t in texts), C.GROUP_BYTES):
+            coded = coder.encode(group)
+            ends = np.cumsum([0] + [len(c) // 4 for c in coded], dtype=np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<i4"), pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(group)), ids], names=[batch.schema.names[0], "ids"])
+            at += len(group)
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], coder: _Coder, ids_col: str) -> Iterator[pa.RecordBatch]:
+    """The batches with the bytes of their ids as one more column."""
+    for batch in batches:
+        k = batch.schema.get_field_index(ids_col)
+        sizes = batch.column(k).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        at = 0
+        for group in C.grouped_by_bytes(((n, int(n)) for n in sizes), 1 << 20):
+            part = batch.slice(at, len(group))
+            flat = part.column(k).flatten().to_numpy(zero_copy_only=False)
+            raw = coder.decode(flat.astype(np.int32), np.array(group, np.int64))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], names=[*batch.schema.names, "decoded"])
+            at += len(group)
+
+
+_IDS, _BYTES = T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())
+
+
 def encode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) for each row of `docs`, in its partitioning."""
+    source = docs.select(id_col, docs[text_col].cast("string").alias("__text"))
+    return source.mapInArrow(lambda batches: _encoded(batches, _coder(ranks_file, pattern)), T.StructType([source.schema[0], _IDS]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(ranks_file, pattern)
-        for batch in batches:
-            texts = batch.column(1).fill_null("").to_pylist()
-            at = 0
-            for group in C.grouped_by_bytes(((t, len(t)) for t in texts), C.GROUP_BYTES):
-                coded = coder.encode(group)
-                ends = np.cumsum([0] + [len(c) // 4 for c in coded], dtype=np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<i4"), pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(group)), ids], names=[id_col, "ids"])
-                at += len(group)
 
-    source = docs.select(id_col, docs[text_col].cast("string").alias("__text"))
-    return source.mapInArrow(run, T.StructType([source.schema[0], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+def decode(coded: DataFrame, ranks_file: str, pattern: str, ids_col: str = "ids") -> DataFrame:
+    """All columns of `coded` and, as `decoded`, the bytes of its ids."""
+    return coded.mapInArrow(lambda batches: _decoded(batches, _coder(ranks_file, pattern), ids_col), T.StructType([*coded.schema.fields, _BYTES]))
 
 
-def decode(coded: DataFrame, ranks_file: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """All columns of `coded` and the bytes of its ids."""
+def round_trip(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, decoded): encode, then decode of what it gave, in one Python worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(ranks_file, pattern)
-        for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids_col))
-            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            at = 0
-            for group in C.grouped_by_bytes(((n, int(n)) for n in sizes), 1 << 20):
-                part = batch.slice(at, len(group))
-                flat = part.column(batch.schema.get_field_index(ids_col)).flatten().to_numpy(zero_copy_only=False)
-                raw = coder.decode(flat.astype(np.int32), np.array(group, np.int64))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], names=[*batch.schema.names, out_col])
-                at += len(group)
+        return _decoded(_encoded(batches, coder), coder, "ids")
 
-    return coded.mapInArrow(run, T.StructType([*coded.schema.fields, T.StructField(out_col, T.BinaryType())]))
+    source = docs.select(id_col, docs[text_col].cast("string").alias("__text"))
+    return source.mapInArrow(run, T.StructType([source.schema[0], _IDS, _BYTES]))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     how = P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN
-    coded = decode(encode(C.table(spark, sf_dir, "documents"), *how), *how)
+    coded = round_trip(C.table(spark, sf_dir, "documents"), *how)
     digits = F.array_join(F.col("ids").cast("array<string>"), ",")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
