@@ -12,10 +12,11 @@ exact, this one keeps common passages out), and only the positions can hold the
 pair count: n - need(n, m) + 1 of each. Sizes from which a heavy set may reach stay in the lists as well. The
 boundary is the size at which subsets to list plus list entries to scan are fewest.
 
-Candidates are taken in two rounds. First each list's entries are paired with three members picked by hash;
-verified links are contracted to components. Then all pairs of a list that are in different components and
-may still link are verified. So a list of n near copies costs about n pairs, and no link between components
-is lost. Verification intersects the whole sets.
+Candidates are taken in two rounds. First each list's entries are paired with three members, two of those that
+stand first in it (so have few shingles of their own) and one by hash; verified links are contracted to
+components. Then all pairs of a list that are in different components and may still link are verified. So a
+list of n near copies costs about n pairs, and no link between components is lost. Pairs whose listed shingles
+rule a link out go first; the whole sets of the others are intersected.
 
 component_id is the smallest id reachable by links. Null or word-free text has the empty set (n_shingles 0)
 and links with nothing; its component is its own id. Repeated rows are equal texts. A null id takes part in
@@ -179,6 +180,18 @@ def _may_link(x: str, y: str, percent: int) -> Column:
     return (least <= F.least(n, m)) & ((i < 0) | listed)
 
 
+def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Those of `pairs` whose listed shingles leave room for a link.
+
+    Say x's list ends first in the order of shingles. What x and y share is in both lists or in x's unlisted
+    rest, so it is at most the lists' intersection and that rest; whichever ends first, the longer rest will do.
+    """
+    listed = nodes.select("node", "n", "order")
+    x, y = (listed.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("order").alias(f"o{k}")) for k in "ab")
+    room = F.size(F.array_intersect("oa", "ob")) + F.greatest(F.col("na") - F.size("oa"), F.col("nb") - F.size("ob"))
+    return pairs.join(x, "a").join(y, "b").filter(room >= _need(F.col("na"), F.col("nb"), percent)).select("a", "b")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Those (a, b) of `pairs` whose whole sets link."""
     wanted = C.store(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", F.col("id").alias("__id")), "node"), "wanted")
@@ -214,12 +227,14 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     if light:
         entries = entries.unionByName(_subsets(nodes.filter(F.col("n") <= light), light, percent).withColumn("pos", F.lit(-1)))
 
-    picked = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "pos")).alias(f"p{k}") for k in range(3)]
+    central = [F.col("pos"), F.col("pos"), F.lit(0)]  # what has few shingles of its own before this one is like many
+    picked = [F.min(F.struct(first.alias("first"), F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "pos")).alias(f"p{k}") for k, first in enumerate(central)]
     lists = entries.groupBy("token").agg(F.count("*").alias("c"), *picked).filter("c > 1").drop("c")
     live = C.store(entries.join(lists, "token"), "lists")
     chosen = live.select("token", F.struct("node", "n", "pos").alias("x"), F.explode(F.array("p0", "p1", "p2")).alias("y")).filter("x.node <> y.node").filter(_may_link("x", "y", percent))
     pairs = C.store(chosen.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
-    links = C.store(_verified(pairs, nodes, source, words, percent), "first_links")
+    near = C.store(_near(pairs, nodes, percent), "near_pairs")
+    links = C.store(_verified(near, nodes, source, words, percent), "first_links")
     found = C.store(components(links), "first_components")
 
     rest = live.select("token", "node", "n", "pos").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -227,7 +242,7 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     rest = C.store(rest.join(mixed, "token", "left_semi"), "rest")
     crossed = rest.alias("x").join(rest.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & _may_link("x", "y", percent))
     more = crossed.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = _verified(C.store(more, "more_pairs"), nodes, source, words, percent)
+    more = _verified(C.store(_near(more, nodes, percent), "more_pairs"), nodes, source, words, percent)
     found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     rooted = C.store(found.join(nodes.select("node", "id"), "node"), "rooted")
