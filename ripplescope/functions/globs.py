@@ -49,10 +49,9 @@ def user_ignored(path: Column, patterns: list[str]) -> Column:
 
 def at_any_depth(path: Column, pattern: str) -> Column:
     """'dir/' at any depth; else the whole path or the name must match."""
-    whole = paths.normal(path)
     if pattern.endswith("/"):
-        return whole.startswith(pattern) | F.contains(F.concat(F.lit("/"), whole), F.lit(f"/{pattern}"))
-    return matches(whole, pattern) | matches(paths.name(path), pattern)
+        return path.startswith(pattern) | F.contains(F.concat(F.lit("/"), path), F.lit(f"/{pattern}"))
+    return matches(path, pattern) | matches(paths.name(path), pattern)
 
 
 def named_like(path: Column, patterns: list[str]) -> Column:

@@ -1,4 +1,4 @@
-"""POSIX path parts as Column expressions."""
+"""POSIX path parts as Column expressions; all but normal() take paths in normal form."""
 from __future__ import annotations
 
 from pyspark.sql import Column
@@ -13,7 +13,7 @@ def normal(path: Column) -> Column:
 
 
 def name(path: Column) -> Column:
-    return F.substring_index(normal(path), "/", -1)
+    return F.substring_index(path, "/", -1)
 
 
 def stem(path: Column) -> Column:
@@ -27,7 +27,7 @@ def suffix(path: Column) -> Column:
 
 
 def parts(path: Column) -> Column:
-    return F.split(normal(path), "/")
+    return F.split(path, "/")
 
 
 def parent_parts(path: Column) -> Column:

@@ -34,7 +34,7 @@ def reach(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int) -> Da
     level = seeds.select("seed").distinct().join(nodes.select(F.col("path").alias("seed")), "seed", "left_semi").select("seed", F.col("seed").alias("path"))
     found = level.withColumn("distance", F.lit(0))
     for d in range(1, hops + 1):
-        level = level.join(edges, level["path"] == edges["src"]).select("seed", F.col("dst").alias("path")).distinct()
+        level = level.join(edges.select(F.col("src").alias("path"), F.col("dst").alias("next")), "path").select("seed", F.col("next").alias("path")).distinct()
         found = found.unionByName(level.withColumn("distance", F.lit(d)))
     return found.groupBy("seed", "path").agg(F.min("distance").alias("distance"))
 
@@ -62,7 +62,7 @@ def downstream(changes: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth
     level = start.withColumn("via", F.array("path"))
     found = None
     for d in range(1, max_depth + 1):
-        step = level.join(edges, level["path"] == edges["dst"]).select("change_set_id", "ordinal", F.col("src").alias("path"), F.concat("via", F.array("src")).alias("via"))
+        step = level.join(edges.select(F.col("dst").alias("path"), F.col("src").alias("next")), "path").select("change_set_id", "ordinal", F.col("next").alias("path"), F.concat("via", F.array("next")).alias("via"))
         level = step.groupBy("change_set_id", "ordinal", "path").agg(F.min("via").alias("via"))
         row = level.withColumn("distance", F.lit(d))
         found = row if found is None else found.unionByName(row)

@@ -41,7 +41,7 @@ def side_effect_reason(path: Column) -> Column:
 
 
 def explicit(path: Column, targets: Column) -> Column:
-    return F.array_contains(F.transform(targets, paths.normal), paths.normal(path)).cast("double")
+    return F.array_contains(targets, path).cast("double")
 
 
 def path_match(path: Column, targets: Column, functions: Column, concepts: Column) -> Column:
@@ -79,7 +79,7 @@ def import_distance(changes: DataFrame, scopes: DataFrame, nodes: DataFrame, edg
     near = graph.reach(targets.select("seed"), nodes, edges, hops)
     changed = changes.select("change_set_id", F.col("file_path").alias("path")).distinct()
     pairs = targets.join(near, "seed").join(changed, ["change_set_id", "path"]).select("change_set_id", "path", "distance", F.lit(True).alias("linked"))
-    own = targets.join(changed, (targets["change_set_id"] == changed["change_set_id"]) & (targets["seed"] == changed["path"])).select(changed["change_set_id"], "path", F.lit(0).alias("distance"), F.lit(False).alias("linked"))
+    own = targets.withColumnRenamed("seed", "path").join(changed, ["change_set_id", "path"]).select("change_set_id", "path", F.lit(0).alias("distance"), F.lit(False).alias("linked"))
     return pairs.unionByName(own).groupBy("change_set_id", "path").agg(F.min("distance").alias("hops"), F.bool_or("linked").alias("linked")).withColumnRenamed("path", "file_path")
 
 
@@ -127,9 +127,10 @@ def reason(explicit_score: Column, overlap: Column, chain: Column, relevance: Co
 def scored(changes: DataFrame, scopes: DataFrame, nodes: DataFrame, edges: DataFrame, base_threshold: float = 0.3) -> DataFrame:
     """`changes` with explicit, overlap, proximity, chain, relevance, threshold, linked, centrality, category, severity, confidence."""
     sided = changes.join(scopes.select("change_set_id", "target_files", "target_functions", "target_concepts", F.col("confidence").alias("scope_confidence")), "change_set_id")
-    path = F.col("file_path")
+    path = F.col("__path")
     sided = sided.join(import_distance(changes, scopes, nodes, edges), ["change_set_id", "file_path"], "left")
     sided = sided.join(edges.groupBy(F.col("dst").alias("file_path")).agg(F.count("*").alias("centrality")), "file_path", "left").fillna(0, ["centrality"])
+    sided = sided.withColumns({"__path": paths.normal(F.col("file_path")), "target_files": F.transform("target_files", paths.normal)})
     sided = sided.select(
         "*",
         explicit(path, F.col("target_files")).alias("explicit"),
@@ -146,7 +147,7 @@ def scored(changes: DataFrame, scopes: DataFrame, nodes: DataFrame, edges: DataF
         "*",
         severity(c("relevance"), c("threshold"), c("lines"), c("centrality"), c("category")).alias("severity"),
         confidence(c("relevance"), c("lines"), c("category"), c("linked"), c("chain"), c("overlap")).alias("confidence"),
-    ).drop("target_files", "target_functions", "target_concepts", "hops")
+    ).drop("target_files", "target_functions", "target_concepts", "hops", "__path")
 
 
 def phantoms(rows: DataFrame) -> DataFrame:

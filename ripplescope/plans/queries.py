@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ripplescope.functions import globs, languages, paths
 from ripplescope.operators import commits, graph, relevance, risk, scope, test_mapping
+from ripplescope.plans import analyze, report
 from ripplescope.plans.adapters import Adapters, prelude
+from ripplescope.sources import diffs, project
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -392,3 +394,93 @@ def test_command(a: Adapters) -> DataFrame:
 @query("""SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS href FROM pages""")
 def page_links(a: Adapters) -> DataFrame:
     return a.table("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("href"))
+
+
+# ---- sources and reports -----------------------------------------------------------------------------------
+
+
+@query("""SELECT change_set_id, file_path, added_lines, removed_lines, change_type, is_new_file, is_deleted,
+ CASE WHEN file_path LIKE '%.py' THEN 'python' WHEN file_path LIKE '%.js' THEN 'javascript' WHEN file_path LIKE '%.ts' THEN 'typescript' WHEN file_path LIKE '%.go' THEN 'go' ELSE 'unknown' END AS language,
+ 'f' || ordinal AS functions, 'mod.m' || ordinal AS imports FROM v_changes""", ("v_changes",))
+def diff_roundtrip(a: Adapters) -> DataFrame:
+    """The changes written as diffs and parsed again."""
+    kind = F.col("change_type")
+    gone, new = kind == "deleted", kind == "added"
+    p, n = F.col("file_path"), F.col("ordinal").cast("string")
+    text = F.concat(
+        F.lit("diff --git a/"), p, F.lit(" b/"), p, F.when(new, "\nnew file mode 100644").when(gone, "\ndeleted file mode 100644").otherwise(""),
+        F.lit("\n--- "), F.when(new, "/dev/null").otherwise(F.concat(F.lit("a/"), p)), F.lit("\n+++ "), F.when(gone, "/dev/null").otherwise(F.concat(F.lit("b/"), p)),
+        F.lit("\n@@ -1,9 +1 @@ def f"), n, F.lit("(x):\n"), F.repeat(F.lit("-old\n"), F.col("removed_lines").cast("int")),
+        F.lit("+from mod import m"), n, F.lit("\n"), F.repeat(F.lit("+new\n"), (F.col("added_lines") - 1).cast("int")),
+    )
+    texts = a.changes.select("change_set_id", "ordinal", text.alias("text")).groupBy("change_set_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "").alias("diff_text"))
+    found = diffs.parse(texts)
+    return found.select("change_set_id", "file_path", "added_lines", "removed_lines", "change_type", "is_new_file", "is_deleted", "language", F.array_join("functions_modified", ",").alias("functions"), F.array_join("imports_modified", ",").alias("imports"))
+
+
+def _sources(a: Adapters) -> DataFrame:
+    """Source texts that import as the edges say: Python by module, JavaScript and TypeScript by relative path."""
+    src, dst = F.col("src"), F.col("dst")
+    up = F.concat(F.repeat(F.lit("../"), F.size(paths.parent_parts(src))), dst)
+    line = F.when(src.endswith(".py"), F.concat(F.lit("from "), F.replace(F.regexp_replace(dst, r"\.[a-z.]+$", ""), F.lit("/"), F.lit(".")), F.lit(" import x"))).otherwise(F.concat(F.lit("import x from './"), up, F.lit("';")))
+    lines = a.edges.select(src.alias("path"), line.alias("line")).groupBy("path").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("head"))
+    body = F.concat(F.coalesce("head", F.lit("")), F.lit("\n\ndef outer(a):\n    def inner():\n        return os.path.join(a)\n    return inner()\n"))
+    return a.files.join(lines, "path", "left").select("path", body.alias("source"))
+
+
+@query(r"SELECT src, dst FROM v_edges WHERE (src LIKE '%.py' AND dst LIKE '%.py') OR regexp_matches(src, '\.(js|ts)$')", ("v_edges",))
+def import_graph(a: Adapters) -> DataFrame:
+    """The edges again, from the imports of the source texts."""
+    return project.edges(_sources(a).filter(r"path rlike '\\.(py|js|ts)$'").unionByName(_sources(a).filter(r"not path rlike '\\.(py|js|ts)$'").withColumn("source", F.lit(""))))
+
+
+@query("""SELECT path, f.name, CAST(e.n + f.first AS INT) AS start_line, CAST(e.n + f.last AS INT) AS end_line FROM
+ (SELECT path, greatest(count(src), 1) AS n FROM v_files LEFT JOIN v_edges ON src = path WHERE path LIKE '%.py' GROUP BY path) e,
+ (VALUES ('outer', 2, 5), ('inner', 3, 4)) f(name, first, last)""", ("v_files", "v_edges"))
+def ast_functions(a: Adapters) -> DataFrame:
+    found = project.python_sources(_sources(a).filter("path like '%.py'"))
+    return found.select("path", F.explode("functions").alias("f")).select("path", "f.*")
+
+
+@query("""+ e AS (SELECT path, greatest(count(src), 1) AS n FROM v_files LEFT JOIN v_edges ON src = path WHERE path LIKE '%.py' GROUP BY path)
+SELECT path, CAST(n + x.d AS INT) AS line, x.name FROM e, (VALUES (2, 'outer'), (3, 'inner'), (4, 'inner'), (5, 'outer')) x(d, name)""", ("v_files", "v_edges"))
+def line_to_scope(a: Adapters) -> DataFrame:
+    sources = _sources(a).filter("path like '%.py'")
+    lines = sources.select("path", F.posexplode(F.split("source", "\n")).alias("line", "text")).select("path", (F.col("line") + 1).alias("line"))
+    found = project.python_sources(sources).select("path", F.explode("functions").alias("f")).select("path", "f.*")
+    return project.innermost(lines, found)
+
+
+@query("""SELECT path, CASE WHEN file_id % 7 = 0 THEN 'added' WHEN file_id % 7 = 1 THEN 'removed' ELSE 'modified' END AS state FROM v_files WHERE file_id % 7 < 3""", ("v_files",))
+def cache_staleness(a: Adapters) -> DataFrame:
+    """Every seventh file added, another removed, another touched since the cache was written."""
+    k = F.col("file_id") % 7
+    cached = a.files.filter(k != 0).select("path", F.col("file_id").cast("double").alias("mtime"))
+    current = a.files.filter(k != 1).select("path", (F.col("file_id") + F.when(k == 2, 1).otherwise(0)).cast("double").alias("mtime"))
+    return project.stale(cached, current)
+
+
+def _reports(a: Adapters) -> DataFrame:
+    inputs = a.scope.join(a.messages, "change_set_id").select("change_set_id", F.lit(None).cast("string").alias("prompt"), F.col("text").alias("cli_scope"), F.lit(None).cast("string").alias("head_message"), F.col("message").alias("pending_message"))
+    return analyze.analyze(_changes(a), inputs, _nodes(a), a.edges, scopes=_scopes(a).withColumn("source", F.lit("cli")))
+
+
+@query(_SCORED + """, level AS (SELECT change_set_id, CASE level WHEN 'info' THEN 'note' WHEN 'critical' THEN 'error' ELSE 'warning' END AS level FROM phantoms)
+SELECT level, count(*) AS n FROM level GROUP BY level""", _RV)
+def sarif_levels(a: Adapters) -> DataFrame:
+    return _phantoms(a).groupBy(report.phantom_level(F.col("severity")).alias("level")).agg(F.count("*").alias("n"))
+
+
+@query()
+def report_json(a: Adapters) -> DataFrame:
+    return report.json(_reports(a))
+
+
+@query()
+def report_sarif(a: Adapters) -> DataFrame:
+    return report.sarif(_reports(a))
+
+
+@query()
+def report_markdown(a: Adapters) -> DataFrame:
+    return report.markdown(_reports(a))
