@@ -31,13 +31,25 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_STORED = "__stored_at"
+
+
 def store(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     """Cut lineage: write df to the shared folder as Parquet and read it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    stored = spark.read.schema(schema).parquet(path)
+    setattr(stored, _STORED, path)
+    return stored
+
+
+def drop(*stored: DataFrame) -> None:
+    """Delete tables of store() that nothing reads any more."""
+    for df in stored:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(getattr(df, _STORED))
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def grouped_by_bytes(items: Iterable[tuple[object, int]], most: int) -> Iterator[list]:

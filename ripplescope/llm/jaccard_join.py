@@ -193,7 +193,7 @@ def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those (a, b) of `pairs` whose whole sets link."""
+    """A stored table of those (a, b) of `pairs` whose whole sets link."""
     wanted = C.store(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", F.col("id").alias("__id")), "node"), "wanted")
     ids = wanted.select("__id").distinct()
     if ids.count() <= BROADCAST_IDS:
@@ -210,7 +210,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, p
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+    linked = C.store(both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"), "verified")
+    C.drop(wanted, sets)
+    return linked
 
 
 def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,6 +221,8 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     described = C.store(_described(source, sketch(source.select("__text"), words), words, percent), "described", "uncompressed")
     nodes = described.filter("node is not null").groupBy("node").agg(F.min("__id").alias("id"), F.first("n").alias("n"), F.first("order").alias("order"), F.first("whole").alias("whole"), F.first("load").alias("load"))
     nodes = C.store(nodes, "nodes", "uncompressed")
+    members = C.store(described.select("__id", "n", "node"), "members")
+    C.drop(described)
 
     small = nodes.filter(F.col("n") <= SMALL).groupBy("n").agg(F.count("*").alias("k"), F.sum("load").alias("load")).collect()
     light = boundary({r["n"]: (r["k"], r["load"]) for r in small}, percent)
@@ -229,28 +233,34 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
 
     central = [F.col("pos"), F.col("pos"), F.lit(0)]  # what has few shingles of its own before this one is like many
     picked = [F.min(F.struct(first.alias("first"), F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "pos")).alias(f"p{k}") for k, first in enumerate(central)]
-    lists = entries.groupBy("token").agg(F.count("*").alias("c"), *picked).filter("c > 1").drop("c")
-    live = C.store(entries.join(lists, "token"), "lists")
-    chosen = live.select("token", F.struct("node", "n", "pos").alias("x"), F.explode(F.array("p0", "p1", "p2")).alias("y")).filter("x.node <> y.node").filter(_may_link("x", "y", percent))
+    shared = entries.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
+    live = C.store(entries.join(shared, "token"), "lists")
+    lists = live.groupBy("token").agg(*picked)
+    chosen = live.join(lists, "token").select("token", F.struct("node", "n", "pos").alias("x"), F.explode(F.array("p0", "p1", "p2")).alias("y")).filter("x.node <> y.node").filter(_may_link("x", "y", percent))
     pairs = C.store(chosen.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
     near = C.store(_near(pairs, nodes, percent), "near_pairs")
-    links = C.store(_verified(near, nodes, source, words, percent), "first_links")
-    found = C.store(components(links), "first_components")
+    links = _verified(near, nodes, source, words, percent)
+    first = components(links)
+    C.drop(near, links)
 
-    rest = live.select("token", "node", "n", "pos").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = live.join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rest.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
     rest = C.store(rest.join(mixed, "token", "left_semi"), "rest")
     crossed = rest.alias("x").join(rest.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & _may_link("x", "y", percent))
-    more = crossed.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = _verified(C.store(_near(more, nodes, percent), "more_pairs"), nodes, source, words, percent)
-    found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    crossed = crossed.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    crossed = C.store(_near(crossed, nodes, percent), "more_pairs")
+    C.drop(live, pairs, rest)
+    more = _verified(crossed, nodes, source, words, percent)
+    found = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    C.drop(crossed, more, first)
 
     rooted = C.store(found.join(nodes.select("node", "id"), "node"), "rooted")
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     named = rooted.join(least, "root").select("node", "component_id")
     known = C.store(nodes.select("node", "id").join(named, "node", "left").select("node", F.coalesce("component_id", "id").alias("component_id")), "known")
-    linked = described.filter("node is not null").select("__id", "n", "node").join(known, "node").select("__id", "n", "component_id")
-    empty = described.filter("node is null").select("__id", "n", F.col("__id").alias("component_id"))
+    C.drop(found, rooted, nodes)
+    linked = members.filter("node is not null").join(known, "node").select("__id", "n", "component_id")
+    empty = members.filter("node is null").select("__id", "n", F.col("__id").alias("component_id"))
     return linked.unionByName(empty).select(F.col("__id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 

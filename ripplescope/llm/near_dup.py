@@ -321,7 +321,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
         got, there = _audit(nodes, counted, threshold)
         if got >= TARGET * there:
             break
-    hang = C.store(components(found.select(F.col("node").alias("a"), F.col("other").alias("b"))), "components")
+    hang = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     rooted = C.store(hang.join(nodes.select("node", "id"), "node"), "rooted")
     named = rooted.join(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("node", "component_id")
     known = nodes.select("node", "id", "c").join(counted, "node", "left").join(named, "node", "left")
