@@ -15,10 +15,10 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -61,42 +61,44 @@ class _Ids:
         self.words: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
 
-    def _learn(self, cores: set[str], others: set[str]) -> dict[str, bytes]:
-        """`cores` are lower-case Latin letters and need only the model; `others` take the whole way."""
-        if len(self.cores) > C.MEMO_ENTRIES:
-            self.cores.clear()
-        extra: dict[str, bytes] = {}
-        tokenize = self.tokenizer.model.tokenize
-        for core in cores.difference(self.cores):
-            tokens = tokenize(core if core.isascii() else core.encode().decode("latin-1").translate(_BYTE_CHARS))
-            (self.cores if len(core) <= C.MEMO_CHARS else extra)[core] = array("I", [t.id for t in tokens]).tobytes()
-        new = sorted(others.difference(self.cores), key=len)
-        for batch in C.grouped_by_bytes(((p, len(p) + 16) for p in new), 1 << 20):
-            for part, enc in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)):
-                (self.cores if len(part) <= C.MEMO_CHARS else extra)[part] = array("I", enc.ids).tobytes()
-        return extra
-
-    @staticmethod
-    def _halves(word: str) -> tuple[str, str]:
-        core = word.rstrip(".,;:!?")
+    def _coded(self, part: str, letters: bool) -> bytes:
+        """Ids of a part; lower-case Latin letters need only the model, all else takes the whole way."""
+        ids = self.cores.get(part)
+        if ids is None:
+            if letters:
+                tokens = self.tokenizer.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_CHARS))
+                ids = array("I", [t.id for t in tokens]).tobytes()
+            else:
+                ids = array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+            if len(part) <= C.MEMO_CHARS:
+                self.cores[part] = ids
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        core = word.rstrip(string.punctuation)
         if core.isalpha() and (core.isascii() or max(core) < "\u0180" and "\u0130" not in core):
-            return core.lower(), word[len(core) :]
-        return "", word
+            ids = self._coded(core.lower(), True)
+            if len(core) < len(word):
+                ids += self._coded(word[len(core) :], False)
+        else:
+            ids = self._coded(word, False)
+        if len(word) <= C.MEMO_CHARS:
+            self.words[word] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [[t] if _ODD_SPACE.search(t) else t.split() for t in texts]
-        if len(self.words) > C.MEMO_ENTRIES:
-            self.words.clear()
-        new = set(chain.from_iterable(split)).difference(self.words)
-        halves = {w: self._halves(w) for w in new}
-        extra = self._learn({c for c, _ in halves.values() if c}, {e for _, e in halves.values() if e})
-        known = self.cores if not extra else {**self.cores, **extra}
-        long: dict[str, bytes] = {}
-        for word, (core, end) in halves.items():
-            ids = known[core] + known[end] if core and end else known[core or end]
-            (self.words if len(word) <= C.MEMO_CHARS else long)[word] = ids
-        words = self.words if not long else {**self.words, **long}
-        return [b"".join(map(words.__getitem__, parts)) for parts in split]
+        """Ids of each text as little-endian 32-bit bytes."""
+        for memo in (self.words, self.cores):
+            if len(memo) > C.MEMO_ENTRIES:
+                memo.clear()
+        known, out = self.words.get, []
+        for text in texts:
+            parts = [text] if _ODD_SPACE.search(text) else text.split()
+            ids = list(map(known, parts))
+            if None in ids:
+                ids = [self._word(p) if i is None else i for i, p in zip(ids, parts)]
+            out.append(b"".join(ids))
+        return out
 
 
 _IDS: dict[str, _Ids] = {}
