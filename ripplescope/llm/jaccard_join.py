@@ -19,8 +19,9 @@ list of n near copies costs about n pairs, and no link between components is los
 rule a link out go first; the whole sets of the others are intersected.
 
 component_id is the smallest id reachable by links. Null or word-free text has the empty set (n_shingles 0)
-and links with nothing; its component is its own id. Repeated rows are equal texts. A null id takes part in
-links but is never the smallest. No rows give no rows; other columns of the input are ignored.
+and links with nothing; its component is its own id. Repeated rows are equal texts. A null id counts with its
+equal sets, is never the smallest, and links with no other set if none of them has an id. No rows give no rows;
+other columns of the input are ignored.
 """
 from __future__ import annotations
 
