@@ -1,16 +1,16 @@
 """N-gram language-model scores from a log-frequency Bloom filter.
 
-Training tokens are the words of the training rows and one end after each. Two things are gathered from all
-of them. (1) Exact counts of the tokens, summed by key; they give the base score: the most frequent ones (at
-most EXACT) go to the workers as sorted arrays, the others meet the rows that hold them in a join. (2) Counts
-of words and of pairs of neighbours, packed by hash range, merged range by range. Those seen `cutoff` times or
-more enter a Bloom filter once for each level up to 1 + floor(STEPS * log2(count / cutoff)). The filter has one
-segment for each hash range, so its parts are made where the counts are; it has at most FILTER_BITS bits, and
-`cutoff` is 2, or as much more as keeps BITS_EACH bits for each entry. The workers get it by broadcast.
-
-The model's probability of a token after its neighbour h is BLEND * c(h, w) / c(h) + (1 - BLEND) * (c(w) + 1)
-/ (N + V + 1), each c found by asking the filter for level 1, 2, ... until the first no, and taken as the middle
-of its level.
+Training tokens are the words of the training rows and one end after each. The texts are stored in chunks of
+a few MB. Each chunk sends its distinct tokens and pairs of neighbours, with how often its training rows hold
+them, to the hash range that each belongs to. There the chunks' counts are summed, and the answers go back to the
+chunks that asked, so that nothing has to fit one process at any size of the input. Counts of tokens are exact
+but for equal 64-bit hashes. Those of pairs come from the range's own segment of the Bloom filter: a pair is in it
+once for each level up to 1 + floor(STEPS * log2(count)), pairs seen once too, and the segment has at least
+BITS_EACH bits for each entry. No pair is left out, whatever their number.
+
+The base probability of a token is (c(w) + 1) / (N + V + 1). The model's, after its neighbour h, is BLEND * c(h, w)
+/ c(h) + (1 - BLEND) times that, where c(h, w) is found by asking the filter for level 1, 2, ... until the first no,
+and taken as the middle of its level.
 
 Null or empty text is the end alone. A null id counts as training. Repeated rows are trained on and scored
 each for itself; without training rows N and V are 0 and both scores are the tokens' number * log10(1); no
@@ -30,11 +30,11 @@ from pyspark.sql import types as T
 from ripplescope.llm import _common as C
 from ripplescope.llm._words import mix, word_hashes
 
+#: Tokens of the input for each hash range, about; a range's exact counts are summed in one process.
 EXACT = 1 << 20
-FILTER_BITS, BITS_EACH, PROBES, STEPS, BLEND = 1 << 28, 10, 7, 4, 0.1
-CUTOFFS = (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 512, 1024, 4096, 16384, 65536, 1 << 20, 1 << 24, 1 << 28)
+CHUNK = 2 * C.GROUP_BYTES
+BITS_EACH, PROBES, STEPS, BLEND = 10, 7, 4, 0.1
 _START, _END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
-_FLUSH = 3_000_000
 
 
 def _sequences(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,106 +54,80 @@ def _pairs(flat: np.ndarray) -> np.ndarray:
     return mix(flat[:-1] * np.uint64(0xD6E8FEB86659FD93) + flat[1:])
 
 
-def _groups(batch: pa.RecordBatch, column: int) -> Iterator[list[str]]:
-    texts = batch.column(column).fill_null("").to_pylist()
-    return C.grouped_by_bytes(((t, len(t)) for t in texts), C.GROUP_BYTES)
+def chunked(source: DataFrame) -> DataFrame:
+    """(id, held_out, __text) with a `chunk` for rows that follow each other, about CHUNK bytes of text in each."""
+    kinds = T.StructType([*(T.StructField(f.name, f.dataType) for f in source.schema), T.StructField("chunk", T.LongType())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, size = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            names = []
+            for text in batch.column(2).fill_null("").to_pylist():
+                if size and size + len(text) > CHUNK:
+                    chunk, size = chunk + 1, 0
+                names.append(chunk)
+                size += len(text)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.int64())], names=kinds.names)
 
-def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, where = np.unique(np.concatenate(keys), return_inverse=True)
-    return key, np.bincount(where, np.concatenate(counts), len(key)).astype(np.int64)
-
-
-class _Tally:
-    """Counts by key that are merged whenever they have grown by much."""
-
-    def __init__(self) -> None:
-        self.keys: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
-        self.size = 0
-
-    def add(self, keys: np.ndarray) -> None:
-        key, count = np.unique(keys, return_counts=True)
-        self.keys.append(key)
-        self.counts.append(count)
-        self.size += len(key)
-
-    def take(self) -> tuple[np.ndarray, np.ndarray]:
-        out = _merged(self.keys, self.counts) if self.keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        self.keys, self.counts, self.size = [], [], 0
-        return out
+    return source.mapInArrow(run, kinds)
 
 
-def token_counts(texts: DataFrame) -> DataFrame:
-    """(token, n) over all rows of the one text column."""
+def _keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, the pairs that end with them, and the number of tokens of each row."""
+    tokens, pairs, sizes = [], [], []
+    texts = table["__text"].fill_null("").to_pylist()
+    for group in C.grouped_by_bytes(((t, len(t)) for t in texts), C.GROUP_BYTES):
+        flat, at = _sequences(group)
+        token = np.ones(len(flat), bool)
+        token[at[:-1]] = False
+        tokens.append(flat[token])
+        pairs.append(_pairs(flat)[token[1:]])
+        sizes.append(np.diff(at) - 1)
+    return np.concatenate(tokens), np.concatenate(pairs), np.concatenate(sizes)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = _Tally()
 
-        def out() -> pa.RecordBatch:
-            key, count = tally.take()
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count)], names=["token", "n"])
+def _ranges(size: int) -> int:
+    """Bits of the hash that name a range, for so many bytes of text of about six to a token."""
+    return min(16, max(9, (size // (6 * EXACT)).bit_length()))
 
-        for batch in batches:
-            for group in _groups(batch, 0):
-                flat, at = _sequences(group)
-                tally.add(np.delete(flat, at[:-1]))
-                if tally.size > _FLUSH:
-                    yield out()
-        yield out()
 
-    return texts.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+def _packed(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """A binary value for the items between each two edges."""
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
 
 
-def _ranges(tokens: int) -> int:
-    """Bits of the hash that name a range: one range for about 2^17 tokens."""
-    return min(16, max(8, (tokens >> 17).bit_length()))
+_ASKED = "chunk long, range int, tokens binary, tokens_n binary, pairs binary, pairs_n binary"
+_ANSWERED = "chunk long, range int, tokens binary, pairs binary, n long, v long, ends long"
 
 
-def ngram_counts(texts: DataFrame, bits: int) -> DataFrame:
-    """(range, key, count) with packed keys (the next 32 bits of the hash) and counts of 2 and more; and how many
-    entries a filter would have for each of CUTOFFS."""
-    shift, low = np.uint64(64 - bits), np.uint64(32 - bits)
+def asked(chunks: DataFrame, bits: int) -> DataFrame:
+    """For each chunk and range the sorted keys of tokens (64 bits) and pairs (the 32 bits after the range's) in it with
+    their counts in training rows."""
+    shift, low, n = np.uint64(64 - bits), np.uint64(32 - bits), 1 << bits
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = _Tally()
-
-        def out() -> pa.RecordBatch:
-            key, count = tally.take()
-            part = (key >> shift).astype(np.int64)
-            names, at = np.unique(part, return_index=True)
-            at = np.append(at, len(part))
-            short = ((key >> low) & np.uint64(0xFFFFFFFF)).astype("<u4")
-            once = count == 1
-            rows = [(short[a:b][once[a:b]].tobytes(), short[a:b][~once[a:b]].tobytes(), count[a:b][~once[a:b]].astype("<u4").tobytes()) for a, b in zip(at[:-1], at[1:])]
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(3))], names=["range", "once", "key", "count"])
+    def run(table: pa.Table) -> pa.Table:
+        tokens, pairs, sizes = _keys(table)
+        learned = np.repeat(table["held_out"].to_numpy() == 0, sizes)
+        columns, filled = [], np.zeros(n, bool)
+        for keys in (tokens, pairs):
+            unique, where = np.unique(keys, return_inverse=True)
+            count = np.bincount(where, learned, len(unique)).astype("<u4")
+            edges = np.searchsorted(unique >> shift, np.arange(n + 1, dtype=np.uint64))
+            filled |= np.diff(edges) > 0
+            short = unique if keys is tokens else (unique >> low).astype("<u4")
+            columns += [_packed(short, edges), _packed(count, edges)]
+        made = [pa.repeat(table["chunk"][0], n), pa.array(np.arange(n, dtype=np.int32)), *columns]
+        return pa.Table.from_arrays(made, names=["chunk", "range", "tokens", "tokens_n", "pairs", "pairs_n"]).filter(pa.array(filled))
 
-        for batch in batches:
-            for group in _groups(batch, 0):
-                flat, at = _sequences(group)
-                pairs = _pairs(flat)
-                keep = np.ones(len(pairs), bool)
-                keep[at[1:-1] - 1] = False
-                tally.add(np.concatenate([pairs[keep], mix(np.delete(flat, at[:-1]))]))
-                if tally.size > _FLUSH:
-                    yield out()
-        yield out()
+    return chunks.groupBy("chunk").applyInArrow(run, _ASKED)
 
-    def merge(table: pa.Table) -> pa.Table:
-        once = np.frombuffer(b"".join(table["once"].to_pylist()), "<u4")
-        more = np.frombuffer(b"".join(table["key"].to_pylist()), "<u4")
-        count = np.frombuffer(b"".join(table["count"].to_pylist()), "<u4")
-        key, total = _merged([once, more], [np.ones(len(once), np.int64), count])
-        key, total = key[total > 1], np.minimum(total[total > 1], 0xFFFFFFFF)
-        entries = [int(_levels(total[total >= c], c).sum()) for c in CUTOFFS]
-        return pa.table({"range": table["range"][:1], "key": pa.array([key.astype("<u4").tobytes()], pa.binary()), "count": pa.array([total.astype("<u4").tobytes()], pa.binary()), "entries": pa.array([entries], pa.list_(pa.int64()))})
 
-    packed = texts.mapInArrow(run, "range long, once binary, key binary, count binary")
-    return packed.groupBy("range").applyInArrow(merge, "range long, key binary, count binary, entries array<long>")
+def _levels(count: np.ndarray) -> np.ndarray:
+    return 1 + np.floor(STEPS * np.log2(count) + 1e-9).astype(np.int64)
 
 
-def _levels(count: np.ndarray, cutoff: int) -> np.ndarray:
-    return 1 + np.floor(STEPS * np.log2(count / cutoff) + 1e-9).astype(np.int64)
+def _middle(level: np.ndarray) -> np.ndarray:
+    return np.where(level > 0, 2.0 ** ((level - 0.5) / STEPS), 0.0)
 
 
 def _bits(key: np.ndarray, level: int, segment: int) -> np.ndarray:
@@ -172,8 +146,8 @@ class Filter:
         self.bits, self.cutoff = bits, cutoff
         self.segment = len(data) * 8 >> bits
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """0 for what the filter doesn't hold, else the middle of the highest level up to which all are there."""
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """0 for what the filter doesn't hold, else the highest level up to which all are there."""
         unique, where = np.unique(keys, return_inverse=True)
         base = (unique >> np.uint64(64 - self.bits)).astype(np.int64) * self.segment
         short = (unique >> np.uint64(32 - self.bits)) & np.uint64(0xFFFFFFFF)
@@ -184,116 +158,83 @@ class Filter:
             there = ((self.data[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).all(axis=1)
             left = left[there]
             level[left] += 1
-        return np.where(level > 0, self.cutoff * 2.0 ** ((level - 0.5) / STEPS), 0.0)[where]
+        return level[where]
 
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """0 for what the filter doesn't hold, else the middle of its level."""
+        return self.cutoff * _middle(self.levels(keys))
 
-def build_filter(ngrams: DataFrame, bits: int) -> tuple[bytes, int]:
-    """The filter's bytes and its cutoff."""
-    sums = np.zeros(len(CUTOFFS), np.int64)
-    for row in ngrams.select("entries").toLocalIterator():
-        sums += np.array(row["entries"])
-    fit = next((i for i, n in enumerate(sums) if n * BITS_EACH <= FILTER_BITS), len(CUTOFFS) - 1)
-    cutoff = CUTOFFS[fit]
-    size = min(FILTER_BITS, max(1 << (bits + 9), 1 << (int(sums[fit]) * BITS_EACH).bit_length()))
-    segment = size >> bits
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = []
-            for key, count in zip(batch.column(1), batch.column(2)):
-                key, count = np.frombuffer(key.as_py(), "<u4"), np.frombuffer(count.as_py(), "<u4").astype(np.int64)
-                key, level = key[count >= cutoff], _levels(count[count >= cutoff], cutoff)
-                data = np.zeros(segment >> 3, np.uint8)
-                for k in range(1, int(level.max(initial=0)) + 1):
-                    bit = _bits(key[level >= k], k, segment).ravel()
-                    np.bitwise_or.at(data, bit >> 3, np.uint8(1) << (bit & 7).astype(np.uint8))
-                made.append(data.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["range", "part"])
-
-    data = bytearray(size >> 3)  # at most FILTER_BITS / 8 bytes
-    for row in ngrams.select("range", "key", "count").mapInArrow(run, "range long, part binary").collect():
-        data[row["range"] * (segment >> 3) : (row["range"] + 1) * (segment >> 3)] = row["part"]
-    return bytes(data), cutoff
-
-
-def frequent(counts: DataFrame, most: int = EXACT) -> tuple[int, np.ndarray, np.ndarray]:
-    """The least count of which there are at most `most` tokens with as much, those tokens in order, and their counts."""
-    seen, least = 0, 10_001
-    for row in sorted(counts.groupBy(F.least("n", F.lit(10_000)).alias("c")).count().collect(), reverse=True):
-        if seen + row["count"] > most:
-            break
-        seen, least = seen + row["count"], row["c"]
-    kept = counts.filter(F.col("n") >= least).toArrow() if seen else pa.table({"token": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-    token, n = kept["token"].to_numpy().view(np.uint64), kept["n"].to_numpy()
-    order = np.argsort(token)
-    return least, token[order], n[order]
+def build_segment(keys: np.ndarray, count: np.ndarray) -> Filter:
+    """A filter of one segment for keys (their upper 32 bits) that were seen `count` times."""
+    keys, level = keys[count > 0], _levels(count[count > 0])
+    size = max(64, 1 << (int(level.sum()) * BITS_EACH).bit_length())
+    there = np.zeros(size, bool)
+    short = keys >> np.uint64(32)
+    for k in range(1, int(level.max(initial=0)) + 1):
+        there[_bits(short[level >= k], k, size)] = True
+    return Filter(np.packbits(there, bitorder="little").tobytes(), 0, 1)
+
+
+def answered(keys: DataFrame, bits: int) -> DataFrame:
+    """(chunk, range, tokens, pairs): counts and levels over all chunks in the order of the keys; and for each range one row
+    of chunk -1 with its training tokens, distinct ones and ends."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        packed, sums = [], []
+        for name, kind in (("tokens", "<u8"), ("pairs", "<u4")):
+            parts = table[name].to_pylist()
+            unique, where = np.unique(np.frombuffer(b"".join(parts), kind), return_inverse=True)
+            n = np.frombuffer(b"".join(table[f"{name}_n"].to_pylist()), "<u4")
+            found = np.bincount(where, n, len(unique)).astype(np.int64)
+            if name == "tokens":
+                sums = [int(found.sum()), int((found > 0).sum()), int(found[unique == _END].sum())]
+            else:
+                keys = unique.astype(np.uint64) << np.uint64(32)
+                found = build_segment(keys, found).levels(keys).astype(np.uint8)
+            packed.append(_packed(found[where], np.cumsum([0, *map(len, parts)]) // np.dtype(kind).itemsize))
+        n = len(table)
+        made = [table["chunk"].combine_chunks(), table["range"].combine_chunks(), *packed, *(pa.nulls(n, pa.int64()) for _ in sums)]
+        last = [pa.array([-1]), table["range"].combine_chunks()[:1], *(pa.nulls(1, pa.binary()) for _ in packed), *(pa.array([x]) for x in sums)]
+        names = ["chunk", "range", "tokens", "pairs", "n", "v", "ends"]
+        return pa.concat_tables([pa.Table.from_arrays(x, names=names) for x in (made, last)])
+
+    return keys.groupBy("range").applyInArrow(merge, _ANSWERED)
 
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score); rows with `held_out` aren't learned from."""
-    spark = docs.sparkSession
     source = docs.select(id_col, F.coalesce(held_out, F.lit(False)).alias("held_out"), docs[text_col].cast("string").alias("__text"))
-    training = source.filter(~F.col("held_out")).select("__text")
-    counts = C.store(token_counts(training), "tokens")
-    totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).head()
-    train_tokens, distinct = totals["n"], totals["v"]
-    ends = counts.filter(F.col("token") == int(_END.view(np.int64))).head()
-    train_rows = ends["n"] if ends else 0
-    bits = _ranges(train_tokens)
-    ngrams = C.store(ngram_counts(training, bits), "ngrams", "uncompressed")
-    data, cutoff = build_filter(ngrams, bits)
-    C.drop(ngrams)
-    least, known, known_n = frequent(counts)
-    shared = spark.sparkContext.broadcast((data, known, known_n))
-    ready: dict[str, object] = {}
-    below = np.log10(train_tokens + distinct + 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, known, known_n = shared.value
-        filter_ = ready.setdefault("filter", Filter(data, bits, cutoff))
-        row = TaskContext.get().partitionId() << 36
-        for batch in batches:
-            done = 0
-            for group in _groups(batch, 2):
-                flat, at = _sequences(group)
-                size = np.diff(at) - 1
-                token = np.ones(len(flat), bool)
-                token[at[:-1]] = False
-                alone = filter_.counts(mix(flat))
-                pair = np.concatenate(([0.0], filter_.counts(_pairs(flat))))
-                before = np.concatenate(([0.0], alone[:-1]))
-                before[at[:-1] + 1] = train_rows
-                seen = np.where(before > 0, np.minimum(pair, before) / np.maximum(before, 1), 0.0)
-                p = np.log10(BLEND * seen + (1 - BLEND) * (alone + 1) / (train_tokens + distinct + 1))
-                where = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
-                exact = known[where] == flat if len(known) else np.zeros(len(flat), bool)
-                exact &= token
-                logs = np.where(exact, np.log10(known_n[where] + 1.0), 0.0) if len(known) else np.zeros(len(flat))
-                add = lambda v: np.add.reduceat(v, at[:-1])
-                rare = np.flatnonzero(token & ~exact)
-                doc = np.searchsorted(at, rare, side="right") - 1
-                order = np.lexsort((flat[rare], doc))
-                doc, rare = doc[order], flat[rare][order]
-                new = np.ones(len(doc), bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (rare[1:] != rare[:-1])
-                first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(doc)))
-                ends = np.searchsorted(doc[first], np.arange(len(group) + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in (rare[first].view(np.int64), times.astype(np.int64))]
-                n = len(group)
-                columns = [pa.array(size.astype(np.int64)), pa.array(add(exact.astype(np.int64))), pa.array(add(logs)), pa.array(add(np.where(token, p, 0.0))), pa.array(np.arange(row, row + n))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, n), batch.column(1).slice(done, n), *columns, *lists], names=names)
-                done, row = done + n, row + n
-
-    names = [id_col, "held_out", "n_tokens", "__known", "__logs", "score", "__row", "__rare", "__times"]
-    kinds = T.StructType([*source.schema.fields[:2], *(T.StructField(n, t) for n, t in zip(names[2:7], (T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.LongType()))), *(T.StructField(n, T.ArrayType(T.LongType())) for n in names[7:])])
-    scored = C.store(source.mapInArrow(run, kinds), "scored")
-    rare = scored.select("__row", F.explode(F.arrays_zip("__rare", "__times")).alias("x")).select("__row", F.col("x.__rare").alias("token"), F.col("x.__times").alias("times"))
-    found = rare.join(counts.filter(F.col("n") < least), "token").groupBy("__row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_logs"))
-    total = F.col("__logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(below))
-    return scored.select(*names[:7]).join(found, "__row", "left").select(
-        id_col, "held_out", "n_tokens", (F.col("__known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), total.alias("base_score"), "score"
-    )
+    bits = _ranges(source.agg(F.coalesce(F.sum(F.octet_length("__text")), F.lit(0))).head()[0])
+    chunks = C.store(chunked(source), "chunks")
+    answers = C.store(answered(asked(chunks, bits), bits), "answered")
+    totals = answers.filter("chunk < 0").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "ends"))).head()
+    train_tokens, train_rows = totals["n"], totals["ends"]
+    space = train_tokens + totals["v"] + 1
+
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        tokens, pairs, sizes = _keys(rows)
+        order = np.argsort(found["range"].to_numpy())
+
+        def of(name: str, kind: str | type, keys: np.ndarray) -> np.ndarray:
+            parts = found[name].to_pylist()
+            return np.frombuffer(b"".join(parts[k] for k in order), kind)[np.unique(keys, return_inverse=True)[1]]
+
+        alone, pair = of("tokens", "<i8", tokens), _middle(of("pairs", np.uint8, pairs))
+        first = np.cumsum(sizes) - sizes
+        before = np.concatenate(([0], alone[:-1]))
+        before[first] = train_rows
+        seen = np.where(before > 0, np.minimum(pair, before) / np.maximum(before, 1), 0.0)
+        base = (alone + 1) / space
+        add = lambda v: pa.array(np.add.reduceat(v, first))
+        columns = [pa.array(sizes.astype(np.int64)), add((alone > 0).astype(np.int64)), pa.array(np.full(len(sizes), train_tokens, np.int64))]
+        columns += [add(np.log10(base)), add(np.log10(BLEND * seen + (1 - BLEND) * base))]
+        return pa.Table.from_arrays([rows[id_col], rows["held_out"], *columns], names=kinds.names)
+
+    names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    kinds = T.StructType([*source.schema.fields[:2], *(T.StructField(n, T.LongType()) for n in names[:3]), *(T.StructField(n, T.DoubleType()) for n in names[3:])])
+    counts = answers.filter("chunk >= 0").select("chunk", "range", "tokens", "pairs")
+    return chunks.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(run, kinds)
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -252,6 +252,24 @@ def test_filter_counts():
     assert not f.counts(keys).any()
 
 
+@pytest.mark.parametrize("setting", [("BITS_EACH", 10), ("FILTER_BITS", 1 << 12), ("EXACT", 4)])
+def test_lm_score_keeps_every_pair(spark, monkeypatch, setting):
+    """Against exact counts, whatever the sizes: a level's middle is off by 2 ** (1 / 8) at most."""
+    monkeypatch.setattr(lm_scoring, *setting, raising=False)
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.6)) % 3000}" for _ in range(rng.randint(0, 60)))) for i in range(400)]
+    tokens = {i: ["^", *t.split(), "$"] for i, t in rows}
+    learned = [w for i, w in tokens.items() if i % 5]
+    one, two = Counter(x for w in learned for x in w), Counter(p for w in learned for p in zip(w, w[1:]))
+    space = sum(one.values()) - one["^"] + len(one)  # without starts, and one more
+    found = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), F.col("doc_id") % 5 == 0).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        w = tokens[r.doc_id]
+        want = sum(math.log10(0.1 * two[a, b] / max(one[a], 1) + 0.9 * (one[b] + 1) / space) for a, b in zip(w, w[1:]))
+        assert abs(r.score - want) <= 0.0377 * r.n_tokens + 0.01 * r.n_tokens
+
+
 def _toxic_rows(n):
     rng = random.Random(7)
     rows = []
