@@ -6,8 +6,10 @@ footer, aside, form and raw-text tags). For each path the text length and the pu
 blocks are added up and divided by the number of its blocks; both ratios are smoothed over the blocks in
 page order (a Gaussian of three blocks), multiplied, weighted by the share of text outside links and by
 article or main ancestors, and held against half the standard deviation over the page. The paths above that
-choose the content: the deepest element that holds nine tenths of their text is the content root, and all
-blocks in it that were not taken out are the text (so titles and short paragraphs stay).
+choose the content. All blocks of the deepest element that holds nine tenths of their text, or of the article or
+main element around it, are part of the text; so is every chosen block elsewhere, and what stands in the deepest
+element around all of these and the first h1 before them, unless more than half of it is links (so titles, leads
+and short sections stay).
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by two
 newlines; nothing is cut off. Null, empty or text-free html gives the empty string; repeated rows give
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import html as _html
 import math
+import os
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -173,17 +176,23 @@ def main_text(page: str | None) -> str:
     mean = sum(score) / len(score)
     spread = math.sqrt(sum((s - mean) ** 2 for s in score) / len(score))
     kept = [i for i, s in enumerate(score) if s >= 0.5 * spread] or list(range(len(found)))
-    best = max(score[i] for i in kept)
     total = sum(len(found[i][1]) for i in kept)
     held: dict[tuple[str, ...], int] = defaultdict(int)
     for i in kept:
         for k in range(1, len(found[i][0]) + 1):
             if "#" in found[i][0][k - 1]:
                 held[found[i][0][:k]] += len(found[i][1])
-    if best <= 0 or not held:
-        return "\n\n".join(text for _, text, _ in found)
     root = max((p for p, n in held.items() if n >= 0.9 * total), key=len, default=())
-    return "\n\n".join(text for path, text, _ in found if path[: len(root)] == root)
+    around = max((k + 1 for k, p in enumerate(root) if p.partition("#")[0] in ("article", "main")), default=len(root))
+    root = root[:around]
+    title = next((i for i in range(kept[0]) if "h1" in found[i][0]), kept[0])
+    whole = os.path.commonprefix([root, *(found[i][0] for i in kept), found[title][0]])
+    while whole and "#" not in whole[-1]:
+        whole = whole[:-1]
+    chosen = set(kept)
+    return "\n\n".join(
+        text for i, (path, text, linked) in enumerate(found) if i in chosen or path[: len(root)] == root or path[: len(whole)] == whole and 2 * linked <= len(text)
+    )
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -155,6 +155,15 @@ def test_html():
     assert html_extraction.main_text("<p>" + "word, " * 50_000 + "</p>").count("word,") == 50_000
 
 
+@pytest.mark.parametrize("tag,n", [("article", 4), ("article", 400), ("div", 4), ("div", 400)])
+def test_html_keeps_what_is_beside_the_longest_container(tag, n):
+    long = "".join(f"<p>Sentence {i}, which is long; it has marks, and words.</p>" for i in range(n))
+    page = f"<body><ul><li><a href=x>Home page</a></ul><{tag}><h1>The title</h1><p>A lead.</p><div><section>{long}</section></div><section><h2>More</h2><p>A short section, the last.</p></section></{tag}></body>"
+    text = html_extraction.main_text(page).split("\n\n")
+    assert text[:2] == ["The title", "A lead."] and text[-1] == "A short section, the last." and text[2].startswith("Sentence 0") and len(text) >= n + 3
+    assert "Home page" not in text and "More" in text
+
+
 def test_html_rows(spark):
     rows = html_extraction.extract(spark.createDataFrame([(1, "u", "<p>a b</p>", 7), (1, "u", "<p>a b</p>", 7), (None, None, None, None)], "page_id long, url string, html string, n_chars int")).collect()
     assert sorted(map(str, rows)) == sorted(["Row(page_id=1, url='u', text='a b', n_chars=3)"] * 2 + ["Row(page_id=None, url=None, text='', n_chars=0)"])
