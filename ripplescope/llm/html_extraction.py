@@ -2,7 +2,9 @@
 
 A page is read once into text blocks, each with its root-to-leaf path of block tags (class and id words of a
 tag that mark menus, adverts, notices, comments and the like take its whole subtree out, as do nav, header,
-footer, aside, form and raw-text tags). For each path the text length and the punctuation marks of its
+footer, aside, form and raw-text tags; but no such word counts at a tag around nine tenths of the page's text, or
+around its first article or main element unless a name begins with the word, and none at all if less than a tenth
+of the text would be left). For each path the text length and the punctuation marks of its
 blocks are added up and divided by the number of its blocks; both ratios are smoothed over the blocks in
 page order (a Gaussian of three blocks), multiplied, weighted by the share of text outside links and by
 article or main ancestors, and held against half the standard deviation over the page. The paths above that
@@ -48,21 +50,39 @@ _MARKS = frozenset(
 )
 
 
-def _marked(tag: str, attributes: str) -> bool:
+def _marked(tag: str, attributes: str) -> int:
+    """0 without a mark, 2 if a name begins with one (comments, ad-top), 1 if it is elsewhere in one (has-sidebar)."""
     if tag in ("html", "body", "main"):
-        return False
+        return 0
+    most = 0
     for m in _NAMES.finditer(attributes):
-        names = m[1] or m[2] or m[3] or ""
-        words = names.lower().split() if tag == "article" else [w.lower() for w in _WORD.findall(names)]
-        if not _MARKS.isdisjoint(words):
-            return True
-    return False
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = [name.lower()] if tag == "article" else [w.lower() for w in _WORD.findall(name)]
+            if not _MARKS.isdisjoint(words):
+                most = max(most, 2 if words[0] in _MARKS else 1)
+    return most
 
 
-def blocks(page: str, marks: bool = True) -> list[tuple[tuple[str, ...], str, int]]:
+def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(path, text, characters in links) of each block that is not taken out, in page order."""
+    marked: dict[int, int] = {}
+    found, total = _blocks(page, frozenset(), marked)
+    wrappers = frozenset(at for at, size in marked.items() if size < 0 or size and size >= 0.9 * total)
+    if wrappers:
+        found = _blocks(page, wrappers, {})[0]
+    if marked and 10 * sum(len(t) for _, t, _ in found) < total:
+        found = _blocks(page, frozenset(marked), {})[0]
+    return found
+
+
+def _blocks(page: str, wrappers: frozenset[int], marked: dict[int, int]) -> tuple[list[tuple[tuple[str, ...], str, int]], int]:
+    """The blocks, where marks at `wrappers` don't count, and the characters of all text that no tag's kind takes out.
+    `marked` gets the characters in each marked element by its place, -1 if it holds the first article or main element and no name of it begins with a mark."""
     found: list[tuple[tuple[str, ...], str, int]] = []
     stack: list[tuple[str, bool]] = []  # tag, taken out
+    open_marks: list[tuple[int, int, int]] = []  # depth, place and kind of marked elements
+    gone = total = 0  # depth of the outermost element that its kind takes out
+    first = True
     text: list[str] = []
     linked = links = serial = 0
     path: list[str] = []  # of block tags; containers get a number, so that siblings stay apart
@@ -77,8 +97,12 @@ def blocks(page: str, marks: bool = True) -> list[tuple[tuple[str, ...], str, in
         linked = 0
 
     def pop() -> None:
-        nonlocal links
+        nonlocal links, gone
         tag, _ = stack.pop()
+        while open_marks and open_marks[-1][0] > len(stack):
+            open_marks.pop()
+        if gone > len(stack):
+            gone = 0
         if tag == "a":
             links -= 1
         if tag not in _INLINE:
@@ -98,6 +122,11 @@ def blocks(page: str, marks: bool = True) -> list[tuple[tuple[str, ...], str, in
     while True:
         m = _TOKEN.search(page, at)
         piece = page[at : m.start() if m else len(page)]
+        if not gone and (size := len("".join(_html.unescape(piece).split()))):
+            total += size
+            for _, place, _ in open_marks:
+                if marked[place] >= 0:
+                    marked[place] += size
         if piece and not (stack and stack[-1][1]):
             text.append(piece)
             if links:
@@ -128,7 +157,15 @@ def blocks(page: str, marks: bool = True) -> list[tuple[tuple[str, ...], str, in
             pop_to(("p",), _HOLDS)
             if tag in _ENDS:
                 pop_to(_ENDS[tag], _HOLDS)
-        out = bool(stack and stack[-1][1]) or tag in _OUT or marks and _marked(tag, m[3])
+        if first and not gone and tag in ("article", "main"):
+            first = False
+            marked.update((place, -1) for _, place, kind in open_marks if kind == 1)
+        if marks := _marked(tag, m[3]):
+            marked[m.start()] = 0
+            open_marks.append((len(stack) + 1, m.start(), marks))
+        if tag in _OUT and not gone:
+            gone = len(stack) + 1
+        out = bool(stack and stack[-1][1]) or tag in _OUT or marks and m.start() not in wrappers
         if tag not in _INLINE:
             flush()
             serial += 1
@@ -137,7 +174,7 @@ def blocks(page: str, marks: bool = True) -> list[tuple[tuple[str, ...], str, in
             links += 1
         stack.append((tag, out))
     flush()
-    return found
+    return found, total
 
 
 def _plain(path: tuple[str, ...]) -> tuple[str, ...]:
@@ -169,7 +206,7 @@ def scores(found: list[tuple[tuple[str, ...], str, int]]) -> list[float]:
 
 
 def main_text(page: str | None) -> str:
-    found = blocks(page or "") or blocks(page or "", marks=False)
+    found = blocks(page or "")
     if not found:
         return ""
     score = scores(found)

@@ -164,6 +164,20 @@ def test_html_keeps_what_is_beside_the_longest_container(tag, n):
     assert "Home page" not in text and "More" in text
 
 
+def test_html_marks_take_no_wrapper_out():
+    body = "".join(f"<p>Sentence {i}, which is long; it has marks, and words.</p>" for i in range(9))
+    talk = "".join(f"<article><p>Comment {i}, which is as long; it has marks, and words.</p></article>" for i in range(9))
+    for wrap in ('<div class="page has-sidebar">', '<div class="content no-comments">', '<section id="main-menu-page"><div class="has-ad">'):
+        for inner in (body, f"<article>{body}</article>"):
+            text = html_extraction.main_text(f"<body><p>A stray line.</p>{wrap}{inner}<div class=ad>Buy, now.</div></div></section></body>")
+            assert text.count("Sentence") == 9 and "Buy" not in text
+    text = html_extraction.main_text(f"<body><div class=post>{body}</div><div id=comments>{talk}</div></body>")
+    assert text.count("Sentence") == 9 and "Comment" not in text
+    assert html_extraction.main_text("<p>x</p><div class=ad>Only, this.</div><div class=ad>And, this.</div>") == "x\n\nOnly, this.\n\nAnd, this."
+    text = html_extraction.main_text(f'<body><div class="has-sidebar"><article>{body}</article><div id="comments">{talk}</div></div></body>')
+    assert text.count("Sentence") == 9 and "Comment" not in text
+
+
 def test_html_rows(spark):
     rows = html_extraction.extract(spark.createDataFrame([(1, "u", "<p>a b</p>", 7), (1, "u", "<p>a b</p>", 7), (None, None, None, None)], "page_id long, url string, html string, n_chars int")).collect()
     assert sorted(map(str, rows)) == sorted(["Row(page_id=1, url='u', text='a b', n_chars=3)"] * 2 + ["Row(page_id=None, url=None, text='', n_chars=0)"])
