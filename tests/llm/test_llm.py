@@ -269,6 +269,12 @@ def test_rare_tokens_meet_their_counts(spark, monkeypatch):
     assert {r.doc_id: r.n_known for r in lm_scoring.score(docs, F.col("doc_id") == 3).collect()} == {1: 6, 2: 4, 3: 3}
 
 
+def test_tokens_beyond_ten_thousand_are_known(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "EXACT", 1)
+    docs = spark.createDataFrame([(1, "a " * 10_500), (2, "b " * 10_600), (3, "a b q")], "doc_id long, text string")
+    assert {r.doc_id: r.n_known for r in lm_scoring.score(docs, F.col("doc_id") == 3).collect()} == {1: 10_501, 2: 10_601, 3: 3}
+
+
 def test_filter_counts():
     keys = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 4000).astype(np.uint64))
     f = lm_scoring.Filter(bytes(1 << 12), 8, 2)
