@@ -18,19 +18,25 @@ REJECT = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below REJECT, by a model of the labelled ones among them."""
+    """Documents scored below REJECT, by a model of the labelled ones among them; all where these are too few for one."""
     model = toxicity.train(docs, C.table(spark, sf_dir, "labels"))
+    if isinstance(model, float):
+        return docs
     scored = toxicity.score(docs, model, keep=tuple(c for c in docs.columns if c != "doc_id"))
     return scored.filter(F.col("score") < REJECT).select(docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that shares four fifths of its five-word shingles."""
-    groups = jaccard_join.jaccard_join(docs, words=5, percent=80)
-    gone = C.store(groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id"), "gone")
+    """One row, of the smallest id, of each group that shares four fifths of its five-word shingles."""
+    rows = C.store(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    groups = jaccard_join.jaccard_join(rows, words=5, percent=80, id_col="__row")
+    groups = C.store(groups.select("__row", "component_id").join(rows.select("__row", "doc_id"), "__row"), "groups")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    gone = C.store(groups.join(first, "component_id").filter(F.col("__row") != F.col("first.__row")).select("__row"), "gone")
+    C.drop(groups)
     if gone.count() <= jaccard_join.BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return rows.join(gone, "__row", "left_anti").select(docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -368,3 +368,19 @@ def test_pipeline(spark):
     assert 200 >= counts[0] > counts[1] == counts[2] > 100
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, data)
     assert packed.select("doc_id").distinct().count() == counts[2]
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (1, a), (2, a), (None, b), (None, b), (3, b), (4, c), (5, a), (5, "a text of its own, long enough"), (6, ""), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()
+    assert Counter(map(tuple, kept)) == Counter([(1, a), (3, b), (4, c), rows[8], (6, ""), (6, None)])
+
+
+def test_pipeline_rejects_nothing_without_a_model(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([(i, 1) for i in range(5)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(9)], "doc_id long, text string")
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == 9
