@@ -8,21 +8,20 @@ from pyspark.sql import functions as F
 
 from ripplescope.functions import paths
 
-# Extensions by language.
+# Languages by extension, of changes and of more source files.
 CHANGED = {
-    "python": [".py"], "javascript": [".js", ".jsx"], "typescript": [".ts", ".tsx"], "go": [".go"], "rust": [".rs"],
-    "java": [".java"], "ruby": [".rb"], "c": [".c", ".h"], "cpp": [".cpp", ".hpp"],
+    ".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".go": "go", ".rs": "rust",
+    ".java": "java", ".rb": "ruby", ".c": "c", ".h": "c", ".cpp": "cpp", ".hpp": "cpp",
 }
 WIDER = {
-    "python": [".pyw"], "javascript": [".mjs", ".cjs"], "cpp": [".cc"], "csharp": [".cs"], "php": [".php"],
-    "swift": [".swift"], "kotlin": [".kt"], "scala": [".scala"],
+    ".pyw": "python", ".mjs": "javascript", ".cjs": "javascript", ".cc": "cpp", ".cs": "csharp", ".php": "php", ".swift": "swift",
+    ".kt": "kotlin", ".scala": "scala",
 }
 GRAPHED = (".py", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".go", ".rs", ".java", ".rb", ".c", ".cpp", ".cc", ".h", ".hpp")
 
 
-def _lookup(path: Column, *maps: dict[str, list[str]]) -> Column:
-    pairs = [(e, language) for m in maps for language, extensions in m.items() for e in extensions]
-    return F.element_at(F.create_map(*map(F.lit, chain.from_iterable(pairs))), paths.suffix(path))
+def _lookup(path: Column, known: dict[str, str]) -> Column:
+    return F.element_at(F.create_map(*map(F.lit, chain.from_iterable(known.items()))), paths.suffix(path))
 
 
 def of_change(path: Column) -> Column:
@@ -30,7 +29,7 @@ def of_change(path: Column) -> Column:
 
 
 def of_source(path: Column, unknown: str = "unknown") -> Column:
-    return F.coalesce(_lookup(path, CHANGED, WIDER), F.lit(unknown))
+    return F.coalesce(_lookup(path, CHANGED | WIDER), F.lit(unknown))
 
 
 def frequency(files: DataFrame, path_col: str = "path") -> DataFrame:

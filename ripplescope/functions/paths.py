@@ -46,6 +46,15 @@ def part_stems(path: Column) -> Column:
     return F.array_distinct(F.transform(parts(path), lambda p: F.lower(F.regexp_replace(p, r"^(.+)\.[^.]+$", "$1"))))
 
 
+def module(path: Column) -> Column:
+    """The path as a dotted module name, without the last part's suffix."""
+    return F.array_join(F.concat(parent_parts(path), F.array(stem(path))), ".")
+
+
+def plural(count: Column, singular: str, many: str | None = None) -> Column:
+    return F.when(count == 1, singular).otherwise(many or f"{singular}s")
+
+
 def shortened(path: Column, width: int = 60) -> Column:
     """At most `width` characters, the front giving way to '...'."""
     return F.when(F.length(path) <= width, path).otherwise(F.concat(F.lit("..."), F.right(path, F.lit(width - 3))))

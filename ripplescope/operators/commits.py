@@ -48,10 +48,15 @@ def suggestions(changes: DataFrame) -> DataFrame:
     return rows.select("change_set_id", F.when(~failed, text).alias("suggestion"), failed.alias("failed"))
 
 
+def rounded(score: Column) -> Column:
+    return F.bround(score, 2)
+
+
 def quality(messages: DataFrame, changes: DataFrame) -> DataFrame:
     """(change_set_id, message, score, issues, is_vague, suggested_improvement) for `messages` (change_set_id, message).
 
-    Where a suggestion is due but can't be made, all but the key and the message are null. score isn't rounded.
+    Where a suggestion is due but can't be made, all but the key and the message are null. score is rounded to two
+    digits; whether a suggestion is due is told from the score before that.
     """
     message = F.coalesce(F.col("message"), F.lit(""))
     first = F.regexp_replace(F.split(F.regexp_replace(message, STRIP, ""), "\n")[0], STRIP, "")
@@ -81,8 +86,4 @@ def quality(messages: DataFrame, changes: DataFrame) -> DataFrame:
     due = F.col("any") & (F.col("score") < 0.5)
     void = due & F.col("failed")
     keep = lambda c: F.when(~F.coalesce(void, F.lit(False)), c)
-    return rows.select("change_set_id", "message", keep(F.col("score")).alias("score"), keep(F.col("issues")).alias("issues"), keep(F.col("is_vague")).alias("is_vague"), F.when(due, F.col("suggestion")).alias("suggested_improvement"))
-
-
-def rounded(score: Column) -> Column:
-    return F.bround(score, 2)
+    return rows.select("change_set_id", "message", keep(rounded(F.col("score"))).alias("score"), keep(F.col("issues")).alias("issues"), keep(F.col("is_vague")).alias("is_vague"), F.when(due, F.col("suggestion")).alias("suggested_improvement"))

@@ -1,13 +1,17 @@
 """The file graph: edges (src, dst), src importing dst; nodes (path).
 
-Everything is keyed, so that one plan serves many change sets. Reach is unrolled to a fixed number of joins;
+Everything is keyed, so that one plan serves many change sets. Reach within a bound is unrolled to that many joins;
 each level keeps one row for a key and node before it joins again, so it grows with nodes, not with paths.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ripplescope.plans.storage import settled
+
 
 def dependents(edges: DataFrame) -> DataFrame:
     """(path, dependents): who imports each file, sorted."""
@@ -39,9 +43,25 @@ def reach(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int) -> Da
     return found.groupBy("seed", "path").agg(F.min("distance").alias("distance"))
 
 
-def distance(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, bound: int) -> DataFrame:
-    """`pairs` (src, dst) with their distance: 0 to itself, node or not; -1 beyond `bound` or where src is no node."""
-    near = reach(pairs.select(F.col("src").alias("seed")), nodes, edges, bound).select(F.col("seed").alias("src"), F.col("path").alias("dst"), "distance")
+def _reach_all(seeds: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """reach() without a bound: one stored level after the other until none is new."""
+    step = settled(edges.select(F.col("src").alias("path"), F.col("dst").alias("next")))
+    level = seeds.select("seed").distinct().join(nodes.select(F.col("path").alias("seed")), "seed", "left_semi")
+    level = settled(level.select("seed", F.col("seed").alias("path"), F.lit(0).alias("distance")))
+    levels = [level]
+    while not level.isEmpty():
+        before = reduce(DataFrame.unionByName, levels).select("seed", "path")
+        following = level.join(step, "path").select("seed", F.col("next").alias("path")).distinct().join(before, ["seed", "path"], "left_anti")
+        level = settled(following.withColumn("distance", F.lit(len(levels))))
+        levels.append(level)
+    return reduce(DataFrame.unionByName, levels)
+
+
+def distance(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, bound: int | None = None) -> DataFrame:
+    """`pairs` (src, dst) with their distance: 0 to itself, node or not; -1 out of reach, beyond a `bound`, or where src is no node."""
+    seeds = pairs.select(F.col("src").alias("seed"))
+    found = _reach_all(seeds, nodes, edges) if bound is None else reach(seeds, nodes, edges, bound)
+    near = found.select(F.col("seed").alias("src"), F.col("path").alias("dst"), "distance")
     known = pairs.join(near, ["src", "dst"], "left")
     return known.withColumn("distance", F.when(F.col("src") == F.col("dst"), 0).otherwise(F.coalesce("distance", F.lit(-1))))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplescope.functions import globs, paths
+from ripplescope.functions import globs, numbers, paths
 from ripplescope.operators import graph
 
 # What counts as a side effect of a change, in the order in which it is looked up.
@@ -45,9 +45,9 @@ def explicit(path: Column, targets: Column) -> Column:
 
 
 def path_match(path: Column, targets: Column, functions: Column, concepts: Column) -> Column:
-    """The share of the path's stems that the scope's words hold."""
+    """The share of the path's stems that the scope's words hold: concepts, functions and the targets' own stems, not their folders'."""
     lower = lambda x: F.transform(x, F.lower)
-    target_stems = F.flatten(F.transform(targets, paths.part_stems))
+    target_stems = F.transform(targets, lambda t: F.lower(paths.stem(t)))
     words = F.array_union(F.array_union(lower(concepts), target_stems), lower(functions))
     stems = paths.part_stems(path)
     return F.when(F.size(words) == 0, 0.0).otherwise(F.size(F.array_intersect(stems, words)) / F.size(stems))
@@ -120,7 +120,7 @@ def reason(explicit_score: Column, overlap: Column, chain: Column, relevance: Co
         F.when(explicit_score == 0, "not in scope target files"),
         F.when(overlap == 0, "no path overlap with scope").otherwise("partial path overlap with scope"),
         F.when(chain == 0, "no import-chain connection to scope").otherwise("weak import-chain connection"),
-        F.format_string("relevance=%.2f", relevance),
+        F.concat(F.lit("relevance="), numbers.fixed(relevance)),
     )
 
 

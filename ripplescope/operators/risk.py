@@ -41,12 +41,12 @@ def line_factors(changes: DataFrame) -> DataFrame:
     return changes.groupBy("change_set_id").agg(F.least(F.lit(1.0), total / F.lit(CEILING)).alias("complexity"), F.when(total == 0, 0.0).otherwise(F.try_divide(removed, total)).alias("deletion"))
 
 
-def centrality_factor(changes: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(change_set_id, centrality): the changed files' mean in-degree against the largest of any file."""
+def centrality_factor(changes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(change_set_id, centrality): the changed files' mean in-degree against the largest among them."""
     counted = edges.groupBy(F.col("dst").alias("file_path")).agg(F.count("*").alias("c"))
-    most = counted.join(nodes.select(F.col("path").alias("file_path")), "file_path", "left_semi").agg(F.coalesce(F.max("c"), F.lit(0)).alias("most"))  # one row
-    rows = changes.select("change_set_id", "file_path").join(counted, "file_path", "left").groupBy("change_set_id").agg(F.sum(F.coalesce("c", F.lit(0))).alias("s"), F.count("*").alias("n"))
-    return rows.crossJoin(F.broadcast(most)).select("change_set_id", F.when(F.col("most") == 0, 0.0).otherwise(F.try_divide(F.col("s"), F.col("most") * F.col("n"))).alias("centrality"))
+    rows = changes.select("change_set_id", "file_path").join(counted, "file_path", "left").fillna(0, ["c"])
+    share = F.try_divide(F.sum("c"), F.max("c") * F.count("*"))
+    return rows.groupBy("change_set_id").agg(F.coalesce(share, F.lit(0.0)).alias("centrality"))
 
 
 def test_coverage(changes: DataFrame) -> DataFrame:
@@ -66,9 +66,9 @@ def exit_code(level: Column, confidence: Column, fail_on: str | None) -> Column:
     return F.when(confidence < 0.4, 0).when(fails, 1).otherwise(0)
 
 
-def risk(changes: DataFrame, scopes: DataFrame, phantoms: DataFrame, nodes: DataFrame, edges: DataFrame, fail_on: str | None = None, safe: float = 0.3, danger: float = 0.6) -> DataFrame:
+def risk(changes: DataFrame, scopes: DataFrame, phantoms: DataFrame, edges: DataFrame, fail_on: str | None = None, safe: float = 0.3, danger: float = 0.6) -> DataFrame:
     """(change_set_id, five factors, risk_score, risk_level, exit_code)."""
-    rows = scope_overflow(changes, scopes, phantoms).join(line_factors(changes), "change_set_id").join(centrality_factor(changes, nodes, edges), "change_set_id").join(test_coverage(changes), "change_set_id")
+    rows = scope_overflow(changes, scopes, phantoms).join(line_factors(changes), "change_set_id").join(centrality_factor(changes, edges), "change_set_id").join(test_coverage(changes), "change_set_id")
     score = F.lit(0.0)
     for name, weight in WEIGHTS:
         score = score + F.lit(weight) * F.col(name)

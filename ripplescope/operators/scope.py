@@ -60,7 +60,7 @@ def keyword_files(words: DataFrame, files: DataFrame) -> DataFrame:
 def resolve(inputs: DataFrame) -> DataFrame:
     """(change_set_id, text, confidence, source): of prompt, cli_scope and head_message the first that isn't blank."""
     filled = lambda name: F.regexp_replace(F.coalesce(F.col(name), F.lit("")), STRIP, "") != ""
-    sources = (("prompt", 1.0, "prompt"), ("cli_scope", 0.8, "cli"), ("head_message", 0.6, "commit"))
+    sources = (("prompt", 1.0, "prompt_file"), ("cli_scope", 0.8, "cli"), ("head_message", 0.6, "commit_message"))
     chosen = F.lit(None).cast("struct<text:string,confidence:double,source:string>")
     for column, confidence, source in reversed(sources):
         chosen = F.when(filled(column), F.struct(F.col(column).alias("text"), F.lit(confidence).alias("confidence"), F.lit(source).alias("source"))).otherwise(chosen)
@@ -77,7 +77,7 @@ def infer(changes: DataFrame) -> DataFrame:
     """A scope of confidence 0.3 for each change set, from its own changes."""
     stop = F.array(*map(F.lit, STOP_WORDS))
     stems = F.transform(paths.parts(F.col("file_path")), lambda p: F.regexp_replace(p, r"^(.+)\.[^.]+$", "$1"))
-    words = F.transform(F.filter(stems, lambda s: (F.length(s) > 1) & ~F.array_contains(stop, s)), F.lower)
+    words = F.transform(F.filter(stems, lambda s: (s != "") & ~F.array_contains(stop, s)), F.lower)
     gathered = changes.groupBy("change_set_id").agg(
         F.array_sort(F.collect_set("file_path")).alias("target_files"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("functions_modified")))).alias("target_functions"),
@@ -87,11 +87,18 @@ def infer(changes: DataFrame) -> DataFrame:
     return gathered.join(dominant_directory(changes), "change_set_id").select("change_set_id", said.alias("description"), "target_files", "target_functions", "target_concepts", F.lit(0.3).alias("confidence"), F.lit("inferred").alias("source"))
 
 
+def nothing(sets: DataFrame) -> DataFrame:
+    """The scope of change sets (change_set_id) that have neither text nor changes."""
+    none = F.array().cast("array<string>")
+    return sets.select("change_set_id", F.lit("No changes to analyse").alias("description"), *(none.alias(f"target_{x}") for x in ("files", "functions", "concepts")), F.lit(0.3).alias("confidence"), F.lit("inferred").alias("source"))
+
+
 def enrich(scopes: DataFrame, areas: DataFrame) -> DataFrame:
     """`scopes` with the files of areas (area, kind, path) whose name is a concept or part of the description."""
     named = scopes.select("change_set_id", "target_concepts", F.lower("description").alias("said"))
-    known = areas.groupBy(F.lower("area").alias("area")).agg(F.collect_set("path").alias("paths"))  # configuration, a few rows
-    hits = named.join(known, F.array_contains("target_concepts", F.col("area")) | F.contains("said", F.col("area")))
+    known = areas.groupBy(F.lower("area").alias("area")).agg(F.collect_set("path").alias("paths"))
+    held = F.array_contains("target_concepts", F.col("area")) | F.contains("said", F.col("area"))
+    hits = named.join(F.broadcast(known), held)  # areas are rows of a configuration file, read on the driver
     more = hits.groupBy("change_set_id").agg(F.array_distinct(F.flatten(F.collect_list("paths"))).alias("more"))
     joined = scopes.join(more, "change_set_id", "left")
     files = F.array_sort(F.array_union("target_files", F.coalesce("more", F.array().cast("array<string>"))))

@@ -6,6 +6,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ripplescope.plans.storage import settled
+
 VIEWS = {
     "v_files": """
 SELECT p_partkey AS file_id,
@@ -35,9 +37,9 @@ FROM (SELECT l_orderkey AS cs, l_partkey AS file_id,
       FROM lineitem GROUP BY l_orderkey, l_partkey) g
 JOIN v_files f ON f.file_id = g.file_id""",
     "v_scope": """
-SELECT o.o_orderkey AS change_set_id, concat('fix ', p.p_name, ' in ', f.path) AS text,
+SELECT o.o_orderkey AS change_set_id, concat('fix ', p.p_name, CASE WHEN o.o_orderkey % 3 = 0 THEN '' ELSE concat(' in ', f.path) END) AS text,
        cast(CASE o.o_orderpriority WHEN '1-URGENT' THEN 1.0 WHEN '2-HIGH' THEN 0.8
-                                   WHEN '3-MEDIUM' THEN 0.6 ELSE 0.3 END AS double) AS confidence,
+                                   WHEN '3-MEDIUM' THEN 0.6 WHEN '4-NOT SPECIFIED' THEN 0.45 ELSE 0.3 END AS double) AS confidence,
        f.path AS target
 FROM orders o
 JOIN (SELECT change_set_id AS cs, min(file_id) AS file_id FROM v_changes GROUP BY change_set_id) m ON m.cs = o.o_orderkey
@@ -69,10 +71,10 @@ def prelude(*names: str) -> str:
 
 
 class Adapters:
-    """The views over the tables of a folder."""
+    """The views over the tables of a folder; those named in `settle` are derived once, however often they are used."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, settle: tuple[str, ...] = ()):
+        self.spark, self.sf_dir, self.settle = spark, sf_dir, settle
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -85,4 +87,8 @@ class Adapters:
         views = {v: getattr(self, v[2:]) for v in VIEWS if v != f"v_{name}" and v in text}
         for key in (*tables, *views):
             text = " ".join(f"{{{w}}}" if w == key else w for w in text.replace("\n", " ").split(" "))
-        return self.spark.sql(text, **tables, **views)
+        found = self.spark.sql(text, **tables, **views)
+        if name in self.settle:
+            found = settled(found)
+            setattr(self, name, found)
+        return found

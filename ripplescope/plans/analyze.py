@@ -25,6 +25,7 @@ class Config:
     test_command: str = "pytest {files} -v"
     areas: dict[str, dict[str, list[str]]] = field(default_factory=dict)
     fail_on: str | None = None
+    prompt_files: tuple[str, ...] = (".ripplescope-prompt", ".claude-prompt", ".cursor-prompt")
 
 
 def scopes_of(inputs: DataFrame, changes: DataFrame, files: DataFrame, config: Config) -> DataFrame:
@@ -33,28 +34,31 @@ def scopes_of(inputs: DataFrame, changes: DataFrame, files: DataFrame, config: C
     inferred = scope.infer(changes).join(parsed.select("change_set_id"), "change_set_id", "left_anti")
     columns = ["change_set_id", "description", "target_files", "target_functions", "target_concepts", "confidence", "source"]
     scopes = parsed.select(columns).unionByName(inferred.select(columns))
+    void = inputs.select("change_set_id").join(scopes.select("change_set_id"), "change_set_id", "left_anti")
     rows = [(name, kind, path) for name, kinds in config.areas.items() for kind, paths in kinds.items() for path in paths]
-    return scope.enrich(scopes, changes.sparkSession.createDataFrame(rows, "area string, kind string, path string")) if rows else scopes
+    if rows:
+        scopes = scope.enrich(scopes, changes.sparkSession.createDataFrame(rows, "area string, kind string, path string"))
+    return scopes.unionByName(scope.nothing(void))
 
 
-def analyze(changes: DataFrame, inputs: DataFrame, files: DataFrame, edges: DataFrame, config: Config = Config(), scopes: DataFrame | None = None) -> DataFrame:
+def analyze(changes: DataFrame, inputs: DataFrame, files: DataFrame, edges: DataFrame, config: Config = Config(), scopes: DataFrame | None = None, listing: DataFrame | None = None) -> DataFrame:
     """(change_set_id, report) of each change set.
 
     changes as sources.diffs.parse gives them; inputs: change_set_id, prompt, cli_scope, head_message,
-    pending_message (its message is judged if there is one, else head_message); files: path and, for
-    function matches, source; edges: src, dst; scopes: if they are known already. Ignored changes are left out of everything.
+    pending_message (which alone is judged, if there is one); files: path and, for function matches, source;
+    edges: src, dst; scopes: if they are known already; listing: path of all files of the project, if keywords may
+    stand for others than `files`. Ignored changes are left out of everything, and so are change sets left empty.
     """
     if config.ignore:
         changes = changes.filter(~globs.user_ignored(F.col("file_path"), list(config.ignore)))
     changes, files, edges = settled(changes), settled(files), settled(edges)  # each is read many times from here on
     nodes = files.select("path")
-    scopes = settled(scopes_of(inputs, changes, files, config) if scopes is None else scopes)
+    scopes = settled(scopes_of(inputs, changes, nodes if listing is None else listing, config) if scopes is None else scopes)
     strays = settled(relevance.phantoms(relevance.scored(changes, scopes, nodes, edges, config.phantom_relevance)))
     impacts = graph.out_of_scope(graph.downstream(changes, nodes, edges), scopes)
-    scored = risk.risk(changes, scopes, strays, nodes, edges, config.fail_on, config.risk_safe, config.risk_danger)
+    scored = risk.risk(changes, scopes, strays, edges, config.fail_on, config.risk_safe, config.risk_danger)
     tests = test_mapping.suggest(changes, files, edges, config.test_directories, config.test_patterns)
-    blank = F.regexp_replace(F.coalesce("pending_message", F.lit("")), scope.STRIP, "") == ""
-    messages = inputs.select("change_set_id", F.when(blank, F.col("head_message")).otherwise(F.col("pending_message")).alias("message"))
-    quality = commits.quality(messages, changes)
+    messages = inputs.select("change_set_id", F.regexp_replace(F.coalesce("pending_message", F.lit("")), scope.STRIP, "").alias("message"))
+    quality = commits.quality(messages.filter("message <> ''"), changes)
     alive = scopes.join(changes.select("change_set_id").distinct(), "change_set_id", "left_semi")
     return report.assemble(alive, changes, strays, impacts, tests, scored, quality)

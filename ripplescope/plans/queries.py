@@ -15,12 +15,14 @@ from ripplescope.sources import diffs, project
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 _NONE = "cast(array() as array<string>)"
+#: Views that most plans read several times.
+_KEPT = ("changes", "scope", "edges")
 
 
-def query(sql: str | None = None, views: tuple[str, ...] = ()) -> Callable:
-    """Register a function of Adapters under its name, with its SQL over the named views."""
+def query(sql: str | None = None, views: tuple[str, ...] = (), settle: tuple[str, ...] = ()) -> Callable:
+    """Register a function of Adapters under its name, with its SQL over the named views; `settle` are derived once."""
     def keep(build: Callable[[Adapters], DataFrame]) -> Callable[[Adapters], DataFrame]:
-        QUERIES[build.__name__] = lambda spark, sf_dir: build(Adapters(spark, sf_dir))
+        QUERIES[build.__name__] = lambda spark, sf_dir: build(Adapters(spark, sf_dir, settle))
         if sql is not None:
             head = prelude(*views) if views else ""
             ORACLE[build.__name__] = f"{head}{',' if head and sql.lstrip().startswith('+') else ' ' if head else ''}{sql.lstrip().removeprefix('+')}"
@@ -81,13 +83,13 @@ r2 AS (SELECT DISTINCT seed, e.dst AS path, 2 AS distance FROM r1 JOIN v_edges e
 reach AS (SELECT seed, path, min(distance) AS distance FROM (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2) GROUP BY seed, path)"""
 
 
-@query(_REACH + " SELECT seed, path, distance FROM reach", ("v_scope", "v_edges"))
+@query(_REACH + " SELECT seed, path, distance FROM reach", ("v_scope", "v_edges"), ("edges",))
 def reach2_forward(a: Adapters) -> DataFrame:
     return graph.reach(a.scope.select(F.col("target").alias("seed")), _nodes(a), a.edges, 2)
 
 
 @query(_REACH + """, pairs AS (SELECT DISTINCT s.target AS src, c.file_path AS dst FROM v_scope s JOIN v_changes c USING (change_set_id))
-SELECT src, dst, coalesce(r.distance, -1) AS distance FROM pairs LEFT JOIN reach r ON r.seed = src AND r.path = dst""", ("v_scope", "v_changes", "v_edges"))
+SELECT src, dst, coalesce(r.distance, -1) AS distance FROM pairs LEFT JOIN reach r ON r.seed = src AND r.path = dst""", ("v_scope", "v_changes", "v_edges"), _KEPT)
 def distance_le2(a: Adapters) -> DataFrame:
     pairs = a.scope.join(a.changes, "change_set_id").select(F.col("target").alias("src"), F.col("file_path").alias("dst")).distinct()
     return graph.distance(pairs, _nodes(a), a.edges, 2)
@@ -109,17 +111,17 @@ def _impacts(a: Adapters) -> DataFrame:
     return graph.downstream(a.changes, _nodes(a), a.edges)
 
 
-@query(_DOWN + " SELECT change_set_id, file_path, distance, risk FROM impacts", ("v_changes", "v_edges"))
+@query(_DOWN + " SELECT change_set_id, file_path, distance, risk FROM impacts", ("v_changes", "v_edges"), _KEPT[::2])
 def downstream_impacts(a: Adapters) -> DataFrame:
     return _impacts(a).select("change_set_id", "file_path", "distance", _r(F.col("risk_contribution")).alias("risk"))
 
 
-@query(_DOWN + " SELECT change_set_id, file_path, via FROM impacts", ("v_changes", "v_edges"))
+@query(_DOWN + " SELECT change_set_id, file_path, via FROM impacts", ("v_changes", "v_edges"), _KEPT[::2])
 def downstream_min_path(a: Adapters) -> DataFrame:
     return _impacts(a).select("change_set_id", "file_path", F.array_join("via_files", ">").alias("via"))
 
 
-@query(_DOWN + " SELECT i.change_set_id, i.file_path, i.distance, i.risk FROM impacts i WHERE NOT EXISTS (SELECT 1 FROM v_scope s WHERE s.change_set_id = i.change_set_id AND s.target = i.file_path)", ("v_changes", "v_edges", "v_scope"))
+@query(_DOWN + " SELECT i.change_set_id, i.file_path, i.distance, i.risk FROM impacts i WHERE NOT EXISTS (SELECT 1 FROM v_scope s WHERE s.change_set_id = i.change_set_id AND s.target = i.file_path)", ("v_changes", "v_edges", "v_scope"), _KEPT)
 def impacts_out_of_scope(a: Adapters) -> DataFrame:
     return graph.out_of_scope(_impacts(a), _scopes(a)).select("change_set_id", "file_path", "distance", _r(F.col("risk_contribution")).alias("risk"))
 
@@ -164,7 +166,7 @@ _SCORED = rf"""+ c AS (
  SELECT c.*, s.target, s.confidence AS scope_confidence, s.text,
   string_split(regexp_replace(c.file_path, '/[^/]+$', ''), '/') AS d1, string_split(regexp_replace(s.target, '/[^/]+$', ''), '/') AS d2,
   list_distinct(list_transform(string_split(c.file_path, '/'), lambda p: lower(regexp_replace(p, '^(.+)\.[^.]+$', '\1')))) AS stems,
-  list_distinct(list_transform(string_split(s.target, '/'), lambda p: lower(regexp_replace(p, '^(.+)\.[^.]+$', '\1')))) AS target_stems,
+  [lower(regexp_replace(string_split(s.target, '/')[-1], '^(.+)\.[^.]+$', '\1'))] AS target_stems,
   list_filter(regexp_split_to_array(lower(s.text), '[^a-z0-9_]+'), lambda t: length(t) > 1 AND NOT list_contains({_STOP}, t)) AS words
  FROM v_changes c JOIN v_scope s USING (change_set_id)),
 cent AS (SELECT dst AS path, count(*) AS n FROM v_edges GROUP BY dst),
@@ -178,7 +180,7 @@ scored AS (SELECT *, 0.4::DOUBLE * explicit + 0.25::DOUBLE * overlap + 0.15::DOU
   (CASE WHEN d1[1] <> d2[1] THEN 0 WHEN length(d1) > 1 AND length(d2) > 1 AND d1[2] = d2[2] THEN 2 ELSE 1 END)::DOUBLE / greatest(length(d1), length(d2)) AS proximity,
   (CASE h.d WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 WHEN 2 THEN 0.4 ELSE 0.0 END)::DOUBLE AS chain, h.d IS NOT NULL AS linked, coalesce(cent.n, 0) AS centrality,
   {_CATEGORY} AS category,
-  (CASE WHEN c.scope_confidence < 0.4 THEN 0.3::DOUBLE * 2 ELSE 0.3::DOUBLE END) AS threshold
+  (CASE WHEN c.scope_confidence < 0.4 THEN 0.3::DOUBLE * 2 WHEN c.scope_confidence < 0.5 THEN 0.3::DOUBLE * 1.5 ELSE 0.3::DOUBLE END) AS threshold
  FROM c LEFT JOIN hops h ON h.change_set_id = c.change_set_id AND h.path = c.file_path LEFT JOIN cent ON cent.path = c.file_path)),
 judged AS (SELECT *,
  CASE WHEN category IS NOT NULL OR lines <= 2 THEN 'info' WHEN relevance < threshold AND lines > 5 AND centrality > 5 THEN 'critical'
@@ -202,10 +204,10 @@ def _part(name: str) -> Callable[[Adapters], DataFrame]:
 for _name, _column in (("explicit_match", "explicit"), ("path_match", "overlap"), ("proximity", "proximity"), ("import_chain", "chain"), ("relevance", "relevance"), ("effective_threshold", "threshold"), ("phantom_confidence", "confidence")):
     _build = _part(_column)
     _build.__name__ = _name
-    query(_SCORED + f" SELECT change_set_id, file_path, round({_column}, 6) AS {_column} FROM judged", _RV)(_build)
+    query(_SCORED + f" SELECT change_set_id, file_path, round({_column}, 6) AS {_column} FROM judged", _RV, _KEPT)(_build)
 
 
-@query(_SCORED + " SELECT change_set_id, file_path, severity FROM judged", _RV)
+@query(_SCORED + " SELECT change_set_id, file_path, severity FROM judged", _RV, _KEPT)
 def phantom_severity(a: Adapters) -> DataFrame:
     return _scored(a).select("change_set_id", "file_path", "severity")
 
@@ -215,31 +217,34 @@ def _phantoms(a: Adapters) -> DataFrame:
 
 
 @query(_SCORED + """ SELECT change_set_id, file_path, level AS severity, round(confidence, 6) AS confidence, round(relevance, 6) AS relevance_score,
- concat(CASE WHEN is_new_file THEN 'New file' WHEN is_deleted THEN 'Deleted file' ELSE 'Modified' END, ' ', file_path, ' [+', added_lines, '/-', removed_lines, ']') AS change_summary FROM phantoms""", _RV)
+ concat(CASE WHEN is_new_file THEN 'New file' WHEN is_deleted THEN 'Deleted file' ELSE 'Modified' END, ' ', file_path, ' [+', added_lines, '/-', removed_lines, ']') AS change_summary,
+ CASE category WHEN 'lockfiles' THEN 'Dependency lockfiles auto-update when packages change' WHEN 'generated' THEN 'Auto-generated files change as a side effect of source changes'
+  WHEN 'migrations' THEN 'Database migrations are expected side effects of model changes'
+  ELSE concat(CASE WHEN explicit = 0 THEN 'not in scope target files; ' ELSE '' END, CASE WHEN overlap = 0 THEN 'no' ELSE 'partial' END, ' path overlap with scope; ',
+   CASE WHEN chain = 0 THEN 'no import-chain connection to scope' ELSE 'weak import-chain connection' END, '; relevance=', format('{:.2f}', relevance)) END AS reason FROM phantoms""", _RV, _KEPT)
 def phantoms(a: Adapters) -> DataFrame:
-    return _phantoms(a).select("change_set_id", "file_path", "severity", _r(F.col("confidence")).alias("confidence"), _r(F.col("relevance_score")).alias("relevance_score"), "change_summary")
+    return _phantoms(a).select("change_set_id", "file_path", "severity", _r(F.col("confidence")).alias("confidence"), _r(F.col("relevance_score")).alias("relevance_score"), "change_summary", "reason")
 
 
 # ---- risk --------------------------------------------------------------------------------------------------
 
 _RISK = _SCORED + """, total AS (SELECT change_set_id, sum(added_lines + removed_lines) AS lines, sum(removed_lines) AS removed, count(*) AS n FROM v_changes GROUP BY 1),
 outside AS (SELECT change_set_id, sum(lines) AS lines FROM phantoms GROUP BY 1),
-most AS (SELECT max(n) AS n FROM cent),
-cf AS (SELECT change_set_id, sum(coalesce(cent.n, 0)) AS s, count(*) AS n FROM v_changes v LEFT JOIN cent ON cent.path = v.file_path GROUP BY 1),
+cf AS (SELECT change_set_id, sum(coalesce(cent.n, 0)) AS s, max(coalesce(cent.n, 0)) AS m, count(*) AS n FROM v_changes v LEFT JOIN cent ON cent.path = v.file_path GROUP BY 1),
 named AS (SELECT change_set_id, ordinal, file_path, regexp_replace(string_split(file_path, '/')[-1], '\\.[^.]*$', '') AS base, regexp_replace(file_path, '/[^/]+$', '') AS folder FROM v_changes),
 cov AS (SELECT change_set_id, 1.0::DOUBLE - sum(CASE WHEN EXISTS (SELECT 1 FROM v_changes t WHERE t.change_set_id = n.change_set_id AND (regexp_matches(t.file_path, '(^|/)test_[^/]*$|_test\\.py$'))
    AND t.file_path IN (n.file_path, concat(n.folder, '/test_', n.base, '.py'), concat('tests/test_', n.base, '.py'), concat('test/', n.base, '_test.py'))) THEN 1 ELSE 0 END)::DOUBLE / count(*) AS test_coverage FROM named n GROUP BY 1),
 factors AS (SELECT t.change_set_id, s.confidence,
   CASE WHEN s.confidence < 0.3 OR t.lines = 0 THEN 0.0 ELSE least(1.0::DOUBLE, coalesce(o.lines, 0)::DOUBLE / t.lines) END::DOUBLE AS scope_overflow,
-  least(1.0::DOUBLE, t.lines::DOUBLE / 500) AS complexity, cf.s::DOUBLE / (most.n * cf.n) AS centrality, cov.test_coverage,
+  least(1.0::DOUBLE, t.lines::DOUBLE / 500) AS complexity, CASE WHEN cf.m = 0 THEN 0.0 ELSE cf.s::DOUBLE / (cf.m * cf.n) END::DOUBLE AS centrality, cov.test_coverage,
   CASE WHEN t.lines = 0 THEN 0.0 ELSE t.removed::DOUBLE / t.lines END::DOUBLE AS deletion
- FROM total t JOIN v_scope s USING (change_set_id) JOIN cf USING (change_set_id) JOIN cov USING (change_set_id) LEFT JOIN outside o USING (change_set_id) CROSS JOIN most),
+ FROM total t JOIN v_scope s USING (change_set_id) JOIN cf USING (change_set_id) JOIN cov USING (change_set_id) LEFT JOIN outside o USING (change_set_id)),
 risk AS (SELECT *, 0.3::DOUBLE * scope_overflow + 0.2::DOUBLE * complexity + 0.2::DOUBLE * centrality + 0.15::DOUBLE * test_coverage + 0.15::DOUBLE * deletion AS risk_score FROM factors),
 classed AS (SELECT *, CASE WHEN confidence < 0.4 AND risk_score >= 0.6 THEN 'review' WHEN risk_score < 0.3 THEN 'safe' WHEN risk_score < 0.6 THEN 'review' ELSE 'danger' END AS risk_level FROM risk)"""
 
 
 def _risk(a: Adapters) -> DataFrame:
-    return risk.risk(_changes(a), _scopes(a), _phantoms(a), _nodes(a), a.edges, fail_on="review")
+    return risk.risk(_changes(a), _scopes(a), _phantoms(a), a.edges, fail_on="review")
 
 
 def _factor(build: Callable[[Adapters], DataFrame], column: str) -> Callable[[Adapters], DataFrame]:
@@ -250,21 +255,21 @@ for _name, _column, _source in (
     ("factor_scope_overflow", "scope_overflow", lambda a: risk.scope_overflow(_changes(a), _scopes(a), _phantoms(a))),
     ("factor_complexity", "complexity", lambda a: risk.line_factors(a.changes)),
     ("factor_deletion", "deletion", lambda a: risk.line_factors(a.changes)),
-    ("factor_centrality", "centrality", lambda a: risk.centrality_factor(a.changes, _nodes(a), a.edges)),
+    ("factor_centrality", "centrality", lambda a: risk.centrality_factor(a.changes, a.edges)),
     ("factor_test_coverage", "test_coverage", lambda a: risk.test_coverage(a.changes)),
     ("risk_score", "risk_score", _risk),
 ):
     _build = _factor(_source, _column)
     _build.__name__ = _name
-    query(_RISK + f" SELECT change_set_id, round({_column}, 6) AS {_column} FROM classed", _RV)(_build)
+    query(_RISK + f" SELECT change_set_id, round({_column}, 6) AS {_column} FROM classed", _RV, _KEPT)(_build)
 
 
-@query(_RISK + " SELECT change_set_id, risk_level FROM classed", _RV)
+@query(_RISK + " SELECT change_set_id, risk_level FROM classed", _RV, _KEPT)
 def risk_class(a: Adapters) -> DataFrame:
     return _risk(a).select("change_set_id", "risk_level")
 
 
-@query(_RISK + " SELECT change_set_id, CASE WHEN confidence < 0.4 THEN 0 WHEN risk_level IN ('review', 'danger') THEN 1 ELSE 0 END AS exit_code FROM classed", _RV)
+@query(_RISK + " SELECT change_set_id, CASE WHEN confidence < 0.4 THEN 0 WHEN risk_level IN ('review', 'danger') THEN 1 ELSE 0 END AS exit_code FROM classed", _RV, _KEPT)
 def exit_code(a: Adapters) -> DataFrame:
     return _risk(a).select("change_set_id", "exit_code")
 
@@ -282,7 +287,7 @@ _INPUTS = """SELECT change_set_id, CASE WHEN change_set_id % 4 = 0 THEN text ELS
 
 @query(f"""+ i AS ({_INPUTS}) SELECT change_set_id, CASE WHEN trim(prompt) <> '' THEN prompt WHEN trim(coalesce(cli_scope, '')) <> '' THEN cli_scope ELSE head_message END AS text,
  (CASE WHEN trim(prompt) <> '' THEN 1.0 WHEN trim(coalesce(cli_scope, '')) <> '' THEN 0.8 ELSE 0.6 END)::DOUBLE AS confidence,
- CASE WHEN trim(prompt) <> '' THEN 'prompt' WHEN trim(coalesce(cli_scope, '')) <> '' THEN 'cli' ELSE 'commit' END AS source
+ CASE WHEN trim(prompt) <> '' THEN 'prompt_file' WHEN trim(coalesce(cli_scope, '')) <> '' THEN 'cli' ELSE 'commit_message' END AS source
  FROM i WHERE trim(prompt) <> '' OR trim(coalesce(cli_scope, '')) <> '' OR trim(head_message) <> ''""", ("v_scope", "v_messages"))
 def scope_priority(a: Adapters) -> DataFrame:
     key = F.col("change_set_id")
@@ -313,6 +318,29 @@ def area_enrichment(a: Adapters) -> DataFrame:
     return enriched.select("change_set_id", F.concat(F.lit("["), F.array_join("target_files", ", "), F.lit("]")).alias("files"))
 
 
+_FILES = scope.FILES.removeprefix("(?U)")
+
+
+@query(rf"""+ t AS (SELECT change_set_id, concat(text, ' via run_', change_set_id % 5, '() and load()') AS text FROM v_scope)
+SELECT change_set_id, text AS description, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{_FILES}'))), ',') AS files,
+ array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\b([a-zA-Z_]\w*)\s*\(\)', 1))), ',') AS functions,
+ array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda t: length(t) > 1 AND NOT list_contains({_STOP}, t)))), ',') AS concepts FROM t""", ("v_scope",))
+def scope_parsed(a: Adapters) -> DataFrame:
+    text = F.concat("text", F.lit(" via run_"), (F.col("change_set_id") % 5).cast("string"), F.lit("() and load()"))
+    found = scope.parse(a.scope.select("change_set_id", text.alias("text"), "confidence", F.lit("cli").alias("source")))
+    return found.select("change_set_id", "description", *(F.array_join(f"target_{x}", ",").alias(x) for x in ("files", "functions", "concepts")))
+
+
+@query(rf"""+ f AS (SELECT DISTINCT change_set_id, unnest(list_transform(string_split(file_path, '/'), lambda p: regexp_replace(p, '^(.+)\.[^.]+$', '\1'))) AS stem FROM v_changes),
+d AS (SELECT change_set_id, regexp_replace(file_path, '/[^/]+$', '') AS directory, count(*) AS n, min(ordinal) AS first FROM v_changes GROUP BY 1, 2)
+SELECT change_set_id, concat('Changes concentrated in ', arg_max(directory, n * 1000000 - first)) AS description,
+ (SELECT string_agg(DISTINCT lower(stem), ',' ORDER BY lower(stem)) FROM f WHERE f.change_set_id = d.change_set_id AND NOT list_contains({_STOP}, stem)) AS concepts,
+ (SELECT string_agg(file_path, ',' ORDER BY file_path) FROM v_changes v WHERE v.change_set_id = d.change_set_id) AS files FROM d GROUP BY change_set_id""", ("v_changes",), ("changes",))
+def scope_inferred(a: Adapters) -> DataFrame:
+    found = scope.infer(_changes(a))
+    return found.select("change_set_id", "description", F.array_join("target_concepts", ",").alias("concepts"), F.array_join("target_files", ",").alias("files"))
+
+
 # ---- commit messages ---------------------------------------------------------------------------------------
 
 _VAGUE = ", ".join(f"'{w}'" for w in commits.VAGUE)
@@ -326,8 +354,8 @@ scored AS (SELECT *, CASE WHEN message = '' THEN 0.0::DOUBLE WHEN conventional T
  FROM (SELECT *, 1.0::DOUBLE - (CASE WHEN vague THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END) - (CASE WHEN short THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END) - (CASE WHEN stray THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END) AS base FROM q))"""
 
 
-@query(_QUALITY + """ SELECT change_set_id, round(score, 6) AS score, vague OR message = '' AS is_vague,
- CASE WHEN message = '' THEN 1 ELSE vague::INT + short::INT + stray::INT + (NOT conventional)::INT END AS issues FROM scored""", ("v_changes", "v_messages"))
+@query(_QUALITY + """ SELECT change_set_id, round(score, 2) AS score, vague OR message = '' AS is_vague,
+ CASE WHEN message = '' THEN 1 ELSE vague::INT + short::INT + stray::INT + (NOT conventional)::INT END AS issues FROM scored""", ("v_changes", "v_messages"), ("changes",))
 def commit_quality(a: Adapters) -> DataFrame:
     rows = commits.quality(a.messages, _changes(a))
     return rows.select("change_set_id", _r(F.col("score")).alias("score"), "is_vague", F.size("issues").alias("issues"))
@@ -378,12 +406,22 @@ def tests_by_import(a: Adapters) -> DataFrame:
     return test_mapping.by_import(_changes(a), a.edges).select("change_set_id", "changed_file", "test_file")
 
 
-@query(_TESTS + " SELECT change_set_id, test_file, changed_file, confidence FROM best", _TV)
+@query("""SELECT c.change_set_id, c.file_path AS changed_file, t.path AS test_file, concat('f', c.file_id % 50) AS function
+FROM v_changes c JOIN v_files t ON t.path LIKE 'tests/test_%.py' AND t.file_id % 50 = c.file_id % 50""", ("v_changes", "v_files"))
+def tests_by_function(a: Adapters) -> DataFrame:
+    """Each change of a function that the tests of some files name."""
+    name = F.concat(F.lit("f"), (F.col("file_id") % 50).cast("string"))
+    tests = test_mapping.test_files(a.files.withColumn("source", F.concat(F.lit("def test_"), name, F.lit("(): pass"))))
+    found = test_mapping.by_function(a.changes.withColumn("functions_modified", F.array(name)), tests)
+    return found.select("change_set_id", "changed_file", "test_file", "function")
+
+
+@query(_TESTS + " SELECT change_set_id, test_file, changed_file, confidence FROM best", _TV, ("changes",))
 def best_test(a: Adapters) -> DataFrame:
     return test_mapping.suggest(_changes(a), _nodes(a), a.edges).select("change_set_id", "test_file", "changed_file", "confidence")
 
 
-@query(_TESTS + " SELECT change_set_id, concat('pytest ', string_agg(test_file, ' ' ORDER BY test_file), ' -v') AS command FROM best GROUP BY 1", _TV)
+@query(_TESTS + " SELECT change_set_id, concat('pytest ', string_agg(test_file, ' ' ORDER BY test_file), ' -v') AS command FROM best GROUP BY 1", _TV, ("changes",))
 def test_command(a: Adapters) -> DataFrame:
     return test_mapping.command(test_mapping.suggest(_changes(a), _nodes(a), a.edges))
 
@@ -431,7 +469,7 @@ def _sources(a: Adapters) -> DataFrame:
 @query(r"SELECT src, dst FROM v_edges WHERE (src LIKE '%.py' AND dst LIKE '%.py') OR regexp_matches(src, '\.(js|ts)$')", ("v_edges",))
 def import_graph(a: Adapters) -> DataFrame:
     """The edges again, from the imports of the source texts."""
-    return project.edges(_sources(a).filter(r"path rlike '\\.(py|js|ts)$'").unionByName(_sources(a).filter(r"not path rlike '\\.(py|js|ts)$'").withColumn("source", F.lit(""))))
+    return project.edges(_sources(a).withColumn("source", F.when(F.expr(r"path rlike '\\.(py|js|ts)$'"), F.col("source")).otherwise("")))
 
 
 @query("""SELECT path, f.name, CAST(e.n + f.first AS INT) AS start_line, CAST(e.n + f.last AS INT) AS end_line FROM
@@ -451,6 +489,73 @@ def line_to_scope(a: Adapters) -> DataFrame:
     return project.innermost(lines, found)
 
 
+#: A source for each of several languages, {0} being a number, with the imports and the function (its line and name) in it.
+_SAMPLES = (
+    ("go", 'import (\n\t"fmt{0}"\n)\nimport "net"\nfunc (s *T) Run{0}(x int) {{', ("fmt{0}", "net"), (5, "Run{0}")),
+    ("rs", "use a::b{0};\nextern crate k;\npub fn go{0}(x) {{", ("a::b{0}", "k"), (3, "go{0}")),
+    ("java", "import static a.b{0};\nimport c.D;\n  public static int run{0}(int x) {{", ("a.b{0}", "c.D"), (3, "run{0}")),
+    ("rb", "require 'x{0}'\nrequire_relative \"y\"\ndef go{0}?\n", ("x{0}", "y"), (3, "go{0}?")),
+    ("c", '#include "h{0}.h"\n#include <stdio.h>\n', ("h{0}.h", "stdio.h"), None),
+    ("mjs", "import a from 'm{0}';\nconst go{0} = (x) => x;\nexport b from \"n\"", ("m{0}", "n"), (2, "go{0}")),
+    ("php", "use A{0};\n  function run{0}() {{\nrequire('z');", ("A{0}", "z"), (2, "run{0}")),
+)
+_SAMPLED = ", ".join(f"({k}, '{e}')" for k, (e, *_) in enumerate(_SAMPLES))
+
+
+def _samples(a: Adapters) -> DataFrame:
+    made, number = None, F.col("file_id").cast("string")
+    for k, (ending, text, _, _) in enumerate(_SAMPLES):
+        one = F.struct(F.concat(F.lit("f"), number, F.lit(f".{ending}")).alias("path"), F.replace(F.lit(text.replace("{{", "{")), F.lit("{0}"), number).alias("source"))
+        made = F.when(F.col("file_id") % len(_SAMPLES) == k, one) if made is None else made.when(F.col("file_id") % len(_SAMPLES) == k, one)
+    return a.files.select(made.alias("f")).select("f.*")
+
+
+@query(f"""SELECT concat('f', file_id, '.', ending) AS path, replace(name, '{{0}}', file_id::VARCHAR) AS name FROM v_files JOIN (VALUES {", ".join(f"({k}, '{e}', '{n}')" for k, (e, _, names, _) in enumerate(_SAMPLES) for n in names)}) s(k, ending, name) ON file_id % {len(_SAMPLES)} = k""", ("v_files",))
+def imports_by_language(a: Adapters) -> DataFrame:
+    return project.imports(_samples(a)).select("path", "name")
+
+
+@query(f"""SELECT concat('f', file_id, '.', ending) AS path, replace(name, '{{0}}', file_id::VARCHAR) AS name, line AS start_line FROM v_files JOIN (VALUES {", ".join(f"({k}, '{e}', {f[0]}, '{f[1]}')" for k, (e, _, _, f) in enumerate(_SAMPLES) if f)}) s(k, ending, line, name) ON file_id % {len(_SAMPLES)} = k""", ("v_files",))
+def functions_by_form(a: Adapters) -> DataFrame:
+    return project.regex_functions(_samples(a)).select("path", "name", "start_line")
+
+
+_STARTS = "SELECT path, 'f1' AS name, 2 AS start_line FROM v_files UNION ALL SELECT path, 'f2', CAST(3 + file_id % 3 AS INT) FROM v_files UNION ALL SELECT path, 'f3', 9 FROM v_files"
+
+
+@query(f"+ s AS ({_STARTS}), l AS (SELECT path, CAST(line AS INT) AS line FROM v_files, range(1, 11) r(line)) SELECT l.path, l.line, s.name FROM l ASOF JOIN s ON l.path = s.path AND l.line >= s.start_line", ("v_files",))
+def line_to_preceding(a: Adapters) -> DataFrame:
+    starts = a.spark.sql(_STARTS.replace("v_files", "{v_files}"), v_files=a.files)
+    lines = a.files.select("path", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("line"))
+    return project.preceding(lines, starts)
+
+
+@query("SELECT path, concat('K', file_id) AS class, 1 AS start_line, 4 AS end_line, 'print,self.g.h' AS calls, 'f,g' AS touched FROM v_files WHERE path LIKE '%.py'", ("v_files",))
+def ast_classes_and_calls(a: Adapters) -> DataFrame:
+    body = F.concat(F.lit("class K"), F.col("file_id").cast("string"), F.lit(":\n    def f(self): print(1)\n    def g(self):\n        return self.g.h(1)\n"))
+    found = project.python_sources(a.files.filter("path like '%.py'").select("path", body.alias("source")))
+    lines = found.select("path", F.explode(F.array(F.lit(2), F.lit(4), F.lit(3))).alias("line"))
+    touched = project.touched(lines, found.select("path", F.explode("functions").alias("f")).select("path", "f.*"))
+    one = found.select("path", "calls", F.explode("classes").alias("k")).join(touched, "path")
+    return one.select("path", F.col("k.name").alias("class"), "k.start_line", "k.end_line", F.array_join("calls", ",").alias("calls"), F.array_join("functions", ",").alias("touched"))
+
+
+@query("""SELECT change_set_id, file_path, 'renamed' AS change_type, concat('old/', file_path) AS old_path, concat('1,2,', ordinal, ',1 def f', ordinal, '|10,1,11,1 class K:') AS hunks, concat('f', ordinal, ',K') AS functions
+FROM v_changes WHERE change_type = 'modified'""", ("v_changes",))
+def diff_renames_and_hunks(a: Adapters) -> DataFrame:
+    """Modified files as renamed ones with two hunks each, written as diffs and parsed again."""
+    p, n = F.col("file_path"), F.col("ordinal").cast("string")
+    text = F.concat(
+        F.lit("diff --git a/old/"), p, F.lit(" b/"), p, F.lit("\nsimilarity index 90%\nrename from old/"), p, F.lit("\nrename to "), p, F.lit("\n--- a/old/"), p, F.lit("\n+++ b/"), p,
+        F.lit("\n@@ -1,2 +"), n, F.lit(",1 @@ def f"), n, F.lit("\n-old\n same\n@@ -10 +11 @@ class K:\n+new\n"),
+    )
+    texts = a.changes.filter("change_type = 'modified'").select(F.concat_ws("/", "change_set_id", "ordinal").alias("change_set_id"), text.alias("diff_text"))
+    found = diffs.parse(texts)
+    said = F.transform("hunks", lambda h: F.format_string("%d,%d,%d,%d %s", h["old_start"], h["old_count"], h["new_start"], h["new_count"], h["function_header"]))
+    key = F.split("change_set_id", "/")[0].cast("long").alias("change_set_id")
+    return found.select(key, "file_path", "change_type", "old_path", F.array_join(said, "|").alias("hunks"), F.array_join("functions_modified", ",").alias("functions"))
+
+
 @query("""SELECT path, CASE WHEN file_id % 7 = 0 THEN 'added' WHEN file_id % 7 = 1 THEN 'removed' ELSE 'modified' END AS state FROM v_files WHERE file_id % 7 < 3""", ("v_files",))
 def cache_staleness(a: Adapters) -> DataFrame:
     """Every seventh file added, another removed, another touched since the cache was written."""
@@ -466,7 +571,7 @@ def _reports(a: Adapters) -> DataFrame:
 
 
 @query(_SCORED + """, level AS (SELECT change_set_id, CASE level WHEN 'info' THEN 'note' WHEN 'critical' THEN 'error' ELSE 'warning' END AS level FROM phantoms)
-SELECT level, count(*) AS n FROM level GROUP BY level""", _RV)
+SELECT level, count(*) AS n FROM level GROUP BY level""", _RV, _KEPT)
 def sarif_levels(a: Adapters) -> DataFrame:
     return _phantoms(a).groupBy(report.phantom_level(F.col("severity")).alias("level")).agg(F.count("*").alias("n"))
 
@@ -484,3 +589,8 @@ def report_sarif(a: Adapters) -> DataFrame:
 @query()
 def report_markdown(a: Adapters) -> DataFrame:
     return report.markdown(_reports(a))
+
+
+@query()
+def report_terminal(a: Adapters) -> DataFrame:
+    return report.terminal(_reports(a))

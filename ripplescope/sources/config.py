@@ -7,7 +7,7 @@ from pathlib import Path
 from ripplescope.plans.analyze import Config
 
 # Names of the files that are looked for, and how far up.
-CONFIG_NAMES, IGNORE_NAME, PROMPT_NAMES, PARENTS = (".ripplescope.yml", ".ripplescope.yaml"), ".ripplescopeignore", (".ripplescope-prompt",), 20
+CONFIG_NAMES, IGNORE_NAME, PARENTS = (".ripplescope.yml", ".ripplescope.yaml"), ".ripplescopeignore", 20
 _WORDS = {"true": True, "yes": True, "on": True, "false": False, "no": False, "off": False, "null": None, "~": None, "": None}
 
 
@@ -74,7 +74,7 @@ def ignored(folder: str | Path) -> list[str]:
     return [s for s in map(str.strip, lines) if s and not s.startswith("#")]
 
 
-def prompt(folder: str | Path, names: tuple[str, ...] = PROMPT_NAMES) -> str:
+def prompt(folder: str | Path, names: tuple[str, ...] = Config.prompt_files) -> str:
     """The text of the first prompt file there is, or nothing."""
     return next((p.read_text(errors="replace") for p in (Path(folder, n) for n in names) if p.is_file()), "")
 
@@ -94,9 +94,34 @@ def of(data: dict[str, object]) -> Config:
         number(limits, "phantom_relevance", base.phantom_relevance), number(limits, "risk_safe", base.risk_safe), number(limits, "risk_danger", base.risk_danger),
         texts(data.get("ignore"), base.ignore), tuple(d.rstrip("/") for d in texts(tests.get("directories"), base.test_directories)), texts(tests.get("patterns"), base.test_patterns),
         c if isinstance(c := tests.get("command"), str) else base.test_command, known, f if isinstance(f := hook.get("fail_on"), str) else base.fail_on,
+        texts(part("scope").get("prompt_files"), base.prompt_files),
     )
 
 
+def default_text() -> str:
+    """A configuration file that says what holds without one."""
+    base = Config()
+    listed = lambda items, depth: "".join(f"{' ' * depth}- \"{x}\"\n" for x in items)
+    ignored = ("*.lock", "*.min.js", "*.min.css", "node_modules/", "vendor/", "__pycache__/", ".git/", "migrations/")
+    return (
+        "version: 1\n\n# Shares from 0 to 1\nthresholds:\n"
+        f"  phantom_relevance: {base.phantom_relevance}  # changes of lower relevance are reported\n  risk_safe: {base.risk_safe}\n  risk_danger: {base.risk_danger}\n\n"
+        f"# Changed files to leave out\nignore:\n{listed(ignored, 2)}\n"
+        f"tests:\n  directories:\n{listed([f'{d}/' for d in base.test_directories], 4)}  patterns:\n{listed(base.test_patterns, 4)}  command: \"{base.test_command}\"\n\n"
+        f"scope:\n  prompt_files:\n{listed(base.prompt_files, 4)}  # areas:\n  #   name:\n  #     files:\n  #       - \"src/name/\"\n  #     related:\n  #       - \"src/other.py\"\n\n"
+        "hook:\n  fail_on: \"danger\"  # safe, review, danger or never\n"
+    )
+
+
+def init(folder: str | Path) -> Path:
+    """Writes default_text() where there is no configuration yet."""
+    path = Path(folder, CONFIG_NAMES[0])
+    if path.exists():
+        raise FileExistsError(f"{path} is there already")
+    path.write_text(default_text())
+    return path
+
+
 def find(folder: str | Path) -> Config:
     """The nearest configuration at or above a folder, with its ignore file's patterns after its own."""
     at = Path(folder).resolve()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ripplescope.functions import languages
 from ripplescope.operators.scope import STRIP
 
+# The form of a hunk's header.
 _HUNK = r"(?md)^@@\s+-(\d+)(?:,(\d+))?\s+\+(\d+)(?:,(\d+))?\s+@@(.*)$"
 # Words before a name in a hunk's header.
 _KEYWORDS = ("def", "class", "fn", "func", "function", "public", "private", "static")
@@ -30,15 +31,17 @@ def _function(header: Column) -> Column:
     return F.when(name != "", name)
 
 
+# Forms of changed lines that import something.
+_IMPORT, _FROM, _REQUIRE = r"^import\s+(\S+)", r"^from\s+(\S+)\s+import\s+(.+)", r"""^const\s+\w+\s*=\s*require\s*\(\s*['"](.+?)['"]\s*\)"""
+
+
 def _import(line: Column) -> Column:
     """What a changed line imports: the form of Python is tried first, so it also reads 'import x from'."""
     taken = lambda pattern, group=1: F.regexp_extract(line, pattern, group)
-    source = r"^from\s+(\S+)\s+import\s+(.+)"
-    require = r"""^const\s+\w+\s*=\s*require\s*\(\s*['"](.+?)['"]\s*\)"""
     return (
-        F.when(line.rlike(r"^import\s+\S"), taken(r"^import\s+(\S+)"))
-        .when(line.rlike(source), F.concat(taken(source), F.lit("."), _strip(taken(source, 2))))
-        .when(line.rlike(require), taken(require))
+        F.when(line.rlike(_IMPORT), taken(_IMPORT))
+        .when(line.rlike(_FROM), F.concat(taken(_FROM), F.lit("."), _strip(taken(_FROM, 2))))
+        .when(line.rlike(_REQUIRE), taken(_REQUIRE))
     )
 
 
@@ -55,17 +58,19 @@ def parse(diffs: DataFrame) -> DataFrame:
     rows = rows.filter("old is not null or new is not null")
     says = lambda text: F.exists("head", lambda line: line.startswith(text))
     kind = F.when(F.col("new").isNull(), "deleted").when(F.col("old").isNull(), "added").when(says("rename from ") | (F.col("old") != F.col("new")), "renamed").otherwise("modified")
-    group = lambda k: F.regexp_extract_all("section", F.lit(_HUNK), F.lit(k))
     count = lambda x: F.when(x == "", 1).otherwise(x.cast("int"))
     pieces = F.split("section", _HUNK, -1)
-    zipped = F.arrays_zip(group(1).alias("a"), group(2).alias("b"), group(3).alias("c"), group(4).alias("d"), group(5).alias("e"), F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))).alias("f"))
-    hunks = F.transform(
-        zipped,
-        lambda h: F.struct(
-            h["a"].cast("int").alias("old_start"), count(h["b"]).alias("old_count"), h["c"].cast("int").alias("new_start"), count(h["d"]).alias("new_count"),
-            h["f"].alias("content"), F.when(_strip(h["e"]) != "", _strip(h["e"])).alias("function_header"),
-        ),
-    )
+    # one pass over the section for the header lines; their parts are taken from those short lines
+    zipped = F.arrays_zip(F.regexp_extract_all("section", F.lit(_HUNK), F.lit(0)).alias("line"), F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))).alias("content"))
+
+    def hunk(h: Column) -> Column:
+        part = lambda k: F.regexp_extract(h["line"], _HUNK, k)
+        return F.struct(
+            part(1).cast("int").alias("old_start"), count(part(2)).alias("old_count"), part(3).cast("int").alias("new_start"), count(part(4)).alias("new_count"),
+            h["content"].alias("content"), F.when(_strip(part(5)) != "", _strip(part(5))).alias("function_header"),
+        )
+
+    hunks = F.transform(zipped, hunk)
     rows = rows.select("change_set_id", "ordinal", F.coalesce("new", "old").alias("file_path"), kind.alias("change_type"), hunks.alias("hunks"), says("new file mode").alias("is_new_file"), says("deleted file mode").alias("is_deleted"), "lines")
     body = F.flatten(F.transform("hunks", lambda h: F.split(h["content"], "\n")))
     rows = rows.withColumn("body", body)
@@ -83,6 +88,21 @@ def parse(diffs: DataFrame) -> DataFrame:
     )
 
 
+def messages(spark: SparkSession, path: str) -> DataFrame:
+    """(change_set_id, head_message, pending_message) from a folder's files <change set>.head.txt and <change set>.pending.txt."""
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.{head,pending}.txt")
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.(?:head|pending)\.txt$", 1)
+    kind = F.regexp_extract(F.input_file_name(), r"\.(head|pending)\.txt$", 1)
+    rows = files.select(name.alias("change_set_id"), kind.alias("kind"), _strip(F.col("value")).alias("text"))
+    of = lambda k: F.coalesce(F.max(F.when(F.col("kind") == k, F.col("text"))), F.lit(""))
+    return rows.groupBy("change_set_id").agg(of("head").alias("head_message"), of("pending").alias("pending_message"))
+
+
+def place(root: str, last_commit: bool = False, ref: str | None = None) -> str:
+    """Where exported diffs of a kind lie: <root>/last-commit, <root>/refs/<ref> or, as the index, <root>/staged."""
+    return f"{root.rstrip('/')}/" + ("last-commit" if last_commit else f"refs/{ref}" if ref is not None else "staged")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Diff files (*.diff, *.patch) of a folder; the file's name without its ending is the change set."""
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*.{diff,patch}")

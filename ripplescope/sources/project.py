@@ -36,16 +36,26 @@ _LINES = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 _STRIP = r"(?U)^\s+|\s+$"
 
 
-def read(spark: SparkSession, root: str) -> DataFrame:
-    """(path, source, modified) of the source files below a folder; skipped directories are filtered by path alone."""
+def _below(spark: SparkSession, root: str) -> DataFrame:
+    """Files below a folder with their path in it, but for those in skipped directories; content is read only if it is asked for."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     # both without a scheme, so that the path within the project is what follows the root
     bare = F.regexp_replace(F.col("path"), r"^[a-zA-Z][\w+.-]*:(?://[^/]*)?", "")
     base = F.lit(root.split("://", 1)[-1].rstrip("/"))
     inner = F.expr("ltrim('/', substring(bare, locate(base, bare) + length(base)))")
     rows = files.withColumns({"bare": bare, "base": base}).withColumn("path", inner)
-    wanted = paths.suffix(F.col("path")).isin(*languages.GRAPHED) & ~F.arrays_overlap(paths.parent_parts(F.col("path")), F.array(*map(F.lit, SKIPPED)))
-    return rows.filter(wanted).select("path", F.decode("content", "UTF-8").alias("source"), F.col("modificationTime").alias("modified"))
+    return rows.filter(~F.arrays_overlap(paths.parent_parts(F.col("path")), F.array(*map(F.lit, SKIPPED))))
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(path, modified) of all files below a folder, whatever their kind."""
+    return _below(spark, root).select("path", F.col("modificationTime").alias("modified"))
+
+
+def read(spark: SparkSession, root: str) -> DataFrame:
+    """(path, source, modified) of the source files below a folder; skipped directories are filtered by path alone."""
+    rows = _below(spark, root).filter(paths.suffix(F.col("path")).isin(*languages.GRAPHED))
+    return rows.select("path", F.decode("content", "UTF-8").alias("source"), F.col("modificationTime").alias("modified"))
 
 
 def _call_name(node: ast.expr) -> str | None:
@@ -111,6 +121,12 @@ def innermost(lines: DataFrame, spans: DataFrame) -> DataFrame:
     return within.groupBy("path", "line").agg(F.min_by("name", F.struct(F.col("end_line") - F.col("start_line"), "start_line")).alias("name"))
 
 
+def touched(lines: DataFrame, spans: DataFrame) -> DataFrame:
+    """(path, functions): of each path the names of innermost() for its changed lines (path, line), each once, by first line."""
+    named = innermost(lines, spans).groupBy("path", "name").agg(F.min("line").alias("line"))
+    return named.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "name"))), lambda x: x["name"]).alias("functions"))
+
+
 def preceding(lines: DataFrame, starts: DataFrame) -> DataFrame:
     """(path, line, name): the function (path, name, start_line) that starts last at or before each line."""
     before = lines.join(starts, "path").filter("start_line <= line")

@@ -74,7 +74,7 @@ def test_risk(spark, project):
     nodes, edges = project
     changes = _changes(spark, ("a.py", "modified", 5, 45, []), ("tests/test_b.py", "added", 0, 0, []))
     scopes = _scope(spark, ["a.py"], [], 0.9)
-    row = risk.risk(changes, scopes, relevance.phantoms(relevance.scored(changes, scopes, nodes, edges)), nodes, edges, "danger").first()
+    row = risk.risk(changes, scopes, relevance.phantoms(relevance.scored(changes, scopes, nodes, edges)), edges, "danger").first()
     assert (row.complexity, row.deletion, row.test_coverage, row.scope_overflow) == (0.1, 0.9, 0.5, 0.0)
     levels = spark.createDataFrame([(0.8, 0.3), (0.8, 0.9), (0.1, 0.9), (0.4, 0.9)], "s double, c double").select(risk.classify(F.col("s"), F.col("c"))).collect()
     assert [r[0] for r in levels] == ["review", "danger", "safe", "review"]
