@@ -5,14 +5,17 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Entries that a worker keeps in a per-process memo before it starts afresh.
-MEMO_ENTRIES = 600_000
+#: Entries that a worker keeps in a per-process memo before it starts afresh; about 30 MB.
+MEMO_ENTRIES = 150_000
 #: Longest piece of text that is worth remembering.
 MEMO_CHARS = 48
-#: Bytes of text handled at once inside an Arrow function.
-GROUP_BYTES = 4 << 20
+#: Bytes (UTF-8) of text handled at once inside an Arrow function.
+GROUP_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,13 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        known = spark.sparkContext.getCheckpointDir()
-        if known is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ripplescope-"))
-            known = spark.sparkContext.getCheckpointDir()
-        folder = known
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ripplescope-"))
+        folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
 
 
@@ -52,6 +54,18 @@ def drop(*stored: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def text_groups(column: pa.Array, most: int = GROUP_BYTES) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) for runs of rows of about `most` bytes, a larger text alone; null is empty. Only a run becomes Python objects."""
+    column = pc.fill_null(column, "")
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, n = 0, len(column)
+    while at < n:
+        held = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, held + most, side="right")))
+        yield at, column.slice(at, stop - at).to_pylist()
+        at = stop
+
+
 def grouped_by_bytes(items: Iterable[tuple[object, int]], most: int) -> Iterator[list]:
     """Lists of consecutive items whose sizes add up to about `most`; an item larger than that is alone."""
     held: list = []

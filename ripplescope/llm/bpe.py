@@ -177,14 +177,11 @@ def _coder(path: str, pattern: str) -> _Coder:
 def _encoded(batches: Iterator[pa.RecordBatch], coder: _Coder) -> Iterator[pa.RecordBatch]:
     """The first column of (id, text) batches with the ids of the text, in batches of bounded size."""
     for batch in batches:
-        texts = batch.column(1).fill_null("").to_pylist()
-        at = 0
-        for group in C.grouped_by_bytes(((t, len(t)) for t in texts), C.GROUP_BYTES):
-            coded = coder.encode(group)
+        for at, texts in C.text_groups(batch.column(1)):
+            coded = coder.encode(texts)
             ends = np.cumsum([0] + [len(c) // 4 for c in coded], dtype=np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<i4"), pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(group)), ids], names=[batch.schema.names[0], "ids"])
-            at += len(group)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), ids], names=[batch.schema.names[0], "ids"])
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], coder: _Coder, ids_col: str) -> Iterator[pa.RecordBatch]:

@@ -68,10 +68,15 @@ def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     return out
 
 
-def _sets(batch: pa.RecordBatch, column: int, words: int) -> Iterator[np.ndarray]:
-    texts = batch.column(column).fill_null("").to_pylist()
-    for group in C.grouped_by_bytes(((t, len(t)) for t in texts), C.GROUP_BYTES):
-        yield from shingle_sets(group, words)
+def _sets(batch: pa.RecordBatch, column: int, words: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(first row, sets) of runs of rows."""
+    for at, texts in C.text_groups(batch.column(column)):
+        yield at, shingle_sets(texts, words)
+
+
+def _node(s: np.ndarray) -> int | None:
+    """The name of a set: a hash of its shingles, null for the empty one."""
+    return int(mix(np.array([s.sum(dtype=np.uint64) + np.uint64(len(s)), np.bitwise_xor.reduce(mix(s))], np.uint64)).view(np.int64).sum()) if len(s) else None
 
 
 def sketch(texts: DataFrame, words: int) -> np.ndarray:
@@ -81,9 +86,9 @@ def sketch(texts: DataFrame, words: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            sets = list(_sets(batch, 0, words))
-            if sets:
-                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
+            for _, sets in _sets(batch, 0, words):
+                place, n = np.unique((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), return_counts=True)
+                total[place] += n
         yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([np.minimum(p, 0xFFFFFFFF).astype("<u4").tobytes() for p in np.split(total, blocks)], pa.binary())], names=["block", "part"])
 
     def add(table: pa.Table) -> pa.Table:
@@ -118,19 +123,20 @@ def _described(docs: DataFrame, counters: np.ndarray, words: int, percent: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = shared.value
         mean = float(counters.mean())
+        kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.float64())
         for batch in batches:
-            size, node, first, whole, load = [], [], [], [], []
-            for s in _sets(batch, 1, words):
-                n = len(s)
-                size.append(n)
-                node.append(int(mix(np.array([s.sum(dtype=np.uint64) + np.uint64(n), np.bitwise_xor.reduce(mix(s))], np.uint64)).view(np.int64).sum()) if n else None)
-                weight = counters[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                chosen = np.lexsort((s, weight))[: n - _least_partner(n, percent) + 1] if n else np.zeros(0, np.int64)
-                first.append(s[chosen].view(np.int64).tolist())
-                whole.append(s.view(np.int64).tolist() if 0 < n <= SMALL else None)
-                load.append(float(np.maximum(weight[chosen] - mean, 1).sum()))
-            kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip((size, node, first, whole, load), kinds))], names=names)
+            for at, sets in _sets(batch, 1, words):
+                size, node, first, whole, load = [], [], [], [], []
+                for s in sets:
+                    n = len(s)
+                    size.append(n)
+                    node.append(_node(s))
+                    weight = counters[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                    chosen = np.lexsort((s, weight))[: n - _least_partner(n, percent) + 1] if n else np.zeros(0, np.int64)
+                    first.append(s[chosen].view(np.int64))
+                    whole.append(s.view(np.int64) if 0 < n <= SMALL else None)
+                    load.append(float(np.maximum(weight[chosen] - mean, 1).sum()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), *(pa.array(v, t) for v, t in zip((size, node, first, whole, load), kinds))], names=names)
 
     names = ["__id", "n", "node", "order", "whole", "load"]
     longs = T.ArrayType(T.LongType())
@@ -202,9 +208,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(_sets(batch, 0, words))
-            node = [int(mix(np.array([s.sum(dtype=np.uint64) + np.uint64(len(s)), np.bitwise_xor.reduce(mix(s))], np.uint64)).view(np.int64).sum()) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
+            for _, sets in _sets(batch, 0, words):
+                yield pa.RecordBatch.from_arrays([pa.array(map(_node, sets), pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
 
     sets = docs.join(ids, "__id").select("__text").mapInArrow(run, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"))
     sets = C.store(sets, "sets", "uncompressed")

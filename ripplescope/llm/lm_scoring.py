@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ from ripplescope.llm._words import mix, word_hashes
 
 #: Tokens of the input for each hash range, about; a range's exact counts are summed in one process.
 EXACT = 1 << 20
-CHUNK = 2 * C.GROUP_BYTES
+CHUNK = 8 << 20
 BITS_EACH, PROBES, STEPS, BLEND = 10, 7, 4, 0.1
 _START, _END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
@@ -62,11 +63,11 @@ def chunked(source: DataFrame) -> DataFrame:
         chunk, size = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             names = []
-            for text in batch.column(2).fill_null("").to_pylist():
-                if size and size + len(text) > CHUNK:
+            for length in pc.binary_length(batch.column(2)).fill_null(0).to_pylist():
+                if size and size + length > CHUNK:
                     chunk, size = chunk + 1, 0
                 names.append(chunk)
-                size += len(text)
+                size += length
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.int64())], names=kinds.names)
 
     return source.mapInArrow(run, kinds)
@@ -75,9 +76,8 @@ def chunked(source: DataFrame) -> DataFrame:
 def _keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens, the pairs that end with them, and the number of tokens of each row."""
     tokens, pairs, sizes = [], [], []
-    texts = table["__text"].fill_null("").to_pylist()
-    for group in C.grouped_by_bytes(((t, len(t)) for t in texts), C.GROUP_BYTES):
-        flat, at = _sequences(group)
+    for _, texts in C.text_groups(table["__text"].combine_chunks()):
+        flat, at = _sequences(texts)
         token = np.ones(len(flat), bool)
         token[at[:-1]] = False
         tokens.append(flat[token])

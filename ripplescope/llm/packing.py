@@ -121,9 +121,8 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: i
             keep: list[int] = []
             rows: list[tuple[int, int, int, int, int]] = []
             tails: list[bytes] = []
-            texts = batch.column(1).fill_null("").to_pylist()
-            for group in C.grouped_by_bytes(((i, len(t)) for i, t in enumerate(texts)), C.GROUP_BYTES):
-                for i, ids in zip(group, coder.encode([texts[i] for i in group])):
+            for at, texts in C.text_groups(batch.column(1)):
+                for i, ids in enumerate(coder.encode(texts), at):
                     ids += end
                     n = len(ids) // 4
                     for start in range(0, n, capacity):

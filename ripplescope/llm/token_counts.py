@@ -45,7 +45,7 @@ class _Counter:
             memo.clear()
         new = sorted(parts.difference(memo), key=len)
         extra: dict[str, int] = {}
-        for batch in C.grouped_by_bytes(((p, len(p) + 16) for p in new), 1 << 20):
+        for batch in C.grouped_by_bytes(((p, len(p.encode()) + 16) for p in new), 1 << 20):
             coded = self.tokenizer.encode_batch_fast([lead + p for p in batch], add_special_tokens=False)
             for part, enc in zip(batch, coded):
                 (memo if len(part) <= C.MEMO_CHARS else extra)[part] = len(enc)
@@ -80,8 +80,8 @@ def token_counts(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", t
             text = pc.fill_null(batch.column(1), "")
             size = pc.cast(pc.binary_length(text), pa.int64())
             counts: list[int] = []
-            for group in C.grouped_by_bytes(zip(text, size.to_pylist()), C.GROUP_BYTES):
-                counts += counter.counts([t.as_py() for t in group])
+            for _, texts in C.text_groups(text):
+                counts += counter.counts(texts)
             tokens = pa.array(counts, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), size, tokens, pc.greater(tokens, limit)], names=names)
 

@@ -172,6 +172,7 @@ def score(docs: DataFrame, model: tuple[tuple[bytes, bytes], list[float]] | floa
                 return [model for _ in texts]
             dictionaries, (w0, w1, w2, w3) = model
             if dictionaries not in _READY:
+                _READY.clear()  # a worker keeps those of the last model only
                 _READY[dictionaries] = _Distances(dictionaries)
             features = _READY[dictionaries].features
             return [1 / (1 + math.exp(-max(-30.0, min(30.0, w0 + w1 * a + w2 * b + w3 * c)))) for a, b, c in map(features, (t or "" for t in texts))]
