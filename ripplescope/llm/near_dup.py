@@ -1,20 +1,24 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
 Only vectors of the same (not null) label are compared. Equal vectors of a label are one node from the start,
-so copies cost nothing. Centroids are fitted for each label on at most SAMPLE vectors in all; every node joins
-the shards of its `overlap` nearest centroids. A shard of over BLOCK nodes is cut into blocks by hash, and
-each block is searched with the nodes of each block, so that no task holds more than two blocks.
-
-In a block the nearest BUILD nodes and some random ones are a node's candidates; robust pruning (an edge goes
-if a kept neighbour is ALPHA times as near to its end) leaves at most DEGREE of them, reverse edges are added
-and pruned again. The adjacency lists that a block's overlapping halves give a node are united. A search goes
-greedily from the block's medoids with a beam of `beam` nodes; when it has come to rest, every node found in
-range is expanded too, until nothing new in range turns up. Pairs found in range in single precision are
-verified in double precision; links are those with cosine >= `threshold`.
-
-A pair counts in the least shard that both its nodes joined. Recall is audited: the links of AUDIT nodes (by
-hash) are counted by brute force against all nodes of their labels; below TARGET the search is repeated with
-more overlap and a wider beam.
+so copies cost nothing. Centroids are fitted for each label on at most SAMPLE vectors in all; where these are
+too few for shards of about SHARD nodes, each cell is fitted again on at most SAMPLE of its own vectors. Every
+node joins the shards of its `overlap` nearest centroids. A shard of over BLOCK nodes is cut into blocks by
+hash, so that no task holds more than two blocks.
+
+Build: each block's nodes enter its graph in batches. A greedy search of the graph so far, from its medoids,
+gives a node's candidates, with a few random ones; robust pruning (a candidate goes if a kept neighbour is ALPHA
+times as near to it) leaves at most DEGREE neighbours, whose own lists take the node in and are pruned again; a second round does the
+same for all nodes over the whole graph. Union: the lists that a node has in its several shards become one. Search:
+over the united lists, from the block's medoids (and a node of any part that they don't reach), with a beam of `beam` nodes; when it has come to rest, every
+node found in range is expanded too, until nothing new in range turns up. Each block is searched with the nodes of
+each block of its shard. Pairs found in range in single precision are verified in double precision, on the
+vectors as they are given; links are those with cosine >= `threshold`.
+
+A pair counts in the least shard that both its nodes joined. Recall is audited: by brute force against all nodes
+of their labels, links of nodes picked by hash are told, of ever more nodes until AUDIT_LINKS links are among
+them (or AUDIT[-1] nodes are looked at). If less than TARGET of these pairs was found, the search is repeated with
+more overlap and a wider beam, and at last the exact way is taken: all blocks of a label against each other.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing, as those without a
 label: n_links 0, their own component, kept. Vectors of different lengths don't link. Repeated rows count as
@@ -29,13 +33,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ripplescope.llm import _common as C
 from ripplescope.llm._graph import components
 
 SAMPLE, SHARD, BLOCK = 16384, 1500, 4096
-BUILD, RANDOM, DEGREE, ALPHA = 48, 12, 24, 1.2
-AUDIT, TARGET = 256, 0.95
+DEGREE, ALPHA, BUILD_BEAM, RANDOM, BATCH, ENTRIES = 32, 1.0, 48, 8, 512, 16
+SETTINGS = ((2, 32), (4, 96), (8, 256))
+AUDIT, AUDIT_LINKS, TARGET = (512, 4096, 16384), 200, 0.95
+#: Rows of a cell that one task assigns to the cell's own centroids.
+CELL_ROWS = 50_000
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -49,95 +57,114 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def kmeans(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
+    """k centroids, of length 1 each, of vectors of length 1."""
+    rng = np.random.default_rng(len(x))
+    centers = x[rng.choice(len(x), k, replace=False)]
+    for _ in range(rounds if k > 1 else 0):
+        near = (x @ centers.T).argmax(axis=1)
+        sums = np.zeros_like(centers)
+        np.add.at(sums, near, x)
+        size = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        centers = np.where(size > 0, sums / np.maximum(size, 1e-12), centers)
+    return centers
+
+
 def fit_centroids(sample: list[tuple[str, np.ndarray]], scale: float) -> dict[str, np.ndarray]:
     """Centroids of each group of the sample, of which the whole input has `scale` times as many."""
     groups: dict[str, list[np.ndarray]] = {}
     for key, v in sample:
         groups.setdefault(key, []).append(v)
-    out = {}
-    for key, rows in groups.items():
-        x = _unit(np.array(rows))
-        k = min(-(-int(len(x) * scale) // SHARD), max(1, len(x) // 8))
-        rng = np.random.default_rng(len(x))
-        centers = x[rng.choice(len(x), k, replace=False)]
-        for _ in range(6 if k > 1 else 0):
-            near = (x @ centers.T).argmax(axis=1)
-            sums = np.zeros_like(centers)
-            np.add.at(sums, near, x)
-            size = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
-            centers = np.where(size > 0, sums / np.maximum(size, 1e-12), centers)
-        out[key] = centers
-    return out
-
+    return {key: kmeans(_unit(np.array(rows)), min(-(-int(len(rows) * scale) // SHARD), max(1, len(rows) // 8))) for key, rows in groups.items()}
 
-def _prune(near: np.ndarray, sims: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Robust pruning of candidates in descending similarity; cosine distances."""
-    v = x[near]
-    among = 1 - v @ v.T
-    far = 1 - sims
-    alive, kept = np.ones(len(near), bool), []
-    for i in range(len(near)):
-        if alive[i]:
-            kept.append(i)
-            if len(kept) == DEGREE:
-                break
-            alive &= ALPHA * among[i] > far
-    return near[kept]
 
+def _prune(cand: np.ndarray, sims: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Robust pruning of many nodes at once: their candidates (-1 for none) in descending similarity; cosine distances.
 
-def build_graph(x: np.ndarray) -> np.ndarray:
-    """(n, 2 * DEGREE) neighbours, -1 where there are fewer."""
-    n = len(x)
-    rng = np.random.default_rng(n)
-    chosen: list[np.ndarray] = []
-    for at in range(0, n, 512):
-        sims = x[at : at + 512] @ x.T
-        sims[np.arange(len(sims)), np.arange(at, at + len(sims))] = -2
-        k = min(BUILD, n - 1)
-        top = np.argpartition(-sims, k - 1, axis=1)[:, :k] if n > 1 else np.zeros((len(sims), 0), np.int64)
-        for r in range(len(sims)):
-            near = np.unique(np.concatenate([top[r], rng.integers(0, n, RANDOM)]))
-            near = near[near != at + r]
-            near = near[np.argsort(-sims[r, near], kind="stable")]
-            chosen.append(_prune(near, sims[r, near], x))
-    back: list[list[int]] = [[] for _ in range(n)]
-    for i, near in enumerate(chosen):
-        for j in near.tolist():
-            back[j].append(i)
-    graph = np.full((n, 2 * DEGREE), -1, np.int32)
-    for i in range(n):
-        extra = np.setdiff1d(np.array(back[i], np.int64), chosen[i])
-        if len(extra) > DEGREE:
-            sims = x[extra] @ x[i]
-            extra = _prune(extra[np.argsort(-sims, kind="stable")], np.sort(sims)[::-1], x)
-        both = np.concatenate([chosen[i], extra])
-        graph[i, : len(both)] = both
-    return graph
+    Places left over go to the nearest of those that were pruned.
+    """
+    m = cand.shape[1]
+    v = x[cand]
+    among = ALPHA * (np.float32(1) - v @ v.transpose(0, 2, 1))
+    far = 1 - sims
+    there = cand >= 0
+    alive, kept = there.copy(), np.zeros(cand.shape, bool)
+    for i in range(m):
+        take = np.flatnonzero(alive[:, i])
+        kept[take, i] = True
+        alive[take] &= among[take, i] > far[take]
+    place = np.arange(m)
+    first = np.argsort(np.where(kept, place, np.where(there, m + place, 2 * m + place)), axis=1)[:, :DEGREE]
+    out = np.full((len(cand), DEGREE), -1, np.int32)
+    out[:, : first.shape[1]] = np.take_along_axis(cand, first, 1)
+    return out
 
 
-def range_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, low: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) pairs with a similarity of `low` or more that greedy search and expansion find."""
+def _linked_back(graph: np.ndarray, nodes: np.ndarray, x: np.ndarray) -> None:
+    """Take `nodes` into the lists of their neighbours, which are pruned again."""
+    a, b = np.repeat(nodes, DEGREE), graph[nodes].ravel()
+    a, b = a[b >= 0], b[b >= 0]
+    if not len(b):
+        return
+    ends = np.unique(b)
+    old = graph[ends]
+    held = old >= 0
+    owner, other = np.concatenate([b, np.repeat(ends, DEGREE)[held.ravel()]]), np.concatenate([a, old[held]])
+    once = np.unique(owner.astype(np.int64) * len(x) + other)
+    owner, other = once // len(x), once % len(x)
+    sims = np.einsum("ij,ij->i", x[owner], x[other])
+    most = 2 * DEGREE  # of more than these, the ones held already and the nearest
+    fresh = ~(old[np.searchsorted(ends, owner)] == other[:, None]).any(axis=1)
+    order = np.lexsort((-sims, fresh, owner))
+    rank = np.arange(len(owner)) - np.searchsorted(owner, ends)[np.searchsorted(ends, owner[order])]
+    order = order[rank < most]
+    order = order[np.lexsort((-sims[order], owner[order]))]
+    owner, other, sims = owner[order], other[order], sims[order]
+    row = np.searchsorted(ends, owner)
+    rank = np.arange(len(owner)) - np.searchsorted(owner, ends)[row]
+    near = rank < most
+    cand, s = np.full((len(ends), most), -1, np.int64), np.full((len(ends), most), -3.0, np.float32)
+    cand[row[near], rank[near]], s[row[near], rank[near]] = other[near], sims[near]
+    for at in range(0, len(ends), BATCH):
+        graph[ends[at : at + BATCH]] = _prune(cand[at : at + BATCH], s[at : at + BATCH], x)
+
+
+def medoids(x: np.ndarray) -> np.ndarray:
+    """The nodes nearest to the middle of all and to those of some parts."""
+    k = min(ENTRIES, len(x))
+    return np.unique(np.concatenate([[(x @ x.mean(axis=0)).argmax()], (kmeans(x, k, 3) @ x.T).argmax(axis=1)]))
+
+
+def entries_of(x: np.ndarray, graph: np.ndarray) -> np.ndarray:
+    """The medoids and, of what no path leads to from them, one node of each part, so that all nodes can be reached."""
+    entries, reached = medoids(x), np.zeros(len(x) + 1, bool)
+    reached[-1] = True  # -1 stands for no neighbour
+    new = entries
+    while True:
+        while len(new):
+            reached[new] = True
+            near = np.unique(graph[new])
+            new = near[~reached[near]]
+        left = np.flatnonzero(~reached)
+        if not len(left):
+            return entries
+        new = left[(x[left] @ x[left].mean(axis=0)).argmax()][None]
+        entries = np.append(entries, new)
+
+
+def _beam(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, entries: np.ndarray, beam: int, note=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Greedy search: the best nodes of each query with their similarities, and (query, node) seen; note(query, node, similarity) is told of each once."""
     n, q = len(x), len(queries)
-    rows = np.arange(q)[:, None]
-    entries = np.unique(np.concatenate([[int((x @ x.mean(axis=0)).argmax())], np.linspace(0, n - 1, min(n, 4)).astype(np.int64)]))
     seen = np.zeros((q, n + 1), bool)
     seen[:, n] = True
     width = max(beam, len(entries))
-    ids = np.full((q, width), n, np.int64)
-    sims = np.full((q, width), -3.0, np.float32)
-    opened = np.ones((q, width), bool)
+    ids, sims, opened = np.full((q, width), n, np.int64), np.full((q, width), -3.0, np.float32), np.ones((q, width), bool)
     ids[:, : len(entries)] = entries
     sims[:, : len(entries)] = queries @ x[entries].T
     opened[:, : len(entries)] = False
     seen[:, entries] = True
-    hit_q, hit_n = [], []
-
-    def note(qs: np.ndarray, ns: np.ndarray, s: np.ndarray) -> None:
-        good = s >= low
-        hit_q.append(qs[good])
-        hit_n.append(ns[good])
-
-    note(np.repeat(np.arange(q), len(entries)), np.tile(entries, q), sims[:, : len(entries)].ravel())
+    if note:
+        note(np.repeat(np.arange(q), len(entries)), np.tile(entries, q), sims[:, : len(entries)].ravel())
     active = np.arange(q)
     while len(active):
         best = np.where(opened[active], -4.0, sims[active]).argmax(axis=1)
@@ -148,19 +175,17 @@ def range_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, low: flo
         opened[active, best] = True
         near = graph[ids[active, best]].astype(np.int64)
         near[near < 0] = n
-        new = ~seen[active[:, None], near]
-        r, c = np.nonzero(new)
-        qs, ns = active[r], near[r, c]
-        once = np.unique(qs * (n + 1) + ns)
+        r, c = np.nonzero(~seen[active[:, None], near])
+        once = np.unique(active[r] * (n + 1) + near[r, c])
         qs, ns = once // (n + 1), once % (n + 1)
         seen[qs, ns] = True
         s = np.einsum("ij,ij->i", queries[qs], x[ns])
-        note(qs, ns, s)
+        if note:
+            note(qs, ns, s)
         fresh = np.full((len(active), near.shape[1]), n, np.int64)
         fresh_s = np.full(fresh.shape, -3.0, np.float32)
         row = np.searchsorted(active, qs)
-        first = np.searchsorted(qs, active)
-        col = np.arange(len(qs)) - first[row]
+        col = np.arange(len(qs)) - np.searchsorted(qs, active)[row]
         fresh[row, col], fresh_s[row, col] = ns, s
         all_ids, all_s = np.concatenate([ids[active], fresh], axis=1), np.concatenate([sims[active], fresh_s], axis=1)
         all_open = np.concatenate([opened[active], fresh == n], axis=1)
@@ -168,23 +193,72 @@ def range_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, low: flo
         ids[active] = np.take_along_axis(all_ids, top, 1)
         sims[active] = np.take_along_axis(all_s, top, 1)
         opened[active] = np.take_along_axis(all_open, top, 1)
-    done = np.zeros((q, n + 1), bool)
+    return ids, sims, seen
+
+
+def build_graph(x: np.ndarray) -> np.ndarray:
+    """(n, DEGREE) neighbours, -1 where there are fewer, of vectors of length 1."""
+    n = len(x)
+    graph = np.full((n, DEGREE), -1, np.int32)
+    rng = np.random.default_rng(n)
+    order = rng.permutation(n)
+
+    def enter(batch: np.ndarray, cand: np.ndarray, sims: np.ndarray) -> None:
+        cand = np.where((cand == batch[:, None]) | (cand >= n), -1, cand)
+        sims = np.where(cand < 0, np.float32(-3), sims)
+        by = np.argsort(-sims, axis=1, kind="stable")
+        graph[batch] = _prune(np.take_along_axis(cand, by, 1), np.take_along_axis(sims, by, 1), x)
+        _linked_back(graph, batch, x)
+
+    first = order[: 2 * DEGREE]
+    enter(first, np.tile(first, (len(first), 1)), x[first] @ x[first].T)
+    at = len(first)
+    entries = first[medoids(x[first])]
+    while at < n:
+        batch = order[at : at + min(at, BATCH)]
+        ids, sims, _ = _beam(x, graph, x[batch], entries, BUILD_BEAM)
+        far = order[rng.integers(0, at, (len(batch), RANDOM))]
+        enter(batch, *_with(ids, sims, far, batch, x))
+        at += len(batch)
+    entries = entries_of(x, graph)
+    for at in range(0, n, BATCH):
+        batch = order[at : at + BATCH]
+        ids, sims, _ = _beam(x, graph, x[batch], entries, BUILD_BEAM)
+        enter(batch, *_with(ids, sims, graph[batch], batch, x))
+    return graph
+
+
+def _with(ids: np.ndarray, sims: np.ndarray, more: np.ndarray, nodes: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates of `nodes` and `more` of them, -1 where they are among the first."""
+    more = np.where((more[:, :, None] == ids[:, None, :]).any(axis=2), -1, more)
+    return np.concatenate([ids, more], axis=1), np.concatenate([sims, np.einsum("bd,bid->bi", x[nodes], x[more])], axis=1)
+
+
+def range_search(x: np.ndarray, graph: np.ndarray, entries: np.ndarray, queries: np.ndarray, low: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) pairs with a similarity of `low` or more that greedy search from the entries and expansion find."""
+    n = len(x)
+    hit_q, hit_n = [], []
+
+    def note(qs: np.ndarray, ns: np.ndarray, s: np.ndarray) -> None:
+        good = s >= low
+        hit_q.append(qs[good])
+        hit_n.append(ns[good])
+
+    seen = _beam(x, graph, queries, entries, beam, note)[2]
     qs, ns = np.concatenate(hit_q), np.concatenate(hit_n)
-    while len(qs):  # expand what is in range
-        fresh = ~done[qs, ns]
-        qs, ns = qs[fresh], ns[fresh]
-        done[qs, ns] = True
-        near = graph[ns].astype(np.int64)
-        near[near < 0] = n
-        new = ~seen[qs[:, None], near]
-        r, c = np.nonzero(new)
-        once = np.unique(qs[r] * (n + 1) + near[r, c])
-        qs, ns = once // (n + 1), once % (n + 1)
-        seen[qs, ns] = True
-        s = np.einsum("ij,ij->i", queries[qs], x[ns])
-        note(qs, ns, s)
-        qs, ns = hit_q[-1], hit_n[-1]
-    del rows
+    while len(qs):  # expand what is in range, each once
+        new_q, new_n = [], []
+        for at in range(0, len(qs), 1 << 14):
+            q, near = qs[at : at + (1 << 14)], graph[ns[at : at + (1 << 14)]].astype(np.int64)
+            near[near < 0] = n
+            r, c = np.nonzero(~seen[q[:, None], near])
+            once = np.unique(q[r] * (n + 1) + near[r, c])
+            a, b = once // (n + 1), once % (n + 1)
+            seen[a, b] = True
+            note(a, b, np.einsum("ij,ij->i", queries[a], x[b]))
+            new_q.append(hit_q[-1])
+            new_n.append(hit_n[-1])
+        qs, ns = np.concatenate(new_q), np.concatenate(new_n)
     return np.concatenate(hit_q), np.concatenate(hit_n)
 
 
@@ -209,43 +283,75 @@ def _roots(n: int, pairs: np.ndarray) -> np.ndarray:
     return np.array([find(i) for i in range(n)])
 
 
-def _unit_links(table: pa.Table, threshold: float, beam: int) -> pa.Table:
-    """Of one unit of work: for each node its links' rows that count here, and a node it hangs together with."""
-    node, count, k = (table[c].to_numpy() for c in ("node", "c", "k"))
-    role, raw = table["role"].to_numpy(), _vectors(table["embedding"])
-    joined = table["shards"].to_pylist()
+def _block_lists(table: pa.Table) -> pa.Table:
+    """(node, near): the neighbours of each node in the graph of one block."""
+    node = table["node"].to_numpy()
+    order = np.argsort(node, kind="stable")
+    node = node[order]
+    graph = build_graph(_unit(_vectors(table["embedding"])[order]))
+    held = graph >= 0
+    edges = np.concatenate(([0], np.cumsum(held.sum(axis=1)))).astype(np.int32)
+    return pa.table({"node": node, "near": pa.ListArray.from_arrays(pa.array(edges), pa.array(node[graph[held]], pa.int64()))})
+
+
+def _local(near: pa.Array, node: np.ndarray) -> np.ndarray:
+    """Lists of node names as places among the sorted `node`, -1 for those elsewhere and where a list is shorter."""
+    if isinstance(near, pa.ChunkedArray):
+        near = near.combine_chunks()
+    size = near.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = near.flatten().to_numpy(zero_copy_only=False)
+    place = np.minimum(np.searchsorted(node, flat), len(node) - 1)
+    graph = np.full((len(size), max(1, int(size.max(initial=0)))), -1, np.int32)
+    row = np.repeat(np.arange(len(size)), size)
+    graph[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = np.where(node[place] == flat, place, -1)
+    return graph
+
+
+def _unit_links(table: pa.Table, threshold: float, beam: int | None) -> pa.Table:
+    """Of one unit of work: for each node its links that count here, by copies and by distinct nodes, and a node it hangs together with.
+
+    Without a beam all pairs are compared.
+    """
+    node, role = table["node"].to_numpy(), table["role"].to_numpy()
     order = np.lexsort((node, role))
-    node, count, role, raw = node[order], count[order], role[order], raw[order]
-    joined = [joined[i] for i in order]
+    table, node, role = table.take(pa.array(order)), node[order], role[order]
+    count, k, raw = table["c"].to_numpy(), int(table["k"][0].as_py()), _vectors(table["embedding"])
     x = _unit(raw)
     index = np.flatnonzero(role <= 1)  # 0: both, 1: index only, 2: query only
     queries = np.flatnonzero(role != 1)
     pairs = np.zeros((0, 2), np.int64)
     if len(index) > 0 and len(queries) > 0:
-        graph = build_graph(x[index])
-        found = []
-        for at in range(0, len(queries), 512):
-            part = queries[at : at + 512]
-            q, m = range_search(x[index], graph, x[part], threshold - 1e-4, beam)
+        graph = _local(table["near"].combine_chunks().take(pa.array(index)), node[index]) if beam else None
+        entries = entries_of(x[index], graph) if beam else None
+        found = [pairs]
+        for at in range(0, len(queries), BATCH):
+            part = queries[at : at + BATCH]
+            q, m = range_search(x[index], graph, entries, x[part], threshold - 1e-4, beam) if beam else np.nonzero(x[part] @ x[index].T >= threshold - 1e-4)
             a, b = part[q], index[m]
             keep = a != b
             a, b = a[keep], b[keep]
             keep = _exact(raw[a], raw[b]) >= threshold
             found.append(np.column_stack([np.minimum(a[keep], b[keep]), np.maximum(a[keep], b[keep])]))
         pairs = np.unique(np.concatenate(found), axis=0)
-    here = int(k[0])
-    sets = [frozenset(s) for s in joined]
-    mine = np.array([min(sets[a] & sets[b]) == here for a, b in pairs.tolist()], bool)
-    links = np.zeros(len(node), np.int64)
-    np.add.at(links, pairs[mine, 0], count[pairs[mine, 1]])
-    np.add.at(links, pairs[mine, 1], count[pairs[mine, 0]])
+    mine = np.ones(len(pairs), bool)
+    if len(pairs) and beam:
+        joined = table["shards"].to_pylist()
+        sets = [frozenset(s) for s in joined]
+        mine = np.array([min(sets[a] & sets[b]) == k for a, b in pairs.tolist()], bool)
+    links, distinct = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64)
+    for a, b in ((0, 1), (1, 0)):
+        np.add.at(links, pairs[mine, a], count[pairs[mine, b]])
+        np.add.at(distinct, pairs[mine, a], 1)
     root = _roots(len(node), pairs)
     out = np.unique(pairs)
-    return pa.table({"node": node[out], "links": links[out], "other": node[root[out]]})
+    return pa.table({"node": node[out], "links": links[out], "distinct": distinct[out], "other": node[root[out]]})
+
 
+_FOUND = "node long, links long, distinct long, other long"
 
-def _search(nodes: DataFrame, centroids: dict[str, np.ndarray], threshold: float, overlap: int, beam: int) -> DataFrame:
-    """(node, links, other), several rows for a node."""
+
+def _assigned(nodes: DataFrame, centroids: dict[str, np.ndarray], overlap: int) -> DataFrame:
+    """`nodes` with the places of their nearest centroids (0 where a key has only one) as array<long> shards."""
     shared = nodes.sparkSession.sparkContext.broadcast(centroids)  # of at most SAMPLE / 8 vectors
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,49 +368,106 @@ def _search(nodes: DataFrame, centroids: dict[str, np.ndarray], threshold: float
                     top = np.argsort(-sims, axis=1, kind="stable")[:, :overlap]
                     for i, t in zip(rows, top.tolist()):
                         lists[i] = sorted(t)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], names=[*batch.schema.names, "shards"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int64()))], names=[*batch.schema.names, "shards"])
 
-    source = nodes.select("node", "key", "embedding", "c")
-    assigned = C.store(source.mapInArrow(assign, "node long, key string, embedding array<float>, c long, shards array<int>"), "shards")
-    rows = assigned.select("*", F.explode("shards").alias("k"))
-    sizes = C.store(rows.groupBy("key", "k").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")), "sizes")
-    rows = rows.join(sizes, ["key", "k"]).withColumn("i", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    return nodes.mapInArrow(assign, T.StructType([*nodes.schema.fields, T.StructField("shards", T.ArrayType(T.LongType()))]))
+
+
+def _refined(assigned: DataFrame, overlap: int) -> DataFrame:
+    """`assigned` with cells of over two SHARDs cut by centroids of their own: a shard is then cell * 2^24 + place.
+
+    Each cell is fitted on at most SAMPLE of its nodes; its nodes go to their nearest centroids in tasks of CELL_ROWS rows.
+    """
+    cells = assigned.select("node", "key", "embedding", F.explode("shards").alias("cell"))
+    sizes = cells.groupBy("key", "cell").agg(F.count("*").alias("n"))
+    large = C.store(sizes.filter(F.col("n") > 2 * SHARD).withColumn("parts", F.ceil(F.col("n") / CELL_ROWS).cast("int")), "cells")
+    picked = cells.join(large, ["key", "cell"]).filter(F.pmod(F.xxhash64("node", F.lit(3)), F.col("n")) < SAMPLE // 2)
+
+    def fit(table: pa.Table) -> pa.Table:
+        x = _unit(_vectors(table["embedding"])[:SAMPLE])
+        centers = kmeans(x, min(-(-table["n"][0].as_py() // SHARD), max(1, len(x) // 8)))
+        return pa.table({"key": table["key"][:1], "cell": table["cell"][:1], "parts": table["parts"][:1], "centers": pa.array([centers.astype("<f4").tobytes()], pa.binary())})
+
+    fitted = picked.groupBy("key", "cell").applyInArrow(fit, "key string, cell long, parts int, centers binary")
+    fitted = fitted.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = cells.join(large.select("key", "cell", "parts"), ["key", "cell"]).withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), "parts").cast("int"))
+
+    def place(rows: pa.Table, centers: pa.Table) -> pa.Table:
+        sims = _unit(_vectors(rows["embedding"])) @ np.frombuffer(centers["centers"][0].as_py(), "<f4").reshape(-1, len(rows["embedding"][0])).T
+        top = np.argsort(-sims, axis=1, kind="stable")[:, :overlap].astype(np.int64) + (int(rows["cell"][0].as_py()) << 24)
+        return pa.table({"node": rows["node"].combine_chunks(), "shards": pa.array(top.tolist(), pa.list_(pa.int64()))})
+
+    deeper = dealt.groupBy("key", "cell", "part").cogroup(fitted.groupBy("key", "cell", "part")).applyInArrow(place, "node long, shards array<long>")
+    whole = cells.join(large.select("key", "cell"), ["key", "cell"], "left_anti").select("node", F.array(F.col("cell") * (1 << 24)).alias("shards"))
+    shards = deeper.unionByName(whole).groupBy("node").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("shards")))).alias("shards"))
+    return assigned.drop("shards").join(shards, "node")
+
+
+def _units(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Rows of shards, with the number of blocks of each shard, as units of two blocks each."""
+    rows = rows.join(blocks, ["key", "k"]).withColumn("i", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")
     role = F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2).alias("role")
-    units = rows.select("*", other).select("key", "k", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "node", "c", "embedding", "shards", role)
-    return units.groupBy("key", "k", "lo", "hi").applyInArrow(lambda t: _unit_links(t, threshold, beam), "node long, links long, other long")
+    return rows.select("*", other).select(F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), role, *(c for c in rows.columns if c not in ("blocks", "i")))
 
 
-def _audit(nodes: DataFrame, counted: DataFrame, threshold: float) -> tuple[int, int]:
-    """Links found and links there are of AUDIT nodes."""
-    picked = nodes.orderBy(F.xxhash64("node", F.lit(7)), "node").limit(AUDIT).select("node", "key", "embedding").collect()
-    by: dict[str, list[tuple[int, np.ndarray]]] = {}
+def _search(nodes: DataFrame, centroids: dict[str, np.ndarray], deep: bool, threshold: float, overlap: int, beam: int) -> DataFrame:
+    """A stored table (node, links, distinct, other), several rows for a node."""
+    assigned = C.store(_assigned(nodes.select("node", "key", "embedding", "c"), centroids, overlap), "shards")
+    if deep:
+        coarse, assigned = assigned, C.store(_refined(assigned, overlap), "shards")
+        C.drop(coarse)
+    rows = assigned.select("*", F.explode("shards").alias("k"))
+    blocks = C.store(rows.groupBy("key", "k").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")), "sizes")
+    cut = rows.select("node", "key", "k", "embedding").join(blocks, ["key", "k"]).withColumn("i", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    lists = cut.groupBy("key", "k", "i").applyInArrow(_block_lists, "node long, near array<long>")
+    united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    united = C.store(united, "united")
+    units = _units(rows.join(united, "node"), blocks)
+    found = C.store(units.groupBy("key", "k", "lo", "hi").applyInArrow(lambda t: _unit_links(t, threshold, beam), _FOUND), "found")
+    C.drop(assigned, blocks, united)
+    return found
+
+
+def _brute_force(nodes: DataFrame, threshold: float) -> DataFrame:
+    """The same by the exact way: all blocks of a key against each other."""
+    rows = nodes.select("node", "key", "embedding", "c", F.lit(0).cast("long").alias("k"))
+    blocks = C.store(rows.groupBy("key", "k").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")), "sizes")
+    return C.store(_units(rows, blocks).groupBy("key", "k", "lo", "hi").applyInArrow(lambda t: _unit_links(t, threshold, None), _FOUND), "found")
+
+
+def _true_links(nodes: DataFrame, threshold: float, asked_nodes: int) -> dict[int, int]:
+    """The number of nodes that each of some nodes, picked by hash, links with, by brute force."""
+    picked = nodes.orderBy(F.xxhash64("node", F.lit(7)), "node").limit(asked_nodes).select("node", "key", "embedding").collect()
+    by: dict[str, list[tuple[int, list[float]]]] = {}
     for r in picked:
-        by.setdefault(r["key"], []).append((r["node"], np.array(r["embedding"], np.float32)))
-    asked = {key: (np.array([n for n, _ in v]), np.array([x for _, x in v])) for key, v in by.items()}
+        by.setdefault(r["key"], []).append((r["node"], r["embedding"]))
+    asked = nodes.sparkSession.sparkContext.broadcast({key: (np.array([n for n, _ in v]), np.array([x for _, x in v], np.float64)) for key, v in by.items()})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, total = np.array(batch.column(1).to_pylist(), object), {}
-            node, times = batch.column(0).to_numpy(), batch.column(3).to_numpy()
-            for key, (names, vectors) in asked.items():
+            node = batch.column(0).to_numpy()
+            for key, (names, v) in asked.value.items():
                 rows = np.flatnonzero(keys == key)
-                if len(rows):
-                    x = _vectors(batch.column(2).take(pa.array(rows))).astype(np.float64)
-                    v = vectors.astype(np.float64)
+                for at in range(0, len(rows), 1024):
+                    part = rows[at : at + 1024]
+                    x = _vectors(batch.column(2).take(pa.array(part))).astype(np.float64)
                     sims = (v @ x.T) / np.sqrt(np.outer((v * v).sum(axis=1), (x * x).sum(axis=1)))
-                    for i, name in enumerate(names.tolist()):
-                        total[name] = total.get(name, 0) + int(times[rows][(sims[i] >= threshold) & (node[rows] != name)].sum())
+                    n = ((sims >= threshold) & (node[part][None, :] != names[:, None])).sum(axis=1)
+                    for name, m in zip(names[n > 0].tolist(), n[n > 0].tolist()):
+                        total[name] = total.get(name, 0) + m
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["node", "n"])
 
-    there = nodes.select("node", "key", "embedding", "c").mapInArrow(count, "node long, n long").agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
-    found = counted.filter(F.col("node").isin([r["node"] for r in picked])).agg(F.coalesce(F.sum("links"), F.lit(0))).head()[0]
-    return found, there
+    counted = nodes.select("node", "key", "embedding").mapInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    return {r["node"]: r["n"] for r in counted.collect()}  # at most `asked_nodes` rows
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(id, n_links, component_id, kept) for each row of `vectors`."""
-    vector = F.col(vector_col).cast("array<float>")
+    given = vectors.schema[vector_col].dataType
+    single = isinstance(given, T.ArrayType) and isinstance(given.elementType, T.FloatType)
+    vector = F.col(vector_col).cast("array<float>" if single else "array<double>")
     rows = vectors.select(F.col(id_col).alias("__id"), vector.alias("embedding"), F.col(label_col).cast("string").alias("label"))
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     able = F.coalesce(sound & F.col("label").isNotNull(), F.lit(False))
@@ -315,17 +478,27 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     total = nodes.count()
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("key", "embedding").collect()
     centroids = fit_centroids([(r["key"], np.array(r["embedding"], np.float32)) for r in sample], total / max(1, len(sample)))
-    for overlap, beam in ((2, 32), (4, 96), (8, 256)):
-        found = C.store(_search(nodes, centroids, threshold, overlap, beam), "found")
-        counted = found.groupBy("node").agg(F.sum("links").alias("links"))
-        got, there = _audit(nodes, counted, threshold)
-        if got >= TARGET * there:
+    deep = total > 2 * SHARD * max(1, len(sample) // 8)
+    there: dict[int, int] = {}
+    for size in AUDIT:
+        there = _true_links(nodes, threshold, size)
+        if sum(there.values()) >= AUDIT_LINKS or size >= total:
+            break
+    asked = nodes.sparkSession.createDataFrame(list(there.items()), "node long, n long")
+    for overlap, beam in (*SETTINGS, (0, 0)):
+        found = _search(nodes, centroids, deep, threshold, overlap, beam) if beam else _brute_force(nodes, threshold)
+        got = found.join(F.broadcast(asked), "node").agg(F.coalesce(F.sum("distinct"), F.lit(0))).head()[0]  # at most AUDIT[-1] rows
+        if got >= TARGET * sum(there.values()):
             break
+        if beam:
+            C.drop(found)
+    counted = found.groupBy("node").agg(F.sum("links").alias("links"))
     hang = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     rooted = C.store(hang.join(nodes.select("node", "id"), "node"), "rooted")
     named = rooted.join(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("node", "component_id")
     known = nodes.select("node", "id", "c").join(counted, "node", "left").join(named, "node", "left")
     known = C.store(known.select("node", (F.col("c") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "id").alias("component_id")), "known")
+    C.drop(found, nodes, hang, rooted)
     linked = rows.filter("node is not null").select("__id", "node").join(known, "node").select("__id", "n_links", "component_id")
     alone = rows.filter("node is null").select("__id", F.lit(0).cast("long").alias("n_links"), F.col("__id").alias("component_id"))
     out = linked.unionByName(alone)
