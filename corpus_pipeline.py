@@ -31,8 +31,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     rows = C.store(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
     groups = jaccard_join.jaccard_join(rows, words=5, percent=80, id_col="__row")
     groups = C.store(groups.select("__row", "component_id").join(rows.select("__row", "doc_id"), "__row"), "groups")
-    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    gone = C.store(groups.join(first, "component_id").filter(F.col("__row") != F.col("first.__row")).select("__row"), "gone")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first"))
+    gone = C.store(groups.join(first.select("first.__row"), "__row", "left_anti").select("__row"), "gone")  # by row: no key is hot
     C.drop(groups)
     if gone.count() <= jaccard_join.BROADCAST_IDS:
         gone = F.broadcast(gone)
