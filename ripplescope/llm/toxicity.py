@@ -1,9 +1,11 @@
 """Toxicity by compression distance.
 
-Two raw-content zstd dictionaries are trained on a bounded sample of labelled texts. Both end with the same
-common part, trained by zstd on ordinary text, so that everyday matter costs the same with either. The toxic
-one begins with what sets toxic text apart: runs of 5-byte grams within words that toxic documents hold far
-more often than ordinary ones, most common last.
+Two raw-content zstd dictionaries are trained on a bounded sample of labelled texts, one on toxic and one on
+ordinary ones, by the same rule: first what sets the class apart (runs of 5-byte grams within words that its
+documents hold far more often than the other class's, most common last; nothing, if there are none), then a
+common part, trained by zstd on ordinary text, so that everyday matter costs the same with either. Dictionaries
+that zstd trains on either class's whole text differ mostly in which everyday matter they happen to hold, which
+drowns what tells the classes apart: the README has the figures.
 Every whole text is lower-cased (A-Z) and cut at white space into windows of about `WINDOW` bytes. For each
 window the length under the ordinary dictionary minus that under the toxic one is its distance. A logistic
 function of a document's largest distance, its three largest, and its excess over chance (fitted on labelled
@@ -21,7 +23,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from pyspark.sql import types as T
 
 from ripplescope.llm import _common as C
 
-WINDOW, GRAM, BASE_BYTES = 64, 5, 8192
+WINDOW, GRAM, BASE_BYTES, OWN_BYTES = 64, 5, 8192, 2048
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_BYTES = 3600, 9000, 32768
 _WINDOW = re.compile(rb"\S[\s\S]{0,%d}(?=\s|\Z)|\S{%d}" % (WINDOW - 1, WINDOW))
 
@@ -61,33 +63,42 @@ def _runs(word: bytes, marked: set[bytes]) -> Iterator[bytes]:
         yield word[start:end]
 
 
-def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """(toxic, ordinary) dictionary contents."""
+def _trained(windows: list[bytes], size: int) -> bytes:
+    """What zstd makes of windows of text, `size` bytes; the text itself where there is too little to train on."""
     import zstandard
 
-    with_t, with_o = Counter(g for t in toxic for g in _grams(t)), Counter(g for t in ordinary for g in _grams(t))
-    nt, no = len(toxic), len(ordinary)
-    told: dict[bytes, float] = {}  # how far apart the shares are, in standard errors
-    for g, a in with_t.items():
-        b = with_o[g]
-        if a * no >= 30 * b * nt:
-            p = (a + b) / (nt + no)
-            told[g] = (a / nt - b / no) / math.sqrt(p * (1 - p) * (1 / nt + 1 / no) + 1e-12)
+    try:
+        made = zstandard.train_dictionary(size + 512, windows[:: max(1, len(windows) // 60_000)], level=3).as_bytes()
+    except zstandard.ZstdError:
+        made = b" ".join(windows)
+    return made[-size:]
+
+
+def _own(texts: list[str], found: Counter[bytes], others: Counter[bytes], other_texts: int) -> bytes:
+    """What sets a class apart, most common last: runs of grams that its texts (as `found` counts) hold far more often than others."""
+    n, told = len(texts), {}
+    for g, a in found.items():  # how far apart the shares are, in standard errors
+        b = others[g]
+        if a * other_texts >= 30 * b * n:
+            p = (a + b) / (n + other_texts)
+            told[g] = (a / n - b / other_texts) / math.sqrt(p * (1 - p) * (1 / n + 1 / other_texts) + 1e-12)
     least = max(6.0, max(told.values(), default=0) / 4)
     marked = {g for g, z in told.items() if z >= least}
-    runs = Counter(r for t in toxic for r in {r for w in set(_words(t)) for r in _runs(b" " + w, marked)})
+    runs = Counter(r for t in texts for r in {r for w in set(_words(t)) for r in _runs(b" " + w, marked)})
     own = b""
-    for run, n in sorted(runs.items(), key=lambda x: (-x[1], x[0])):
-        if n < 0.01 * nt or len(own) + len(run) > BASE_BYTES // 4:
+    for run, k in sorted(runs.items(), key=lambda x: (-x[1], x[0])):
+        if k < 0.01 * n or len(own) + len(run) > OWN_BYTES:
             break
         if run not in own:
             own = run + own
-    windows = [w for t in ordinary for w in _WINDOW.findall(t.encode().lower())]
-    try:
-        base = zstandard.train_dictionary(BASE_BYTES, windows[:: max(1, len(windows) // 60_000)], level=3).as_bytes()[512:]
-    except zstandard.ZstdError:  # too little text to train on
-        base = b" ".join(windows)[:BASE_BYTES]
-    return own + base, base
+    return own
+
+
+def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+    """(toxic, ordinary) dictionary contents."""
+    with_t, with_o = (Counter(g for t in x for g in _grams(t)) for x in (toxic, ordinary))
+    common = _trained([w for t in ordinary for w in _WINDOW.findall(t.encode().lower())], BASE_BYTES)
+    return _own(toxic, with_t, with_o, len(ordinary)) + common, _own(ordinary, with_o, with_t, len(toxic)) + common
 
 
 class _Distances:
@@ -167,7 +178,7 @@ def score(docs: DataFrame, model: tuple[tuple[bytes, bytes], list[float]] | floa
     """(id, *keep, score) for each row of `docs`, in its partitioning."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each(texts: Iterable[str | None]) -> list[float]:
+        def each(texts: list[str]) -> list[float]:
             if isinstance(model, float):
                 return [model for _ in texts]
             dictionaries, (w0, w1, w2, w3) = model
@@ -175,14 +186,17 @@ def score(docs: DataFrame, model: tuple[tuple[bytes, bytes], list[float]] | floa
                 _READY.clear()  # a worker keeps those of the last model only
                 _READY[dictionaries] = _Distances(dictionaries)
             features = _READY[dictionaries].features
-            return [1 / (1 + math.exp(-max(-30.0, min(30.0, w0 + w1 * a + w2 * b + w3 * c)))) for a, b, c in map(features, (t or "" for t in texts))]
+            return [1 / (1 + math.exp(-max(-30.0, min(30.0, w0 + w1 * a + w2 * b + w3 * c)))) for a, b, c in map(features, texts)]
 
         for batch in batches:
-            scores = each(v.as_py() for v in batch.column(batch.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "score"])
-
-    source = docs.select(id_col, *keep, docs[text_col].cast("string").alias("__text"))
-    return source.mapInArrow(run, T.StructType([*source.schema.fields[:-1], T.StructField("score", T.DoubleType())]))
+            for at, texts in C.text_groups(batch.column(place).cast(pa.string())):
+                kept = batch.slice(at, len(texts)).columns[: len(keep) + 1]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(each(texts), pa.float64())], names=[*batch.schema.names[: len(keep) + 1], "score"])
+
+    text = [] if text_col in keep else [docs[text_col].cast("string").alias("__text")]
+    place = keep.index(text_col) + 1 if text_col in keep else len(keep) + 1
+    source = docs.select(id_col, *keep, *text)
+    return source.mapInArrow(run, T.StructType([*source.schema.fields[: len(keep) + 1], T.StructField("score", T.DoubleType())]))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
