@@ -8,8 +8,8 @@ pair of lowest rank of each word until no word has one left. A match that is a t
 Matches of over LONG bytes, for which one contraction a step would cost the square of the length, keep
 their pairs in a heap with the same order of contraction.
 
-Decoding: token-position rows of some documents join the vocabulary; an ordered aggregation puts the bytes
-of each document together.
+Decoding: at most SLICE token-position rows at once join the vocabulary; an ordered aggregation puts the bytes
+of each document together, or of the part of a long one.
 
 Null text counts as empty: no ids, no bytes. An id outside the vocabulary raises an error. Repeated rows give
 repeated results; no rows give no rows; other columns of the input are ignored by encode and kept by decode.
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from ripplescope.llm import _common as C
 
-LONG = 255
+LONG, SLICE = 255, 1 << 18
 _RUN = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _CONTRACT = """
@@ -153,16 +153,18 @@ class _Coder:
         return [(first[p[0]] if t else b"") + b"".join(map(rest.__getitem__, p[1:])) for t, p in zip(texts, split)]
 
     def decode(self, flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-        """Bytes of documents of `sizes` ids each, whose ids are `flat`."""
+        """Bytes of documents of `sizes` ids each, whose ids are `flat`; DuckDB gets at most SLICE token rows at once."""
         if len(flat) and not (flat.min() >= 0 and set(np.unique(flat).tolist()) <= self.bytes_of.keys()):
             raise ValueError("an id is not in the vocabulary")
-        out = [b""] * len(sizes)
-        rows = pa.table({"doc": np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), "pos": np.arange(len(flat), dtype=np.int32), "id": flat})
-        self.con.register("token_rows", rows)
-        for doc, raw in self.con.sql(_DECODE).fetchall():
-            out[doc] = raw
-        self.con.unregister("token_rows")
-        return out
+        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        out: list[list[bytes]] = [[] for _ in sizes]
+        for at in range(0, len(flat), SLICE):
+            part = slice(at, at + SLICE)
+            self.con.register("token_rows", pa.table({"doc": owner[part], "pos": np.arange(len(flat[part]), dtype=np.int32), "id": flat[part]}))
+            for doc, raw in self.con.sql(_DECODE).fetchall():
+                out[doc].append(raw)
+            self.con.unregister("token_rows")
+        return [b"".join(parts) for parts in out]
 
 
 _CODERS: dict[tuple[str, str], _Coder] = {}
