@@ -1,30 +1,34 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read once into text blocks, each with its root-to-leaf path of block tags (class and id words of a
-tag that mark menus, adverts, notices, comments and the like take its whole subtree out, as do nav, header,
-footer, aside, form and raw-text tags; but no such word counts at a tag around nine tenths of the page's text, or
-around its first article or main element unless a name begins with the word, and none at all if less than a tenth
-of the text would be left). For each path the text length and the punctuation marks of its
-blocks are added up and divided by the number of its blocks; both ratios are smoothed over the blocks in
-page order (a Gaussian of three blocks), multiplied, weighted by the share of text outside links and by
-article or main ancestors, and held against half the standard deviation over the page. The paths above that
-choose the content. All blocks of the deepest element that holds nine tenths of their text, or of the article or
-main element around it, are part of the text; so is every chosen block elsewhere, and what stands in the deepest
-element around all of these and the first h1 before them, unless more than half of it is links (so titles, leads
-and short sections stay).
+A page is read once into a tree of block elements and text blocks, each with its root-to-leaf path of block
+tags. What an element's kind says is no text goes at once: nav, header, footer, aside, form and the like, and
+raw ones (script, style, ...). For each path the text length and the punctuation marks of its blocks are added up
+and divided by the number of its blocks; both ratios are smoothed over the blocks in page order (a Gaussian of
+three blocks), multiplied, weighted by the share of text outside links and by article or main ancestors, and
+held against half the standard deviation over the page. A class, id or role that names menus, adverts, notices,
+comments or the like is a hint: the paths below such an element, which are told apart from others, weigh HINTED
+times as much. It is none around the page's first article or main element or nine tenths of its text (unless a
+name begins with the word, as in comment-list, and there is no article in it), and none at all if less than a
+tenth of the text is free of hints.
+
+The paths that reach the threshold choose the content. All blocks of the deepest element that holds nine tenths
+of their text, or of the article or main element around it, are part of the text, but for hinted ones; so is every
+chosen block elsewhere, and what stands in the deepest element around all of these and the first h1 before them,
+unless more than half of it is links (so titles, leads and short sections stay).
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by two
-newlines; nothing is cut off. Null, empty or text-free html gives the empty string; repeated rows give
-repeated results; no rows give no rows; other columns of the input are ignored.
+newlines; nothing is cut off. Work and memory grow in proportion to the page, however deep its tags are. Null,
+empty or text-free html gives the empty string; repeated rows give repeated results; no rows give no rows; other
+columns of the input are ignored.
 """
 from __future__ import annotations
 
 import html as _html
 import math
-import os
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,15 +36,19 @@ from pyspark.sql import types as T
 
 from ripplescope.llm import _common as C
 
+HINTED = 0.02
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCT = re.compile(r"[.,;:!?…。，；：！？、]")
 # Element kinds of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template iframe svg math object canvas textarea title select audio video noembed noframes xmp".split())
+_RAW = frozenset("script style noscript template iframe svg object canvas textarea title select audio video noembed noframes xmp".split())
 _OUT = frozenset("head nav header footer aside form button menu dialog fieldset label datalist output".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+_INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var "
+    "math mrow mi mn mo ms mtext mfrac msup msub msqrt mroot semantics annotation".split()
+)
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _HOLDS = frozenset("ul ol dl table tbody thead tfoot div section article main body blockquote".split())
 _MARKS = frozenset(
@@ -50,8 +58,27 @@ _MARKS = frozenset(
 )
 
 
+class Block(NamedTuple):
+    node: int  # the element that it stands in
+    text: str
+    linked: int  # characters in links
+
+
+class Page:
+    """The tree of a page's block elements, numbered as they begin, and its text blocks."""
+
+    def __init__(self) -> None:
+        self.tag, self.parent, self.last, self.depth = ["#"], [-1], [0], [0]
+        self.path = [0]  # equal for elements with the same tags from the root on, and the same hints among them
+        self.hint = [0]  # 0 without a mark, 2 if a name begins with one (comments, ad-top), 1 if it is elsewhere in one (has-sidebar)
+        self.blocks: list[Block] = []
+        self.paths: list[tuple[int, str]] = [(-1, "#")]
+
+    def within(self, node: int, root: int) -> bool:
+        return root <= node <= self.last[root]
+
+
 def _marked(tag: str, attributes: str) -> int:
-    """0 without a mark, 2 if a name begins with one (comments, ad-top), 1 if it is elsewhere in one (has-sidebar)."""
     if tag in ("html", "body", "main"):
         return 0
     most = 0
@@ -63,53 +90,38 @@ def _marked(tag: str, attributes: str) -> int:
     return most
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text, characters in links) of each block that is not taken out, in page order."""
-    marked: dict[int, int] = {}
-    found, total = _blocks(page, frozenset(), marked)
-    wrappers = frozenset(at for at, size in marked.items() if size < 0 or size and size >= 0.9 * total)
-    if wrappers:
-        found = _blocks(page, wrappers, {})[0]
-    if marked and 10 * sum(len(t) for _, t, _ in found) < total:
-        found = _blocks(page, frozenset(marked), {})[0]
-    return found
-
-
-def _blocks(page: str, wrappers: frozenset[int], marked: dict[int, int]) -> tuple[list[tuple[tuple[str, ...], str, int]], int]:
-    """The blocks, where marks at `wrappers` don't count, and the characters of all text that no tag's kind takes out.
-    `marked` gets the characters in each marked element by its place, -1 if it holds the first article or main element and no name of it begins with a mark."""
-    found: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, bool]] = []  # tag, taken out
-    open_marks: list[tuple[int, int, int]] = []  # depth, place and kind of marked elements
-    gone = total = 0  # depth of the outermost element that its kind takes out
-    first = True
+def read(html: str) -> Page:
+    page = Page()
+    stack: list[tuple[str, int]] = []  # tag, node; inline elements have their block's node
+    count: Counter[str] = Counter()  # of open tags
     text: list[str] = []
-    linked = links = serial = 0
-    path: list[str] = []  # of block tags; containers get a number, so that siblings stay apart
+    gone = linked = links = at = 0  # gone: depth of the stack where the outermost element left out began
 
     def flush() -> None:
         nonlocal linked
         if text:
             joined = " ".join(_html.unescape("".join(text)).split())
             if joined:
-                found.append((tuple(path), joined, linked))
+                page.blocks.append(Block(stack[-1][1] if stack else 0, joined, linked))
             text.clear()
         linked = 0
 
     def pop() -> None:
         nonlocal links, gone
-        tag, _ = stack.pop()
-        while open_marks and open_marks[-1][0] > len(stack):
-            open_marks.pop()
-        if gone > len(stack):
-            gone = 0
-        if tag == "a":
-            links -= 1
+        tag, node = stack[-1]
         if tag not in _INLINE:
             flush()
-            path.pop()
+            page.last[node] = len(page.tag) - 1
+        stack.pop()
+        count[tag] -= 1
+        if tag == "a":
+            links -= 1
+        if len(stack) < gone:
+            gone = 0
 
     def pop_to(tags: tuple[str, ...], stop: frozenset[str]) -> None:
+        if not any(count[t] for t in tags):
+            return
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in tags:
                 while len(stack) > k:
@@ -118,16 +130,10 @@ def _blocks(page: str, wrappers: frozenset[int], marked: dict[int, int]) -> tupl
             if stack[k][0] in stop:
                 return
 
-    at = 0
     while True:
-        m = _TOKEN.search(page, at)
-        piece = page[at : m.start() if m else len(page)]
-        if not gone and (size := len("".join(_html.unescape(piece).split()))):
-            total += size
-            for _, place, _ in open_marks:
-                if marked[place] >= 0:
-                    marked[place] += size
-        if piece and not (stack and stack[-1][1]):
+        m = _TOKEN.search(html, at)
+        piece = html[at : m.start() if m else len(html)]
+        if piece and not gone:
             text.append(piece)
             if links:
                 linked += len(piece)
@@ -138,61 +144,85 @@ def _blocks(page: str, wrappers: frozenset[int], marked: dict[int, int]) -> tupl
             continue
         tag = m[2].lower()
         if m[1]:
-            if any(t == tag for t, _ in stack):
+            if count[tag]:
                 pop_to((tag,), frozenset())
             continue
         if tag in _VOID:
-            if tag in ("br", "hr", "img", "input"):
+            if tag in ("br", "hr", "img", "input") and not gone:
                 text.append(" ")
             if tag == "hr":
                 flush()
             continue
-        if m[3].endswith("/"):
-            continue
-        if tag in _RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+        if tag in _RAW:  # a closing slash means nothing here, as in browsers
+            if tag == "svg" and m[3].endswith("/"):
+                continue
+            end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+            at = end.end() if end else len(html)
             continue
         if tag not in _INLINE:
             pop_to(("p",), _HOLDS)
             if tag in _ENDS:
                 pop_to(_ENDS[tag], _HOLDS)
-        if first and not gone and tag in ("article", "main"):
-            first = False
-            marked.update((place, -1) for _, place, kind in open_marks if kind == 1)
-        if marks := _marked(tag, m[3]):
-            marked[m.start()] = 0
-            open_marks.append((len(stack) + 1, m.start(), marks))
-        if tag in _OUT and not gone:
-            gone = len(stack) + 1
-        out = bool(stack and stack[-1][1]) or tag in _OUT or marks and m.start() not in wrappers
-        if tag not in _INLINE:
             flush()
-            serial += 1
-            path.append(f"{tag}#{serial}" if tag in _HOLDS else tag)
-        elif tag == "a":
+            over = stack[-1][1] if stack else 0
+            page.tag.append(tag)
+            page.parent.append(over)
+            page.depth.append(page.depth[over] + 1)
+            page.hint.append(_marked(tag, m[3]))
+            page.last.append(len(page.tag) - 1)
+            node = len(page.tag) - 1
+        else:
+            node = stack[-1][1] if stack else 0
+        if tag == "a":
             links += 1
-        stack.append((tag, out))
+        stack.append((tag, node))
+        count[tag] += 1
+        if tag in _OUT and not gone:
+            gone = len(stack)
     flush()
-    return found, total
+    while stack:
+        pop()
+    return page
 
 
-def _plain(path: tuple[str, ...]) -> tuple[str, ...]:
-    return tuple(p.partition("#")[0] for p in path)
+def _hints(page: Page) -> list[bool]:
+    """Whether each element is, or lies in, one that a name marks and that isn't around the article or nearly everything."""
+    n = len(page.tag)
+    size = [0] * n
+    for b in page.blocks:
+        size[b.node] += len(b.text)
+    for i in range(n - 1, 0, -1):
+        size[page.parent[i]] += size[i]
+    first = next((i for i in range(n) if page.tag[i] in ("article", "main")), -1)
 
+    def counts(i: int) -> bool:
+        if page.hint[i] == 1 and first > i and page.within(first, i):
+            return False
+        return page.hint[i] > 0 and size[i] < 0.9 * size[0]
 
-def scores(found: list[tuple[tuple[str, ...], str, int]]) -> list[float]:
+    hinted = [False] * n
+    for i in range(1, n):
+        hinted[i] = hinted[page.parent[i]] or counts(i)
+    free = sum(len(b.text) for b in page.blocks if not hinted[b.node])
+    return [False] * n if 10 * free < size[0] else hinted
+
+
+def scores(page: Page, hinted: list[bool]) -> list[float]:
     """The fused, smoothed path ratio of each block."""
-    sums: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0, 0, 0, 0])
-    paths = [_plain(p) for p, _, _ in found]
-    for path, (_, text, linked) in zip(paths, found):
-        s = sums[path]
+    known: dict[tuple[int, str, bool], int] = {}
+    path, inside = [0] * len(page.tag), [False] * len(page.tag)
+    for i in range(1, len(page.tag)):
+        over = page.parent[i]
+        path[i] = known.setdefault((path[over], page.tag[i], hinted[i]), len(known) + 1)
+        inside[i] = inside[over] or page.tag[i] in ("article", "main")
+    sums: dict[int, list[float]] = {}
+    for b in page.blocks:
+        s = sums.setdefault(path[b.node], [0, 0, 0, 0])
         s[0] += 1
-        s[1] += len(text)
-        s[2] += len(_PUNCT.findall(text))
-        s[3] += min(linked, len(text))
-    length = [sums[p][1] / sums[p][0] for p in paths]
-    marks = [(sums[p][2] + 0.5) / sums[p][0] for p in paths]
+        s[1] += len(b.text)
+        s[2] += len(_PUNCT.findall(b.text))
+        s[3] += min(b.linked, len(b.text))
+    own = [sums[path[b.node]] for b in page.blocks]
     kernel = (math.exp(-0.5), 1.0, math.exp(-0.5))
 
     def smooth(v: list[float]) -> list[float]:
@@ -202,34 +232,58 @@ def scores(found: list[tuple[tuple[str, ...], str, int]]) -> list[float]:
             out.append(sum(w * x for w, x in near) / sum(w for w, _ in near))
         return out
 
-    return [a * b * (1 - sums[p][3] / sums[p][1]) * (8 if "article" in p or "main" in p else 1) for a, b, p in zip(smooth(length), smooth(marks), paths)]
+    ratios = zip(smooth([s[1] / s[0] for s in own]), smooth([(s[2] + 0.5) / s[0] for s in own]), own, page.blocks)
+    return [a * b * (1 - s[3] / s[1]) * (8 if inside[x.node] else 1) * (HINTED if hinted[x.node] else 1) for a, b, s, x in ratios]
 
 
-def main_text(page: str | None) -> str:
-    found = blocks(page or "")
-    if not found:
+def main_text(html: str | None) -> str:
+    page = read(html or "")
+    blocks = page.blocks
+    if not blocks:
         return ""
-    score = scores(found)
+    hinted = _hints(page)
+    score = scores(page, hinted)
     mean = sum(score) / len(score)
     spread = math.sqrt(sum((s - mean) ** 2 for s in score) / len(score))
-    kept = [i for i, s in enumerate(score) if s >= 0.5 * spread] or list(range(len(found)))
-    total = sum(len(found[i][1]) for i in kept)
-    held: dict[tuple[str, ...], int] = defaultdict(int)
+    kept = [i for i, s in enumerate(score) if s >= 0.5 * spread and not (spread and s < mean and hinted[blocks[i].node])]
+    kept = kept or [i for i, b in enumerate(blocks) if not hinted[b.node]] or list(range(len(blocks)))
+    held = [0] * len(page.tag)
     for i in kept:
-        for k in range(1, len(found[i][0]) + 1):
-            if "#" in found[i][0][k - 1]:
-                held[found[i][0][:k]] += len(found[i][1])
-    root = max((p for p, n in held.items() if n >= 0.9 * total), key=len, default=())
-    around = max((k + 1 for k, p in enumerate(root) if p.partition("#")[0] in ("article", "main")), default=len(root))
-    root = root[:around]
-    title = next((i for i in range(kept[0]) if "h1" in found[i][0]), kept[0])
-    whole = os.path.commonprefix([root, *(found[i][0] for i in kept), found[title][0]])
-    while whole and "#" not in whole[-1]:
-        whole = whole[:-1]
+        held[blocks[i].node] += len(blocks[i].text)
+    total = sum(held)
+    for i in range(len(held) - 1, 0, -1):
+        held[page.parent[i]] += held[i]
+    root = max((i for i in range(len(held)) if held[i] >= 0.9 * total and (not i or page.tag[i] in _HOLDS)), key=lambda i: page.depth[i])
+    at, around = root, 0
+    while at > 0:  # the outermost article or main element around it
+        around = at if page.tag[at] in ("article", "main") else around
+        at = page.parent[at]
+    root = around or root
+    title = next((i for i in range(kept[0]) if _in_h1(page, blocks[i].node) and not hinted[blocks[i].node]), kept[0])
+    whole = root
+    ends = [blocks[i].node for i in (*kept, title)]
+    low, high = min(ends), max(ends)
+    while whole > 0 and not (whole <= low and high <= page.last[whole] and page.tag[whole] in _HOLDS):
+        whole = page.parent[whole]
     chosen = set(kept)
-    return "\n\n".join(
-        text for i, (path, text, linked) in enumerate(found) if i in chosen or path[: len(root)] == root or path[: len(whole)] == whole and 2 * linked <= len(text)
-    )
+
+    def wanted(i: int, b: Block) -> bool:
+        if i in chosen:
+            return True
+        if hinted[b.node] and not hinted[root]:
+            return False
+        return page.within(b.node, root) or page.within(b.node, whole) and 2 * b.linked <= len(b.text)
+
+    return "\n\n".join(b.text for i, b in enumerate(blocks) if wanted(i, b))
+
+
+def _in_h1(page: Page, node: int) -> bool:
+    """Whether the element is, or is in, an h1 (of the few elements next around it)."""
+    for _ in range(4):
+        if page.tag[node] == "h1":
+            return True
+        node = max(page.parent[node], 0)
+    return False
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -237,8 +291,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(page) for page in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[id_col, url_col, "text", "n_chars"])
+            for at, group in C.text_groups(batch.column(2)):
+                texts = [main_text(html) for html in group]
+                columns = (batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()))
+                yield pa.RecordBatch.from_arrays(columns, names=[id_col, url_col, "text", "n_chars"])
 
     source = pages.select(id_col, url_col, pages[html_col].cast("string").alias("__html"))
     return source.mapInArrow(run, T.StructType([source.schema[0], source.schema[1], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))
