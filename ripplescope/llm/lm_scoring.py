@@ -8,13 +8,17 @@ but for equal 64-bit hashes. Those of pairs come from the range's own segment of
 once for each level up to 1 + floor(STEPS * log2(count)), pairs seen once too, and the segment has at least
 BITS_EACH bits for each entry. No pair is left out, whatever their number.
 
-The base probability of a token is (c(w) + 1) / (N + V + 1). The model's, after its neighbour h, is BLEND * c(h, w)
-/ c(h) + (1 - BLEND) times that, where c(h, w) is found by asking the filter for level 1, 2, ... until the first no,
-and taken as the middle of its level.
+The base probability p(w) of a token is (c(w) + 1) / (N + V + 1). The model's, after its neighbour h, is
+(c(h, w) + m * p(w)) / (c(h) + m), where c(h, w) is found by asking the filter for level 1, 2, ... until the first no,
+and taken as the middle of its level. m is the one of WEIGHTS under which the training tokens are likeliest if each is
+left out of the counts when it is scored; all training tokens have a say in it.
 
 Null or empty text is the end alone. A null id counts as training. Repeated rows are trained on and scored
 each for itself; without training rows N and V are 0 and both scores are the tokens' number * log10(1); no
 rows give no rows; other columns of the input are ignored.
+
+The filter isn't broadcast: what it must hold grows with the corpus (see the README), and a broadcast may not. The
+probes of a chunk go to the segments instead, and the answers come back.
 """
 from __future__ import annotations
 
@@ -34,7 +38,8 @@ from ripplescope.llm._words import mix, word_hashes
 #: Tokens of the input for each hash range, about; a range's exact counts are summed in one process.
 EXACT = 1 << 20
 CHUNK = 8 << 20
-BITS_EACH, PROBES, STEPS, BLEND = 10, 7, 4, 0.1
+BITS_EACH, PROBES, STEPS = 10, 7, 4
+WEIGHTS = (1.0, 4.0, 16.0, 64.0, 256.0, 1024.0)
 _START, _END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
@@ -88,7 +93,7 @@ def _keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _ranges(size: int) -> int:
     """Bits of the hash that name a range, for so many bytes of text of about six to a token."""
-    return min(16, max(9, (size // (6 * EXACT)).bit_length()))
+    return min(24, max(9, (size // (6 * EXACT)).bit_length()))  # 2^24 ranges are 100 TB of text
 
 
 def _packed(values: np.ndarray, edges: np.ndarray) -> pa.Array:
@@ -103,21 +108,21 @@ _ANSWERED = "chunk long, range int, tokens binary, pairs binary, n long, v long,
 def asked(chunks: DataFrame, bits: int) -> DataFrame:
     """For each chunk and range the sorted keys of tokens (64 bits) and pairs (the 32 bits after the range's) in it with
     their counts in training rows."""
-    shift, low, n = np.uint64(64 - bits), np.uint64(32 - bits), 1 << bits
+    shift, low = np.uint64(64 - bits), np.uint64(32 - bits)
 
     def run(table: pa.Table) -> pa.Table:
         tokens, pairs, sizes = _keys(table)
         learned = np.repeat(table["held_out"].to_numpy() == 0, sizes)
-        columns, filled = [], np.zeros(n, bool)
-        for keys in (tokens, pairs):
-            unique, where = np.unique(keys, return_inverse=True)
+        kinds = [np.unique(keys, return_inverse=True) for keys in (tokens, pairs)]
+        present = np.union1d(kinds[0][0] >> shift, kinds[1][0] >> shift)
+        columns = []
+        for k, (unique, where) in enumerate(kinds):
             count = np.bincount(where, learned, len(unique)).astype("<u4")
-            edges = np.searchsorted(unique >> shift, np.arange(n + 1, dtype=np.uint64))
-            filled |= np.diff(edges) > 0
-            short = unique if keys is tokens else (unique >> low).astype("<u4")
+            edges = np.append(np.searchsorted(unique >> shift, present), len(unique))
+            short = (unique >> low).astype("<u4") if k else unique
             columns += [_packed(short, edges), _packed(count, edges)]
-        made = [pa.repeat(table["chunk"][0], n), pa.array(np.arange(n, dtype=np.int32)), *columns]
-        return pa.Table.from_arrays(made, names=["chunk", "range", "tokens", "tokens_n", "pairs", "pairs_n"]).filter(pa.array(filled))
+        made = [pa.repeat(table["chunk"][0], len(present)), pa.array(present.astype(np.int32)), *columns]
+        return pa.Table.from_arrays(made, names=["chunk", "range", "tokens", "tokens_n", "pairs", "pairs_n"])
 
     return chunks.groupBy("chunk").applyInArrow(run, _ASKED)
 
@@ -224,17 +229,24 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         first = np.cumsum(sizes) - sizes
         before = np.concatenate(([0], alone[:-1]))
         before[first] = train_rows
-        seen = np.where(before > 0, np.minimum(pair, before) / np.maximum(before, 1), 0.0)
-        base = (alone + 1) / space
-        add = lambda v: pa.array(np.add.reduceat(v, first))
-        columns = [pa.array(sizes.astype(np.int64)), add((alone > 0).astype(np.int64)), pa.array(np.full(len(sizes), train_tokens, np.int64))]
-        columns += [add(np.log10(base)), add(np.log10(BLEND * seen + (1 - BLEND) * base))]
-        return pa.Table.from_arrays([rows[id_col], rows["held_out"], *columns], names=kinds.names)
-
-    names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    kinds = T.StructType([*source.schema.fields[:2], *(T.StructField(n, T.LongType()) for n in names[:3]), *(T.StructField(n, T.DoubleType()) for n in names[3:])])
+        pair, base = np.minimum(pair, before), (alone + 1) / space
+        learned = np.repeat(rows["held_out"].to_numpy() == 0, sizes)
+        once = np.maximum(pair[learned] - 1, 0), np.maximum(before[learned] - 1, 0), np.maximum(alone[learned], 1) / space
+        add = lambda v: np.add.reduceat(v, first)
+        columns = [sizes.astype(np.int64), add((alone > 0).astype(np.int64)), add(np.log10(base))]
+        every = [add(np.log10((pair + m * base) / (before + m))) for m in WEIGHTS]
+        left_out = np.zeros((len(WEIGHTS), len(sizes)))  # of the chunk's training tokens, told with its first row
+        left_out[:, 0] = [np.log10((once[0] + m * once[2]) / (once[1] + m)).sum() for m in WEIGHTS]
+        return pa.Table.from_arrays([rows[id_col], rows["held_out"], *map(pa.array, columns), *map(pa.array, every), *map(pa.array, left_out)], names=kinds.names)
+
+    doubles = ["base_score", *(f"s{k}" for k in range(len(WEIGHTS))), *(f"l{k}" for k in range(len(WEIGHTS)))]
+    kinds = T.StructType([*source.schema.fields[:2], *(T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known")), *(T.StructField(n, T.DoubleType()) for n in doubles)])
     counts = answers.filter("chunk >= 0").select("chunk", "range", "tokens", "pairs")
-    return chunks.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(run, kinds)
+    scored = C.store(chunks.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(run, kinds), "scored")
+    C.drop(chunks, answers)
+    likely = scored.agg(*(F.coalesce(F.sum(f"l{k}"), F.lit(0.0)) for k in range(len(WEIGHTS)))).head()
+    best = max(range(len(WEIGHTS)), key=lambda k: likely[k])
+    return scored.select(id_col, "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", F.col(f"s{best}").alias("score"))
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
