@@ -25,6 +25,7 @@ other columns of the input are ignored.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -39,7 +40,7 @@ from ripplescope.llm import _common as C
 from ripplescope.llm._graph import components
 from ripplescope.llm._words import mix, word_hashes
 
-SKETCH_BITS, SMALL, BROADCAST_IDS = 20, 40, 500_000
+SKETCH_BITS, SMALL, BROADCAST_IDS, LIST = 20, 40, 500_000, 256
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -187,6 +188,24 @@ def _may_link(x: str, y: str, percent: int) -> Column:
     return (least <= F.least(n, m)) & ((i < 0) | listed)
 
 
+def _crossed(rest: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of entries of a list that are in different components and may link.
+
+    Only sizes of neighbouring bands can link; a list of over LIST entries is dealt over several tasks.
+    """
+    band = F.floor(F.log("n") / math.log(100 / percent) + 1e-9) if percent < 100 else F.col("n").cast("long")
+    sized = rest.withColumn("band", band)
+    parts = sized.groupBy("token", "band").agg(F.ceil(F.count("*") / F.lit(LIST)).cast("int").alias("parts"))
+    near = parts.select("token", "parts", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))).alias("band"))
+    parts = near.groupBy("token", "band").agg(F.max("parts").alias("parts"))  # of the lists that a band's entries meet
+    dealt = sized.join(parts, ["token", "band"])
+    x = dealt.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).alias("x")
+    met = sized.withColumn("band", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1))))).join(parts, ["token", "band"])
+    y = met.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
+    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.part") == F.col("y.part"))
+    return x.join(y, same & (F.col("x.root") < F.col("y.root")) & _may_link("x", "y", percent))
+
+
 def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Those of `pairs` whose listed shingles leave room for a link.
 
@@ -203,7 +222,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, p
     """A stored table of those (a, b) of `pairs` whose whole sets link."""
     wanted = C.store(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", F.col("id").alias("__id")), "node"), "wanted")
     ids = wanted.select("__id").distinct()
-    if ids.count() <= BROADCAST_IDS:
+    number = isinstance(ids.schema[0].dataType, T.NumericType)
+    if number and ids.count() <= BROADCAST_IDS:  # of 8 bytes each; ids of other kinds have no such bound
         ids = F.broadcast(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +272,7 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     rest = live.join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rest.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
     rest = C.store(rest.join(mixed, "token", "left_semi"), "rest")
-    crossed = rest.alias("x").join(rest.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & _may_link("x", "y", percent))
+    crossed = _crossed(rest, percent)
     crossed = crossed.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     crossed = C.store(_near(crossed, nodes, percent), "more_pairs")
     C.drop(live, pairs, rest)

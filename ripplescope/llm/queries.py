@@ -1,9 +1,14 @@
-"""The registered queries of this subpackage and their DuckDB counterparts."""
+"""The registered queries of this subpackage and their DuckDB counterparts.
+
+Of five operators what SQL can express is put in SQL too: two whole results, and the base columns of three under
+names of their own.
+"""
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ripplescope.llm.bpe import op4_byte_bpe
 from ripplescope.llm.html_extraction import op8_html_extraction
@@ -17,7 +22,82 @@ from ripplescope.llm.token_counts import op3_token_counts
 from ripplescope.llm.toxicity import op2_toxicity
 
 
-_QUERIES = (op1_jaccard_join, op2_toxicity, op3_token_counts, op4_byte_bpe, op5_media_columns, op6_pii, op7_packing, op8_html_extraction, op9_lm_scoring, op10_near_dup)
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and checksums of the payloads that op5 reads back."""
+    return op5_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
+
+
+def pii_base_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of op6's spans of the base kinds."""
+    return op6_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and base score of op9."""
+    return op9_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
+_QUERIES = (
+    op1_jaccard_join, op2_toxicity, op3_token_counts, op4_byte_bpe, op5_media_columns, op6_pii, op7_packing, op8_html_extraction, op9_lm_scoring, op10_near_dup,
+    media_payloads, pii_base_kinds, lm_base_scores,
+)
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+_CRC = """crc AS (SELECT list_transform(range(256), lambda x: list_reduce(list_concat([x::UBIGINT], range(8)::UBIGINT[]), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS t)"""
+
+
+def _crc32(bytes_list: str) -> str:
+    return f"xor(list_reduce(list_concat([4294967295::UBIGINT], {bytes_list}), lambda c, b: xor(t[((xor(c, b) & 255) + 1)::INT], c >> 8)), 4294967295::UBIGINT)"
+
+
+_REACH = """links AS (SELECT a, b FROM linked UNION SELECT b, a FROM linked),
+r(id, root) AS (SELECT id, id FROM nodes UNION SELECT r.id, links.b FROM r JOIN links ON links.a = r.root),
+named AS (SELECT id, min(root) AS component_id FROM r GROUP BY id)"""
+
+_JACCARD = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+ ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2]))) END AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n FROM s), e AS (SELECT doc_id, unnest(s) AS x FROM s), nodes AS (SELECT doc_id AS id FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+linked AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)), {_REACH}
+SELECT doc_id, n AS n_shingles, component_id FROM n JOIN named ON id = doc_id"""
+
+_NEAR = f"""WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+ AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS able FROM embeddings),
+nodes AS (SELECT vec_id AS id FROM v),
+linked AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id AND a.able AND b.able AND len(a.e) = len(b.e)
+ WHERE list_cosine_similarity(a.e, b.e) >= 0.98), {_REACH}
+SELECT id AS vec_id, (SELECT count(*) FROM links WHERE a = id) AS n_links, component_id, id = component_id AS kept FROM named"""
+
+_MEDIA = f"""WITH {_CRC}, p AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, encode(coalesce(text, '')) AS raw FROM documents),
+q AS (SELECT doc_id, n, raw || unhex(repeat('00', (CASE WHEN n = 0 THEN 64 ELSE (64 - n % 64) % 64 END)::INT)) AS payload FROM p),
+h AS (SELECT *, right(hex(payload), 128) AS tail FROM q)
+SELECT doc_id, n AS n_bytes, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_sha256,
+ {_crc32("list_transform(range(64), lambda i: ((instr('0123456789ABCDEF', tail[(2 * i + 1)::INT]) - 1) * 16 + instr('0123456789ABCDEF', tail[(2 * i + 2)::INT]) - 1)::UBIGINT)")}::BIGINT AS tail_crc32 FROM h, crc"""
+
+_KINDS = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "TRUE"),
+    ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 OR (ltrim(p, '0') <> '' AND length(ltrim(p, '0')) <= 3 AND ltrim(p, '0')::INT > 255))) = 0"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+", "length(d) BETWEEN 14 AND 19 AND list_sum(list_transform(range(length(d)), lambda i: CASE WHEN i % 2 = 0 THEN substr(d, (length(d) - i)::INT, 1)::INT "
+     "WHEN substr(d, (length(d) - i)::INT, 1)::INT > 4 THEN 2 * substr(d, (length(d) - i)::INT, 1)::INT - 9 ELSE 2 * substr(d, (length(d) - i)::INT, 1)::INT END)) % 10 = 0"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(d) BETWEEN 10 AND 15"),
+)
+_FOUND = " UNION ALL ".join(
+    f"""SELECT doc_id, {k} AS rank, '{name}' AS kind, first, first + length(x) AS last FROM (
+ SELECT *, regexp_replace(x, '[^0-9]', '', 'g') AS d, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i) - length(x) AS first FROM (
+  SELECT doc_id, unnest(parts) AS x, generate_subscripts(parts, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '{pattern}', concat(chr(57344), '\\0', chr(57344)), 'g'), chr(57344)) AS parts FROM t))) WHERE i % 2 = 0 AND {valid}"""
+    for k, (name, pattern, valid) in enumerate(_KINDS)
+)
+_PII = f"""WITH t AS (SELECT doc_id, replace(coalesce(text, ''), chr(57344), chr(65533)) AS text FROM documents), s AS ({_FOUND})
+SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{name}') AS n_{name}" for name, _, _ in _KINDS)},
+ sha256(coalesce(string_agg(concat(kind, ':', first::BIGINT, ':', last::BIGINT), ',' ORDER BY first, rank) FILTER (kind IS NOT NULL), '')) AS base_sha256 FROM t LEFT JOIN s USING (doc_id) GROUP BY doc_id"""
+
+_LM = f"""WITH {_CRC}, w AS (SELECT doc_id, {_WORDS} AS w, {_crc32("list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)")} % 7 = 2 AS held_out FROM documents, crc),
+k AS (SELECT doc_id, held_out, unnest(list_append(w, ' ')) AS token FROM w),
+c AS (SELECT token, count(*) AS c FROM k WHERE NOT held_out GROUP BY token), z AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c.c) AS n_known, any_value(z.n) AS train_tokens, round(sum(log10((coalesce(c.c, 0) + 1)::DOUBLE / (z.n + z.v + 1))), 3) AS base_score
+FROM k LEFT JOIN c USING (token), z GROUP BY doc_id, held_out"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +105,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_jaccard_join": _JACCARD, "op10_near_dup": _NEAR, "media_payloads": _MEDIA, "pii_base_kinds": _PII, "lm_base_scores": _LM}
