@@ -10,8 +10,8 @@ BITS_EACH bits for each entry. No pair is left out, whatever their number.
 
 The base probability p(w) of a token is (c(w) + 1) / (N + V + 1). The model's, after its neighbour h, is
 (c(h, w) + m * p(w)) / (c(h) + m), where c(h, w) is found by asking the filter for level 1, 2, ... until the first no,
-and taken as the middle of its level. m is the one of WEIGHTS under which the training tokens are likeliest if each is
-left out of the counts when it is scored; all training tokens have a say in it.
+and taken as the mean of its level's counts. m is the one of WEIGHTS under which the training rows are likeliest if each is
+left out of the counts when it is scored; all training rows have a say in it.
 
 Null or empty text is the end alone. A null id counts as training. Repeated rows are trained on and scored
 each for itself; without training rows N and V are 0 and both scores are the tokens' number * log10(1); no
@@ -22,6 +22,7 @@ probes of a chunk go to the segments instead, and the answers come back.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -131,8 +132,17 @@ def _levels(count: np.ndarray) -> np.ndarray:
     return 1 + np.floor(STEPS * np.log2(count) + 1e-9).astype(np.int64)
 
 
+def _middle_of(level: int) -> float:
+    """The mean of the whole numbers of a level, so small counts are exact."""
+    least = math.ceil(2 ** ((level - 1) / STEPS) - 1e-9)
+    return (least + max(least, math.ceil(2 ** (level / STEPS) - 1e-9) - 1)) / 2 if level else 0.0
+
+
+_MIDDLE = np.array([_middle_of(k) for k in range(64 * STEPS)])
+
+
 def _middle(level: np.ndarray) -> np.ndarray:
-    return np.where(level > 0, 2.0 ** ((level - 0.5) / STEPS), 0.0)
+    return _MIDDLE[level]
 
 
 def _bits(key: np.ndarray, level: int, segment: int) -> np.ndarray:
@@ -231,7 +241,16 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         before[first] = train_rows
         pair, base = np.minimum(pair, before), (alone + 1) / space
         learned = np.repeat(rows["held_out"].to_numpy() == 0, sizes)
-        once = np.maximum(pair[learned] - 1, 0), np.maximum(before[learned] - 1, 0), np.maximum(alone[learned], 1) / space
+        row = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)[learned]
+        previous = np.concatenate((tokens[:1], tokens[:-1]))
+        previous[first] = _START
+
+        def others(count: np.ndarray, keys: np.ndarray) -> np.ndarray:
+            """The counts without those of the row itself."""
+            _, where, own = np.unique(mix(keys[learned] + row * np.uint64(0xA24BAED4963EE407)), return_inverse=True, return_counts=True)
+            return np.maximum(count[learned] - own[where], 0)
+
+        once = others(pair, pairs), others(before, previous), (others(alone, tokens) + 1) / space
         add = lambda v: np.add.reduceat(v, first)
         columns = [sizes.astype(np.int64), add((alone > 0).astype(np.int64)), add(np.log10(base))]
         every = [add(np.log10((pair + m * base) / (before + m))) for m in WEIGHTS]
