@@ -293,7 +293,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         for batch in batches:
             for at, group in C.text_groups(batch.column(2)):
                 texts = [main_text(html) for html in group]
-                columns = (batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()))
+                columns = [batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, url_col, "text", "n_chars"])
 
     source = pages.select(id_col, url_col, pages[html_col].cast("string").alias("__html"))

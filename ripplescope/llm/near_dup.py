@@ -38,8 +38,8 @@ from pyspark.sql import types as T
 from ripplescope.llm import _common as C
 from ripplescope.llm._graph import components
 
-SAMPLE, SHARD, BLOCK = 16384, 1500, 4096
-DEGREE, ALPHA, BUILD_BEAM, RANDOM, BATCH, ENTRIES = 32, 1.0, 48, 8, 512, 16
+SAMPLE, SHARD, BLOCK = 16384, 400, 4096
+DEGREE, ALPHA, BUILD_BEAM, RANDOM, BATCH, ENTRIES = 32, 1.0, 32, 8, 512, 8
 SETTINGS = ((2, 32), (4, 96), (8, 256))
 AUDIT, AUDIT_LINKS, TARGET = (512, 4096, 16384), 200, 0.95
 #: Rows of a cell that one task assigns to the cell's own centroids.
