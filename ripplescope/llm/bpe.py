@@ -32,6 +32,8 @@ from pyspark.sql import types as T
 from ripplescope.llm import _common as C
 
 LONG, SLICE = 255, 1 << 18
+#: Bytes of text encoded at once (each costs some queries), and entries of a memo.
+GROUP_BYTES, MEMO_ENTRIES = 4 << 20, 3 * C.MEMO_ENTRIES
 _RUN = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _CONTRACT = """
@@ -112,7 +114,7 @@ class _Coder:
         return np.array([ranks[word[i : end[i]]] for i in range(n) if alive[i]], "<u4").tobytes()
 
     def _learn_matches(self, new: set[str]) -> dict[str, bytes]:
-        if len(self.matches) > 2 * C.MEMO_ENTRIES:
+        if len(self.matches) > 2 * MEMO_ENTRIES:
             self.matches.clear()
         extra: dict[str, bytes] = {}
         short: list[tuple[str, bytes]] = []
@@ -141,7 +143,7 @@ class _Coder:
         split = [_SAFE.split(t) if _RUN.search(t) else t.split(" ") for t in texts]
         known = []
         for memo, parts, lead in ((self.first, {p[0] for p in split}, ""), (self.rest, set(chain.from_iterable(split)), " ")):
-            if len(memo) > C.MEMO_ENTRIES:
+            if len(memo) > MEMO_ENTRIES:
                 memo.clear()
             found = {p: self._matches(lead, p) for p in parts.difference(memo)}
             extra = self._learn_matches(set(chain.from_iterable(found.values())))
@@ -179,7 +181,7 @@ def _coder(path: str, pattern: str) -> _Coder:
 def _encoded(batches: Iterator[pa.RecordBatch], coder: _Coder) -> Iterator[pa.RecordBatch]:
     """The first column of (id, text) batches with the ids of the text, in batches of bounded size."""
     for batch in batches:
-        for at, texts in C.text_groups(batch.column(1)):
+        for at, texts in C.text_groups(batch.column(1), GROUP_BYTES):
             coded = coder.encode(texts)
             ends = np.cumsum([0] + [len(c) // 4 for c in coded], dtype=np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<i4"), pa.int32()))
