@@ -59,8 +59,8 @@ def proximity(path: Column, targets: Column) -> Column:
 
     def one(target: Column) -> Column:
         other = paths.parent_parts(target)
-        depth = F.least(F.size(own), F.size(other))
-        common = F.size(F.filter(F.sequence(F.lit(0), depth), lambda i: (i > 0) & (F.slice(own, 1, i) == F.slice(other, 1, i))))
+        differ = F.array_position(F.zip_with(own, other, lambda a, b: a == b), False)  # null, so no difference, beyond the shorter one
+        common = F.when(differ > 0, differ - 1).otherwise(F.least(F.size(own), F.size(other)))
         return F.when(common == 0, 0.0).otherwise(common / F.greatest(F.size(own), F.size(other)))
 
     return F.coalesce(F.array_max(F.transform(targets, one)), F.lit(0.0))

@@ -10,6 +10,7 @@ from ripplescope.functions import globs, languages, paths
 from ripplescope.operators import commits, graph, relevance, risk, scope, test_mapping
 from ripplescope.plans import analyze, report
 from ripplescope.plans.adapters import Adapters, prelude
+from ripplescope.plans.storage import settled
 from ripplescope.sources import diffs, project
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -213,7 +214,7 @@ def phantom_severity(a: Adapters) -> DataFrame:
 
 
 def _phantoms(a: Adapters) -> DataFrame:
-    return relevance.phantoms(_scored(a))
+    return relevance.phantoms(settled(_scored(a)))  # else the filter works the scores out again
 
 
 @query(_SCORED + """ SELECT change_set_id, file_path, level AS severity, round(confidence, 6) AS confidence, round(relevance, 6) AS relevance_score,

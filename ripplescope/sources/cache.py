@@ -12,12 +12,11 @@ from pyspark.sql import functions as F
 
 from ripplescope.sources import project
 
-FOLDER, VERSION = ".ripplescope-cache", 1
-_EDGES, _TIMES = "src string, dst string", "path string, mtime double"
+VERSION = 1
 
 
 def place(root: str) -> str:
-    return f"{root.rstrip('/')}/{FOLDER}"
+    return f"{root.rstrip('/')}/{project.CACHE}"
 
 
 def mtimes(files: DataFrame) -> DataFrame:

@@ -5,9 +5,13 @@ files: path, source (and modified where it matters). Only Python sources are par
 from __future__ import annotations
 
 import ast
+import os
+import re
 from collections.abc import Iterator
+from datetime import datetime
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +19,8 @@ from ripplescope.functions import languages, paths
 
 # Directories that hold no sources of the project.
 SKIPPED = ("__pycache__", ".git", "node_modules", ".tox", ".eggs", "venv", ".venv", "site-packages")
+#: Where a project's file graph may be kept.
+CACHE = ".ripplescope-cache"
 # Forms of an import by language; of several in a line the first form that is found counts.
 _QUOTED = r"""['"]([^'"]+)['"]"""
 IMPORTS = {
@@ -36,26 +42,50 @@ _LINES = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 _STRIP = r"(?U)^\s+|\s+$"
 
 
-def _below(spark: SparkSession, root: str) -> DataFrame:
-    """Files below a folder with their path in it, but for those in skipped directories; content is read only if it is asked for."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    # both without a scheme, so that the path within the project is what follows the root
-    bare = F.regexp_replace(F.col("path"), r"^[a-zA-Z][\w+.-]*:(?://[^/]*)?", "")
-    base = F.lit(root.split("://", 1)[-1].rstrip("/"))
-    inner = F.expr("ltrim('/', substring(bare, locate(base, bare) + length(base)))")
-    rows = files.withColumns({"bare": bare, "base": base}).withColumn("path", inner)
-    return rows.filter(~F.arrays_overlap(paths.parent_parts(F.col("path")), F.array(*map(F.lit, SKIPPED))))
+def _opened(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder (local, hdfs, s3, ...) and the folder's path there."""
+    plain = re.sub(r"^file:/+", "/", root).rstrip("/")
+    return fs.FileSystem.from_uri(plain) if "://" in plain else (fs.LocalFileSystem(), os.path.abspath(plain))
+
+
+def _walk(root: str) -> Iterator[tuple[str, datetime | None]]:
+    """Paths and times of the files below a folder, in order, without going into skipped directories.
+
+    Spark's own readers leave out empty files and those that begin with '_', such as __init__.py.
+    """
+    system, base = _opened(root)
+    todo = [base]
+    while todo:
+        for info in sorted(system.get_file_info(fs.FileSelector(todo.pop())), key=lambda x: x.path):
+            if info.type == fs.FileType.Directory:
+                if info.base_name not in (*SKIPPED, CACHE):
+                    todo.append(info.path)
+            elif info.type == fs.FileType.File:
+                yield info.path[len(base) :].lstrip("/"), info.mtime
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(path, modified) of all files below a folder, whatever their kind."""
-    return _below(spark, root).select("path", F.col("modificationTime").alias("modified"))
+    """(path, modified) of all files below a folder, whatever their kind; listed on the driver."""
+    return spark.createDataFrame(list(_walk(root)), "path string, modified timestamp")
 
 
 def read(spark: SparkSession, root: str) -> DataFrame:
-    """(path, source, modified) of the source files below a folder; skipped directories are filtered by path alone."""
-    rows = _below(spark, root).filter(paths.suffix(F.col("path")).isin(*languages.GRAPHED))
-    return rows.select("path", F.decode("content", "UTF-8").alias("source"), F.col("modificationTime").alias("modified"))
+    """(path, source, modified) of the source files below a folder; their texts are read where they are used."""
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _opened(root)
+
+        def text(path: str) -> str:
+            with system.open_input_stream(f"{base}/{path}") as f:
+                return f.read().decode("utf-8", "replace")
+
+        for batch in batches:
+            for at in range(0, len(batch), 64):
+                part = batch.slice(at, 64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(text, part.column(0).to_pylist()), pa.string()), part.column(1)], names=["path", "source", "modified"])
+
+    wanted = listing(spark, root).filter(paths.suffix(F.col("path")).isin(*languages.GRAPHED))
+    return wanted.mapInArrow(texts, "path string, source string, modified timestamp")
 
 
 def _call_name(node: ast.expr) -> str | None:
