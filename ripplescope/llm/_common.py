@@ -44,6 +44,8 @@ def store(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     stored = spark.read.schema(schema).parquet(path)
     setattr(stored, _STORED, path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)  # if drop() isn't called before
     return stored
 
 

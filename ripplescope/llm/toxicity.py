@@ -174,8 +174,8 @@ def _order(text: str) -> int:
 _READY: dict[tuple[bytes, bytes], _Distances] = {}
 
 
-def score(docs: DataFrame, model: tuple[tuple[bytes, bytes], list[float]] | float, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, *keep, score) for each row of `docs`, in its partitioning."""
+def score(docs: DataFrame, model: tuple[tuple[bytes, bytes], list[float]] | float, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), out_col: str = "score") -> DataFrame:
+    """(id, *keep, score as `out_col`) for each row of `docs`, in its partitioning."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each(texts: list[str]) -> list[float]:
@@ -191,12 +191,12 @@ def score(docs: DataFrame, model: tuple[tuple[bytes, bytes], list[float]] | floa
         for batch in batches:
             for at, texts in C.text_groups(batch.column(place).cast(pa.string())):
                 kept = batch.slice(at, len(texts)).columns[: len(keep) + 1]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(each(texts), pa.float64())], names=[*batch.schema.names[: len(keep) + 1], "score"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(each(texts), pa.float64())], names=[*batch.schema.names[: len(keep) + 1], out_col])
 
     text = [] if text_col in keep else [docs[text_col].cast("string").alias("__text")]
     place = keep.index(text_col) + 1 if text_col in keep else len(keep) + 1
     source = docs.select(id_col, *keep, *text)
-    return source.mapInArrow(run, T.StructType([*source.schema.fields[: len(keep) + 1], T.StructField("score", T.DoubleType())]))
+    return source.mapInArrow(run, T.StructType([*source.schema.fields[: len(keep) + 1], T.StructField(out_col, T.DoubleType())]))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -563,7 +563,8 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
     rows = _toxic_rows(800)
     spark.createDataFrame([(i, y, "x") for i, _, y in rows], "doc_id long, toxic int, text string").write.parquet(f"{tmp_path}/labels.parquet")
     mail = [(2000, "write to a@b.org " + rows[1][1], 5, "n"), (2000, "write to a@b.org " + rows[1][1], 5, "n"), (None, None, None, None), (2001, "", 0, "n")]
-    docs = spark.createDataFrame([(i, t, len(t), "n") for i, t, _ in rows] + mail, "doc_id long, text string, n_chars long, node string").repartition(3)
+    columns = "doc_id long, text string, n_chars long, node string, score double, pii string"
+    docs = spark.createDataFrame([(i, t, len(t), "n", 2.0, "p") for i, t, _ in rows] + [(*r, None, None) for r in mail], columns).repartition(3)
     docs = spark.createDataFrame(docs.collect(), docs.schema)
     stages = dict(corpus_pipeline.STAGES)
     assert list(stages) == ["toxicity", "jaccard_join", "pii", "packing"]
