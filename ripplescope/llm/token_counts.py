@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 
 from ripplescope.llm import _common as C
 
+#: Bytes of text counted at once, and entries of a memo: most words of a text are met again.
+GROUP_BYTES, MEMO_ENTRIES = 4 << 20, 3 * C.MEMO_ENTRIES
 _RUN = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -41,7 +43,7 @@ class _Counter:
 
     def _learn(self, memo: dict[str, int], parts: set[str], lead: str) -> dict[str, int]:
         """Counts for all of `parts`; those too long to remember are returned apart."""
-        if len(memo) > C.MEMO_ENTRIES:
+        if len(memo) > MEMO_ENTRIES:
             memo.clear()
         new = sorted(parts.difference(memo), key=len)
         extra: dict[str, int] = {}
@@ -80,7 +82,7 @@ def token_counts(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", t
             text = pc.fill_null(batch.column(1), "")
             size = pc.cast(pc.binary_length(text), pa.int64())
             counts: list[int] = []
-            for _, texts in C.text_groups(text):
+            for _, texts in C.text_groups(text, GROUP_BYTES):
                 counts += counter.counts(texts)
             tokens = pa.array(counts, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), size, tokens, pc.greater(tokens, limit)], names=names)
