@@ -69,10 +69,8 @@ class Page:
 
     def __init__(self) -> None:
         self.tag, self.parent, self.last, self.depth = ["#"], [-1], [0], [0]
-        self.path = [0]  # equal for elements with the same tags from the root on, and the same hints among them
         self.hint = [0]  # 0 without a mark, 2 if a name begins with one (comments, ad-top), 1 if it is elsewhere in one (has-sidebar)
         self.blocks: list[Block] = []
-        self.paths: list[tuple[int, str]] = [(-1, "#")]
 
     def within(self, node: int, root: int) -> bool:
         return root <= node <= self.last[root]
