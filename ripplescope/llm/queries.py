@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their DuckDB counterparts.
 
-Of five operators what SQL can express is put in SQL too: two whole results, and the base columns of three under
+Of seven operators what SQL can express is put in SQL too: three whole results, and what it can of four under
 names of their own.
 """
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplescope.llm.bpe import op4_byte_bpe
+from ripplescope.llm.filter_audit import op12_filter_audit
 from ripplescope.llm.html_extraction import op8_html_extraction
 from ripplescope.llm.jaccard_join import op1_jaccard_join
 from ripplescope.llm.lm_scoring import op9_lm_scoring
@@ -18,6 +19,7 @@ from ripplescope.llm.media import op5_media_columns
 from ripplescope.llm.near_dup import op10_near_dup
 from ripplescope.llm.packing import op7_packing
 from ripplescope.llm.pii import op6_pii
+from ripplescope.llm.sharding import op11_sharding
 from ripplescope.llm.token_counts import op3_token_counts
 from ripplescope.llm.toxicity import op2_toxicity
 
@@ -37,9 +39,14 @@ def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
 
 
+def shard_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and places of op11."""
+    return op11_sharding(spark, sf_dir).drop("text_crc32")
+
+
 _QUERIES = (
     op1_jaccard_join, op2_toxicity, op3_token_counts, op4_byte_bpe, op5_media_columns, op6_pii, op7_packing, op8_html_extraction, op9_lm_scoring, op10_near_dup,
-    media_payloads, pii_base_kinds, lm_base_scores,
+    op11_sharding, op12_filter_audit, media_payloads, pii_base_kinds, lm_base_scores, shard_places,
 )
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -99,10 +106,36 @@ c AS (SELECT token, count(*) AS c FROM k WHERE NOT held_out GROUP BY token), z A
 SELECT doc_id, held_out, count(*) AS n_tokens, count(c.c) AS n_known, any_value(z.n) AS train_tokens, round(sum(log10((coalesce(c.c, 0) + 1)::DOUBLE / (z.n + z.v + 1))), 3) AS base_score
 FROM k LEFT JOIN c USING (token), z GROUP BY doc_id, held_out"""
 
+# One step of the bisection a row: shards left to fill, where they start, between which capacities the least one lies.
+_SHARDS = """WITH RECURSIVE t AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, encode(coalesce(text, '')) AS raw, sha256(coalesce(text, '')) AS digest FROM documents),
+g AS (SELECT digest, sum(size)::BIGINT AS b FROM t GROUP BY digest),
+ranked AS (SELECT *, row_number() OVER w AS k, sum(b) OVER w - b AS before, (SELECT sum(b) FROM g) AS total FROM g WINDOW w AS (ORDER BY b DESC, digest ROWS UNBOUNDED PRECEDING)),
+alone AS (SELECT digest, (k - 1)::INT AS shard FROM ranked WHERE k < coalesce((SELECT min(k) FROM ranked WHERE k > 7 OR b * (9 - k) <= total - before), 8)),
+ends AS (SELECT digest, (sum(b) OVER (ORDER BY digest ROWS UNBOUNDED PRECEDING))::BIGINT AS e FROM g WHERE digest NOT IN (SELECT digest FROM alone)),
+line AS (SELECT list_prepend(0::BIGINT, coalesce(list(e ORDER BY e), [])) AS es, coalesce(max(e), 0)::BIGINT AS total FROM ends),
+r(shards, start, low, high, cut) AS (SELECT 8 - (SELECT count(*) FROM alone), 0::BIGINT, 0::BIGINT, total, NULL::BIGINT FROM line
+ UNION ALL SELECT CASE WHEN low = high THEN shards - 1 ELSE shards END, CASE WHEN low = high THEN first ELSE start END,
+  CASE WHEN low = high THEN 0 WHEN enough THEN low ELSE middle + 1 END, CASE WHEN low = high THEN total - first WHEN enough THEN middle ELSE high END, CASE WHEN low = high THEN first END
+ FROM (SELECT *, list_max(list_filter(es, lambda e: e <= start + low)) AS first,
+  list_reduce(list_concat([start], range(shards)), lambda p, i: list_max(list_filter(es, lambda e: e <= p + middle))) >= total AS enough FROM (SELECT r.*, (low + high) // 2 AS middle, es, total FROM r, line)) WHERE shards > 0),
+placed AS (SELECT digest, shard FROM alone UNION ALL SELECT digest, ((SELECT count(*) FROM alone) + (SELECT count(*) FROM r WHERE cut < e))::INT FROM ends)
+SELECT doc_id, size, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY t.digest, doc_id NULLS FIRST) - 1 AS slot, NULL::INT AS grown_shard FROM t JOIN placed USING (digest)"""
+
+_AUDIT = """WITH RECURSIVE f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f), o(o) AS (SELECT '' UNION ALL SELECT o || f FROM o, f WHERE NOT contains(o, f) AND length(o) < 5),
+t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT part, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END || CASE WHEN 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 3 * length(x) THEN 'C' ELSE '' END
+  || CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS fails, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic FROM t LEFT JOIN l USING (doc_id)),
+s AS (SELECT o, i::INT AS step, substr(o, 1, (i - 1)::INT) AS before, substr(o, i::INT, 1) AS f FROM o, range(1, 6) r(i) WHERE length(o) = 5),
+x AS (SELECT part, o, step, f, contains(fails, f) AS failed, translate(fails, before, '') = fails AS here, fails = f AS only_this, good, toxic FROM d, s),
+y AS (SELECT part, o, step, f, count(*) FILTER (here AND NOT failed) AS kept, count(*) FILTER (here AND failed) AS removed, count(*) FILTER (failed AND NOT here) AS redundant, count(*) FILTER (only_this) AS unique_fails,
+ count(*) FILTER (here AND failed AND good) AS good_lost, count(*) FILTER (here AND failed AND toxic) AS toxic_lost FROM x GROUP BY ALL)
+SELECT part, o AS filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM y"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: q for q in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": _JACCARD, "op10_near_dup": _NEAR, "media_payloads": _MEDIA, "pii_base_kinds": _PII, "lm_base_scores": _LM}
+    return {"op1_jaccard_join": _JACCARD, "op10_near_dup": _NEAR, "op12_filter_audit": _AUDIT, "media_payloads": _MEDIA, "pii_base_kinds": _PII, "lm_base_scores": _LM, "shard_places": _SHARDS}
