@@ -1,15 +1,15 @@
 """The file graph: edges (src, dst), src importing dst; nodes (path).
 
 Everything is keyed, so that one plan serves many change sets. Reach within a bound is unrolled to that many joins;
-each level keeps one row for a key and node before it joins again, so it grows with nodes, not with paths.
+each level keeps one row for a key and node before it joins again, so it grows with nodes, not with paths. What several
+change sets share (a file's dependents) is worked out once for the file.
 """
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ripplescope.operators.joins import HOT_ROWS, spread_join
 from ripplescope.plans.storage import settled
 
 
@@ -43,33 +43,71 @@ def reach(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int) -> Da
     return found.groupBy("seed", "path").agg(F.min("distance").alias("distance"))
 
 
-def _reach_all(seeds: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """reach() without a bound: one stored level after the other until none is new."""
-    step = settled(edges.select(F.col("src").alias("path"), F.col("dst").alias("next")))
-    level = seeds.select("seed").distinct().join(nodes.select(F.col("path").alias("seed")), "seed", "left_semi")
-    level = settled(level.select("seed", F.col("seed").alias("path"), F.lit(0).alias("distance")))
-    levels = [level]
-    while not level.isEmpty():
-        before = reduce(DataFrame.unionByName, levels).select("seed", "path")
-        following = level.join(step, "path").select("seed", F.col("next").alias("path")).distinct().join(before, ["seed", "path"], "left_anti")
-        level = settled(following.withColumn("distance", F.lit(len(levels))))
-        levels.append(level)
-    return reduce(DataFrame.unionByName, levels)
-
-
 def distance(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, bound: int | None = None) -> DataFrame:
     """`pairs` (src, dst) with their distance: 0 to itself, node or not; -1 out of reach, beyond a `bound`, or where src is no node."""
-    seeds = pairs.select(F.col("src").alias("seed"))
-    found = _reach_all(seeds, nodes, edges) if bound is None else reach(seeds, nodes, edges, bound)
-    near = found.select(F.col("seed").alias("src"), F.col("path").alias("dst"), "distance")
+    near = _settle_pairs(pairs, nodes, edges) if bound is None else reach(pairs.select(F.col("src").alias("seed")), nodes, edges, bound).select(F.col("seed").alias("src"), F.col("path").alias("dst"), "distance")
     known = pairs.join(near, ["src", "dst"], "left")
     return known.withColumn("distance", F.when(F.col("src") == F.col("dst"), 0).otherwise(F.coalesce("distance", F.lit(-1))))
 
 
+def _settle_pairs(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(src, dst, distance) of the pairs that have a way, without a bound.
+
+    Frontiers grow from both ends, the smaller side first, one for each distinct src and dst. A pair is settled when its two
+    frontiers meet, at the sum of their levels; ends whose pairs are all settled grow no further, and neither do ends that
+    have come to their end. So the work is that of the pairs asked for, to half of their distance from either side.
+    """
+    ends = ("src", "dst")
+    asked = settled(pairs.filter("src <> dst").select(*ends).distinct().join(nodes.select(F.col("path").alias("src")), "src", "left_semi"))
+    steps = [settled(edges.select(F.col(a).alias("path"), F.col(b).alias("next"))) for a, b in (ends, ends[::-1])]
+    hubs = [not x.groupBy("path").count().filter(F.col("count") > HOT_ROWS).isEmpty() for x in steps]
+    levels = [settled(asked.select(F.col(e).alias("end"), F.col(e).alias("path")).distinct()) for e in ends]
+    seen, depth, sizes = list(levels), 0, [x.count() for x in levels]
+    found = asked.limit(0).withColumn("distance", F.lit(0))
+    while all(sizes):
+        side = 0 if sizes[0] <= sizes[1] else 1
+        open_ends = asked.select(F.col(ends[side]).alias("end")).distinct()
+        level = levels[side].join(open_ends, "end", "left_semi")
+        grown = spread_join(level, steps[side], "path") if hubs[side] else level.join(steps[side], "path")
+        levels[side] = settled(grown.select("end", F.col("next").alias("path")).distinct().join(seen[side], ["end", "path"], "left_anti"))
+        seen[side], sizes[side], depth = seen[side].unionByName(levels[side]), levels[side].count(), depth + 1
+        forward, backward = (levels[k].select(F.col("end").alias(ends[k]), "path") for k in (0, 1))
+        met = settled(asked.join(forward, "src").join(backward, ["dst", "path"]).select(*ends).distinct().withColumn("distance", F.lit(depth)))
+        found = found.unionByName(met)
+        growing = levels[side].select(F.col("end").alias(ends[side])).distinct()
+        asked = settled(asked.join(met, list(ends), "left_anti").join(growing, ends[side], "left_semi"))
+        if asked.isEmpty():
+            break
+    return found
+
+
 def distance_score(d: Column) -> Column:
     return F.when(d == 1, 0.8).when(d == 2, 0.4).when(d == 3, 0.1).otherwise(0.0)
 
 
+def balls(files: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """(seed, path, distance, via1, via2) of what depends on each of `files` (seed) within at most three hops, itself left out.
+
+    via1 and via2 are the inner files of the least of the shortest ways; a level is kept as a table with one row for a seed
+    and file, and files with very many dependents are split.
+    """
+    step = settled(edges.select(F.col("dst").alias("path"), F.col("src").alias("next")))
+    none = F.lit(None).cast("string")
+    level = files.select("seed", F.col("seed").alias("path"), none.alias("via1"), none.alias("via2"))
+    found: DataFrame | None = None
+    for d in range(1, depth + 1):
+        via1 = {1: none, 2: F.col("path")}.get(d, F.col("via1"))
+        via2 = F.col("path") if d == 3 else none
+        grown = spread_join(level, step, "path").select("seed", F.col("next").alias("path"), F.struct(via1.alias("via1"), via2.alias("via2")).alias("via")).filter("path <> seed")
+        grown = grown.groupBy("seed", "path").agg(F.min("via").alias("via")).select("seed", "path", "via.*")
+        if found is not None:
+            grown = grown.join(found, ["seed", "path"], "left_anti")
+        level = settled(grown)
+        row = level.withColumn("distance", F.lit(d))
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
 def downstream(changes: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int = 3) -> DataFrame:
     """(change_set_id, file_path, distance, via_files, risk_contribution): who may feel each change set.
 
@@ -78,21 +116,17 @@ def downstream(changes: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth
     """
     if not 1 <= max_depth <= 3:
         raise ValueError("beyond three hops all files score 0, and the nearest is no longer the first found")
-    start = changes.select("change_set_id", "ordinal", F.col("file_path").alias("path"))
-    level = start.withColumn("via", F.array("path"))
-    found = None
-    for d in range(1, max_depth + 1):
-        step = level.join(edges.select(F.col("dst").alias("path"), F.col("src").alias("next")), "path").select("change_set_id", "ordinal", F.col("next").alias("path"), F.concat("via", F.array("next")).alias("via"))
-        level = step.groupBy("change_set_id", "ordinal", "path").agg(F.min("via").alias("via"))
-        row = level.withColumn("distance", F.lit(d))
-        found = row if found is None else found.unionByName(row)
-    best = found.groupBy("change_set_id", "path").agg(F.min(F.struct("distance", "ordinal", "via")).alias("best"))
-    best = best.join(start.select("change_set_id", "path").distinct(), ["change_set_id", "path"], "left_anti")
+    start = changes.select("change_set_id", "ordinal", F.col("file_path").alias("seed"))
     counted = centrality(nodes, edges)
     most = counted.agg(F.greatest(F.coalesce(F.max("centrality"), F.lit(1)), F.lit(1)).alias("most"))  # one row
+    near = balls(start.select("seed").distinct(), edges, max_depth)
+    felt = spread_join(start, near, "seed")
+    best = felt.groupBy("change_set_id", "path").agg(F.min(F.struct("distance", "ordinal", "seed", "via1", "via2")).alias("best"))
+    best = best.join(start.select("change_set_id", F.col("seed").alias("path")).distinct(), ["change_set_id", "path"], "left_anti")
     scored = best.join(counted, "path", "left").crossJoin(F.broadcast(most))
     risk = distance_score(F.col("best.distance")) * (F.lit(0.5) + F.lit(0.5) * (F.coalesce("centrality", F.lit(0)).cast("double") / F.col("most")))
-    return scored.select("change_set_id", F.col("path").alias("file_path"), F.col("best.distance").alias("distance"), F.col("best.via").alias("via_files"), risk.alias("risk_contribution"))
+    via = F.array_compact(F.array("best.seed", "best.via1", "best.via2", "path"))
+    return scored.select("change_set_id", F.col("path").alias("file_path"), F.col("best.distance").alias("distance"), via.alias("via_files"), risk.alias("risk_contribution"))
 
 
 def out_of_scope(impacts: DataFrame, scopes: DataFrame) -> DataFrame:

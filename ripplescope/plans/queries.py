@@ -26,7 +26,10 @@ def query(sql: str | None = None, views: tuple[str, ...] = (), settle: tuple[str
         QUERIES[build.__name__] = lambda spark, sf_dir: build(Adapters(spark, sf_dir, settle))
         if sql is not None:
             head = prelude(*views) if views else ""
-            ORACLE[build.__name__] = f"{head}{',' if head and sql.lstrip().startswith('+') else ' ' if head else ''}{sql.lstrip().removeprefix('+')}"
+            text = sql.lstrip()
+            if text.startswith("+r "):
+                head, text = head.replace("WITH", "WITH RECURSIVE", 1), f"+{text.removeprefix('+r')}"
+            ORACLE[build.__name__] = f"{head}{',' if head and text.startswith('+') else ' ' if head else ''}{text.removeprefix('+')}"
         return build
 
     return keep
@@ -96,6 +99,16 @@ def distance_le2(a: Adapters) -> DataFrame:
     return graph.distance(pairs, _nodes(a), a.edges, 2)
 
 
+@query("""+r pairs AS (SELECT DISTINCT s.target AS src, c.file_path AS dst FROM v_scope s JOIN v_changes c USING (change_set_id)),
+walk(seed, path, distance) AS (SELECT DISTINCT src, src, 0 FROM pairs UNION SELECT seed, e.dst, distance + 1 FROM walk JOIN v_edges e ON e.src = walk.path),
+near AS (SELECT seed, path, min(distance) AS distance FROM walk GROUP BY seed, path)
+SELECT src, dst, coalesce(distance, -1) AS distance FROM pairs LEFT JOIN near ON seed = src AND path = dst""", ("v_scope", "v_changes", "v_edges"), _KEPT)
+def distance_any(a: Adapters) -> DataFrame:
+    """Without a bound, from each change set's target to its changes."""
+    pairs = a.scope.join(a.changes, "change_set_id").select(F.col("target").alias("src"), F.col("file_path").alias("dst")).distinct()
+    return graph.distance(pairs, _nodes(a), a.edges)
+
+
 _DOWN = """+ w0 AS (SELECT change_set_id, ordinal, file_path AS path, [file_path] AS via FROM v_changes),
 w1 AS (SELECT change_set_id, ordinal, e.src AS path, min(list_append(via, e.src)) AS via FROM w0 JOIN v_edges e ON e.dst = w0.path GROUP BY ALL),
 w2 AS (SELECT change_set_id, ordinal, e.src AS path, min(list_append(via, e.src)) AS via FROM w1 JOIN v_edges e ON e.dst = w1.path GROUP BY ALL),
@@ -531,6 +544,31 @@ def line_to_preceding(a: Adapters) -> DataFrame:
     return project.preceding(lines, starts)
 
 
+#: Spans of each file, nested, equal, crossing and one in a row, by its number; and the lines that are asked for.
+_SPANS = """SELECT path, concat('s', k) AS name, CAST(1 + (file_id * (k + 3) + k * k) % 97 AS INT) AS start_line,
+ CAST(1 + (file_id * (k + 3) + k * k) % 97 + (CASE WHEN k % 3 = 0 THEN 0 WHEN k % 3 = 1 THEN (file_id + k) % 11 ELSE (file_id * k) % 60 END) AS INT) AS end_line FROM v_files, {numbers}"""
+_ASKED = "SELECT path, CAST(line AS INT) AS line FROM v_files, {numbers}"
+
+
+def _numbered(a: Adapters, text: str, name: str, least: int, most: int) -> DataFrame:
+    return a.spark.sql(text.replace("{numbers}", f"(SELECT id AS {name} FROM range({least}, {most}))").replace("v_files", "{v_files}"), v_files=a.files)
+
+
+@query(f"""+ s AS ({_SPANS.format(numbers="range(0, 12) r(k)")}), l AS ({_ASKED.format(numbers="range(1, 161) r(line)")})
+SELECT path, line, name FROM (SELECT l.path, l.line, s.name, row_number() OVER (PARTITION BY l.path, l.line ORDER BY s.end_line - s.start_line, s.start_line, s.name) AS k
+ FROM l JOIN s ON l.path = s.path AND l.line BETWEEN s.start_line AND s.end_line) WHERE k = 1""", ("v_files",))
+def line_to_narrowest(a: Adapters) -> DataFrame:
+    """The narrowest of twelve nested, equal and crossing spans around each of 160 lines of every file."""
+    return project.innermost(_numbered(a, _ASKED, "line", 1, 161), _numbered(a, _SPANS, "k", 0, 12))
+
+
+@query(f"""+ s AS (SELECT path, min(name) AS name, start_line FROM ({_SPANS.format(numbers="range(0, 12) r(k)")}) GROUP BY path, start_line), l AS ({_ASKED.format(numbers="range(1, 161) r(line)")})
+SELECT l.path, l.line, s.name FROM l ASOF JOIN s ON l.path = s.path AND l.line >= s.start_line""", ("v_files",))
+def line_to_last_start(a: Adapters) -> DataFrame:
+    """The last of twelve starts, some of them on one line, at or before each of 160 lines of every file."""
+    return project.preceding(_numbered(a, _ASKED, "line", 1, 161), _numbered(a, _SPANS, "k", 0, 12).drop("end_line"))
+
+
 @query("SELECT path, concat('K', file_id) AS class, 1 AS start_line, 4 AS end_line, 'print,self.g.h' AS calls, 'f,g' AS touched FROM v_files WHERE path LIKE '%.py'", ("v_files",))
 def ast_classes_and_calls(a: Adapters) -> DataFrame:
     body = F.concat(F.lit("class K"), F.col("file_id").cast("string"), F.lit(":\n    def f(self): print(1)\n    def g(self):\n        return self.g.h(1)\n"))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplescope.functions import languages, paths
+from ripplescope.operators import joins
 
 # Directories that hold no sources of the project.
 SKIPPED = ("__pycache__", ".git", "node_modules", ".tox", ".eggs", "venv", ".venv", "site-packages")
@@ -147,8 +148,7 @@ def python_sources(files: DataFrame) -> DataFrame:
 
 def innermost(lines: DataFrame, spans: DataFrame) -> DataFrame:
     """(path, line, name): the smallest span (path, name, start_line, end_line) around each line (path, line); others are left out."""
-    within = lines.join(spans, "path").filter("line between start_line and end_line")
-    return within.groupBy("path", "line").agg(F.min_by("name", F.struct(F.col("end_line") - F.col("start_line"), "start_line")).alias("name"))
+    return joins.narrowest_around(lines, spans, "path", "line", "start_line", "end_line", "name")
 
 
 def touched(lines: DataFrame, spans: DataFrame) -> DataFrame:
@@ -159,8 +159,7 @@ def touched(lines: DataFrame, spans: DataFrame) -> DataFrame:
 
 def preceding(lines: DataFrame, starts: DataFrame) -> DataFrame:
     """(path, line, name): the function (path, name, start_line) that starts last at or before each line."""
-    before = lines.join(starts, "path").filter("start_line <= line")
-    return before.groupBy("path", "line").agg(F.max_by("name", "start_line").alias("name"))
+    return joins.last_before(lines, starts.withColumnRenamed("start_line", "line"), "path", "line", "name")
 
 
 def _first_of(line: Column, patterns: list[str], start: bool = False) -> Column:

@@ -1,11 +1,14 @@
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from ripplescope.functions import globs, languages, paths
-from ripplescope.operators import commits, graph, relevance, risk, scope, test_mapping
+from ripplescope.operators import commits, graph, joins, relevance, risk, scope, test_mapping
 from ripplescope.plans import analyze, report
+from ripplescope.sources import project as sources
 
 EDGES = [("app.py", "auth/session.py"), ("auth/login.py", "auth/session.py"), ("auth/session.py", "utils/val.py"), ("auth/login.py", "utils/val.py"), ("tests/test_login.py", "auth/login.py")]
 FILES = ["app.py", "auth/login.py", "auth/session.py", "utils/val.py", "tests/test_login.py", "tests/auth/test_other.py"]
@@ -118,3 +121,84 @@ def test_whole_analysis(spark, project):
 def test_languages(spark):
     files = spark.createDataFrame([(p,) for p in ("a.py", "b.pyw", "c.kt", "d.txt", "e.PY")], "path string")
     assert [tuple(r) for r in languages.frequency(files).collect()] == [("python", 3), ("kotlin", 1)]
+
+
+def test_last_event_before_each_line(spark, monkeypatch):
+    rng = random.Random(2)
+    lines = [(p, rng.randint(-3, 400)) for p in "abc" for _ in range(300)] + [("a", None), (None, 4), ("no events", 3)]
+    starts = [(p, f"f{rng.randint(0, 99):02d}", rng.randint(0, 400)) for p in "ab" for _ in range(60)] + [("c", "only", 7), ("c", None, 300), (None, "x", 1), ("a", "y", None)]
+    rows, events = spark.createDataFrame(lines, "path string, line int"), spark.createDataFrame(starts, "path string, name string, line int")
+    want = {}
+    for p, at in lines:
+        before = [(x[2], x[1]) for x in starts if at is not None and p is not None and x[0] == p and x[2] is not None and x[2] <= at]
+        if before:
+            last = max(b[0] for b in before)
+            want[p, at] = min((b[1] for b in before if b[0] == last and b[1] is not None), default=None)
+    for stretch in (1, 16, 1 << 14):  # one line a stretch, some, all in one
+        found = joins.last_before(rows, events, "path", "line", "name", stretch).collect()
+        assert {(r.path, r.line): r.name for r in found} == want and len(found) == len(want)
+    assert joins.last_before(rows, events.filter("false"), "path", "line", "name").count() == joins.last_before(rows.filter("false"), events, "path", "line", "name").count() == 0
+
+
+def test_narrowest_span_around_each_line(spark, monkeypatch):
+    rng = random.Random(3)
+    spans = [("a", f"s{k}", s := rng.randint(0, 300), s + rng.choice([0, 0, 3, 17, 200])) for k in range(80)] + [("a", "whole", 0, 500), ("b", "one", 5, 5), ("b", "twin", 5, 5), ("b", "none", 9, 8), ("a", "wide", 0, 2**31 - 2)]
+    lines = [(p, k) for p in "abc" for k in range(0, 510, 3)] + [("b", 5), ("b", 5), ("b", 8), ("a", 1_999_999_999)]
+    want = {}
+    for p, k in lines:
+        around = [(e - s, s, n) for q, n, s, e in spans if q == p and s <= k <= e]
+        if around:
+            want[p, k] = min(around)[2]
+    for levels in (3, 20):
+        monkeypatch.setattr(joins, "LEVELS", levels)
+        mine = [x for x in spans if levels == 20 or x[3] < 600]
+        near = {k: v for k, v in want.items() if levels == 20 or v != "wide"}
+        found = joins.narrowest_around(spark.createDataFrame(lines, "path string, line int"), spark.createDataFrame(mine, "path string, name string, start_line int, end_line int"), "path", "line", "start_line", "end_line", "name").collect()
+        assert {(r.path, r.line): r.name for r in found} == near and len(found) == len(near)
+
+
+def test_hot_file_is_many_tasks_and_linear(spark):
+    """20,000 lines and 5,000 starts or spans of one file."""
+    lines = spark.range(1, 20_001).selectExpr("'f' as path", "cast(id as int) as line")
+    starts = spark.range(5_000).selectExpr("'f' as path", "concat('n', id) as name", "cast(4 * id + 1 as int) as start_line", "cast(20000 - id as int) as end_line")
+    began = time.perf_counter()
+    assert sources.preceding(lines, starts.drop("end_line")).filter("name = concat('n', cast((line - 1) div 4 as string))").count() == 20_000
+    assert sources.innermost(lines, starts).count() == 20_000
+    assert time.perf_counter() - began < 30
+
+
+@pytest.mark.parametrize("hot", [1, 3, 10**6])
+def test_hot_keys_are_split_on_both_sides(spark, hot):
+    left = [(k % 3, i) for i, k in enumerate([0] * 20 + [1] * 3 + [2, 5])] + [(None, 1)]
+    right = [(k % 3, i) for i, k in enumerate([0] * 4 + [1] * 15 + [2])] + [(None, 2)]
+    found = joins.spread_join(spark.createDataFrame(left, "k int, a int"), spark.createDataFrame(right, "k int, b int"), "k", hot).collect()
+    assert sorted((r.k, r.a, r.b) for r in found) == sorted((k, a, b) for k, a in left for j, b in right if k == j and k is not None)
+
+
+def test_hub_with_many_dependents(spark, monkeypatch):
+    """100,000 files depend on one that several change sets touch, some of them by another way."""
+    edges = spark.range(100_000).selectExpr("concat('d', id) as src", "'hub' as dst").unionByName(spark.createDataFrame([("hub", "base"), ("d1", "base"), ("z", "d2")], "src string, dst string"))
+    nodes = edges.select(F.col("src").alias("path")).unionByName(edges.select(F.col("dst").alias("path"))).distinct()
+    changes = spark.createDataFrame([(1, 1, "hub"), (2, 1, "base"), (2, 2, "d7"), (3, 1, "alone")], "change_set_id int, ordinal int, file_path string")
+    found = graph.downstream(changes, nodes, edges).cache()
+    assert {r.change_set_id: r["count"] for r in found.groupBy("change_set_id").count().collect()} == {1: 100_001, 2: 100_001}
+    some = {(r.change_set_id, r.file_path): (r.distance, r.via_files) for r in found.filter("file_path in ('z', 'd1', 'd2', 'd7')").collect()}
+    assert some[1, "z"] == (2, ["hub", "d2", "z"]) and some[2, "z"] == (3, ["base", "hub", "d2", "z"]) and some[2, "d1"] == (1, ["base", "d1"]) and (2, "d7") not in some
+    found.unpersist()
+
+
+def test_distances_in_random_graphs(spark):
+    rng = random.Random(4)
+    names = [f"n{i}" for i in range(40)]
+    edges = {(rng.choice(names), rng.choice(names)) for _ in range(55)}
+    edges = {(a, b) for a, b in edges if a != b}
+    pairs = [(rng.choice([*names, "no"]), rng.choice([*names, "no"])) for _ in range(150)]
+    found = graph.distance(spark.createDataFrame(pairs, "src string, dst string"), spark.createDataFrame([(n,) for n in names], "path string"), spark.createDataFrame(sorted(edges), "src string, dst string"))
+    for r in found.collect():
+        level, seen, d = {r.src}, {r.src}, 0
+        while level and r.dst not in level:
+            level = {b for a, b in edges if a in level} - seen
+            seen |= level
+            d += 1
+        assert r.distance == (0 if r.src == r.dst else -1 if r.src == "no" or not level else d)
+    assert graph.distance(spark.createDataFrame([], "src string, dst string"), spark.createDataFrame([], "path string"), spark.createDataFrame([], "src string, dst string")).count() == 0
