@@ -5,7 +5,9 @@ The SQL is shared by Spark and DuckDB; each view names the ones it needs in {bra
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ripplescope.operators import scope
 from ripplescope.plans.storage import settled
 
 VIEWS = {
@@ -92,3 +94,20 @@ class Adapters:
             found = settled(found)
             setattr(self, name, found)
         return found
+
+
+_NONE = "cast(array() as array<string>)"
+
+
+def nodes(a: Adapters) -> DataFrame:
+    return a.files.select("path")
+
+
+def changes(a: Adapters) -> DataFrame:
+    return a.changes.drop("file_id").withColumn("functions_modified", F.expr(_NONE))
+
+
+def scopes(a: Adapters) -> DataFrame:
+    """One target, its concepts the words of the text."""
+    s = a.scope
+    return s.select("change_set_id", F.col("text").alias("description"), F.array("target").alias("target_files"), F.expr(_NONE).alias("target_functions"), F.array_distinct(scope.keywords(F.col("text"))).alias("target_concepts"), "confidence")

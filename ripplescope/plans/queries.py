@@ -10,12 +10,14 @@ from ripplescope.functions import globs, languages, paths
 from ripplescope.operators import commits, graph, relevance, risk, scope, test_mapping
 from ripplescope.plans import analyze, report
 from ripplescope.plans.adapters import Adapters, prelude
+from ripplescope.plans.adapters import changes as _changes
+from ripplescope.plans.adapters import nodes as _nodes
+from ripplescope.plans.adapters import scopes as _scopes
 from ripplescope.plans.storage import settled
-from ripplescope.sources import diffs, project
+from ripplescope.sources import diffs, project, references
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-_NONE = "cast(array() as array<string>)"
 #: Views that most plans read several times.
 _KEPT = ("changes", "scope", "edges")
 
@@ -35,20 +37,6 @@ def query(sql: str | None = None, views: tuple[str, ...] = (), settle: tuple[str
     return keep
 
 
-def _nodes(a: Adapters) -> DataFrame:
-    return a.files.select("path")
-
-
-def _changes(a: Adapters) -> DataFrame:
-    return a.changes.drop("file_id").withColumn("functions_modified", F.expr(_NONE))
-
-
-def _scopes(a: Adapters) -> DataFrame:
-    """One target, its concepts the words of the text."""
-    s = a.scope
-    return s.select("change_set_id", F.col("text").alias("description"), F.array("target").alias("target_files"), F.expr(_NONE).alias("target_functions"), F.array_distinct(scope.keywords(F.col("text"))).alias("target_concepts"), "confidence")
-
-
 def _r(column: Column, digits: int = 6) -> Column:
     return F.round(column, digits)
 
@@ -109,7 +97,7 @@ def distance_any(a: Adapters) -> DataFrame:
     return graph.distance(pairs, _nodes(a), a.edges)
 
 
-_DOWN = """+ w0 AS (SELECT change_set_id, ordinal, file_path AS path, [file_path] AS via FROM v_changes),
+DOWN = """+ w0 AS (SELECT change_set_id, ordinal, file_path AS path, [file_path] AS via FROM v_changes),
 w1 AS (SELECT change_set_id, ordinal, e.src AS path, min(list_append(via, e.src)) AS via FROM w0 JOIN v_edges e ON e.dst = w0.path GROUP BY ALL),
 w2 AS (SELECT change_set_id, ordinal, e.src AS path, min(list_append(via, e.src)) AS via FROM w1 JOIN v_edges e ON e.dst = w1.path GROUP BY ALL),
 w3 AS (SELECT change_set_id, ordinal, e.src AS path, min(list_append(via, e.src)) AS via FROM w2 JOIN v_edges e ON e.dst = w2.path GROUP BY ALL),
@@ -125,17 +113,17 @@ def _impacts(a: Adapters) -> DataFrame:
     return graph.downstream(a.changes, _nodes(a), a.edges)
 
 
-@query(_DOWN + " SELECT change_set_id, file_path, distance, risk FROM impacts", ("v_changes", "v_edges"), _KEPT[::2])
+@query(DOWN + " SELECT change_set_id, file_path, distance, risk FROM impacts", ("v_changes", "v_edges"), _KEPT[::2])
 def downstream_impacts(a: Adapters) -> DataFrame:
     return _impacts(a).select("change_set_id", "file_path", "distance", _r(F.col("risk_contribution")).alias("risk"))
 
 
-@query(_DOWN + " SELECT change_set_id, file_path, via FROM impacts", ("v_changes", "v_edges"), _KEPT[::2])
+@query(DOWN + " SELECT change_set_id, file_path, via FROM impacts", ("v_changes", "v_edges"), _KEPT[::2])
 def downstream_min_path(a: Adapters) -> DataFrame:
     return _impacts(a).select("change_set_id", "file_path", F.array_join("via_files", ">").alias("via"))
 
 
-@query(_DOWN + " SELECT i.change_set_id, i.file_path, i.distance, i.risk FROM impacts i WHERE NOT EXISTS (SELECT 1 FROM v_scope s WHERE s.change_set_id = i.change_set_id AND s.target = i.file_path)", ("v_changes", "v_edges", "v_scope"), _KEPT)
+@query(DOWN + " SELECT i.change_set_id, i.file_path, i.distance, i.risk FROM impacts i WHERE NOT EXISTS (SELECT 1 FROM v_scope s WHERE s.change_set_id = i.change_set_id AND s.target = i.file_path)", ("v_changes", "v_edges", "v_scope"), _KEPT)
 def impacts_out_of_scope(a: Adapters) -> DataFrame:
     return graph.out_of_scope(_impacts(a), _scopes(a)).select("change_set_id", "file_path", "distance", _r(F.col("risk_contribution")).alias("risk"))
 
@@ -204,6 +192,10 @@ judged AS (SELECT *,
       WHEN overlap > 0 OR chain > 0 THEN 0.5::DOUBLE + least(0.4::DOUBLE, chain * 0.3::DOUBLE) ELSE 0.6::DOUBLE END AS confidence
  FROM scored),
 phantoms AS (SELECT *, CASE WHEN category IS NOT NULL THEN 'info' ELSE severity END AS level FROM judged WHERE category IS NOT NULL OR (relevance < threshold AND NOT linked))"""
+REASON = """CASE category WHEN 'lockfiles' THEN 'Dependency lockfiles auto-update when packages change' WHEN 'generated' THEN 'Auto-generated files change as a side effect of source changes'
+  WHEN 'migrations' THEN 'Database migrations are expected side effects of model changes'
+  ELSE concat(CASE WHEN explicit = 0 THEN 'not in scope target files; ' ELSE '' END, CASE WHEN overlap = 0 THEN 'no' ELSE 'partial' END, ' path overlap with scope; ',
+   CASE WHEN chain = 0 THEN 'no import-chain connection to scope' ELSE 'weak import-chain connection' END, '; relevance=', format('{:.2f}', relevance)) END"""
 _RV = ("v_changes", "v_scope", "v_edges")
 
 
@@ -232,17 +224,14 @@ def _phantoms(a: Adapters) -> DataFrame:
 
 @query(_SCORED + """ SELECT change_set_id, file_path, level AS severity, round(confidence, 6) AS confidence, round(relevance, 6) AS relevance_score,
  concat(CASE WHEN is_new_file THEN 'New file' WHEN is_deleted THEN 'Deleted file' ELSE 'Modified' END, ' ', file_path, ' [+', added_lines, '/-', removed_lines, ']') AS change_summary,
- CASE category WHEN 'lockfiles' THEN 'Dependency lockfiles auto-update when packages change' WHEN 'generated' THEN 'Auto-generated files change as a side effect of source changes'
-  WHEN 'migrations' THEN 'Database migrations are expected side effects of model changes'
-  ELSE concat(CASE WHEN explicit = 0 THEN 'not in scope target files; ' ELSE '' END, CASE WHEN overlap = 0 THEN 'no' ELSE 'partial' END, ' path overlap with scope; ',
-   CASE WHEN chain = 0 THEN 'no import-chain connection to scope' ELSE 'weak import-chain connection' END, '; relevance=', format('{:.2f}', relevance)) END AS reason FROM phantoms""", _RV, _KEPT)
+ """ + REASON + """ AS reason FROM phantoms""", _RV, _KEPT)
 def phantoms(a: Adapters) -> DataFrame:
     return _phantoms(a).select("change_set_id", "file_path", "severity", _r(F.col("confidence")).alias("confidence"), _r(F.col("relevance_score")).alias("relevance_score"), "change_summary", "reason")
 
 
 # ---- risk --------------------------------------------------------------------------------------------------
 
-_RISK = _SCORED + """, total AS (SELECT change_set_id, sum(added_lines + removed_lines) AS lines, sum(removed_lines) AS removed, count(*) AS n FROM v_changes GROUP BY 1),
+RISK = _SCORED + """, total AS (SELECT change_set_id, sum(added_lines + removed_lines) AS lines, sum(removed_lines) AS removed, count(*) AS n FROM v_changes GROUP BY 1),
 outside AS (SELECT change_set_id, sum(lines) AS lines FROM phantoms GROUP BY 1),
 cf AS (SELECT change_set_id, sum(coalesce(cent.n, 0)) AS s, max(coalesce(cent.n, 0)) AS m, count(*) AS n FROM v_changes v LEFT JOIN cent ON cent.path = v.file_path GROUP BY 1),
 named AS (SELECT change_set_id, ordinal, file_path, regexp_replace(string_split(file_path, '/')[-1], '\\.[^.]*$', '') AS base, regexp_replace(file_path, '/[^/]+$', '') AS folder FROM v_changes),
@@ -275,15 +264,15 @@ for _name, _column, _source in (
 ):
     _build = _factor(_source, _column)
     _build.__name__ = _name
-    query(_RISK + f" SELECT change_set_id, round({_column}, 6) AS {_column} FROM classed", _RV, _KEPT)(_build)
+    query(RISK + f" SELECT change_set_id, round({_column}, 6) AS {_column} FROM classed", _RV, _KEPT)(_build)
 
 
-@query(_RISK + " SELECT change_set_id, risk_level FROM classed", _RV, _KEPT)
+@query(RISK + " SELECT change_set_id, risk_level FROM classed", _RV, _KEPT)
 def risk_class(a: Adapters) -> DataFrame:
     return _risk(a).select("change_set_id", "risk_level")
 
 
-@query(_RISK + " SELECT change_set_id, CASE WHEN confidence < 0.4 THEN 0 WHEN risk_level IN ('review', 'danger') THEN 1 ELSE 0 END AS exit_code FROM classed", _RV, _KEPT)
+@query(RISK + " SELECT change_set_id, CASE WHEN confidence < 0.4 THEN 0 WHEN risk_level IN ('review', 'danger') THEN 1 ELSE 0 END AS exit_code FROM classed", _RV, _KEPT)
 def exit_code(a: Adapters) -> DataFrame:
     return _risk(a).select("change_set_id", "exit_code")
 
@@ -387,7 +376,7 @@ def commit_suggestion(a: Adapters) -> DataFrame:
 # ---- tests -------------------------------------------------------------------------------------------------
 
 _STEM = r"regexp_replace(string_split({0}, '/')[-1], '^(.+)\.[^.]+$', '\1')"
-_TESTS = r"""+ c AS (SELECT change_set_id, ordinal, file_path, is_deleted FROM v_changes),
+TESTS = r"""+ c AS (SELECT change_set_id, ordinal, file_path, is_deleted FROM v_changes),
 byimport AS (SELECT change_set_id, ordinal, file_path AS changed_file, e.src AS test_file FROM c JOIN v_edges e ON e.dst = c.file_path WHERE regexp_matches(e.src, '/test_[^/]*\.py$')),
 best AS (SELECT change_set_id, test_file, changed_file, 0.8::DOUBLE AS confidence FROM (SELECT x.*, row_number() OVER (PARTITION BY x.change_set_id, test_file ORDER BY x.ordinal) AS k
  FROM byimport x JOIN c ON c.change_set_id = x.change_set_id AND c.ordinal = x.ordinal WHERE NOT c.is_deleted) WHERE k = 1)"""
@@ -415,7 +404,7 @@ def tests_by_dir(a: Adapters) -> DataFrame:
     return found.select(F.concat(F.lit("src/"), "changed_file").alias("changed_file"), "test_file")
 
 
-@query(_TESTS + " SELECT change_set_id, changed_file, test_file FROM byimport", _TV)
+@query(TESTS + " SELECT change_set_id, changed_file, test_file FROM byimport", _TV)
 def tests_by_import(a: Adapters) -> DataFrame:
     return test_mapping.by_import(_changes(a), a.edges).select("change_set_id", "changed_file", "test_file")
 
@@ -430,12 +419,12 @@ def tests_by_function(a: Adapters) -> DataFrame:
     return found.select("change_set_id", "changed_file", "test_file", "function")
 
 
-@query(_TESTS + " SELECT change_set_id, test_file, changed_file, confidence FROM best", _TV, ("changes",))
+@query(TESTS + " SELECT change_set_id, test_file, changed_file, confidence FROM best", _TV, ("changes",))
 def best_test(a: Adapters) -> DataFrame:
     return test_mapping.suggest(_changes(a), _nodes(a), a.edges).select("change_set_id", "test_file", "changed_file", "confidence")
 
 
-@query(_TESTS + " SELECT change_set_id, concat('pytest ', string_agg(test_file, ' ' ORDER BY test_file), ' -v') AS command FROM best GROUP BY 1", _TV, ("changes",))
+@query(TESTS + " SELECT change_set_id, concat('pytest ', string_agg(test_file, ' ' ORDER BY test_file), ' -v') AS command FROM best GROUP BY 1", _TV, ("changes",))
 def test_command(a: Adapters) -> DataFrame:
     return test_mapping.command(test_mapping.suggest(_changes(a), _nodes(a), a.edges))
 
@@ -448,6 +437,20 @@ def page_links(a: Adapters) -> DataFrame:
     return a.table("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("href"))
 
 
+# ---- references --------------------------------------------------------------------------------------------
+
+_WORDS = f"SELECT DISTINCT unnest(regexp_extract_all(text, '{references.WORD}')) AS name FROM conversations WHERE role = 'user'"
+
+
+@query(rf"""WITH names AS ({_WORDS}), held AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{references.WORD}')) AS name FROM documents)
+SELECT name, doc_id FROM names JOIN held USING (name) WHERE length(name) >= 8""")
+def references_of_names(a: Adapters) -> DataFrame:
+    """The documents that mention each longer word of what users said."""
+    said = a.table("conversations").filter("role = 'user'").select(F.explode(F.regexp_extract_all("text", F.lit(references.WORD), F.lit(0))).alias("name"))
+    entries = references.index(a.table("documents"), "doc_id", "text")
+    return references.lookup(entries, said.filter("length(name) >= 8").distinct(), key="doc_id")
+
+
 # ---- sources and reports -----------------------------------------------------------------------------------
 
 
