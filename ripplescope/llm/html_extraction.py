@@ -1,8 +1,9 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read once into a tree of block elements and text blocks, each with its root-to-leaf path of block
-tags. What an element's kind says is no text goes at once: nav, header, footer, aside, form and the like, and
-raw ones (script, style, ...). For each path the text length and the punctuation marks of its blocks are added up
+tags. What an element's kind says is no text goes at once: nav, header, footer, aside and the like, and raw ones
+(script, style, ...), if they are closed; so do forms, but those that hold an article, a main element or half of the
+page's text. For each path the text length and the punctuation marks of its blocks are added up
 and divided by the number of its blocks; both ratios are smoothed over the blocks in page order (a Gaussian of
 three blocks), multiplied, weighted by the share of text outside links and by article or main ancestors, and
 held against half the standard deviation over the page. A class, id or role that names menus, adverts, notices,
@@ -16,6 +17,11 @@ of their text, or of the article or main element around it, are part of the text
 chosen block elsewhere, and what stands in the deepest element around all of these and the first h1 before them,
 unless more than half of it is links (so titles, leads and short sections stay).
 
+Broken pages keep their text. A tag ends at the first '>' outside quotes, and quotes count only where a value begins;
+after a tag that never ends so, quotes count no more on the page, and a '<' without a '>' after it is text. An element
+that would go with all its contents (head, nav, video, svg, ...), or a link, that has no end tag of its own is as if it were not there;
+a script or style without one ends where an element of the page's body begins, a title or textarea at the next tag.
+
 Character references are decoded, white space in a block becomes one space, blocks are joined by two
 newlines; nothing is cut off. Work and memory grow in proportion to the page, however deep its tags are. Null,
 empty or text-free html gives the empty string; repeated rows give repeated results; no rows give no rows; other
@@ -37,14 +43,17 @@ from pyspark.sql import types as T
 from ripplescope.llm import _common as C
 
 HINTED = 0.02
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
+_BARE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_BODY = re.compile(r"</?(?:head|body|article|main|section|div|p|h[1-6]|ul|ol|table)\b", re.I)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCT = re.compile(r"[.,;:!?…。，；：！？、]")
 # Element kinds of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template iframe svg object canvas textarea title select audio video noembed noframes xmp".split())
-_OUT = frozenset("head nav header footer aside form button menu dialog fieldset label datalist output".split())
+_RAW = frozenset("script style textarea title noembed noframes xmp".split())
+_SKIPPED = frozenset("noscript template iframe svg object canvas select audio video".split())
+_OUT = frozenset("head nav header footer aside button menu dialog fieldset label datalist output".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var "
     "math mrow mi mn mo ms mtext mfrac msup msub msqrt mroot semantics annotation".split()
@@ -64,6 +73,26 @@ class Block(NamedTuple):
     linked: int  # characters in links
 
 
+class _Ends:
+    """Where the elements of some kinds end that a page opens and closes, each start matched with the next free end after it."""
+
+    def __init__(self, html: str, kinds: frozenset[str]):
+        self.html, self.kinds, self.known = html, kinds, None
+
+    def of(self, start: int) -> tuple[int, int] | None:
+        """From where to where the end tag goes of the element whose tag starts here."""
+        if self.known is None:
+            self.known, opened = {}, {}
+            for m in re.finditer(rf"<(/?)({'|'.join(sorted(self.kinds))})(?=[\s/>])", self.html, re.I):
+                kind = m[2].lower()
+                if not m[1]:
+                    opened.setdefault(kind, []).append(m.start())
+                elif opened.get(kind):
+                    stop = self.html.find(">", m.end())
+                    self.known[opened[kind].pop()] = m.start(), stop + 1 if stop >= 0 else len(self.html)
+        return self.known.get(start)
+
+
 class Page:
     """The tree of a page's block elements, numbered as they begin, and its text blocks."""
 
@@ -93,7 +122,10 @@ def read(html: str) -> Page:
     stack: list[tuple[str, int]] = []  # tag, node; inline elements have their block's node
     count: Counter[str] = Counter()  # of open tags
     text: list[str] = []
-    gone = linked = links = at = 0  # gone: depth of the stack where the outermost element left out began
+    forms: list[int] = []
+    gone = linked = links = 0  # gone: depth of the stack where the outermost element left out began
+    ends = _Ends(html, _SKIPPED | _OUT | {"a"})
+    endless: set[str] = set()  # raw kinds without an end tag from here on
 
     def flush() -> None:
         nonlocal linked
@@ -128,34 +160,69 @@ def read(html: str) -> Page:
             if stack[k][0] in stop:
                 return
 
-    while True:
-        m = _TOKEN.search(html, at)
-        piece = html[at : m.start() if m else len(html)]
+    def add(piece: str) -> None:
+        nonlocal linked
         if piece and not gone:
             text.append(piece)
             if links:
                 linked += len(piece)
-        if not m:
+
+    def raw_end(kind: str, start: int) -> int:
+        """Where a raw element's contents and its end tag are over."""
+        if kind not in endless:
+            end = re.compile(rf"</{kind}(?=[\s/>])", re.I).search(html, start)
+            if end:
+                return html.find(">", end.end()) + 1 or len(html)
+            endless.add(kind)
+        if kind in ("script", "style"):
+            end = _BODY.search(html, start)
+            return end.start() if end else len(html)
+        end = html.find("<", start)
+        return end if end >= 0 else len(html)
+
+    at, begin, last, tags = 0, 0, html.rfind(">"), _TAG
+    while True:
+        at = html.find("<", at)
+        if at >= 0 and html.startswith("<!--", at):
+            stop = html.find("-->", at + 2)
+            m, stop = None, stop + 3 if stop >= 0 else len(html)
+        elif at < 0 or at > last:
             break
-        at = m.end()
-        if not m[2]:
+        elif html[at + 1] in "!?":
+            m, stop = None, html.find(">", at) + 1
+        elif html[at + 1].isascii() and (html[at + 1].isalpha() or html[at + 1] == "/" and html[at + 2 : at + 3].isascii() and html[at + 2 : at + 3].isalpha()):
+            m = tags.match(html, at)
+            if not m:  # its quotes reach beyond the page
+                tags = _BARE_TAG
+                m = tags.match(html, at)
+            stop = m.end()
+        else:
+            at += 1
+            continue
+        add(html[begin:at])
+        start, at = at, stop
+        begin = at
+        if not m:
             continue
         tag = m[2].lower()
         if m[1]:
             if count[tag]:
                 pop_to((tag,), frozenset())
             continue
-        if tag in _VOID:
+        if tag in _VOID or m[3].endswith("/") and (tag == "svg" or count["svg"] or count["math"]):
             if tag in ("br", "hr", "img", "input") and not gone:
                 text.append(" ")
             if tag == "hr":
                 flush()
             continue
         if tag in _RAW:  # a closing slash means nothing here, as in browsers
-            if tag == "svg" and m[3].endswith("/"):
-                continue
-            end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
+            at = begin = raw_end(tag, at)
+            continue
+        if tag in _SKIPPED:
+            if end := ends.of(start):
+                at = begin = end[1]
+            continue
+        if tag == "a" and not ends.of(start):
             continue
         if tag not in _INLINE:
             pop_to(("p",), _HOLDS)
@@ -175,14 +242,36 @@ def read(html: str) -> Page:
             links += 1
         stack.append((tag, node))
         count[tag] += 1
-        if tag in _OUT and not gone:
+        if tag == "form":
+            forms.append(node)
+        if tag in _OUT and not gone and ends.of(start):
             gone = len(stack)
+    add(html[begin:])
     flush()
     while stack:
         pop()
+    if forms:
+        _drop_forms(page, forms)
     return page
 
 
+def _drop_forms(page: Page, forms: list[int]) -> None:
+    """Takes out the text of forms, unless they hold an article, a main element or half of the page's text."""
+    n = len(page.tag)
+    size, articles = [0] * n, [0] * (n + 1)
+    for b in page.blocks:
+        size[b.node] += len(b.text)
+    for i in range(n - 1, 0, -1):
+        size[page.parent[i]] += size[i]
+    for i in range(n):
+        articles[i + 1] = articles[i] + (page.tag[i] in ("article", "main"))
+    small = {f for f in forms if 2 * size[f] < size[0] and articles[f] == articles[page.last[f] + 1]}
+    within = [False] * n
+    for i in range(1, n):
+        within[i] = i in small or within[page.parent[i]]
+    page.blocks = [b for b in page.blocks if not within[b.node]]
+
+
 def _hints(page: Page) -> list[bool]:
     """Whether each element is, or lies in, one that a name marks and that isn't around the article or nearly everything."""
     n = len(page.tag)

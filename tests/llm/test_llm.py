@@ -3,6 +3,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -613,3 +614,76 @@ def test_pipeline_rejects_nothing_without_a_model(spark, tmp_path):
     spark.createDataFrame([(i, 1) for i in range(5)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(9)], "doc_id long, text string")
     assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == 9
+
+
+ARTICLE = "<article><h1>The title here</h1>" + "".join(f"<p>Paragraph {i} says something, at length; and ends here.</p>" for i in range(6)) + "</article>"
+
+
+@pytest.mark.parametrize("page", [
+    "<html><head><title>x</title><meta a=b>{}", "<body><form action=x>{}</form></body>", "<body><form id=f><div>{}</div><label>q</label><input></form><p>Foot.</p></body>", "<p title=it's>Lead, in.</p>{}",
+    "<body><video src=a>{}</body>", "<svg><svg><path d=1/></svg></svg><svg>{}", "<select><option>a{}", "<object data=x>{}", "<template>{}", "<noscript>{}", "<script>var x=1;{}", "<title>Hello{}", '<a href="x>y</a>{}', "<nav><ul><li>a</ul>{}",
+    '<p class=">">x</p><a b=">">{}',
+])
+def test_html_keeps_the_article_of_broken_pages(page):
+    text = html_extraction.main_text(page.format(ARTICLE))
+    assert [f"Paragraph {i} says" in text for i in range(6)] == [True] * 6 and "The title here" in text
+
+
+def test_html_of_mangled_pages():
+    """Tags without their end, quotes out of place and elements left open before, between and after an article's paragraphs."""
+    rng = random.Random(8)
+    bits = ["<video src=x>", "<svg><svg></svg>", "<p a=it's>", "<b>", "<div class='x'>", "</div>", "<head>", "<nav>", "<select>", '<i t="a>b">', "<form>", "</form>", "</p>", "< b", "<!-- c > d -->", "<!doctype x>", "<iframe src=a></iframe>", "<script>if (a<b) c('<p>')</script>"]
+    for _ in range(200):
+        page = "".join(rng.choices(bits, k=4)) + "<article>" + "".join(f"<p>Paragraph {i} says something, at length; and ends here.</p>" + rng.choice(["", *bits[:5], *bits[7:10]]) for i in range(6)) + "</article>" + "".join(rng.choices(bits, k=3))
+        assert all(f"Paragraph {i} says" in html_extraction.main_text(page) for i in range(6)), page
+
+
+def test_html_forms_go_but_for_the_page_itself():
+    form = "<form><p>Write to us, please.</p><input></form>"
+    assert "Write" not in html_extraction.main_text(f"<body>{ARTICLE}{form}</body>")
+    assert "Write" not in html_extraction.main_text(f"<body><video>no</video><aside>no</aside>{ARTICLE}{form}</body>") and "no" not in html_extraction.main_text(f"<nav>no</nav>{ARTICLE}")
+
+
+@pytest.mark.parametrize("bit", ["<a ", '<a "x"', '<a x=">"', "<!--", "<!", "<script>", "<title>", "<svg>", "</svg>", "<nav>", "<form>", "<p x='", "<x>", '<a class="x ', "=<a=", "<td><b><dd>"])
+def test_html_takes_time_in_proportion(bit):
+    began = time.perf_counter()
+    html_extraction.main_text(bit * (1_200_000 // len(bit)))
+    html_extraction.main_text(bit * (1_200_000 // len(bit)) + ">")
+    assert time.perf_counter() - began < 12
+
+
+def test_bpe_of_many_long_words_and_other_patterns():
+    import tiktoken
+
+    path, rng = P.path("byte_bpe_multi_50k.tiktoken"), random.Random(9)
+    assert bpe.CUT == P.PATTERN
+    coder, ranks = bpe._coder(path, P.PATTERN), bpe.read_ranks(path)
+    text = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=250)) for _ in range(10_000))
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == enc.encode_ordinary(text)
+    for pattern in (r"\p{Lu}?\p{Ll}+|\p{N}{1,3}|\s+|.", r"[a-z]+| "):
+        other, enc = bpe._coder(path, pattern), tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        texts = ["HelloWorld, 12345 times. a b", "", *(t for t in TEXTS if t)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in other.encode(texts)] == [enc.encode_ordinary(t) for t in texts]
+
+
+def test_other_tokenizers_are_honoured(spark):
+    from tokenizers import Tokenizer
+
+    texts = [t for t in TEXTS if t] + ["Hello world", "a (b) c's"]
+    path = P.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing._Ids(path).encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert packing._ids(P.path("word_bpe_49k.json")).cuts and token_counts._counter(path).cuts
+    other = token_counts._Counter(P.path("word_bpe_49k.json"))
+    words = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    assert not other.cuts and other.counts(texts) == [len(words.encode(t, add_special_tokens=False)) for t in texts]
+
+
+def test_packing_leaves_large_ids_alone(spark):
+    rows = [(9007199254740993, "a b"), (None, "c"), (9007199254740995, None), (-9223372036854775807, "d e f")]
+    cut = packing.pieces(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), P.path("word_bpe_49k.json"))
+    found = packing.pack(cut).collect()
+    assert Counter(r.doc_id for r in found) == Counter(i for i, _ in rows) and {r.sequence_id for r in found} == {0}
+    names = packing.pieces(spark.createDataFrame([("x", "a"), (None, "b")], "doc_id string, text string"), P.path("word_bpe_49k.json"))
+    assert {r.doc_id for r in packing.pack(names).collect()} == {"x", None}
