@@ -1,12 +1,13 @@
 """Byte-level BPE encoding and decoding with DuckDB inside Arrow functions.
 
-Encoding: texts are cut where a single space stands between two characters that are not white space (the
-split pattern always starts a new match there), equal parts are split by the pattern once, and each match
-that a worker has not met yet goes into DuckDB as token-position rows, one per byte. A recursive query joins
-neighbours to the merge table (every pair of tokens whose bytes make a token) and contracts the leftmost
-pair of lowest rank of each word until no word has one left. A match that is a token itself is that token.
-Matches of over LONG bytes, for which one contraction a step would cost the square of the length, keep
-their pairs in a heap with the same order of contraction.
+Encoding: with the pattern that CUT names, texts are cut where a single space stands between two characters that
+are not white space (it always starts a new match there) and equal parts are split by it once; with any other
+pattern each text is split whole. Each match that a worker has not met yet goes into DuckDB as token-position rows,
+one per byte. A recursive query joins neighbours to the merge table (every pair of tokens whose bytes make a token)
+and contracts the leftmost pair of lowest rank of each word until no word has one left. It keeps the rows of all of
+its steps, about half the square of a word's length, so words are grouped by the sum of these. A match that is a
+token itself is that token. Matches of over LONG bytes, for which one contraction a step would cost the square of the
+length, keep their pairs in a heap with the same order of contraction.
 
 Decoding: at most SLICE token-position rows at once join the vocabulary; an ordered aggregation puts the bytes
 of each document together, or of the part of a long one.
@@ -34,6 +35,10 @@ from ripplescope.llm import _common as C
 LONG, SLICE = 255, 1 << 18
 #: Bytes of text encoded at once (each costs some queries), and entries of a memo.
 GROUP_BYTES, MEMO_ENTRIES = 4 << 20, 3 * C.MEMO_ENTRIES
+#: Rows of all steps that one recursive query may come to, and bytes of its words.
+STEP_ROWS, WORD_BYTES = 3_000_000, 1 << 19
+# The pattern of which it is known where its matches begin.
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _RUN = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _CONTRACT = """
@@ -63,7 +68,9 @@ class _Coder:
         import duckdb
         import regex
 
-        self.split = regex.compile(pattern).findall
+        compiled = regex.compile(pattern)
+        self.split = lambda text: [m[0] for m in compiled.finditer(text)] if compiled.groups else compiled.findall(text)
+        self.cuts = pattern == CUT
         self.ranks = read_ranks(path)
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.bytes_of = {v: k for k, v in self.ranks.items()}
@@ -127,7 +134,9 @@ class _Coder:
                 memo[match] = self._heap(raw)
             else:
                 short.append((match, raw))
-        for batch in C.grouped_by_bytes(((x, len(x[1])) for x in short), 1 << 19):
+        # a word's share of a group: of its bytes or of its steps' rows, whichever fills more of it
+        share = WORD_BYTES / STEP_ROWS
+        for batch in C.grouped_by_bytes(((x, max(n := len(x[1]), int(share * n * n / 2))) for x in short), WORD_BYTES):
             for (match, raw), ids in zip(batch, self._contract([raw for _, raw in batch])):
                 (self.matches if len(raw) <= 2 * C.MEMO_CHARS else extra)[match] = ids
         return extra
@@ -140,6 +149,8 @@ class _Coder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit bytes."""
+        if not self.cuts:
+            return self._encode_whole(texts)
         split = [_SAFE.split(t) if _RUN.search(t) else t.split(" ") for t in texts]
         known = []
         for memo, parts, lead in ((self.first, {p[0] for p in split}, ""), (self.rest, set(chain.from_iterable(split)), " ")):
@@ -154,6 +165,12 @@ class _Coder:
         first, rest = known
         return [(first[p[0]] if t else b"") + b"".join(map(rest.__getitem__, p[1:])) for t, p in zip(texts, split)]
 
+    def _encode_whole(self, texts: list[str]) -> list[bytes]:
+        """encode() without knowing where the pattern's matches begin; text between matches has no ids."""
+        split = [self.split(t) for t in texts]
+        extra = self._learn_matches({m for matches in split for m in matches if m})
+        return [b"".join([extra[m] if m in extra else self.matches[m] for m in matches if m]) for matches in split]
+
     def decode(self, flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         """Bytes of documents of `sizes` ids each, whose ids are `flat`; DuckDB gets at most SLICE token rows at once."""
         if len(flat) and not (flat.min() >= 0 and set(np.unique(flat).tolist()) <= self.bytes_of.keys()):
