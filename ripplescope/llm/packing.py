@@ -13,6 +13,7 @@ order; no rows give no rows; other columns of the input are ignored. Rows with a
 """
 from __future__ import annotations
 
+import json
 import os
 import re
 import string
@@ -21,7 +22,6 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +30,10 @@ from pyspark.sql import types as T
 
 from ripplescope.llm import _common as C
 
+# What the ways of _Ids are made for, as the tokenizer's file says it.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 _ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space for Python, not for the tokenizer
 
 
@@ -48,7 +52,8 @@ class _Ids:
 
     A word of letters with closing punctuation is two pieces for the pre-tokenizer, which are looked up apart,
     so that "The" and "the," are encoded once. Letters below U+0180 (but U+0130) are in normal form and have one
-    lower case, so the tokenizer's model gets their byte characters at once.
+    lower case, so the tokenizer's model gets their byte characters at once. Where the tokenizer has another normalizer,
+    pre-tokenizer or added tokens, texts are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -58,6 +63,10 @@ class _Ids:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        how = json.loads(self.tokenizer.to_str())
+        loose = any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["content"] != t["content"].strip() or " " in t["content"] for t in how["added_tokens"])
+        #: Whether texts may be cut at white space and words at closing punctuation.
+        self.cuts = not loose and how["normalizer"] == _NORMALIZER and how["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [_SPLIT, _LEVEL]} and how["post_processor"] is None
         self.words: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
 
@@ -88,6 +97,8 @@ class _Ids:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit bytes."""
+        if not self.cuts:
+            return [array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
         for memo in (self.words, self.cores):
             if len(memo) > C.MEMO_ENTRIES:
                 memo.clear()
@@ -190,25 +201,26 @@ def pack(cut: DataFrame, capacity: int = 4096, group_tokens: int = 1 << 21, id_c
     total = cut.agg(F.sum("length")).head()[0] or 0
     groups = max(1, -(-total // group_tokens))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "__row"], ascending=[False, True], kind="stable")
-        length, tails, head = pdf["length"].to_numpy(), pdf["tail_ids"].tolist(), pdf["head_crc"].tolist()
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("length", "descending"), ("__row", "ascending")]).combine_chunks()
+        column = lambda name: group.column(name).to_numpy()  # noqa: E731 - none of these is ever null
+        length, tails, head = column("length"), group.column("tail_ids").to_pylist(), column("head_crc").tolist()
         carried = np.array([len(t) // 4 for t in tails], np.int64)
         parts = np.array(assign(length, carried, capacity), np.int64).reshape(-1, 5)
         crc = []
         for i, first, size, _, _ in parts.tolist():
             fixed = int(length[i] - carried[i])
             crc.append(zlib.crc32(tails[i][: 4 * (size - fixed)], head[i]) if not first else zlib.crc32(tails[i][4 * (first - fixed) : 4 * (first - fixed + size)]))
-        made = pdf.iloc[parts[:, 0]][[id_col, "start", "doc_tokens"]].reset_index(drop=True)
-        made["start"] += parts[:, 1]
-        made["length"], made["ids_crc32"] = parts[:, 2], crc
-        made["sequence_id"], made["offset"] = (int(pdf["__group"].iloc[0]) << 24) + parts[:, 3], parts[:, 4]
-        return made[out]
+        piece = parts[:, 0]
+        sequence = (int(column("__group")[0]) << 24) + parts[:, 3]
+        ids = group.column(id_col).combine_chunks().take(pa.array(piece))  # an id stays what it is, beside null ones too
+        numbers = (column("start")[piece] + parts[:, 1], parts[:, 2], np.array(crc, np.int64), column("doc_tokens")[piece], sequence, parts[:, 4])
+        return pa.table([ids, *map(pa.array, numbers)], names=out)
 
     out = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     kinds = T.StructType([cut.schema[id_col], *(T.StructField(n, T.LongType()) for n in out[1:])])
     dealt = cut.withColumn("__group", F.pmod(F.xxhash64("__row"), F.lit(groups)))
-    return dealt.groupBy("__group").applyInPandas(run, kinds)
+    return dealt.groupBy("__group").applyInArrow(run, kinds)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

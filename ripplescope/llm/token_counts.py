@@ -3,13 +3,15 @@
 Texts are cut only at a single space between two characters that are not white space. A byte-level
 pre-tokenizer always starts a new piece there (the space goes with the word that follows), so the counts of
 the parts add up to the count of the whole. Equal parts in a batch are encoded once, in batches of about
-equal bytes, and only lengths leave the function.
+equal bytes, and only lengths leave the function. With any other normalizer, pre-tokenizer or added tokens
+that reach over a space, texts are encoded whole.
 
 Null text counts as empty (0 bytes, 0 tokens); repeated rows give repeated results; no rows give no rows;
 other columns of the input are ignored.
 """
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -38,6 +40,12 @@ class _Counter:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        how = json.loads(self.tokenizer.to_str())
+        level = how["pre_tokenizer"] or {}
+        apart = (level.get("type"), level.get("add_prefix_space"), level.get("use_regex")) == ("ByteLevel", False, True)
+        loose = any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in how["added_tokens"])
+        #: Whether texts may be cut at single spaces.
+        self.cuts = apart and not loose and how["normalizer"] is None and how["post_processor"] is None
         self.first: dict[str, int] = {}
         self.rest: dict[str, int] = {}
 
@@ -54,6 +62,8 @@ class _Counter:
         return extra
 
     def counts(self, texts: list[str]) -> list[int]:
+        if not self.cuts:
+            return [len(self.tokenizer.encode(t, add_special_tokens=False)) for t in texts]
         split = [_SAFE.split(t) if _RUN.search(t) else t.split(" ") for t in texts]
         heads = {parts[0] for parts in split}
         extra_first = self._learn(self.first, heads, "")
