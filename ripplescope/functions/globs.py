@@ -25,15 +25,35 @@ def to_regex(pattern: str) -> str:
             if close < 0:
                 out.append(r"\[")
                 continue
-            body = pattern[i:close].replace("\\", r"\\").replace("[", r"\[").replace("&&", r"&\&")
-            body = "^" + body[1:] if body.startswith("!") else re.sub(r"^\^", r"\\^", body)
-            out.append(f"[{body}]")
+            out.append(_set(pattern[i:close]))
             i = close + 1
         else:
             out.append(re.escape(c) if not c.isalnum() and c not in "_/" else c)
     return f"(?s)^{''.join(out)}\\z"
 
 
+def _set(body: str) -> str:
+    """A set of characters; ranges that run backwards hold none."""
+    quoted = lambda c: c if c.isalnum() else "\\" + c
+    none, out, k = body.startswith("!"), [], 0
+    chars = body[none:]
+    while k < len(chars):
+        if chars[k + 1 : k + 2] == "-" and k + 2 < len(chars):
+            out.append(f"{quoted(chars[k])}-{quoted(chars[k + 2])}" * (chars[k] <= chars[k + 2]))
+            k += 3
+        else:
+            out.append(quoted(chars[k]))
+            k += 1
+    if not any(out):
+        return "." if none else "(?!)"
+    return f"[{'^' * none}{''.join(out)}]"
+
+
+def user_regex(pattern: str) -> str:
+    """The expression of user_ignored() for one pattern."""
+    return f"(?s)^{re.escape(pattern.rstrip('/'))}" if pattern.endswith("/") else to_regex(pattern)
+
+
 def matches(text: Column, pattern: str) -> Column:
     return text.rlike(to_regex(pattern))
 

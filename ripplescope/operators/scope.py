@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplescope.functions import paths
+from ripplescope.functions import literals, paths
 
 # Words that say nothing about a scope.
 STOP_WORDS = (
@@ -94,12 +94,18 @@ def nothing(sets: DataFrame) -> DataFrame:
 
 
 def enrich(scopes: DataFrame, areas: DataFrame) -> DataFrame:
-    """`scopes` with the files of areas (area, kind, path) whose name is a concept or part of the description."""
-    named = scopes.select("change_set_id", "target_concepts", F.lower("description").alias("said"))
-    known = areas.groupBy(F.lower("area").alias("area")).agg(F.collect_set("path").alias("paths"))
-    held = F.array_contains("target_concepts", F.col("area")) | F.contains("said", F.col("area"))
-    hits = named.join(F.broadcast(known), held)  # areas are rows of a configuration file, read on the driver
-    more = hits.groupBy("change_set_id").agg(F.array_distinct(F.flatten(F.collect_list("paths"))).alias("more"))
+    """`scopes` with the files of areas (area, kind, path) whose name is a concept or part of the description, in any case.
+
+    An area meets a description by the first characters of its name, and only where it does is the whole name looked for.
+    """
+    known = areas.filter("area is not null").select(F.lower("area").alias("area"), "path").distinct()
+    names = known.select("area").distinct().withColumn("key", literals.key(F.col("area")))
+    said = scopes.select("change_set_id", F.lower("description").alias("said"))
+    offered = said.select("change_set_id", "said", F.explode(literals.pieces(F.col("said"), literals.lengths(names, "area"))).alias("key"))
+    held = offered.join(names, "key").filter(F.contains("said", F.col("area"))).select("change_set_id", "area")
+    named = scopes.select("change_set_id", F.explode("target_concepts").alias("area")).join(names, "area").select("change_set_id", "area")
+    hits = held.unionByName(named).distinct().join(known, "area")
+    more = hits.groupBy("change_set_id").agg(F.collect_set("path").alias("more"))
     joined = scopes.join(more, "change_set_id", "left")
     files = F.array_sort(F.array_union("target_files", F.coalesce("more", F.array().cast("array<string>"))))
     return joined.withColumn("target_files", files).drop("more")

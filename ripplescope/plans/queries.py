@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplescope.functions import globs, languages, paths
-from ripplescope.operators import commits, graph, relevance, risk, scope, test_mapping
+from ripplescope.operators import commits, graph, ignore, relevance, risk, scope, test_mapping
 from ripplescope.plans import analyze, report
 from ripplescope.plans.adapters import Adapters, prelude
 from ripplescope.plans.adapters import changes as _changes
@@ -136,6 +136,21 @@ def ignore_filter(a: Adapters) -> DataFrame:
     return a.changes.filter(~globs.user_ignored(F.col("file_path"), ["src/api/", "*.lock", "tests/test_a*"])).select("change_set_id", "file_path")
 
 
+#: Patterns of forty projects, made from the names of some of their files: folders, beginnings, ends, parts, sets and whole paths.
+_PATTERNS = """SELECT file_id % 40 AS project, file_id AS ordinal, CASE cast(floor(file_id / 40) AS int) % 9 WHEN 0 THEN path WHEN 1 THEN concat(replace(path, '.', '*.'), '*')
+ WHEN 2 THEN concat('*', substring(path, length(path) - 7, 8)) WHEN 3 THEN concat('*/', substring(path, 5, 4), '*') WHEN 4 THEN concat(substring(path, 1, 9), '/') WHEN 5 THEN concat('*', substring(path, 6, 3), '*[0-5].?s')
+ WHEN 6 THEN concat('?', substring(path, 2, 7), '*') WHEN 7 THEN concat('*[!a-z]', cast(file_id % 100 AS string), '.*') ELSE concat('lib/', substring(path, 5, 3), '*.lock') END AS pattern FROM v_files"""
+
+
+@query(f"""+ p AS ({_PATTERNS}), f AS (SELECT file_id % 40 AS project, path FROM v_files)
+SELECT project, path, ordinal, pattern FROM (SELECT f.project, f.path, p.ordinal, p.pattern, row_number() OVER (PARTITION BY f.project, f.path ORDER BY p.ordinal, p.pattern) AS k FROM f JOIN p ON p.project = f.project
+ AND CASE WHEN ends_with(p.pattern, '/') THEN starts_with(f.path, rtrim(p.pattern, '/')) ELSE f.path GLOB p.pattern END) WHERE k = 1""", ("v_files",))
+def ignore_by_project(a: Adapters) -> DataFrame:
+    """The first of its project's patterns that each file matches."""
+    patterns = a.spark.sql(_PATTERNS.replace("v_files", "{v_files}"), v_files=a.files)
+    return ignore.first_matches(a.files.select((F.col("file_id") % 40).alias("project"), "path"), patterns)
+
+
 _CATEGORY = """CASE WHEN file_path LIKE '%.lock' THEN 'lockfiles' WHEN file_path LIKE '%.min.js' THEN 'generated' WHEN concat('/', file_path) LIKE '%/migrations/%' THEN 'migrations' END"""
 
 
@@ -321,6 +336,16 @@ def area_enrichment(a: Adapters) -> DataFrame:
     return enriched.select("change_set_id", F.concat(F.lit("["), F.array_join("target_files", ", "), F.lit("]")).alias("files"))
 
 
+@query("""+ areas AS (SELECT DISTINCT lower(split_part(p_name, ' ', 2)) AS area, concat('docs/', p_brand, '/', p_size, '.md') AS path FROM part),
+hits AS (SELECT change_set_id, list(DISTINCT a.path) AS paths FROM v_scope s JOIN areas a ON contains(lower(s.text), a.area) GROUP BY change_set_id)
+SELECT change_set_id, array_to_string(list_sort(list_distinct(list_append(coalesce(paths, []), target))), ',') AS files FROM v_scope LEFT JOIN hits USING (change_set_id)""", ("v_scope",))
+def area_files(a: Adapters) -> DataFrame:
+    """The files of areas named after the second words of parts' names, for each scope that mentions one."""
+    parts = a.table("part")
+    areas = parts.select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("area"), F.lit("files").alias("kind"), F.concat(F.lit("docs/"), "p_brand", F.lit("/"), F.col("p_size").cast("string"), F.lit(".md")).alias("path"))
+    return scope.enrich(_scopes(a), areas).select("change_set_id", F.array_join("target_files", ",").alias("files"))
+
+
 _FILES = scope.FILES.removeprefix("(?U)")
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ripplescope.functions import globs, languages, paths
-from ripplescope.operators import commits, graph, joins, relevance, risk, scope, test_mapping
+from ripplescope.operators import commits, graph, ignore, joins, relevance, risk, scope, test_mapping
 from ripplescope.plans import analyze, report
 from ripplescope.sources import project as sources
 
@@ -202,3 +202,36 @@ def test_distances_in_random_graphs(spark):
             d += 1
         assert r.distance == (0 if r.src == r.dst else -1 if r.src == "no" or not level else d)
     assert graph.distance(spark.createDataFrame([], "src string, dst string"), spark.createDataFrame([], "path string"), spark.createDataFrame([], "src string, dst string")).count() == 0
+
+
+def test_patterns_of_many_projects(spark):
+    """Against fnmatch, with sets, backward ranges, unclosed brackets and patterns without a literal."""
+    from fnmatch import fnmatchcase
+
+    rng = random.Random(6)
+    words = ["a", "src", "api", "x[1]", "é", "lock", "b.py", "c.min.js", "-", "^", "a&&b", "]"]
+    paths = {("/".join(rng.choices(words, k=rng.randint(1, 4)))) for _ in range(120)} | {"", "a\nb"}
+    pieces = [*words, "*", "*", "?", "[a-c]", "[!a-c]", "[z-a]", "[!z-a]", "[]a]", "[!]a]", "[", "[a", "[^a]", "/", "."]
+    patterns = [(rng.choice(["p", "q"]), k, "".join(rng.choices(pieces, k=rng.randint(1, 5)))) for k in range(300)] + [("p", 400, "*"), ("q", 401, "/"), ("q", 401, "a"), ("p", 1, None), (None, 1, "*")]
+    rows = [(p, x) for p in ("p", "q", "none") for x in paths] + [("p", "a"), ("p", None), (None, "a")]
+    found = ignore.first_matches(spark.createDataFrame(rows, "project string, path string"), spark.createDataFrame(patterns, "project string, ordinal int, pattern string"))
+    want = {}
+    for p, x in set(rows):
+        hit = [(k, t) for q, k, t in patterns if p is not None and x is not None and q == p and t is not None and (x.startswith(t.rstrip("/")) if t.endswith("/") else fnmatchcase(x, t))]
+        if hit:
+            want[p, x] = min(hit)
+    assert {(r.project, r.path): (r.ordinal, r.pattern) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_many_patterns_and_many_areas(spark):
+    """10,000 patterns of one project and 100,000 areas."""
+    patterns = spark.range(10_000).selectExpr("1 as project", "id as ordinal", "case id % 3 when 0 then concat('src/m', id, '/*.py') when 1 then concat('*_', id, '.js') else concat('*name', id, 'x*') end as pattern")
+    paths = spark.range(3_000).selectExpr("1 as project", "case id % 3 when 0 then concat('src/m', id, '/a.py') when 1 then concat('lib/f_', id, '.js') else concat('lib/name', id, 'x.c') end as path")
+    assert ignore.first_matches(paths, patterns).filter("ordinal is not null").count() == 3_000
+    areas = spark.range(100_000).selectExpr("concat('Area', id, 'z') as area", "'files' as kind", "concat('f', id) as path")
+    scopes = spark.createDataFrame([(1, "Touch AREA77z and é", ["area99999z"], ["x"]), (2, None, [], []), (3, "area 77z " * 3000, [], ["y"])], "change_set_id int, description string, target_concepts array<string>, target_files array<string>")
+    enriched = scope.enrich(scopes, areas)
+    assert {r.change_set_id: r.target_files for r in enriched.collect()} == {1: ["f77", "f99999", "x"], 2: [], 3: ["y"]}
+    assert "NestedLoop" not in enriched._jdf.queryExecution().executedPlan().toString()
