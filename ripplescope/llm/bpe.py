@@ -36,7 +36,7 @@ LONG, SLICE = 255, 1 << 18
 #: Bytes of text encoded at once (each costs some queries), and entries of a memo.
 GROUP_BYTES, MEMO_ENTRIES = 4 << 20, 3 * C.MEMO_ENTRIES
 #: Rows of all steps that one recursive query may come to, and bytes of its words.
-STEP_ROWS, WORD_BYTES = 3_000_000, 1 << 19
+STEP_ROWS, WORD_BYTES = 6_000_000, 1 << 19
 # The pattern of which it is known where its matches begin.
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _RUN = re.compile(r"\s\s")
@@ -69,7 +69,7 @@ class _Coder:
         import regex
 
         compiled = regex.compile(pattern)
-        self.split = lambda text: [m[0] for m in compiled.finditer(text)] if compiled.groups else compiled.findall(text)
+        self.split = (lambda text: [m[0] for m in compiled.finditer(text)]) if compiled.groups else compiled.findall
         self.cuts = pattern == CUT
         self.ranks = read_ranks(path)
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
@@ -159,8 +159,10 @@ class _Coder:
             found = {p: self._matches(lead, p) for p in parts.difference(memo)}
             extra = self._learn_matches(set(chain.from_iterable(found.values())))
             long: dict[str, bytes] = {}
+            ids_of = self.matches.get
             for part, matches in found.items():
-                (memo if len(part) <= C.MEMO_CHARS else long)[part] = b"".join([extra[m] if m in extra else self.matches[m] for m in matches])
+                ids = (ids_of(matches[0]) or extra[matches[0]]) if len(matches) == 1 else b"".join([ids_of(m) or extra[m] for m in matches])
+                (memo if len(part) <= C.MEMO_CHARS else long)[part] = ids
             known.append({**memo, **long} if long else memo)
         first, rest = known
         return [(first[p[0]] if t else b"") + b"".join(map(rest.__getitem__, p[1:])) for t, p in zip(texts, split)]
