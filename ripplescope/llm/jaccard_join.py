@@ -16,7 +16,8 @@ Candidates are taken in two rounds. First each list's entries are paired with th
 stand first in it (so have few shingles of their own) and one by hash; verified links are contracted to
 components. Then all pairs of a list that are in different components and may still link are verified. So a
 list of n near copies costs about n pairs, and no link between components is lost. Pairs whose listed shingles
-rule a link out go first; the whole sets of the others are intersected.
+rule a link out go first, in the second round where they meet, by 256 bits for each set that tell how many of one's
+listed shingles the other lacks at least; the whole sets of the others are intersected.
 
 component_id is the smallest id reachable by links. Null or word-free text has the empty set (n_shingles 0)
 and links with nothing; its component is its own id. Repeated rows are equal texts. A null id counts with its
@@ -188,6 +189,22 @@ def _may_link(x: str, y: str, percent: int) -> Column:
     return (least <= F.least(n, m)) & ((i < 0) | listed)
 
 
+def _bits(order: str = "order") -> list[Column]:
+    """A set's listed shingles as 256 bits, in four columns, and their number."""
+    words = [F.expr(f"aggregate({order}, 0L, (a, x) -> if((shiftright(x, 62) & 3) = {k}, a | shiftleft(1L, cast(x & 63 as int)), a))").alias(f"bits{k}") for k in range(4)]
+    return [*words, F.size(order).alias("listed")]
+
+
+def _has_room(x: str, y: str, percent: int) -> Column:
+    """Whether two sets can link by their _bits(): what one lists and the other lacks the bit of isn't common to their lists."""
+    def common(a: str, b: str) -> Column:
+        lacking = [F.bit_count(F.col(f"{a}.bits{k}").bitwiseAND(F.bitwise_not(F.col(f"{b}.bits{k}")))) for k in range(4)]
+        return F.col(f"{a}.listed") - (lacking[0] + lacking[1] + lacking[2] + lacking[3])
+
+    rest = F.greatest(*[F.col(f"{a}.n") - F.col(f"{a}.listed") for a in (x, y)])
+    return F.least(common(x, y), common(y, x)) + rest >= _need(F.col(f"{x}.n"), F.col(f"{y}.n"), percent)
+
+
 def _crossed(rest: DataFrame, percent: int) -> DataFrame:
     """Pairs (x, y) of entries of a list that are in different components and may link.
 
@@ -203,7 +220,7 @@ def _crossed(rest: DataFrame, percent: int) -> DataFrame:
     met = sized.withColumn("band", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1))))).join(parts, ["token", "band"])
     y = met.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
     same = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.part") == F.col("y.part"))
-    return x.join(y, same & (F.col("x.root") < F.col("y.root")) & _may_link("x", "y", percent))
+    return x.join(y, same & (F.col("x.root") < F.col("y.root")) & _may_link("x", "y", percent) & _has_room("x", "y", percent))
 
 
 def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -271,7 +288,7 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
 
     rest = live.join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rest.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
-    rest = C.store(rest.join(mixed, "token", "left_semi"), "rest")
+    rest = C.store(rest.join(mixed, "token", "left_semi").join(nodes.select("node", *_bits()), "node"), "rest")
     crossed = _crossed(rest, percent)
     crossed = crossed.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     crossed = C.store(_near(crossed, nodes, percent), "more_pairs")

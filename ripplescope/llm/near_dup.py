@@ -15,7 +15,7 @@ node found in range is expanded too, until nothing new in range turns up. Each b
 each block of its shard. Pairs found in range in single precision are verified in double precision, on the
 vectors as they are given; links are those with cosine >= `threshold`.
 
-A pair counts in the least shard that both its nodes joined. Recall is audited: by brute force against all nodes
+Pairs found in several shards are counted once. Recall is audited: by brute force against all nodes
 of their labels, links of nodes picked by hash are told, of ever more nodes until AUDIT_LINKS links are among
 them (or AUDIT[-1] nodes are looked at). If less than TARGET of these pairs was found, the search is repeated with
 more overlap and a wider beam, and at last the exact way is taken: all blocks of a label against each other.
@@ -39,6 +39,8 @@ from ripplescope.llm import _common as C
 from ripplescope.llm._graph import components
 
 SAMPLE, SHARD, BLOCK = 16384, 400, 4096
+#: Bytes of vectors that the driver gets at once, to fit centroids or to audit; fewer of them where they are long.
+SAMPLE_BYTES = 64 << 20
 DEGREE, ALPHA, BUILD_BEAM, RANDOM, BATCH, ENTRIES = 32, 1.0, 32, 8, 512, 8
 SETTINGS = ((2, 32), (4, 96), (8, 256))
 AUDIT, AUDIT_LINKS, TARGET = (512, 4096, 16384), 200, 0.95
@@ -308,14 +310,14 @@ def _local(near: pa.Array, node: np.ndarray) -> np.ndarray:
 
 
 def _unit_links(table: pa.Table, threshold: float, beam: int | None) -> pa.Table:
-    """Of one unit of work: for each node its links that count here, by copies and by distinct nodes, and a node it hangs together with.
+    """Of one unit of work: its links (a, b, copies of a, copies of b) and for each node in one a node it hangs together with (no copies).
 
     Without a beam all pairs are compared.
     """
     node, role = table["node"].to_numpy(), table["role"].to_numpy()
     order = np.lexsort((node, role))
     table, node, role = table.take(pa.array(order)), node[order], role[order]
-    count, k, raw = table["c"].to_numpy(), int(table["k"][0].as_py()), _vectors(table["embedding"])
+    count, raw = table["c"].to_numpy(), _vectors(table["embedding"])
     x = _unit(raw)
     index = np.flatnonzero(role <= 1)  # 0: both, 1: index only, 2: query only
     queries = np.flatnonzero(role != 1)
@@ -333,21 +335,21 @@ def _unit_links(table: pa.Table, threshold: float, beam: int | None) -> pa.Table
             keep = _exact(raw[a], raw[b]) >= threshold
             found.append(np.column_stack([np.minimum(a[keep], b[keep]), np.maximum(a[keep], b[keep])]))
         pairs = np.unique(np.concatenate(found), axis=0)
-    mine = np.ones(len(pairs), bool)
-    if len(pairs) and beam:
-        joined = table["shards"].to_pylist()
-        sets = [frozenset(s) for s in joined]
-        mine = np.array([min(sets[a] & sets[b]) == k for a, b in pairs.tolist()], bool)
-    links, distinct = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64)
-    for a, b in ((0, 1), (1, 0)):
-        np.add.at(links, pairs[mine, a], count[pairs[mine, b]])
-        np.add.at(distinct, pairs[mine, a], 1)
-    root = _roots(len(node), pairs)
-    out = np.unique(pairs)
-    return pa.table({"node": node[out], "links": links[out], "distinct": distinct[out], "other": node[root[out]]})
+    root, hung = _roots(len(node), pairs), np.unique(pairs)
+    first, second = pairs.T
+    column = lambda own, of: pa.array(np.concatenate([own, of]))
+    copies = [pa.array(np.concatenate([count[x], np.zeros(len(hung), np.int64)]), mask=np.repeat([False, True], [len(pairs), len(hung)])) for x in (first, second)]
+    return pa.table([column(node[first], node[hung]), column(node[second], node[root[hung]]), *copies], names=["a", "b", "of_a", "of_b"])
 
 
-_FOUND = "node long, links long, distinct long, other long"
+_FOUND = "a long, b long, of_a long, of_b long"
+
+
+def _counted(found: DataFrame) -> DataFrame:
+    """A stored table (node, links, distinct): links of each node by copies and by nodes, each pair once wherever it was found."""
+    pairs = found.filter("of_a is not null").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max(F.when(F.col("a") < F.col("b"), F.col("of_a")).otherwise(F.col("of_b"))).alias("of_a"), F.max(F.when(F.col("a") < F.col("b"), F.col("of_b")).otherwise(F.col("of_a"))).alias("of_b"))
+    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("of_b").alias("n")), F.struct(F.col("b").alias("node"), F.col("of_a").alias("n")))).alias("x")).select("x.*")
+    return C.store(both.groupBy("node").agg(F.sum("n").alias("links"), F.count("*").alias("distinct")), "counted")
 
 
 def _assigned(nodes: DataFrame, centroids: dict[str, np.ndarray], overlap: int) -> DataFrame:
@@ -412,7 +414,7 @@ def _units(rows: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def _search(nodes: DataFrame, centroids: dict[str, np.ndarray], deep: bool, threshold: float, overlap: int, beam: int) -> DataFrame:
-    """A stored table (node, links, distinct, other), several rows for a node."""
+    """A stored table as _unit_links() gives it, of all units."""
     assigned = C.store(_assigned(nodes.select("node", "key", "embedding", "c"), centroids, overlap), "shards")
     if deep:
         coarse, assigned = assigned, C.store(_refined(assigned, overlap), "shards")
@@ -423,7 +425,7 @@ def _search(nodes: DataFrame, centroids: dict[str, np.ndarray], deep: bool, thre
     lists = cut.groupBy("key", "k", "i").applyInArrow(_block_lists, "node long, near array<long>")
     united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     united = C.store(united, "united")
-    units = _units(rows.join(united, "node"), blocks)
+    units = _units(rows.select("node", "key", "k", "embedding", "c").join(united, "node"), blocks)
     found = C.store(units.groupBy("key", "k", "lo", "hi").applyInArrow(lambda t: _unit_links(t, threshold, beam), _FOUND), "found")
     C.drop(assigned, blocks, united)
     return found
@@ -438,11 +440,12 @@ def _brute_force(nodes: DataFrame, threshold: float) -> DataFrame:
 
 def _true_links(nodes: DataFrame, threshold: float, asked_nodes: int) -> dict[int, int]:
     """The number of nodes that each of some nodes, picked by hash, links with, by brute force."""
-    picked = nodes.orderBy(F.xxhash64("node", F.lit(7)), "node").limit(asked_nodes).select("node", "key", "embedding").collect()
-    by: dict[str, list[tuple[int, list[float]]]] = {}
-    for r in picked:
-        by.setdefault(r["key"], []).append((r["node"], r["embedding"]))
-    asked = nodes.sparkSession.sparkContext.broadcast({key: (np.array([n for n, _ in v]), np.array([x for _, x in v], np.float64)) for key, v in by.items()})
+    picked = nodes.orderBy("h2", "h1").limit(asked_nodes).select("node", "key", "embedding").toArrow().combine_chunks()
+    key, by = np.array(picked["key"].to_pylist(), object), {}
+    for k in set(key.tolist()):
+        part = picked.take(pa.array(np.flatnonzero(key == k)))
+        by[k] = part["node"].to_numpy(), _vectors(part["embedding"]).astype(np.float64)
+    asked = nodes.sparkSession.sparkContext.broadcast(by)  # at most SAMPLE_BYTES of vectors
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -472,35 +475,38 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     able = F.coalesce(sound & F.col("label").isNotNull(), F.lit(False))
     key = F.concat_ws(":", F.size("embedding").cast("string"), "label")
-    rows = C.store(rows.withColumn("node", F.when(able, F.xxhash64("label", "embedding"))).withColumn("key", F.when(able, key)), "vectors")
-    nodes = rows.filter("node is not null").groupBy("node").agg(F.min("__id").alias("id"), F.count("*").alias("c"), F.first("key").alias("key"), F.first("embedding").alias("embedding"))
-    nodes = C.store(nodes, "nodes")
-    total = nodes.count()
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("key", "embedding").collect()
-    centroids = fit_centroids([(r["key"], np.array(r["embedding"], np.float32)) for r in sample], total / max(1, len(sample)))
+    names = [F.when(able, F.xxhash64(*salt, "label", "embedding")).alias(f"h{k}") for k, salt in ((1, []), (2, [F.lit("second")]))]
+    rows = C.store(rows.select("*", *names, F.when(able, key).alias("key")), "vectors")
+    nodes = rows.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("__id").alias("id"), F.count("*").alias("c"), F.first("key").alias("key"), F.first("embedding").alias("embedding"))
+    nodes = C.store(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    total, longest = nodes.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).head()
+    most = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * longest)))
+    sample = nodes.orderBy("h1", "h2").limit(most).select("key", "embedding").toArrow().combine_chunks()
+    vectors = sample["embedding"].combine_chunks() if len(sample) else []
+    centroids = fit_centroids([(k, v.values.to_numpy().astype(np.float32)) for k, v in zip(sample["key"].to_pylist(), vectors)], total / max(1, len(sample)))
     deep = total > 2 * SHARD * max(1, len(sample) // 8)
     there: dict[int, int] = {}
     for size in AUDIT:
-        there = _true_links(nodes, threshold, size)
-        if sum(there.values()) >= AUDIT_LINKS or size >= total:
+        there = _true_links(nodes, threshold, min(size, most))
+        if sum(there.values()) >= AUDIT_LINKS or size >= min(total, most):
             break
     asked = nodes.sparkSession.createDataFrame(list(there.items()), "node long, n long")
     for overlap, beam in (*SETTINGS, (0, 0)):
         found = _search(nodes, centroids, deep, threshold, overlap, beam) if beam else _brute_force(nodes, threshold)
-        got = found.join(F.broadcast(asked), "node").agg(F.coalesce(F.sum("distinct"), F.lit(0))).head()[0]  # at most AUDIT[-1] rows
+        counted = _counted(found)
+        got = counted.join(F.broadcast(asked), "node").agg(F.coalesce(F.sum("distinct"), F.lit(0))).head()[0]  # at most AUDIT[-1] rows
         if got >= TARGET * sum(there.values()):
             break
         if beam:
-            C.drop(found)
-    counted = found.groupBy("node").agg(F.sum("links").alias("links"))
-    hang = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
+            C.drop(found, counted)
+    hang = components(found.filter("of_a is null").select("a", "b"))
     rooted = C.store(hang.join(nodes.select("node", "id"), "node"), "rooted")
     named = rooted.join(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("node", "component_id")
-    known = nodes.select("node", "id", "c").join(counted, "node", "left").join(named, "node", "left")
-    known = C.store(known.select("node", (F.col("c") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "id").alias("component_id")), "known")
-    C.drop(found, nodes, hang, rooted)
-    linked = rows.filter("node is not null").select("__id", "node").join(known, "node").select("__id", "n_links", "component_id")
-    alone = rows.filter("node is null").select("__id", F.lit(0).cast("long").alias("n_links"), F.col("__id").alias("component_id"))
+    known = nodes.select("node", "h1", "h2", "id", "c").join(counted, "node", "left").join(named, "node", "left")
+    known = C.store(known.select("h1", "h2", (F.col("c") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "id").alias("component_id")), "known")
+    C.drop(found, counted, nodes, hang, rooted)
+    linked = rows.filter("h1 is not null").select("__id", "h1", "h2").join(known, ["h1", "h2"]).select("__id", "n_links", "component_id")
+    alone = rows.filter("h1 is null").select("__id", F.lit(0).cast("long").alias("n_links"), F.col("__id").alias("component_id"))
     out = linked.unionByName(alone)
     return out.select(F.col("__id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("__id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
