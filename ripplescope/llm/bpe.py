@@ -55,7 +55,7 @@ WITH RECURSIVE t(step, w, pos, id, next_pos, next_id, m) AS (
         WHERE pos <> gone) u LEFT JOIN merges ON l = u.id AND r = u.next_id)
 SELECT w, list(id ORDER BY pos) AS ids FROM t JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) z USING (w, step) GROUP BY w ORDER BY w
 """
-_DECODE = "SELECT doc, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes FROM token_rows JOIN vocabulary USING (id) GROUP BY doc ORDER BY doc"
+_DECODE = "SELECT doc, list(bytes ORDER BY pos) AS parts FROM token_rows JOIN vocabulary USING (id) GROUP BY doc ORDER BY doc"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -78,7 +78,7 @@ class _Coder:
         pairs = [(a, b, m) for t, m in self.ranks.items() for i in range(1, len(t)) if (a := self.ranks.get(t[:i])) is not None and (b := self.ranks.get(t[i:])) is not None]
         made = np.array(pairs, np.int32).reshape(-1, 3)
         merges = pa.table({"l": made[:, 0], "r": made[:, 1], "m": made[:, 2]})
-        vocabulary = pa.table({"id": pa.array(list(self.bytes_of), pa.int32()), "hex": pa.array([v.hex() for v in self.bytes_of.values()])})
+        vocabulary = pa.table({"id": pa.array(list(self.bytes_of), pa.int32()), "bytes": pa.array(list(self.bytes_of.values()), pa.binary())})
         for name, table in (("merges", merges), ("vocabulary", vocabulary)):
             self.con.register("given", table)
             self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
@@ -182,8 +182,15 @@ class _Coder:
         for at in range(0, len(flat), SLICE):
             part = slice(at, at + SLICE)
             self.con.register("token_rows", pa.table({"doc": owner[part], "pos": np.arange(len(flat[part]), dtype=np.int32), "id": flat[part]}))
-            for doc, raw in self.con.sql(_DECODE).fetchall():
-                out[doc].append(raw)
+            found = self.con.sql(_DECODE).to_arrow_table().combine_chunks()
+            parts, docs = found["parts"].combine_chunks(), found["doc"].to_pylist()
+            # the bytes of consecutive parts lie one after the other
+            _, at_part, held = parts.values.buffers()
+            wide = np.int64 if pa.types.is_large_binary(parts.values.type) else np.int32
+            ends = np.frombuffer(at_part, wide)[parts.values.offset :][parts.offsets.to_numpy()].tolist()
+            held = memoryview(held)
+            for k, doc in enumerate(docs):
+                out[doc].append(bytes(held[ends[k] : ends[k + 1]]))
             self.con.unregister("token_rows")
         return [b"".join(parts) for parts in out]
 
