@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ripplescope.functions import globs, languages, paths
 from ripplescope.operators import commits, graph, ignore, relevance, risk, scope, test_mapping
-from ripplescope.plans import analyze, report
+from ripplescope.plans import analyze, report, report_sql
 from ripplescope.plans.adapters import Adapters, prelude
 from ripplescope.plans.adapters import changes as _changes
 from ripplescope.plans.adapters import nodes as _nodes
@@ -372,7 +372,7 @@ def scope_inferred(a: Adapters) -> DataFrame:
 # ---- commit messages ---------------------------------------------------------------------------------------
 
 _VAGUE = ", ".join(f"'{w}'" for w in commits.VAGUE)
-_QUALITY = rf"""+ w AS (SELECT DISTINCT change_set_id, word FROM (
+QUALITY = rf"""+ w AS (SELECT DISTINCT change_set_id, word FROM (
   SELECT change_set_id, lower(regexp_replace(string_split(file_path, '/')[-1], '^(.+)\.[^.]+$', '\1')) AS word FROM v_changes
   UNION ALL SELECT change_set_id, word FROM (SELECT change_set_id, unnest(list_transform(string_split(file_path, '/'), lambda p: rtrim(rtrim(rtrim(lower(p), '.py'), '.js'), '.ts'))) AS word FROM v_changes) WHERE length(word) > 2)),
 hit AS (SELECT DISTINCT m.change_set_id FROM (SELECT change_set_id, unnest(regexp_extract_all(lower(message), '[a-z_]+')) AS word FROM v_messages) m JOIN w USING (change_set_id, word)),
@@ -382,7 +382,7 @@ scored AS (SELECT *, CASE WHEN message = '' THEN 0.0::DOUBLE WHEN conventional T
  FROM (SELECT *, 1.0::DOUBLE - (CASE WHEN vague THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END) - (CASE WHEN short THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END) - (CASE WHEN stray THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END) AS base FROM q))"""
 
 
-@query(_QUALITY + """ SELECT change_set_id, round(score, 2) AS score, vague OR message = '' AS is_vague,
+@query(QUALITY + """ SELECT change_set_id, round(score, 2) AS score, vague OR message = '' AS is_vague,
  CASE WHEN message = '' THEN 1 ELSE vague::INT + short::INT + stray::INT + (NOT conventional)::INT END AS issues FROM scored""", ("v_changes", "v_messages"), ("changes",))
 def commit_quality(a: Adapters) -> DataFrame:
     rows = commits.quality(a.messages, _changes(a))
@@ -637,27 +637,31 @@ def _reports(a: Adapters) -> DataFrame:
     return analyze.analyze(_changes(a), inputs, _nodes(a), a.edges, scopes=_scopes(a).withColumn("source", F.lit("cli")))
 
 
+_RM = ("v_files", "v_changes", "v_scope", "v_edges", "v_messages")
+_PARTS = "+ " + report_sql.parts(RISK, DOWN, TESTS, QUALITY, REASON, f"list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda t: length(t) > 1 AND NOT list_contains({_STOP}, t))")
+
+
 @query(_SCORED + """, level AS (SELECT change_set_id, CASE level WHEN 'info' THEN 'note' WHEN 'critical' THEN 'error' ELSE 'warning' END AS level FROM phantoms)
 SELECT level, count(*) AS n FROM level GROUP BY level""", _RV, _KEPT)
 def sarif_levels(a: Adapters) -> DataFrame:
     return _phantoms(a).groupBy(report.phantom_level(F.col("severity")).alias("level")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(_PARTS + report_sql.JSON, _RM)
 def report_json(a: Adapters) -> DataFrame:
     return report.json(_reports(a))
 
 
-@query()
+@query(_PARTS + report_sql.SARIF, _RM)
 def report_sarif(a: Adapters) -> DataFrame:
     return report.sarif(_reports(a))
 
 
-@query()
+@query(_PARTS + report_sql.MARKDOWN, _RM)
 def report_markdown(a: Adapters) -> DataFrame:
     return report.markdown(_reports(a))
 
 
-@query()
+@query(_PARTS + report_sql.TERMINAL, _RM)
 def report_terminal(a: Adapters) -> DataFrame:
     return report.terminal(_reports(a))

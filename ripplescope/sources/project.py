@@ -228,9 +228,8 @@ def _joined(folder: Column, relative: Column) -> Column:
     return F.array_join(F.aggregate(split, start, step), "/")
 
 
-def edges(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """(src, dst) of the file graph: imports that resolve to another file of the project, each once."""
-    names = imports(files) if found is None else found
+def candidates(names: DataFrame) -> DataFrame:
+    """(path, language, name, rank, dst): the files that each import (path, language, name) may mean, the first of them in the project counts."""
     module = F.replace(F.col("name"), F.lit("."), F.lit("/"))
     at = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     python = F.array(at("src/", module, ".py"), at(module, ".py"), at("src/", module, "/__init__.py"), at(module, "/__init__.py"))
@@ -238,11 +237,27 @@ def edges(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
     target = F.when(F.col("name").startswith("/"), F.lit(None)).otherwise(_joined(folder, F.col("name")))
     plain = F.regexp_replace(target, r"(?<=[^/])\.[^./]+$", "")
     others = F.array(target, *[F.concat(plain, F.lit(e)) for e in (".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs")], *[F.concat(target, F.lit(f"/index{e}")) for e in (".js", ".jsx", ".ts", ".tsx")])
-    candidates = F.when(F.col("language") == "python", F.when(~F.col("name").startswith("."), python)).when(F.col("name").startswith("."), others)
-    tried = names.select("path", "name", F.posexplode(candidates).alias("rank", "dst"))
-    known = files.select(F.col("path").alias("dst"))
-    hit = tried.join(known, "dst").groupBy("path", "name").agg(F.min_by("dst", "rank").alias("dst"))
-    return hit.filter("path <> dst").select(F.col("path").alias("src"), "dst").distinct()
+    found = F.when(F.col("language") == "python", F.when(~F.col("name").startswith("."), python)).when(F.col("name").startswith("."), others)
+    return names.select("path", "language", "name", F.posexplode(found).alias("rank", "dst"))
+
+
+def resolve(names: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, language, name, dst) of imports (path, language, name); dst is null where no file of the project is meant."""
+    tried = candidates(names).join(files.select(F.col("path").alias("dst")).distinct(), "dst")
+    hit = tried.groupBy("path", "language", "name").agg(F.min_by("dst", "rank").alias("dst"))
+    return names.select("path", "language", "name").distinct().join(hit, ["path", "language", "name"], "left")
+
+
+def edges_of(resolved: DataFrame) -> DataFrame:
+    """(src, dst) of imports that mean another file, each once."""
+    return resolved.filter("path <> dst").select(F.col("path").alias("src"), "dst").distinct()
+
+
+def edges(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """(src, dst) of the file graph: imports that resolve to another file of the project, each once."""
+    names = imports(files) if found is None else found
+    hit = candidates(names).join(files.select(F.col("path").alias("dst")), "dst").groupBy("path", "name").agg(F.min_by("dst", "rank").alias("dst"))
+    return edges_of(hit)
 
 
 def stale(cached: DataFrame, current: DataFrame) -> DataFrame:

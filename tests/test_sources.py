@@ -1,6 +1,9 @@
+import random
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
-from ripplescope.sources import config, diffs, project
+from ripplescope.sources import cache, config, diffs, project
 from ripplescope.streaming.watch import watch
 
 DIFF = """diff --git a/src/a.py b/src/a.py
@@ -72,3 +75,40 @@ def test_stream(spark, tmp_path):
     seen = []
     watch(spark, str(tmp_path / "in"), str(tmp_path / "state"), lambda rows, epoch: seen.extend(rows.select("change_set_id", "file_path").collect()), once=True).awaitTermination(120)
     assert {tuple(r) for r in seen} == {("one", "src/a.py"), ("one", "new.txt"), ("one", "gone.rb")}
+
+
+def test_graph_cache_follows_changes(spark, tmp_path, monkeypatch):
+    """After any adds, removals and touches it equals a full build; only files that changed are parsed."""
+    rng, names = random.Random(1), [f"pkg/m{i}.py" for i in range(12)] + [f"web/c{i}.ts" for i in range(8)] + ["web/index.js", "src/pkg/m3.py", "pkg/m4/__init__.py"]
+    parsed = []
+    plain = project.imports
+
+    def counted(files):
+        parsed.append({r.path for r in files.select("path").collect()})
+        return plain(files)
+
+    def text(path):
+        if path.endswith(".py"):
+            return "\n".join(f"import pkg.m{rng.randrange(14)}" for _ in range(3)) + "\nimport os\n"
+        return "\n".join(f"import x from '{rng.choice(['./c', '../web/c', './c'])}{rng.randrange(10)}';" for _ in range(2)) + "\nimport y from '.';\n"
+
+    state, clock = {n: (text(n), 0) for n in names[::2]}, 0
+    frame = lambda: spark.createDataFrame([(p, s, datetime.fromtimestamp(1_000_000 + t)) for p, (s, t) in state.items()], "path string, source string, modified timestamp")
+    for step in range(6):
+        before = dict(state)
+        clock += 1
+        for n in rng.sample(names, 4) if step else []:
+            if n in state and rng.random() < 0.5:
+                del state[n]
+            else:
+                state[n] = (text(n), clock)
+        parsed.clear()
+        monkeypatch.setattr(project, "imports", counted)
+        found = {tuple(r) for r in cache.edges(spark, str(tmp_path), frame()).collect()}
+        monkeypatch.setattr(project, "imports", plain)
+        assert found == {tuple(r) for r in project.edges(frame().select("path", "source")).collect()}
+        changed = {n for n in state if state[n] != before.get(n)} if step else set(state)
+        assert parsed == ([changed] if changed or step == 0 else [set()])
+    assert len([p for p in (tmp_path / project.CACHE).iterdir() if p.name.startswith("state-")]) == 2
+    state.clear()
+    assert cache.edges(spark, str(tmp_path), frame()).count() == 0
