@@ -56,6 +56,14 @@ def drop(*stored: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def trim(memo: dict, wanted: Iterable, most: int) -> None:
+    """Empties a memo of over `most` entries but for those wanted now, so that what is met again and again stays."""
+    if len(memo) > most:
+        kept = {k: memo[k] for k in wanted if k in memo}
+        memo.clear()
+        memo.update(kept)
+
+
 def text_groups(column: pa.Array, most: int = GROUP_BYTES) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) for runs of rows of about `most` bytes, a larger text alone; null is empty. Only a run becomes Python objects."""
     column = pc.fill_null(column, "")

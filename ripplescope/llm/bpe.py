@@ -37,6 +37,8 @@ LONG, SLICE = 255, 1 << 18
 GROUP_BYTES, MEMO_ENTRIES = 4 << 20, 3 * C.MEMO_ENTRIES
 #: Rows of all steps that one recursive query may come to, and bytes of its words.
 STEP_ROWS, WORD_BYTES = 6_000_000, 1 << 19
+#: A word's share of a group by its length: of the bytes or of the steps' rows, whichever it fills more of.
+_SHARE = [max(n, n * n * WORD_BYTES // (2 * STEP_ROWS)) for n in range(LONG + 1)]
 # The pattern of which it is known where its matches begin.
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _RUN = re.compile(r"\s\s")
@@ -121,8 +123,7 @@ class _Coder:
         return np.array([ranks[word[i : end[i]]] for i in range(n) if alive[i]], "<u4").tobytes()
 
     def _learn_matches(self, new: set[str]) -> dict[str, bytes]:
-        if len(self.matches) > 2 * MEMO_ENTRIES:
-            self.matches.clear()
+        C.trim(self.matches, new, 2 * MEMO_ENTRIES)
         extra: dict[str, bytes] = {}
         short: list[tuple[str, bytes]] = []
         for match in new.difference(self.matches):
@@ -134,9 +135,7 @@ class _Coder:
                 memo[match] = self._heap(raw)
             else:
                 short.append((match, raw))
-        # a word's share of a group: of its bytes or of its steps' rows, whichever fills more of it
-        share = WORD_BYTES / STEP_ROWS
-        for batch in C.grouped_by_bytes(((x, max(n := len(x[1]), int(share * n * n / 2))) for x in short), WORD_BYTES):
+        for batch in C.grouped_by_bytes(((x, _SHARE[len(x[1])]) for x in short), WORD_BYTES):
             for (match, raw), ids in zip(batch, self._contract([raw for _, raw in batch])):
                 (self.matches if len(raw) <= 2 * C.MEMO_CHARS else extra)[match] = ids
         return extra
@@ -152,20 +151,24 @@ class _Coder:
         if not self.cuts:
             return self._encode_whole(texts)
         split = [_SAFE.split(t) if _RUN.search(t) else t.split(" ") for t in texts]
-        known = []
+        once: list[tuple[dict[str, bytes], str]] = []  # parts too long to be remembered
         for memo, parts, lead in ((self.first, {p[0] for p in split}, ""), (self.rest, set(chain.from_iterable(split)), " ")):
-            if len(memo) > MEMO_ENTRIES:
-                memo.clear()
-            found = {p: self._matches(lead, p) for p in parts.difference(memo)}
-            extra = self._learn_matches(set(chain.from_iterable(found.values())))
-            long: dict[str, bytes] = {}
+            C.trim(memo, parts, MEMO_ENTRIES)
+            new = parts.difference(memo)
+            whole = {p: lead + p for p in new if p.isalpha()}  # one match
+            found = {p: self._matches(lead, p) for p in new.difference(whole)}
+            extra = self._learn_matches({*whole.values(), *chain.from_iterable(found.values())})
             ids_of = self.matches.get
+            for part, match in whole.items():
+                memo[part] = ids_of(match) or extra[match]
             for part, matches in found.items():
-                ids = (ids_of(matches[0]) or extra[matches[0]]) if len(matches) == 1 else b"".join([ids_of(m) or extra[m] for m in matches])
-                (memo if len(part) <= C.MEMO_CHARS else long)[part] = ids
-            known.append({**memo, **long} if long else memo)
-        first, rest = known
-        return [(first[p[0]] if t else b"") + b"".join(map(rest.__getitem__, p[1:])) for t, p in zip(texts, split)]
+                memo[part] = b"".join([ids_of(m) or extra[m] for m in matches])
+            once += [(memo, p) for p in new if len(p) > C.MEMO_CHARS]
+        ids_of = self.rest.__getitem__
+        out = [(self.first[p[0]] if t else b"") + b"".join(map(ids_of, p[1:])) for t, p in zip(texts, split)]
+        for memo, part in once:
+            del memo[part]
+        return out
 
     def _encode_whole(self, texts: list[str]) -> list[bytes]:
         """encode() without knowing where the pattern's matches begin; text between matches has no ids."""

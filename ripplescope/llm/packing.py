@@ -20,6 +20,7 @@ import string
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -99,9 +100,10 @@ class _Ids:
         """Ids of each text as little-endian 32-bit bytes."""
         if not self.cuts:
             return [array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
-        for memo in (self.words, self.cores):
-            if len(memo) > C.MEMO_ENTRIES:
-                memo.clear()
+        if len(self.words) > C.MEMO_ENTRIES:
+            C.trim(self.words, set(chain.from_iterable(map(str.split, texts))), C.MEMO_ENTRIES)
+        if len(self.cores) > C.MEMO_ENTRIES:
+            self.cores.clear()
         known, out = self.words.get, []
         for text in texts:
             parts = [text] if _ODD_SPACE.search(text) else text.split()

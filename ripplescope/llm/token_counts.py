@@ -51,8 +51,7 @@ class _Counter:
 
     def _learn(self, memo: dict[str, int], parts: set[str], lead: str) -> dict[str, int]:
         """Counts for all of `parts`; those too long to remember are returned apart."""
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
+        C.trim(memo, parts, MEMO_ENTRIES)
         new = sorted(parts.difference(memo), key=len)
         extra: dict[str, int] = {}
         for batch in C.grouped_by_bytes(((p, len(p.encode()) + 16) for p in new), 1 << 20):
