@@ -35,6 +35,8 @@ from ripplescope.llm import _common as C
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
 _LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+#: Entries of a memo: most words of a text are met again.
+MEMO_ENTRIES = 3 * C.MEMO_ENTRIES
 _ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space for Python, not for the tokenizer
 
 
@@ -100,9 +102,9 @@ class _Ids:
         """Ids of each text as little-endian 32-bit bytes."""
         if not self.cuts:
             return [array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
-        if len(self.words) > C.MEMO_ENTRIES:
-            C.trim(self.words, set(chain.from_iterable(map(str.split, texts))), C.MEMO_ENTRIES)
-        if len(self.cores) > C.MEMO_ENTRIES:
+        if len(self.words) > MEMO_ENTRIES:
+            C.trim(self.words, set(chain.from_iterable(map(str.split, texts))), MEMO_ENTRIES)
+        if len(self.cores) > MEMO_ENTRIES:
             self.cores.clear()
         known, out = self.words.get, []
         for text in texts:
