@@ -18,6 +18,14 @@ MEMO_CHARS = 48
 GROUP_BYTES = 1 << 20
 
 
+def free(df: DataFrame, name: str) -> str:
+    """`name`, made longer until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -123,8 +123,9 @@ def _spans(text: Column, rank: int, kind: Kind) -> Column:
 def find(docs: DataFrame, text_col: str = "text", out_col: str = "pii") -> DataFrame:
     """All columns of `docs` (but one that is named `out_col`) and the array of spans (start, rank of kind, end, kind, score), by start, then kind."""
     text = F.translate(F.coalesce(docs[text_col].cast("string"), F.lit("")), _MARK, _OTHER)
-    found = [_spans(F.col("__pii_text"), rank, kind) for rank, kind in enumerate(KINDS)]
-    return docs.withColumn("__pii_text", text).withColumn(out_col, F.array_sort(F.concat(*found))).drop("__pii_text")
+    own = C.free(docs, "__pii_text")
+    found = [_spans(F.col(own), rank, kind) for rank, kind in enumerate(KINDS)]
+    return docs.withColumn(own, text).withColumn(out_col, F.array_sort(F.concat(*found))).drop(own)
 
 
 def redact(found: DataFrame, text_col: str = "text", spans_col: str = "pii") -> DataFrame:

@@ -687,3 +687,98 @@ def test_packing_leaves_large_ids_alone(spark):
     assert Counter(r.doc_id for r in found) == Counter(i for i, _ in rows) and {r.sequence_id for r in found} == {0}
     names = packing.pieces(spark.createDataFrame([("x", "a"), (None, "b")], "doc_id string, text string"), P.path("word_bpe_49k.json"))
     assert {r.doc_id for r in packing.pack(names).collect()} == {"x", None}
+
+
+def test_toxicity_scores_from_compressed_lengths(spark):
+    """Each score again: windows cut by a plain loop, compressed one by one with the model's two dictionaries."""
+    import zstandard
+
+    rows = _toxic_rows(400)
+    texts = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.train(texts, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    dictionaries, weights = model
+    how = zstandard.ZstdCompressionParameters(window_log=15, hash_log=15, chain_log=15, search_log=6, min_match=4, target_length=16, strategy=zstandard.STRATEGY_LAZY, write_checksum=0, write_content_size=0, write_dict_id=0)
+
+    def length(window, content):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress(b" " + window + b" "))
+
+    def windows(raw):
+        space, i = b" \t\n\r\x0b\x0c", 0
+        while i < len(raw):
+            if raw[i] in space:
+                i += 1
+                continue
+            ends = [j for j in range(i + 1, min(i + 64, len(raw)) + 1) if j == len(raw) or raw[j] in space]
+            stop = max(ends, default=i + 64)
+            yield raw[i:stop]
+            i = stop
+
+    some = [t for t in (*(r[1] for r in rows[:25]), "", "x" * 200, "a\x0bb  \n c", " A b ") if t is not None]
+    frame = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    for r in toxicity.score(frame, model).collect():
+        d = [length(w, dictionaries[1]) - length(w, dictionaries[0]) for w in windows(some[r.doc_id].encode().lower())]
+        top = sorted(d, reverse=True)[:3] or [0]
+        over = sum(x - 2 for x in d if x > 2) / math.sqrt(len(d) + 5)
+        z = sum(w * x for w, x in zip(weights, (1, top[0], sum(top), over)))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
+def _sentence_texts(n):
+    rng = random.Random(n)
+    stock = [" ".join(f"w{rng.randrange(5000)}" for _ in range(9)) for _ in range(20)]
+    return [" ".join(rng.sample(stock, 10)) for _ in range(n)]
+
+
+def test_jaccard_join_of_texts_from_common_sentences(spark, monkeypatch):
+    """No two link; the pairs that come out of the lists don't grow with the square of the texts."""
+    seen, plain = [], jaccard_join._crossed
+
+    def counted(rest, percent):
+        found = plain(rest, percent)
+        seen.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard_join, "_crossed", counted)
+    for n in (500, 1000):
+        texts = _sentence_texts(n)
+        found = jaccard_join.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), 3, 90).collect()
+        assert all(r.component_id == r.doc_id for r in found)
+    assert seen[1] <= max(2.5 * seen[0], 200)
+
+
+def test_bits_of_listed_shingles_never_rule_a_link_out(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(300):
+        a = rng.sample(range(-(2**62), 2**62), rng.choice([1, 3, 9, 40, 400]))
+        b = rng.sample(a, rng.randint(0, len(a))) + rng.sample(range(2**62, 2**63), rng.randint(1, 20))
+        rows.append((k, a, b, len(a) + rng.randint(0, 5), len(b) + rng.randint(0, 5)))
+    both = spark.createDataFrame(rows, "k int, a array<long>, b array<long>, na int, nb int")
+    x = both.select("k", F.col("na").alias("n"), *jaccard_join._bits("a")).alias("x")
+    y = both.select("k", F.col("nb").alias("n"), *jaccard_join._bits("b")).alias("y")
+    kept = {r[0] for r in x.join(y, F.col("x.k") == F.col("y.k")).filter(jaccard_join._has_room("x", "y", 80)).select("x.k").collect()}
+    for k, a, b, na, nb in rows:
+        if len(set(a) & set(b)) + max(na - len(a), nb - len(b)) >= jaccard_join.need(na, nb, 80):
+            assert k in kept
+
+
+def test_near_duplicate_counts_agree_with_components(spark):
+    """A vector with links is in a component with others, one without is alone, and both ends of a pair count it."""
+    frame, near = _cliques(spark)
+    found = {r.vec_id: r for r in near_dup.near_duplicates(frame).collect()}
+    members = Counter(r.component_id for r in found.values())
+    assert all((r.n_links > 0) == (members[r.component_id] > 1) for r in found.values())
+    assert sum(r.n_links for r in found.values()) % 2 == 0
+
+
+def test_pipeline_stages_keep_columns_with_clashing_names(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = _toxic_rows(200)
+    docs = spark.createDataFrame([(i, t, 1.5, 7, ["x"], "own") for i, t, _ in rows], "doc_id long, text string, __score double, __row int, __spans array<string>, __pii_text string")
+    spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "__score", "__row", "__spans", "__pii_text"]
+        assert docs.count() > 50 and docs.filter("__score <> 1.5 or __row <> 7 or __spans[0] <> 'x' or __pii_text <> 'own'").count() == 0
