@@ -26,8 +26,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, C.table(spark, sf_dir, "labels"))
     if isinstance(model, float):
         return docs
-    scored = toxicity.score(docs, model, keep=tuple(c for c in docs.columns if c != "doc_id"), out_col="__score")
-    return scored.filter(F.col("__score") < REJECT).select(docs.columns)
+    own = C.free(docs, "__score")
+    scored = toxicity.score(docs, model, keep=tuple(c for c in docs.columns if c != "doc_id"), out_col=own)
+    return scored.filter(F.col(own) < REJECT).select(docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,15 +38,16 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     and of an id with two texts each is judged for itself. Ties go to the first row stored. Rows with null or word-free
     text are in no group and stay. Whole texts count, however long. No rows give no rows.
     """
-    rows = C.store(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    groups = jaccard_join.jaccard_join(rows, words=5, percent=80, id_col="__row")
-    groups = C.store(groups.select("__row", "component_id").join(rows.select("__row", "doc_id"), "__row"), "groups")
-    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first"))
-    gone = C.store(groups.join(first.select("first.__row"), "__row", "left_anti").select("__row"), "gone")  # by row: no key is hot
+    row = C.free(docs, "__row")
+    rows = C.store(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = jaccard_join.jaccard_join(rows, words=5, percent=80, id_col=row)
+    groups = C.store(groups.select(row, "component_id").join(rows.select(row, "doc_id"), row), "groups")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("first"))
+    gone = C.store(groups.join(first.select(f"first.{row}"), row, "left_anti").select(row), "gone")  # by row: no key is hot
     C.drop(groups)
     if gone.count() <= jaccard_join.BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return rows.join(gone, "__row", "left_anti").select(docs.columns)
+    return rows.join(gone, row, "left_anti").select(docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +56,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Null texts stay null, empty ones empty; of overlapping spans the first counts; each of repeated rows is treated alike;
     whole texts are searched, however long. No rows give no rows.
     """
-    told = pii.redact(pii.find(docs, out_col="__spans"), spans_col="__spans")
+    spans = C.free(docs, "__spans")
+    told = pii.redact(pii.find(docs, out_col=spans), spans_col=spans)
     if "n_chars" in docs.columns:
         told = told.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return told.select(docs.columns)
