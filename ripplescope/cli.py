@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ripplescope.functions import globs
 from ripplescope.operators import test_mapping
 from ripplescope.plans import analyze, report
+from ripplescope.plans.storage import settled
 from ripplescope.sources import cache, config, diffs, project
 
 
@@ -91,7 +92,7 @@ def main(argv: list[str] | None = None) -> int:
         inputs = inputs.join(diffs.messages(spark, args.messages), "change_set_id", "left").fillna("", ["head_message", "pending_message"])
     else:
         inputs = inputs.withColumns({"head_message": F.lit(""), "pending_message": F.lit("")})
-    reports = analyze.analyze(changes, inputs, files, edges, settings, listing=project.listing(spark, args.project).select("path"))
+    reports = settled(analyze.analyze(changes, inputs, files, edges, settings, listing=project.listing(spark, args.project).select("path")))  # shown, and asked for the exit code
     color = not args.no_color and not os.environ.get("NO_COLOR") and os.isatty(1)
     form = "sarif" if args.sarif else "json" if args.json else "markdown" if args.markdown else "terminal"
     _show(report.terminal(reports, color) if form == "terminal" else getattr(report, form)(reports), args.out)

@@ -8,7 +8,6 @@ import ast
 import os
 import re
 from collections.abc import Iterator
-from datetime import datetime
 
 import pyarrow as pa
 from pyarrow import fs
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ripplescope.functions import languages, paths
 from ripplescope.operators import joins
+from ripplescope.plans.storage import settled
 
 # Directories that hold no sources of the project.
 SKIPPED = ("__pycache__", ".git", "node_modules", ".tox", ".eggs", "venv", ".venv", "site-packages")
@@ -39,6 +39,12 @@ FUNCTIONS = [
     r"func\s+\(\s*\w+\s+\*?\w+\s*\)\s+(\w+)\s*\(", r"func\s+(\w+)\s*\(", r"function\s+(\w+)\s*\(", r"(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?(?:\([^)]*\)|[\w]+)\s*=>",
     r"(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?\(", r"(?:pub\s+)?(?:async\s+)?fn\s+(\w+)\s*[\(<]", r"def\s+([\w.?!]+)", r"(?:(?:public|private|protected|static)\s+)+[\w<>\[\]]+\s+(\w+)\s*\(",
 ]
+# The same by language, for those who ask for it.
+FUNCTIONS_OF = {
+    "go": FUNCTIONS[:2], "rust": [r"pub\s+(?:async\s+)?fn\s+(\w+)\s*[\(<]", r"(?:async\s+)?fn\s+(\w+)\s*[\(<]"], "java": [r"(?:public|private|protected|static)\s+[\w<>\[\]]+\s+(\w+)\s*\("], "ruby": [r"def\s+([\w.?!]+)"],
+    "javascript": [r"function\s+(\w+)\s*\(", r"(?:const|let|var)\s+(\w+)\s*=\s*\(", r"(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?\(", r"(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?(?:\([^)]*\)|[\w]+)\s*=>"],
+    "python": [r"(?:async\s+)?def\s+(\w+)\s*\("],
+}
 _LINES = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 _STRIP = r"(?U)^\s+|\s+$"
 
@@ -49,25 +55,30 @@ def _opened(root: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(plain) if "://" in plain else (fs.LocalFileSystem(), os.path.abspath(plain))
 
 
-def _walk(root: str) -> Iterator[tuple[str, datetime | None]]:
-    """Paths and times of the files below a folder, in order, without going into skipped directories.
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(path, modified) of all files below a folder, whatever their kind, without those in skipped directories.
 
-    Spark's own readers leave out empty files and those that begin with '_', such as __init__.py.
+    Directories are listed where tasks run, level by level; the driver gets no names. Spark's own readers would leave out empty
+    files and those that begin with '_', such as __init__.py.
     """
-    system, base = _opened(root)
-    todo = [base]
-    while todo:
-        for info in sorted(system.get_file_info(fs.FileSelector(todo.pop())), key=lambda x: x.path):
-            if info.type == fs.FileType.Directory:
-                if info.base_name not in (*SKIPPED, CACHE):
-                    todo.append(info.path)
-            elif info.type == fs.FileType.File:
-                yield info.path[len(base) :].lstrip("/"), info.mtime
-
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(path, modified) of all files below a folder, whatever their kind; listed on the driver."""
-    return spark.createDataFrame(list(_walk(root)), "path string, modified timestamp")
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _opened(root)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                found = system.get_file_info(fs.FileSelector(f"{base}/{folder}" if folder else base))
+                kept = [x for x in found if x.type == fs.FileType.File or x.type == fs.FileType.Directory and x.base_name not in (*SKIPPED, CACHE)]
+                names, times = [x.path[len(base) :].lstrip("/") for x in kept], pa.array([x.mtime for x in kept], pa.timestamp("us", "UTC"))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), times, pa.array([x.type == fs.FileType.Directory for x in kept], pa.bool_())], names=["path", "modified", "folder"])
+
+    level, found = spark.createDataFrame([("",)], "path string"), None
+    while True:
+        rows = settled(level.repartition("path").mapInArrow(listed, "path string, modified timestamp, folder boolean"))
+        files = rows.filter("not folder").select("path", "modified")
+        found = files if found is None else found.unionByName(files)
+        level = rows.filter("folder").select("path")
+        if level.isEmpty():
+            return found
 
 
 def read(spark: SparkSession, root: str) -> DataFrame:
@@ -195,10 +206,16 @@ def _each(lines: Column, forms: list[str]) -> Column:
     return F.transform(lines, lambda x: _first_of(x, forms))
 
 
-def regex_functions(files: DataFrame) -> DataFrame:
-    """(path, name, start_line, end_line) of functions by form; a function ends on the line on which it starts."""
+def regex_functions(files: DataFrame, by_language: bool = False) -> DataFrame:
+    """(path, name, start_line, end_line) of functions by form; a function ends on the line on which it starts.
+
+    The forms are those of any language, or of the file's own one where it has some.
+    """
     rows = files.select("path", F.posexplode(F.split("source", _LINES)).alias("pos", "text"))
-    name = _first_of(F.regexp_replace("text", _STRIP, ""), FUNCTIONS, start=True)
+    line, language = F.regexp_replace("text", _STRIP, ""), languages.of_source(F.col("path"))
+    name = _first_of(line, FUNCTIONS, start=True)
+    for known, forms in FUNCTIONS_OF.items() if by_language else ():
+        name = F.when(language.isin("javascript", "typescript") if known == "javascript" else language == known, _first_of(line, forms, start=True)).otherwise(name)
     return rows.select("path", name.alias("name"), (F.col("pos") + 1).alias("start_line"), (F.col("pos") + 1).alias("end_line")).filter("name is not null")
 
 

@@ -4,6 +4,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ripplescope.sources import cache, config, diffs, project
+from ripplescope.streaming import gather
 from ripplescope.streaming.watch import watch
 
 DIFF = """diff --git a/src/a.py b/src/a.py
@@ -112,3 +113,42 @@ def test_graph_cache_follows_changes(spark, tmp_path, monkeypatch):
     assert len([p for p in (tmp_path / project.CACHE).iterdir() if p.name.startswith("state-")]) == 2
     state.clear()
     assert cache.edges(spark, str(tmp_path), frame()).count() == 0
+
+
+def test_functions_by_language(spark):
+    files = spark.createDataFrame([("a.py", "async def go(x):\nfunction no(a) {\n"), ("b.ts", "function go(a) {\ndef no():\nconst f = async (x) => 1"), ("c.php", "function go(a) {\ndef yes"), ("d.rs", "pub fn go<T>("), ("e.go", "func go(x)\nfn no(")], "path string, source string")
+    assert {(r.path, r.name) for r in project.regex_functions(files, by_language=True).collect()} == {("a.py", "go"), ("b.ts", "go"), ("b.ts", "f"), ("c.php", "go"), ("c.php", "yes"), ("d.rs", "go"), ("e.go", "go")}
+
+
+def test_listing_on_executors(spark, tmp_path):
+    for name in ("a.py", "pkg/__init__.py", "pkg/deep/er/_x.txt", ".git/no", "node_modules/no.js", "pkg/venv/no.py", ".hidden/yes"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("")
+    found = project.listing(spark, str(tmp_path))
+    assert {r.path for r in found.collect()} == {"a.py", "pkg/__init__.py", "pkg/deep/er/_x.txt", ".hidden/yes"} and found.filter("modified is null").count() == 0
+    assert "LocalTableScan" not in found._jdf.queryExecution().executedPlan().toString()
+    (tmp_path / "empty").mkdir()
+    assert project.listing(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_pieces_of_change_sets_in_any_batches(spark, tmp_path):
+    rng = random.Random(5)
+    rows = []
+    for k in range(12):
+        parts = rng.randint(1, 5)
+        rows += [(f"s{k}", i, parts, f"{k}:{i};") for i in range(parts) if not (k % 4 == 0 and i == 1)]
+    rows += rng.choices(rows, k=15) + [("s1", None, 1, "x"), (None, 0, 1, "x"), ("s2", 9, 3, "x"), ("s2", -1, 3, "x")]
+    kinds = "change_set_id string, part int, parts int, text string"
+    want = sorted(map(tuple, gather.whole(spark.createDataFrame(rows, kinds)).collect()))
+    assert want and all(x[1] == "".join(f"{x[0][1:]}:{i};" for i in range(x[1].count(";"))) for x in want)
+    for trial, size in enumerate((3, 50)):
+        rng.shuffle(rows)
+        folder = tmp_path / f"in{trial}"
+        for at in range(0, len(rows), size):
+            spark.createDataFrame(rows[at : at + size], kinds).coalesce(1).write.mode("append").json(str(folder))
+        seen = []
+        for half in range(2):  # the second run finds nothing new
+            stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1 if size > 3 else 8).json(str(folder))
+            writer = gather.gathered(stream).writeStream.option("checkpointLocation", str(tmp_path / f"state{trial}")).foreachBatch(lambda batch, _: seen.extend(map(tuple, batch.collect())))
+            writer.trigger(availableNow=True).start().awaitTermination(240)
+        assert sorted(seen) == want
