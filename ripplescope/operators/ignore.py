@@ -1,8 +1,9 @@
 """Ignore patterns of many projects at once: a table of patterns against a table of paths, without trying each with each.
 
 A pattern is found by a literal that any path it matches must begin with, end with or hold: the longer of its literal
-beginning and end, or else its longest literal in between. Only where these meet is the pattern itself tried. Patterns without
-any literal ('*', '[ab]?') meet every path of their project; they are few or the project ignores everything.
+beginning and end, or else its longest literal in between; a pattern that is all literal, by the whole of it. Only where these
+meet is the pattern itself tried. A project's equal patterns are one, that of the least ordinal. Patterns without any literal
+('*', '[ab]?') meet every path of their project; they are few or the project ignores everything.
 """
 from __future__ import annotations
 
@@ -13,18 +14,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplescope.functions import globs, literals
+from ripplescope.plans.storage import settled
 
 # What stands for other characters in a pattern, and a set of characters in it.
 _SPECIAL, _SET = r"[*?\[\]]", r"\[!?+\]?+[^\]]*+\]"
 
 
 def _described(patterns: DataFrame) -> DataFrame:
-    """(project, ordinal, pattern, regex, kind, literal): kind is p, s, g or a for a literal at the start, at the end, inside or none."""
+    """(project, ordinal, pattern, regex, kind, literal): kind is e, p, s, g or a for a literal that is all, at the start, at the end, inside or none."""
     def translate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(globs.user_regex, batch.column(2).to_pylist()), pa.string())], names=[*batch.schema.names, "regex"])
 
-    rows = patterns.select("project", "ordinal", "pattern").filter("pattern is not null")
+    rows = patterns.filter("pattern is not null").groupBy("project", "pattern").agg(F.min("ordinal").alias("ordinal")).select("project", "ordinal", "pattern")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     rows = rows.mapInArrow(translate, f"{kinds}, regex string")
     folder = F.col("pattern").endswith("/")
@@ -33,9 +35,9 @@ def _described(patterns: DataFrame) -> DataFrame:
     runs = F.transform(F.split(F.regexp_replace("pattern", _SET, "*"), _SPECIAL), lambda x: F.struct(F.length(x).alias("n"), x.alias("text")))
     inner = F.when(folder, F.lit("")).otherwise(F.array_max(runs)["text"])
     rows = rows.withColumns({"head": head, "tail": tail, "inner": inner})
-    kind = F.when((F.col("head") != "") & (F.length("head") >= F.length("tail")), "p").when(F.col("tail") != "", "s").when(F.col("inner") != "", "g").otherwise("a")
+    kind = F.when(~folder & (F.col("pattern") != "") & (F.col("head") == F.col("pattern")), "e").when((F.col("head") != "") & (F.length("head") >= F.length("tail")), "p").when(F.col("tail") != "", "s").when(F.col("inner") != "", "g").otherwise("a")
     rows = rows.withColumn("kind", kind)
-    literal = F.when(F.col("kind") == "p", F.col("head")).when(F.col("kind") == "s", F.reverse("tail")).when(F.col("kind") == "g", F.col("inner")).otherwise("")
+    literal = F.when(F.col("kind").isin("e", "p"), F.col("head")).when(F.col("kind") == "s", F.reverse("tail")).when(F.col("kind") == "g", F.col("inner")).otherwise("")
     return rows.select("project", "ordinal", "pattern", "regex", "kind", literal.alias("literal"))
 
 
@@ -45,15 +47,21 @@ def first_matches(paths: DataFrame, patterns: DataFrame) -> DataFrame:
     patterns: project, ordinal, pattern, with the meaning of globs.user_ignored(). Of equal ordinals the least pattern counts;
     repeated paths have one row; null projects, paths and patterns match nothing.
     """
-    described = _described(patterns).withColumn("key", literals.key(F.col("literal")))
+    whole = F.col("kind") == "e"
+    described = _described(patterns)
+    described = described.withColumn("key", F.when(whole, F.col("literal")).when(F.col("kind").isin("p", "s"), literals.key(F.col("literal"), literals.ENDS)).otherwise(literals.key(F.col("literal"))))
+    described = settled(described)  # its Python is run once
     wanted = paths.select("project", "path").distinct()
     path = F.col("path")
-    used = {k: literals.lengths(described.filter(F.col("kind") == k), "literal") for k in "psg"}
+    used = {k: literals.lengths(described.filter(F.col("kind") == k), "literal", literals.LADDER if k == "g" else literals.ENDS) for k in "psg"}
     tagged = lambda kind, keys: F.transform(keys, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("key")))
-    ends = F.concat(tagged("a", F.array(F.lit(""))), tagged("p", literals.starts(path, used["p"])), tagged("s", literals.starts(F.reverse(path), used["s"])))
+    ends = F.concat(tagged("a", F.array(F.lit(""))), tagged("e", F.array(path)), tagged("p", literals.starts(path, used["p"])), tagged("s", literals.starts(F.reverse(path), used["s"])))
     offered = wanted.select("project", "path", F.explode(ends).alias("k"))
     if used["g"]:  # only where a project has such patterns
         inside = wanted.join(described.filter("kind = 'g'").select("project").distinct(), "project", "left_semi")
         offered = offered.unionByName(inside.select("project", "path", F.explode(tagged("g", literals.pieces(path, used["g"]))).alias("k")))
-    met = offered.select("project", "path", "k.*").join(described, ["project", "kind", "key"]).filter(F.regexp_like("path", F.col("regex")))
+    # whether the path has the whole literal is told before the expression is made
+    kind, literal = F.col("kind"), F.col("literal")
+    has = F.when(kind == "p", F.startswith("path", literal)).when(kind == "s", F.endswith(path, F.reverse(literal))).otherwise(F.contains("path", literal))
+    met = offered.select("project", "path", "k.*").join(described, ["project", "kind", "key"]).filter(whole | (has & F.regexp_like("path", F.col("regex"))))
     return met.groupBy("project", "path").agg(F.min(F.struct("ordinal", "pattern")).alias("m")).select("project", "path", "m.ordinal", "m.pattern")

@@ -235,3 +235,13 @@ def test_many_patterns_and_many_areas(spark):
     enriched = scope.enrich(scopes, areas)
     assert {r.change_set_id: r.target_files for r in enriched.collect()} == {1: ["f77", "f99999", "x"], 2: [], 3: ["y"]}
     assert "NestedLoop" not in enriched._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_patterns_of_a_project_are_one(spark):
+    """20,000 paths under the same 20,000 patterns, and as many whole paths that begin alike."""
+    patterns = spark.range(40_000).selectExpr("1 as project", "id as ordinal", "case when id % 2 = 0 then '*/api/*' else concat('src/common/folder/file_', id, '*.py*') end as pattern")
+    paths = spark.range(20_000).selectExpr("1 as project", "concat(if(id % 4 = 0, 'x/api/', 'src/common/folder/file_'), 1 + 2 * id, '.py') as path")
+    began = time.perf_counter()
+    found = ignore.first_matches(paths, patterns)
+    assert {(r.start, r.ordinal): r["count"] for r in found.groupBy(F.substring("path", 1, 5).alias("start"), F.when(F.col("ordinal") > 0, 1).otherwise(0).alias("ordinal")).count().collect()} == {("x/api", 0): 5_000, ("src/c", 1): 15_000}
+    assert time.perf_counter() - began < 30
