@@ -245,3 +245,19 @@ def test_equal_patterns_of_a_project_are_one(spark):
     found = ignore.first_matches(paths, patterns)
     assert {(r.start, r.ordinal): r["count"] for r in found.groupBy(F.substring("path", 1, 5).alias("start"), F.when(F.col("ordinal") > 0, 1).otherwise(0).alias("ordinal")).count().collect()} == {("x/api", 0): 5_000, ("src/c", 1): 15_000}
     assert time.perf_counter() - began < 30
+
+
+def _shuffled(spark):
+    store = spark._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, getattr(store, "stageList$default$4")(), getattr(store, "stageList$default$5")())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_lines_are_shuffled_as_bits(spark):
+    """160 lines of each of 500 files: fewer rows are shuffled than there are lines."""
+    lines = spark.range(500).selectExpr("concat('f', id) as path", "explode(sequence(1, 160)) as line")
+    spans = spark.range(500).selectExpr("concat('f', id) as path", "explode(array(struct('a' as name, 1 as start_line, 160 as end_line), struct('b' as name, 60 as start_line, 70 as end_line))) as s").select("path", "s.*")
+    before = _shuffled(spark)
+    assert sources.innermost(lines, spans).groupBy("name").count().orderBy("name").collect() == [("a", 149 * 500), ("b", 11 * 500)]
+    assert sources.preceding(lines, spans.drop("end_line")).groupBy("name").count().orderBy("name").collect() == [("a", 59 * 500), ("b", 101 * 500)]
+    assert _shuffled(spark) - before < 500 * 160
