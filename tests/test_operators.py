@@ -261,3 +261,13 @@ def test_lines_are_shuffled_as_bits(spark):
     assert sources.innermost(lines, spans).groupBy("name").count().orderBy("name").collect() == [("a", 149 * 500), ("b", 11 * 500)]
     assert sources.preceding(lines, spans.drop("end_line")).groupBy("name").count().orderBy("name").collect() == [("a", 59 * 500), ("b", 101 * 500)]
     assert _shuffled(spark) - before < 500 * 160
+
+
+def test_numbers_as_the_shortest_text(spark):
+    """As Python writes them; Java 17 writes some of these with another digit."""
+    from ripplescope.functions import numbers
+
+    values = sorted({w * (0.5 + 0.5 * (n / m)) for w in (0.8, 0.4, 0.1, 0.001) for m in range(1, 60) for n in range(m + 1)} | {0.0, 1.0, 4e-4, 2e-3, 5.5, 0.1 + 0.2})
+    found = spark.createDataFrame([(v,) for v in values], "x double").select("x", numbers.shortest(F.col("x")).alias("text"), F.col("x").cast("string").alias("java")).collect()
+    assert [(r.x, r.text) for r in found if r.text != repr(r.x)] == []
+    assert any(r.java != repr(r.x) for r in found)
