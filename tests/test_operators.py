@@ -271,3 +271,12 @@ def test_numbers_as_the_shortest_text(spark):
     found = spark.createDataFrame([(v,) for v in values], "x double").select("x", numbers.shortest(F.col("x")).alias("text"), F.col("x").cast("string").alias("java")).collect()
     assert [(r.x, r.text) for r in found if r.text != repr(r.x)] == []
     assert any(r.java != repr(r.x) for r in found)
+
+
+def test_areas_of_many_files(spark):
+    """1,000 scopes of an area with 500 files: no row is shuffled for each scope and file."""
+    areas = spark.range(500).selectExpr("'red' as area", "'files' as kind", "concat('f', id) as path")
+    scopes = spark.range(1_000).selectExpr("id as change_set_id", "'paint it red' as description", "array('blue') as target_concepts", "array('x', 'f7') as target_files")
+    before = _shuffled(spark)
+    assert scope.enrich(scopes, areas).select(F.size("target_files").alias("n")).distinct().collect() == [(501,)]
+    assert _shuffled(spark) - before < 100_000
