@@ -280,3 +280,10 @@ def test_areas_of_many_files(spark):
     before = _shuffled(spark)
     assert scope.enrich(scopes, areas).select(F.size("target_files").alias("n")).distinct().collect() == [(501,)]
     assert _shuffled(spark) - before < 100_000
+
+
+def test_tests_of_hot_folders_and_functions_are_split(spark):
+    changes = spark.range(30_000).selectExpr("id as change_set_id", "1 as ordinal", "concat('api/m', id, '.py') as file_path", "array('run', 'Box::open') as functions_modified")
+    tests = spark.createDataFrame([("tests/api/test_a.py", "tests", "def test_run"), ("tests/api/test_b.py", "tests", "def test_Box::open")], "path string, root string, source string")
+    for found, n in ((test_mapping.by_directory(changes, tests), 60_000), (test_mapping.by_function(changes, tests), 60_000)):
+        assert "__l_part" in found._jdf.queryExecution().executedPlan().toString() and found.count() == n
