@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from jobs import _common as C
 from ripplescope.sources import references
 
+#: Tasks that may write one bucket of a batch.
+PARTS = 16
+
 SQL = r"""WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+') AS w FROM documents),
 each AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS place FROM words)
 SELECT doc_id, token, count(*) AS n, min(place)::INT AS first FROM each GROUP BY doc_id, token
@@ -40,8 +43,8 @@ def run(spark: SparkSession, documents: str, out: str, checkpoint: str, config:
 
     def add(batch: DataFrame, number: int) -> None:
         made = entries(batch, key, text, buckets).withColumn("batch", F.lit(number))
-        # a word's bucket lies in few tasks, and a task writes few buckets
-        made.repartitionByRange("bucket", "token", key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(out)
+        # a bucket lies in few tasks, by its words, and a task writes few buckets; no range, as its sample would work all out once more
+        made.repartition("bucket", F.pmod(F.xxhash64("token"), F.lit(PARTS))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(out)
         written = spark.read.schema(made.schema).parquet(out).filter(F.col("batch") == number)
         C.log.info("batch %d: %d texts read from %s, %d entries written to %s", number, batch.count(), documents, written.count(), out)
 
@@ -52,10 +55,18 @@ def run(spark: SparkSession, documents: str, out: str, checkpoint: str, config:
 
 
 def current(spark: SparkSession, out: str, key: str = "doc_id") -> DataFrame:
-    """(key, token, n, first, bucket) of the newest batch of each text."""
+    """(key, token, n, first, bucket) of the newest batch of each text.
+
+    The last batch is the newest of all its texts, so only earlier ones are held against what came after them.
+    """
     found = spark.read.parquet(out)
+    last = found.agg(F.max("batch")).first()[0]
+    earlier = found.filter(F.col("batch") < last)
     newest = found.groupBy(key).agg(F.max("batch").alias("batch"))
-    return found.join(newest, found[key].eqNullSafe(newest[key]) & (found["batch"] == newest["batch"]), "left_semi").drop("batch")
+    kept = earlier.join(newest, earlier[key].eqNullSafe(newest[key]) & (earlier["batch"] == newest["batch"]), "left_semi")
+    if earlier.isEmpty():
+        return found.drop("batch")
+    return found.filter(F.col("batch") == last).unionByName(kept).drop("batch")
 
 
 def job2_reference_index(spark: SparkSession, sf_dir: str) -> DataFrame:

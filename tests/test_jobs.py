@@ -132,3 +132,11 @@ def test_jobs_need_no_text_operators():
     code = "import sys; import jobs.reference_index, jobs.review_findings; assert not [m for m in sys.modules if m.startswith(('ripplescope.llm', 'corpus_pipeline'))]"
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent, check=True, timeout=120)
     assert {"job1_review_findings", "job2_reference_index"} <= set(entry.queries()) & set(entry.oracle_sql())
+
+
+def test_index_of_one_batch_is_read_without_a_shuffle(spark, tmp_path):
+    spark.createDataFrame([(1, "a b a"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    reference_index.run(spark, str(tmp_path / "docs"), str(tmp_path / "out"), str(tmp_path / "mark"), {"key": "doc_id", "text": "text", "buckets": 4, "max_files_per_batch": 10})
+    found = reference_index.current(spark, str(tmp_path / "out"))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id, r.token or "", r.n) for r in found.collect()) == [(1, "a", 2), (1, "b", 1), (2, "", 0)]
