@@ -72,16 +72,15 @@ def parse(diffs: DataFrame) -> DataFrame:
 
     hunks = F.transform(zipped, hunk)
     rows = rows.select("change_set_id", "ordinal", F.coalesce("new", "old").alias("file_path"), kind.alias("change_type"), hunks.alias("hunks"), says("new file mode").alias("is_new_file"), says("deleted file mode").alias("is_deleted"), "lines")
-    body = F.flatten(F.transform("hunks", lambda h: F.split(h["content"], "\n")))
-    rows = rows.withColumn("body", body)
-    added = F.filter("body", lambda x: x.startswith("+") & ~x.startswith("+++"))
-    removed = F.filter("body", lambda x: x.startswith("-") & ~x.startswith("---"))
+    rows = rows.withColumn("body", F.array_join(F.transform("hunks", lambda h: h["content"]), "\n"))
+    added, removed = F.lit(r"(?md)^\+(?!\+\+)"), F.lit(r"(?md)^-(?!--)")
     renamed = F.try_element_at(F.filter("lines", lambda x: x.startswith("rename from ")), F.lit(1))
-    said = F.filter(F.concat(added, removed), lambda x: F.contains(x, F.lit("import")) | F.contains(x, F.lit("require")))  # cheaper than the forms
+    spoken = lambda mark: F.regexp_extract_all("body", F.concat(mark, F.lit(".*(?:import|require).*")), F.lit(0))
+    said = F.concat(spoken(added), spoken(removed))  # cheaper than the forms
     imports = F.transform(said, lambda x: _import(_strip(F.substring(x, 2, 1 << 30))))
     return rows.select(
         "change_set_id", "ordinal", "file_path", "change_type", "hunks",
-        F.size(added).cast("long").alias("added_lines"), F.size(removed).cast("long").alias("removed_lines"),
+        F.regexp_count("body", added).cast("long").alias("added_lines"), F.regexp_count("body", removed).cast("long").alias("removed_lines"),
         F.array_distinct(F.filter(F.transform("hunks", lambda h: _function(h["function_header"])), lambda x: x.isNotNull())).alias("functions_modified"),
         F.array_distinct(F.filter(imports, lambda x: x.isNotNull())).alias("imports_modified"),
         languages.of_change(F.col("file_path")).alias("language"), "is_new_file", "is_deleted",
