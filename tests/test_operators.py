@@ -287,3 +287,14 @@ def test_tests_of_hot_folders_and_functions_are_split(spark):
     tests = spark.createDataFrame([("tests/api/test_a.py", "tests", "def test_run"), ("tests/api/test_b.py", "tests", "def test_Box::open")], "path string, root string, source string")
     for found, n in ((test_mapping.by_directory(changes, tests), 60_000), (test_mapping.by_function(changes, tests), 60_000)):
         assert "__l_part" in found._jdf.queryExecution().executedPlan().toString() and found.count() == n
+
+
+def test_impacts_without_named_files(spark):
+    """Files that scopes name are left out where the nearest ways are chosen, as afterwards."""
+    rng = random.Random(9)
+    edges = spark.createDataFrame(sorted({(f"n{rng.randint(0, 30)}", f"m{rng.randint(0, 9)}") for _ in range(60)} | {(f"m{k}", f"n{k}") for k in range(10)}), "src string, dst string")
+    nodes = edges.select(F.col("src").alias("path")).union(edges.select("dst")).distinct()
+    changes = spark.createDataFrame([(c, k, f"{rng.choice('mn')}{3 * k + c % 3}") for c in range(6) for k in range(3)], "change_set_id int, ordinal int, file_path string")
+    scopes = spark.createDataFrame([(c, [f"n{k}" for k in range(c, 31, 3)] + ["none"]) for c in range(5)], "change_set_id int, target_files array<string>")
+    want = graph.out_of_scope(graph.downstream(changes, nodes, edges), scopes).collect()
+    assert want and sorted(graph.downstream(changes, nodes, edges, scopes=scopes).collect()) == sorted(want)
