@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from ripplescope.operators.joins import HOT_ROWS, spread_join
 from ripplescope.plans.storage import settled
 
+#: Longs of a label of reach, 64 files' bits each; and the rounds after which labels are given up.
+LABEL_WORDS, LABEL_ROUNDS = 4, 64
+
 
 def dependents(edges: DataFrame) -> DataFrame:
     """(path, dependents): who imports each file, sorted."""
@@ -45,11 +48,74 @@ def reach(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int) -> Da
 
 def distance(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, bound: int | None = None) -> DataFrame:
     """`pairs` (src, dst) with their distance: 0 to itself, node or not; -1 out of reach, beyond a `bound`, or where src is no node."""
-    near = _settle_pairs(pairs, nodes, edges) if bound is None else reach(pairs.select(F.col("src").alias("seed")), nodes, edges, bound).select(F.col("seed").alias("src"), F.col("path").alias("dst"), "distance")
+    if bound is None:
+        return _distance_any(pairs, nodes, edges)
+    near = reach(pairs.select(F.col("src").alias("seed")), nodes, edges, bound).select(F.col("seed").alias("src"), F.col("path").alias("dst"), "distance")
+    return _with_distance(pairs, near)
+
+
+def _with_distance(pairs: DataFrame, near: DataFrame) -> DataFrame:
     known = pairs.join(near, ["src", "dst"], "left")
     return known.withColumn("distance", F.when(F.col("src") == F.col("dst"), 0).otherwise(F.coalesce("distance", F.lit(-1))))
 
 
+def _distance_any(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """`pairs` with their distance, without a bound.
+
+    Labels of both ends rule out most pairs that have no way, before any frontier grows: all pairs meet them once and are kept
+    once, only those left are followed.
+    """
+    labels = _reach_labels(edges)
+    if labels is None:
+        marked = asked = settled(pairs.withColumn("__near", F.lit(True)))
+    else:
+        marked = settled(_held_by(pairs, labels.filter("__side = 0"), "src", "dst").withColumn("__near", F.col("__held") & F.coalesce(F.col("src") != F.col("dst"), F.lit(False))).drop("__held"))
+        asked = _held_by(marked.filter("__near"), labels.filter("__side = 1"), "dst", "src").filter("__held")
+    near = _with_distance(marked.filter("__near").drop("__near"), _settle_pairs(asked.select("src", "dst"), nodes, edges))
+    far = marked.filter("not __near").drop("__near").withColumn("distance", F.when(F.col("src") == F.col("dst"), 0).otherwise(-1))
+    return near.unionByName(far)
+
+
+def _place(node: Column) -> Column:
+    return F.pmod(node, F.lit(64 * LABEL_WORDS)).cast("int")
+
+
+def _reach_labels(edges: DataFrame) -> DataFrame | None:
+    """(__side, __node, __b0, ...): for each file's hash the bits of all files it reaches (side 0) and of all that reach it (side 1).
+
+    A bit that is missing rules a way out, one that is there doesn't prove it: files share bits, and those of one hash are
+    one node. A label is handed on only as far as it has new bits, and has a fixed width, so a round costs no more than the edges.
+    None if that has not come to its end in LABEL_ROUNDS; labels without all bits would rule out pairs that have a way.
+    """
+    bits = [f"__b{i}" for i in range(LABEL_WORDS)]
+    ends = settled(edges.select(F.xxhash64("src").alias("a"), F.xxhash64("dst").alias("b")))
+    arcs = [ends.select(F.lit(side).alias("__side"), F.col(x).alias("__node"), F.col(y).alias("__next")) for side, x, y in ((0, "b", "a"), (1, "a", "b"))]
+    steps = arcs[0].unionByName(arcs[1])
+    place = _place(F.col("__node"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), place % 64)
+    own = [F.when(F.shiftright(place, 6) == i, one).otherwise(F.lit(0).cast("long")).alias(b) for i, b in enumerate(bits)]
+    joined = lambda rows, node: rows.groupBy("__side", F.col(node).alias("__node")).agg(*[F.bit_or(b).alias(b) for b in bits])
+    level = settled(joined(steps.select("__side", "__next", *own), "__next"))
+    found = level
+    for _ in range(LABEL_ROUNDS):
+        known = joined(found, "__node")
+        grown = joined(level.join(steps, ["__side", "__node"]).drop("__node"), "__next").alias("g").join(known.alias("k"), ["__side", "__node"])
+        fresh = [F.col(f"g.{b}").bitwiseAND(F.bitwise_not(F.col(f"k.{b}"))).alias(b) for b in bits]
+        level = settled(grown.select("__side", "__node", *fresh).filter(" or ".join(f"{b} <> 0" for b in bits)))
+        if level.isEmpty():
+            return settled(known)
+        found = found.unionByName(level)
+    return None
+
+
+def _held_by(pairs: DataFrame, labels: DataFrame, of: str, other: str) -> DataFrame:
+    """`pairs` with __held: whether the label of the file in column `of` has the bit of that in `other`."""
+    met = pairs.withColumn("__node", F.xxhash64(of)).join(labels.drop("__side"), "__node", "left")
+    place = _place(F.xxhash64(other))
+    word = F.element_at(F.array(*[f"__b{i}" for i in range(LABEL_WORDS)]), F.shiftright(place, 6) + 1)
+    return met.select(*pairs.columns, F.coalesce(F.getbit(word, place % 64) == 1, F.lit(False)).alias("__held"))
+
+
 def _settle_pairs(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(src, dst, distance) of the pairs that have a way, without a bound.
 

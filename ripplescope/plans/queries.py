@@ -90,7 +90,7 @@ def distance_le2(a: Adapters) -> DataFrame:
 @query("""+r pairs AS (SELECT DISTINCT s.target AS src, c.file_path AS dst FROM v_scope s JOIN v_changes c USING (change_set_id)),
 walk(seed, path, distance) AS (SELECT DISTINCT src, src, 0 FROM pairs UNION SELECT seed, e.dst, distance + 1 FROM walk JOIN v_edges e ON e.src = walk.path),
 near AS (SELECT seed, path, min(distance) AS distance FROM walk GROUP BY seed, path)
-SELECT src, dst, coalesce(distance, -1) AS distance FROM pairs LEFT JOIN near ON seed = src AND path = dst""", ("v_scope", "v_changes", "v_edges"), _KEPT)
+SELECT src, dst, coalesce(distance, -1) AS distance FROM pairs LEFT JOIN near ON seed = src AND path = dst""", ("v_scope", "v_changes", "v_edges"), ("edges",))
 def distance_any(a: Adapters) -> DataFrame:
     """Without a bound, from each change set's target to its changes."""
     pairs = a.scope.join(a.changes, "change_set_id").select(F.col("target").alias("src"), F.col("file_path").alias("dst")).distinct()

@@ -204,6 +204,29 @@ def test_distances_in_random_graphs(spark):
     assert graph.distance(spark.createDataFrame([], "src string, dst string"), spark.createDataFrame([], "path string"), spark.createDataFrame([], "src string, dst string")).count() == 0
 
 
+def test_pairs_without_a_way_are_not_followed(spark, monkeypatch):
+    """Two long ways with a loop on each, and pairs across them: all pairs are kept once, not at each step."""
+    kept = []
+
+    def settled(df):
+        table = real(df)
+        if {"src", "dst"} <= set(table.columns):
+            kept.append(table.count())
+        return table
+
+    real = graph.settled
+    monkeypatch.setattr(graph, "settled", settled)
+    edges = [(f"{w}{i}", f"{w}{i + 1}") for w in "ab" for i in range(12)] + [("a12", "a9"), ("b12", "b9")]
+    names = [f"{w}{i}" for w in "ab" for i in range(13)]
+    pairs = [(f"{v}{i}", f"{w}{k}") for v, w in ("ab", "ba") for i in range(13) for k in range(13)] + [("a0", "a5"), ("a12", "a10"), ("a3", "a3"), (None, "a1"), ("no", "a1"), ("a0", "a5")]
+    tables = spark.createDataFrame(pairs, "src string, dst string"), spark.createDataFrame([(n,) for n in names], "path string"), spark.createDataFrame(edges, "src string, dst string")
+    want = sorted((str(a), b, {("a0", "a5"): 5, ("a12", "a10"): 2, ("a3", "a3"): 0}.get((a, b), -1)) for a, b in pairs)
+    assert sorted((str(r.src), r.dst, r.distance) for r in graph.distance(*tables).collect()) == want
+    assert sum(kept) < 1.5 * len(pairs)
+    monkeypatch.setattr(graph, "LABEL_ROUNDS", 1)  # labels without all bits aren't used
+    assert sorted((str(r.src), r.dst, r.distance) for r in graph.distance(*tables).collect()) == want
+
+
 def test_patterns_of_many_projects(spark):
     """Against fnmatch, with sets, backward ranges, unclosed brackets and patterns without a literal."""
     from fnmatch import fnmatchcase
