@@ -331,3 +331,17 @@ def test_coverage_looks_only_where_tests_are(spark):
     found = {r.change_set_id: r.test_coverage for r in risk.test_coverage(changes).filter("test_coverage < 1").collect()}
     assert found == {7: 1.0 - 2 / 21, 8: 1.0 - 1 / 21}
     assert _shuffled(spark) - before < 60_000
+
+
+def test_products_are_dealt_to_tasks_by_their_pairs(spark):
+    """Few rows of one key that make many pairs are no single task, and the pairs are those of a plain join."""
+    left = [(k, a) for k, n in ((1, 70), (2, 3), (3, 1), (None, 2)) for a in range(n)]
+    right = [(k, b) for k, n in ((1, 41), (2, 30), (4, 1), (None, 2)) for b in range(n)] + [(2, 0)]
+    frames = spark.createDataFrame(left, "k int, a int"), spark.createDataFrame(right, "k int, b int")
+    found = sorted((r.k, r.a, r.b) for r in joins.product_join(*frames, "k", 20).collect())
+    assert found == sorted((k, a, b) for k, a in left for j, b in right if k == j and k is not None)
+    changes = spark.range(0, 20_000, 1, 1).selectExpr("id as change_set_id", "1 as ordinal", "concat('api/m', id, '.py') as file_path", "array('run') as functions_modified")
+    tests = spark.range(0, 70, 1, 1).selectExpr("concat('tests/api/test_n', id, '.py') as path", "'tests' as root", "'def test_run(): pass' as source")
+    for pairs in (test_mapping.by_directory(changes, tests), test_mapping.by_function(changes, tests)):
+        dealt = pairs.groupBy(F.spark_partition_id().alias("task")).count().collect()
+        assert sum(r["count"] for r in dealt) == 1_400_000 and len(dealt) > 1
