@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ripplescope.functions import globs, literals
 from ripplescope.plans.storage import settled
 
+#: Patterns that a task may hold at once.
+FEW = 50_000
 # What stands for other characters in a pattern, and a set of characters in it.
 _SPECIAL, _SET = r"[*?\[\]]", r"\[!?+\]?+[^\]]*+\]"
 
@@ -56,12 +58,15 @@ def first_matches(paths: DataFrame, patterns: DataFrame) -> DataFrame:
     used = {k: literals.lengths(described.filter(F.col("kind") == k), "literal", literals.LADDER if k == "g" else literals.ENDS) for k in "psg"}
     tagged = lambda kind, keys: F.transform(keys, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("key")))
     ends = F.concat(tagged("a", F.array(F.lit(""))), tagged("e", F.array(path)), tagged("p", literals.starts(path, used["p"])), tagged("s", literals.starts(F.reverse(path), used["s"])))
-    offered = wanted.select("project", "path", F.explode(ends).alias("k"))
-    if used["g"]:  # only where a project has such patterns
-        inside = wanted.join(described.filter("kind = 'g'").select("project").distinct(), "project", "left_semi")
-        offered = offered.unionByName(inside.select("project", "path", F.explode(tagged("g", literals.pieces(path, used["g"]))).alias("k")))
+    # a file of patterns is far smaller than they are in memory, so they are merged by their keys and not broadcast for its size
+    offered = [(wanted.select("project", "path", F.explode(ends).alias("k")), described.filter("kind <> 'g'").hint("merge"))]
+    if used["g"]:  # a text offers many such keys, but equal patterns are one and mostly few; only where a project has any
+        inner = settled(described.filter("kind = 'g'"))
+        inside = wanted.join(inner.select("project").distinct(), "project", "left_semi").repartition("project", "path")
+        offered.append((inside.select("project", "path", F.explode(tagged("g", literals.pieces(path, used["g"]))).alias("k")), inner if inner.count() <= FEW else inner.hint("merge")))
     # whether the path has the whole literal is told before the expression is made
     kind, literal = F.col("kind"), F.col("literal")
     has = F.when(kind == "p", F.startswith("path", literal)).when(kind == "s", F.endswith(path, F.reverse(literal))).otherwise(F.contains("path", literal))
-    met = offered.select("project", "path", "k.*").join(described, ["project", "kind", "key"]).filter(whole | (has & F.regexp_like("path", F.col("regex"))))
+    met = [texts.select("project", "path", "k.*").join(held, ["project", "kind", "key"]).filter(whole | (has & F.regexp_like("path", F.col("regex")))).select("project", "path", "ordinal", "pattern") for texts, held in offered]
+    met = met[0] if len(met) == 1 else met[0].unionByName(met[1])
     return met.groupBy("project", "path").agg(F.min(F.struct("ordinal", "pattern")).alias("m")).select("project", "path", "m.ordinal", "m.pattern")

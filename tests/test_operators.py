@@ -386,3 +386,12 @@ def test_wide_changes_are_scored_where_they_lie(spark):
         assert chain == {0: 1.0, 1: 0.7, 2: 0.4}.get(hop, 0.0) and linked == (hop in (0, 1, 2)) and central == (1 <= hop + c <= 80)
     given = risk.centrality_factor(judged, edges).collect()
     assert sorted(given) == sorted(risk.centrality_factor(changes, edges).collect())
+
+
+def test_many_patterns_are_no_broadcast(spark):
+    """Patterns whose file is small, as they are much alike: they are merged with the paths by their keys."""
+    patterns = spark.range(3_000).selectExpr("id % 2 as project", "id as ordinal", "case when id % 3 = 0 then concat('src/common/f', id, '.py') else concat('src/common/f', id, '*') end as pattern")
+    found = ignore.first_matches(spark.range(3_000).selectExpr("id % 2 as project", "concat('src/common/f', id, '.py') as path"), patterns)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert found.filter("path like concat('src/common/f', ordinal, '%')").count() == found.count() == 3_000
